@@ -1,0 +1,58 @@
+"""Files in the shared folder, opened by tasks on executors."""
+
+from __future__ import annotations
+
+import os
+from urllib.parse import unquote, urlparse
+
+import pyarrow.fs as pafs
+
+
+def _local(url: str) -> str | None:
+    part = urlparse(url)
+    if part.scheme in ("", "file"):
+        return unquote(part.path) if part.scheme else url
+    return None
+
+
+def _store(url: str) -> tuple[pafs.FileSystem, str]:
+    local = _local(url)
+    return (pafs.LocalFileSystem(), local) if local is not None else pafs.FileSystem.from_uri(url)
+
+
+class Output:
+    """A file that appears under its name only when it is whole, so that a lost or repeated task leaves no half of one."""
+
+    def __init__(self, url: str):
+        self.fs, self.path = _store(url)
+        self.fs.create_dir(os.path.dirname(self.path), recursive=True)
+        self.file = self.fs.open_output_stream(self.path + ".part")
+        self.size = 0
+
+    def write(self, raw: bytes) -> int:
+        """Append; gives the offset at which the bytes begin."""
+        at = self.size
+        self.file.write(raw)
+        self.size += len(raw)
+        return at
+
+    def close(self) -> None:
+        self.file.close()
+        self.fs.move(self.path + ".part", self.path)
+
+    def discard(self) -> None:
+        self.file.close()
+        self.fs.delete_file(self.path + ".part")
+
+
+def open_input(url: str):
+    fs, path = _store(url)
+    return fs.open_input_file(path)
+
+
+def listing(url: str, suffix: str) -> list[tuple[str, int]]:
+    """Names (as URLs) and sizes of the files below a directory, in the order of names."""
+    fs, path = _store(url)
+    found = fs.get_file_info(pafs.FileSelector(path, recursive=True, allow_not_found=True))
+    prefix = url[: len(url) - len(path)] if url.endswith(path) else ("file://" if _local(url) is not None else "")
+    return sorted((prefix + f.path, f.size) for f in found if f.is_file and f.path.endswith(suffix))

@@ -5,17 +5,31 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, media, token_counts, warc
+from . import byte_bpe, decontaminate, media, quotations, token_counts, toxicity, url_filters, warc
+from .util import ship
+
+#: The rules of op7: verdict, host with its subdomains, beginning of the path.
+URL_RULES = [
+    url_filters.Rule("block", "com", "/en/"),
+    url_filters.Rule("allow", "example.com", "/en/7"),
+    url_filters.Rule("allow", "net", "/de/"),
+    url_filters.Rule("block", "example.net", "/de/8"),
+    url_filters.Rule("block", "org", "/es/"),
+]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(spark, _table(spark, sf_dir, "pages"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store_and_read(spark, _table(spark, sf_dir, "documents"))
 
@@ -24,13 +38,25 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op10_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotations.link(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_warc, op5_media_columns, op6_token_counts, op9_byte_bpe)
+    for f in (op1_warc, op2_toxicity, op5_media_columns, op6_token_counts, op7_url_filters, op8_decontaminate, op9_byte_bpe, op10_quotations)
 }
 
 ORACLES = {

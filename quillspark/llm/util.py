@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -21,6 +23,17 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors, once per application: they share no local folder with the driver."""
+    context = spark.sparkContext
+    if not getattr(context, "_quillspark_shipped", False):
+        package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        folder = tempfile.mkdtemp(prefix="quillspark-")
+        context.addPyFile(shutil.make_archive(os.path.join(folder, "quillspark"), "zip", os.path.dirname(package), os.path.basename(package)))
+        context._quillspark_shipped = True
+    return spark
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/quillspark/{uuid.uuid4().hex}/{name}"
 

@@ -96,15 +96,17 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray, keep: np.ndarray) -> tuple[
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the words, ASCII letters lower-cased."""
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, *more: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words, ASCII letters lower-cased. Further arrays of ends give further rows of hashes."""
     n = len(raw)
     if not len(starts):
-        return np.zeros(0, np.uint64)
+        return np.zeros((1 + len(more), 0) if more else 0, np.uint64)
     with np.errstate(over="ignore"):
         total = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum(_BYTE[_LOWER[raw]] * _power("up", _MULT, n)[:n], out=total[1:])
-        return mix((total[ends] - total[starts]) * _power("down", _INVERSE, n)[starts])
+        begin, scale = total[starts], _power("down", _INVERSE, n)[starts]
+        rows = [mix((total[e] - begin) * scale) for e in (ends, *more)]
+        return np.stack(rows) if more else rows[0]
 
 
 def shingle_hashes(words: np.ndarray, width: int = 5) -> np.ndarray:
@@ -137,3 +139,11 @@ def distinct(x: np.ndarray) -> np.ndarray:
         return x
     x = np.sort(x)
     return x[np.concatenate(([True], x[1:] != x[:-1]))]
+
+
+def member(x: np.ndarray, ascending: np.ndarray) -> np.ndarray:
+    if not len(ascending):
+        return np.zeros(len(x), bool)
+    k = np.searchsorted(ascending, x)
+    k[k == len(ascending)] = 0
+    return ascending[k] == x

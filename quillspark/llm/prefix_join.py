@@ -168,7 +168,7 @@ def frequent_shingles(df: DataFrame, text: str = "text", width: int = WIDTH, ent
     n = max(1, df.rdd.getNumPartitions())
     while n > 1:
         n = -(-n // FAN_IN)
-        parts = parts.repartitionByRange(n, F.floor(F.col("part") / FAN_IN)).mapInArrow(merge, schema) if n > 1 else parts.coalesce(1).mapInArrow(merge, schema)
+        parts = (parts.repartitionByRange(n, F.floor(F.col("part") / FAN_IN)) if n > 1 else parts.repartition(1)).mapInArrow(merge, schema)
     got = parts.collect()  # one summary of bounded size
     return np.sort(np.frombuffer(got[0]["hashes"], np.uint64)) if got else np.zeros(0, np.uint64)
 

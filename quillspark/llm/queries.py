@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, media, prefix_join, quotations, token_counts, toxicity, url_filters, warc
+from . import byte_bpe, decontaminate, media, prefix_join, quotations, token_counts, toxicity, url_filters, warc, wrappers
 from .util import ship
 
 #: The rules of op7: verdict, host with its subdomains, beginning of the path.
@@ -30,6 +30,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(_table(spark, sf_dir, "pages"))
+
+
 def op4_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_join.join(_table(spark, sf_dir, "documents"))
 
@@ -60,7 +64,7 @@ def op10_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_warc, op2_toxicity, op4_prefix_join, op5_media_columns, op6_token_counts, op7_url_filters, op8_decontaminate, op9_byte_bpe, op10_quotations)
+    for f in (op1_warc, op2_toxicity, op3_wrappers, op4_prefix_join, op5_media_columns, op6_token_counts, op7_url_filters, op8_decontaminate, op9_byte_bpe, op10_quotations)
 }
 
 ORACLES = {

@@ -186,12 +186,32 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     return fit(features, [(r["toxic"], np.frombuffer(r["words"], np.int32), np.frombuffer(r["sentences"], np.int32)) for r in got])
 
 
+def _probabilities(model: Model, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For every sentence with evidence, in order: its text, the byte where the evidence begins, and its probability."""
+    bags = Bags(texts)
+    for _, _, at, doc, sentence, hashes, starts in bags.parts():
+        k = model.lookup(hashes)
+        hit = np.flatnonzero(k >= 0)
+        if not len(hit):
+            continue
+        d, s, w = doc[hit], sentence[hit], model.weights[k[hit]]
+        new = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (s[1:] != s[:-1]))))
+        yield d[new], starts[hit[new]] + at - bags.offsets[d[new]], _sigmoid(np.add.reduceat(w, new) + model.bias)
+
+
+def _scores(model: Model, texts: pa.Array) -> np.ndarray:
+    clean = np.zeros(len(texts))
+    for owner, _, p in _probabilities(model, texts):
+        np.add.at(clean, owner, np.log1p(-np.minimum(p, 1 - 1e-12)))
+    return 1 - np.exp(clean)
+
+
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", spans: bool = False) -> DataFrame:
     """Rows (key, held_out, score, predicted, n_offending, first_offending) for every whole text; null and empty texts score 0.
 
     n_offending: sentences with probability 0.5 or more; first_offending: the byte at
-    which the first word of evidence in the first of them begins, else null. With
-    `spans`, an array of (byte, probability) for all of them is added.
+    which the first evidence in the first of them begins, else null. With `spans`, an
+    array of (byte, probability) for all of them is added.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.words, model.weights, model.bias))
     names = [key, "score", "n_offending", "first_offending"] + (["offending"] if spans else [])
@@ -202,23 +222,14 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
             n = len(batch)
             clean, count, first = np.zeros(n), np.zeros(n, np.int64), np.full(n, -1, np.int64)
             found: list[list[dict]] = [[] for _ in range(n)] if spans else []
-            bags = Bags(batch[text])
-            for _, _, at, doc, sentence, hashes, starts in bags.parts():
-                k = own.lookup(hashes)
-                hit = np.flatnonzero(k >= 0)
-                if not len(hit):
-                    continue
-                d, s, w = doc[hit], sentence[hit], own.weights[k[hit]]
-                new = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (s[1:] != s[:-1]))))
-                p = _sigmoid(np.add.reduceat(w, new) + own.bias)
-                owner, begin = d[new], starts[hit[new]] + at - bags.offsets[d[new]]
+            for owner, begin, p in _probabilities(own, batch[text]):
                 np.add.at(clean, owner, np.log1p(-np.minimum(p, 1 - 1e-12)))
                 bad = p >= 0.5
                 np.add.at(count, owner[bad], 1)
-                for o, b, x in zip(owner[bad][::-1].tolist(), begin[bad][::-1].tolist(), p[bad][::-1].tolist()):
-                    first[o] = b
-                    if spans:
-                        found[o].insert(0, {"byte": b, "probability": x})
+                first[owner[bad][::-1]] = begin[bad][::-1]
+                if spans:
+                    for o, b, x in zip(owner[bad].tolist(), begin[bad].tolist(), p[bad].tolist()):
+                        found[o].append({"byte": b, "probability": x})
             columns = [batch[key], pa.array(1 - np.exp(clean)), pa.array(count, pa.int64()), pa.array(first, pa.int64(), mask=first < 0)]
             if spans:
                 columns.append(pa.array(found, pa.list_(pa.struct([("byte", pa.int64()), ("probability", pa.float64())]))))
@@ -230,6 +241,18 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     return out.select(key, F.coalesce(held_out(F.col(key)), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *names[2:])
 
 
+def reject(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows whose whole text scores below 0.5, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.words, model.weights, model.bias))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model(*shared.value)
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(own, batch[text]) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Train on the labels and score every document."""
     return score(docs, train(docs, labels, key, text), key, text)

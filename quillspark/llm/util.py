@@ -15,11 +15,13 @@ BROADCAST_ROWS = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or one set here if there is none (tests)."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or one made here if there is none (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="quillspark-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        context = spark.sparkContext
+        base = getattr(context, "_quillspark_shared", None)
+        if base is None:
+            base = context._quillspark_shared = "file://" + tempfile.mkdtemp(prefix="quillspark-")
     return base.rstrip("/")
 
 

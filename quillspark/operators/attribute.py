@@ -49,8 +49,7 @@ def apply_context_rules(segments: DataFrame) -> DataFrame:
     in_order = W.partitionBy("book_id", "paragraph_id").orderBy("seg_idx")
     following = F.when(F.lead("kind").over(in_order) == "narration", F.lead("text").over(in_order))
     rows = segments.withColumn("_next", following).where("kind = 'dialogue'")
-    name = F.regexp_extract("_next", rf"(?U)^{_VERB}\s+((?:[A-Z]\w*\.?\s*)+)", 2)
-    name = F.regexp_replace(py_strip(name), r"\.$", "")
+    name = F.regexp_extract("_next", rf"(?U)^{_VERB}\s+((?:(?:Mr|Mrs|Ms|Dr|St)\.\s*)?[A-Z]\w*(?:\s+[A-Z]\w*)*)", 2)
     return rows.where(name != "").select("book_id", "id", name.alias("speaker"), F.lit(RULE_CONFIDENCE).alias("confidence"), F.concat(F.lit("tag: "), F.col("_next")).alias("evidence"))
 
 

@@ -105,7 +105,7 @@ def bootstrap(values: DataFrame, value: str, rounds: int = 1000, level: float =
     rows = values.select(F.col(value).cast("double").alias("v"), F.monotonically_increasing_id().alias("row"))
     drawn = rows.select("v", "row", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round")).withColumn("u", u).withColumn("times", times)
     means = drawn.groupBy("round").agg((F.sum(F.col("v") * F.col("times")) / F.sum("times")).alias("mean")).agg(F.array_sort(F.collect_list("mean")).alias("m"))
-    at = lambda q: F.coalesce(F.try_element_at("m", F.least(F.size("m"), F.lit(int(q * rounds) + 1))), F.lit(0.0))
+    at = lambda q: F.coalesce(F.try_element_at("m", F.greatest(F.lit(1), F.least(F.size("m"), F.lit(int(q * rounds) + 1)))), F.lit(0.0))
     return means.select(at((1 - level) / 2).alias("lower"), at(1 - (1 - level) / 2).alias("upper"))
 
 

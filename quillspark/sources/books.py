@@ -14,11 +14,11 @@ from urllib.parse import unquote
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import clean, detect_dialogue
+from ..functions.text import clean, detect_dialogue, remove_page_numbers, remove_running_headers
 from ..operators.structure import by_headings, by_styles, heading_confidence, pdf_text
 from ..schema import BOOK, VOICES, ensure_columns, paragraph_id
 from .markup import read_html
@@ -47,13 +47,19 @@ def finished(rows: DataFrame) -> DataFrame:
     return rows.withColumn("id", paragraph_id(F.col("chapter_idx"), F.col("para_idx"))).withColumn("is_dialogue", detect_dialogue(F.col("text")))
 
 
+def _once(c: Column) -> Column:
+    """A column that later steps see as a value: Spark can't take a Python function out of an expression over lambdas that is used twice."""
+    return F.explode(F.array(c))
+
+
 def txt_paragraphs(books: DataFrame) -> DataFrame:
     """Paragraphs of text files: blocks between blank lines, cleaned one by one. Ids keep the place of the block, so blank ones leave gaps."""
     text = F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "\r\n?", "\n")
     blocks = books.where("format = 'txt'").select("book_id", "title", F.posexplode(F.split(text, "\n\n")).alias("para_idx", "raw"))
     rows = blocks.select("book_id", F.lit(0).alias("chapter_idx"), "title", F.lit(0.0).alias("confidence"), "para_idx", F.regexp_replace("raw", r"(?U)^\s+|\s+\z", "").alias("original_text"))
-    rows = rows.where("original_text <> ''").withColumn("text", clean(F.col("original_text"), strip_headers=True))
-    return finished(rows.where("text <> ''"))
+    rows = rows.where("original_text <> ''").select("*", _once(remove_running_headers(F.col("original_text"))).alias("stripped"))
+    # normal form C makes no text empty, so the filter stays native
+    return finished(rows.where(clean(F.col("stripped"), unicode=False) != "").withColumn("text", clean(F.col("stripped"))).drop("stripped"))
 
 
 def _unpacked(books: DataFrame, kind: str, take, schema: str) -> DataFrame:
@@ -116,13 +122,14 @@ def epub_rows(content: bytes, title: str) -> Iterator[tuple]:
 
 def epub_paragraphs(books: DataFrame) -> DataFrame:
     rows = _unpacked(books, "epub", epub_rows, "book_id string, book_title string, author string, chapter_idx int, title string, para_idx int, text string")
-    rows = rows.select("book_id", "chapter_idx", "title", F.lit(0.95).alias("confidence"), "para_idx", F.col("text").alias("original_text"), clean(F.col("text")).alias("text"))
-    return finished(rows.where("text <> ''"))
+    rows = rows.where(clean(F.col("text"), unicode=False) != "")
+    return finished(rows.select("book_id", "chapter_idx", "title", F.lit(0.95).alias("confidence"), "para_idx", F.col("text").alias("original_text"), clean(F.col("text")).alias("text")))
 
 
 def pdf_paragraphs(pages: DataFrame) -> DataFrame:
     """Paragraphs from the page texts of PDF books (book_id, page_no, text), which another tool takes from the files. Scanned books have none."""
-    text = pdf_text(pages).where("error IS NULL").select("book_id", clean(F.col("text"), strip_headers=True, is_pdf=True).alias("text"))
+    text = pdf_text(pages).where("error IS NULL").select("book_id", _once(remove_running_headers(remove_page_numbers(F.col("text")))).alias("text"))
+    text = text.select("book_id", clean(F.col("text")).alias("text"))
     lines = text.select("book_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     line = F.trim("line")
     # blank lines and headings both end a paragraph

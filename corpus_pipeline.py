@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.llm import byte_bpe, decontaminate, prefix_join, toxicity
-from quillspark.llm.util import Tables, ship, sized
+from quillspark.llm.util import Tables, rows_of, ship, sized
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +29,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     copies = tables.write(groups.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
     kept = docs.join(sized(copies), "doc_id", "left_anti")
     repeated = tables.write(groups.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id"), "repeated")
-    n = repeated.count()
+    n = rows_of(repeated)
     if n:
         few = sized(repeated, n)
         first = F.row_number().over(W.partitionBy("doc_id").orderBy("text"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .util import Tables, sized
+from .util import Tables, rows_of, sized
 
 #: Quote marks at the start of a line, with blanks between them.
 _MARKS = r"^[ \t]*((?:>[ \t]?)*)"
@@ -87,7 +87,7 @@ def link(messages: DataFrame, conversation: str = "conv_id", turn: str = "turn",
     quoted = rows.where("quoting").select("conv", "seq", F.posexplode("quoted").alias("place", "passage"))
     quoted = quoted.select("conv", "seq", "place", F.col("passage.level").alias("level"), F.explode(sentences(F.col("passage.text"))).alias("sentence"))
     quoted = tables.write(quoted.select("conv", "seq", "place", "level", F.xxhash64("sentence").alias("hash"), F.length("sentence").alias("size")), "quoted")
-    if quoted.count():
+    if rows_of(quoted):
         with_quotes = sized(tables.write(quoted.select("conv").distinct(), "quoting"))
         said = rows.join(with_quotes, rows.conv.eqNullSafe(with_quotes.conv), "left_semi").select("conv", "seq", F.explode(sentences(F.col("own_text"))).alias("sentence"))
         said = said.select("conv", "seq", F.lit(None).cast("int").alias("place"), F.lit(None).cast("int").alias("level"), F.xxhash64("sentence").alias("hash"), F.length("sentence").alias("size"))
@@ -132,7 +132,7 @@ def _branch_keys(tables: Tables, rows: DataFrame) -> DataFrame:
     messages before those off earlier ones: the order of a walk through the reply tree.
     """
     starts = tables.write(rows.where("seq = run AND parent IS NOT NULL").select(F.col("conv").alias("bc"), F.col("run").alias("branch"), F.col("parent")), "branches")
-    n = starts.count()
+    n = rows_of(starts)
     at = rows.select("conv", "seq", F.col("run").alias("up"))
     own = F.concat(F.lit("1"), F.lpad((F.lit(10**11) - F.col("parent")).cast("string"), 12, "0"), F.lpad(F.col("branch").cast("string"), 12, "0"))
     small = sized(starts, n)

@@ -12,7 +12,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .util import Tables, sized
+from .util import Tables, rows_of, sized
 
 DAMPING = 0.85
 TOLERANCE = 1e-6
@@ -77,7 +77,7 @@ def rank(tables: Tables, edges: DataFrame, seeds: DataFrame, damping: float = DA
     start = tables.write(seeds.where("mass > 0").select("host", (F.col("mass") / total).alias("start")), "seeds")
     outgoing = edges.groupBy("src").agg(F.sum("w").alias("all"))
     shares = tables.write(edges.join(sized(tables.write(outgoing, "outgoing")), "src").select("src", "dst", (F.col("w") / F.col("all")).alias("share")), "shares")
-    if not shares.count():
+    if not rows_of(shares):
         return start.select("host", F.col("start").alias("score"))
     scores = start.select("host", F.col("start").alias("score"))
     for _ in range(steps):

@@ -7,11 +7,13 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only if its written table, read back, is known to have at most so many rows.
 BROADCAST_ROWS = 2_000_000
+#: Rows of a small table that one task writes.
+SMALL_ROWS = 50_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,12 +54,21 @@ class Tables:
         self.spark = spark
         self.paths: list[str] = []
 
-    def write(self, df: DataFrame, name: str, *keep: str) -> DataFrame:
-        """The same rows, read back from Parquet."""
+    def write(self, df: DataFrame, name: str, most: int | None = None) -> DataFrame:
+        """The same rows, read back from Parquet; their number is known without another job (see `rows_of`).
+
+        `most`: how many rows there can be, if that is known: a small table is then written by few tasks.
+        """
         path = new_path(self.spark, name)
-        df.write.parquet(path)
+        seen = Observation()
+        out = df.observe(seen, F.count(F.lit(1)).alias("n"))
+        if most is not None and most < SMALL_ROWS * 1000:
+            out = out.coalesce(max(1, -(-most // SMALL_ROWS)))
+        out.write.parquet(path)
         self.paths.append(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        back = self.spark.read.schema(df.schema).parquet(path)
+        back._rows_written = seen.get["n"]
+        return back
 
     def drop(self, *frames: DataFrame) -> None:
         """Delete tables that no later result reads."""
@@ -67,9 +78,15 @@ class Tables:
                     remove(self.spark, path)
 
 
+def rows_of(df: DataFrame) -> int:
+    """The number of rows of a written table; a repeated task may have counted some twice, so it is never too small."""
+    n = getattr(df, "_rows_written", None)
+    return df.count() if n is None else n
+
+
 def sized(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
     """A written table, marked for broadcast if its counted rows are few; else joined by shuffle, where AQE splits skewed keys."""
-    return F.broadcast(df) if (df.count() if rows is None else rows) <= limit else df
+    return F.broadcast(df) if (rows_of(df) if rows is None else rows) <= limit else df
 
 
 def components(tables: Tables, edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -81,29 +98,27 @@ def components(tables: Tables, edges: DataFrame, a: str = "a", b: str = "b") ->
     one round. Only min aggregates run over a node's edges, so hubs are
     pre-aggregated before any shuffle.
     """
-    e = tables.write(
-        edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct(), "edges"
-    )
+    n = getattr(edges, "_rows_written", None)
+    e = tables.write(edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct(), "edges", n)
     maps: list[DataFrame] = []
-    while e.count():
-        hook = tables.write(e.groupBy("b").agg(F.min("a").alias("a")).select(F.col("b").alias("node"), F.col("a").alias("up")), "hooks")
-        n = hook.count()
+    while rows_of(e):
+        n = rows_of(e)
+        hook = tables.write(e.groupBy("b").agg(F.min("a").alias("a")).select(F.col("b").alias("node"), F.col("a").alias("up")), "hooks", n)
+        n_nodes = rows_of(hook)
         for _ in range(2):  # pointer jumping
-            over = sized(hook.select(F.col("node").alias("up"), F.col("up").alias("upper")), n)
+            over = sized(hook.select(F.col("node").alias("up"), F.col("up").alias("upper")), n_nodes)
             hook = hook.join(over, "up", "left").select("node", F.coalesce("upper", "up").alias("up"))
-        hook = tables.write(hook, "parents")
+        hook = tables.write(hook, "parents", n_nodes)
         maps.append(hook)
-        small = sized(hook, n)
+        small = sized(hook, n_nodes)
         left = small.select(F.col("node").alias("a"), F.col("up").alias("ra"))
         right = small.select(F.col("node").alias("b"), F.col("up").alias("rb"))
-        e = tables.write(
-            e.join(left, "a", "left").join(right, "b", "left")
-            .select(F.coalesce("ra", "a").alias("x"), F.coalesce("rb", "b").alias("y"))
-            .where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(),
-            "edges",
-        )
+        moved = e.join(left, "a", "left").join(right, "b", "left").select(F.coalesce("ra", "a").alias("x"), F.coalesce("rb", "b").alias("y"))
+        e = tables.write(moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges", n)
     nodes = edges.select(F.col(a).alias("node")).union(edges.select(F.col(b).alias("node"))).distinct()
     out = nodes.withColumn("root", F.col("node"))
     for hook in maps:
-        out = out.join(sized(hook.select(F.col("node").alias("root"), "up")), "root", "left").select("node", F.coalesce("up", "root").alias("root"))
-    return tables.write(out, "components")
+        up = sized(hook.select(F.col("node").alias("root"), "up"), rows_of(hook))
+        out = out.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root"))
+    edge_rows = getattr(edges, "_rows_written", None)
+    return tables.write(out, "components", None if edge_rows is None else 2 * edge_rows)

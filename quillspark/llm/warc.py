@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .files import Output, open_input
-from .util import BROADCAST_ROWS, Tables, new_path
+from .util import BROADCAST_ROWS, Tables, new_path, rows_of
 
 #: The magic number of the leading frame, among those that decoders skip.
 SKIPPABLE = 0x184D2A5D
@@ -166,8 +166,7 @@ def write_archives(pages: DataFrame, directory: str, key: str = "page_id", url:
         rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 AND first IS NOT NULL").select("digest", "first"),
         "stored",
     )
-    n = keep.count()
-    if n <= BROADCAST_ROWS:
+    if rows_of(keep) <= BROADCAST_ROWS:
         rows = rows.join(F.broadcast(keep), "digest", "left")
     else:  # too many to broadcast: look them up beside the payloads, by key, so that only digests are shuffled
         revisits = rows.select("key", "digest").join(keep, "digest").select("key", "digest", "first").distinct()

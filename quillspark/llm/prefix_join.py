@@ -11,12 +11,18 @@ prefix element stay short unless the sets really are alike.
    by one leader, so no list meets in one task.
 3. Links make components. Lists in which several components are left are searched
    in full: every set outside the largest component against all others. Lists with the
-   same members are searched once, large ones in parts.
-
-Comparisons run in a prefix tree over the hash-ordered sets: a walk shares the
-overlap of common beginnings, and leaves out subtrees that, by the lengths left on
-both sides, can't reach the threshold. Copies and chains of copies are thus found
-without all pairs of a group, and no link between components is missed.
+   same members are searched once, large ones in parts. Of many candidates for a link
+   between a set and a component a few are tried first, then more, in the end all.
+
+Comparisons run in prefix trees. With a leader, a walk over the ordered prefixes shares
+the overlap of common beginnings, and leaves out subtrees that can't reach the threshold
+by what is left on both sides: the prefixes tell the overlap up to the smaller of their
+last elements, the lengths bound the rest. In a list, the tree holds what precedes the
+list's element, and a walk leaves a subtree at the first common element: such pairs
+meet in the list of that element. So no pair is compared in more than one list. What
+passes is compared by shortened whole sets, which never count too little, then by whole
+sets. Copies and chains of copies are thus found without all pairs of a group, and no
+link between components is missed.
 """
 
 from __future__ import annotations
@@ -27,22 +33,27 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .util import Tables, components, sized
+from .util import Tables, components, rows_of, sized
 from .words import chunks, member, shingle_sets, text_buffer
 
 WIDTH = 5
 #: Entries of the summary of frequent shingles; it only orders elements, so it decides about speed, not results.
-FREQUENT = 1 << 16
+FREQUENT = 1 << 17
 FAN_IN = 32
 #: Parts of a long list that get a leader each, and sets in a tree.
 PARTS = 64
-TREE_SETS = 256
+TREE_SETS = 2048
+#: Similar sets differ in size by a factor of 4/3 at most: its logarithm in millionths, rounded up twice.
+RATIO = 287_684
 #: Sets whose prefix a task has already given.
 SEEN = 1 << 20
+#: Of more than FEW candidates between a set and a component these shares are tried in turn, by the hash of the pair.
+FEW = 8
+SHARES = (1 / 64, 1 / 8, 1.0)
 
 
 def similar(common: int, a: int, b: int) -> bool:
@@ -70,16 +81,17 @@ class Node:
 
 
 class PrefixTree:
-    """Ascending arrays, those with a common beginning on a common path."""
+    """Ascending prefixes of sets, those with a common beginning on a common path."""
 
     def __init__(self) -> None:
         self.root = Node(np.zeros(0, np.uint64))
 
-    def insert(self, items: np.ndarray, key: object, group: object = None) -> None:
-        n, i, node = len(items), 0, self.root
+    def insert(self, items: np.ndarray, n: int, key: object, group: object = None) -> None:
+        """Add the prefix `items` of a set of `n` elements."""
+        last, i, node = len(items), 0, self.root
         while True:
             node.note(n, group)
-            if i == n:
+            if i == last:
                 node.entries.append((key, n, group))
                 return
             child = node.children.get(items[i])
@@ -88,7 +100,7 @@ class PrefixTree:
                 child.note(n, group)
                 child.entries.append((key, n, group))
                 return
-            m = min(len(child.run), n - i)
+            m = min(len(child.run), last - i)
             other = np.flatnonzero(child.run[:m] != items[i : i + m])
             k = int(other[0]) if len(other) else m
             if k < len(child.run):
@@ -101,30 +113,80 @@ class PrefixTree:
             i += k
             node = child
 
-    def search(self, items: np.ndarray, group: object = None, once: bool = False) -> Iterator[tuple[object, object]]:
-        """(key, group) of all sets similar to `items` that aren't of the same group; with `once` one for each group."""
-        n = len(items)
-        done = {group} if group is not None else set()
+    def search(self, items: np.ndarray, n: int, group: object = None) -> Iterator[tuple[object, object]]:
+        """(key, group) of all sets, but those of the same group, that may be similar to a set of `n` elements with the prefix `items`.
+
+        Whole sets as prefixes give exactly the similar ones.
+        """
         stack = [(self.root, 0, 0, 0)]
         while stack:
             node, common, depth, place = stack.pop()
-            if not node.mixed and node.group is not None and node.group in done:
+            if group is not None and not node.mixed and node.group == group:
                 continue
             if len(node.run):
-                common += int(np.count_nonzero(member(node.run, items)))
-                depth += len(node.run)
+                # beyond the last known element of the probe nothing is known
+                run = node.run[: np.searchsorted(node.run, items[-1], side="right")]
+                common += int(np.count_nonzero(member(run, items)))
+                depth += len(run)
                 place = int(np.searchsorted(items, node.run[-1], side="right"))
             # of all lengths in the subtree, the one that uses up what is left of both has the best chance
             length = min(max(depth + n - place, node.least), node.most)
             if not similar(common + min(length - depth, n - place), length, n):
                 continue
             for key, size, own in node.entries:
-                if (own is None or own not in done) and similar(common, size, n):
+                if (group is None or own != group) and similar(common + min(size - depth, n - place), size, n):
                     yield key, own
-                    if once and own is not None:
-                        done.add(own)
             stack.extend((child, common, depth, place) for child in node.children.values())
 
+    def search_first(self, before: np.ndarray, n: int, group: object) -> Iterator[tuple[object, object]]:
+        """(key, group) of the sets of other groups without an element in common with `before`, what precedes the list's element in a set of `n`.
+
+        The tree holds the same of the members, so the list's element is the first that the two share.
+        """
+        stack = [(self.root, 0, 0)]
+        while stack:
+            node, depth, place = stack.pop()
+            if not node.mixed and node.group == group:
+                continue
+            if len(node.run):
+                if member(node.run, before).any():
+                    continue
+                depth += len(node.run)
+                place = int(np.searchsorted(before, node.run[-1], side="right"))
+            length = min(max(depth + n - place, node.least), node.most)
+            if not similar(min(length - depth, n - place), length, n):
+                continue
+            for key, size, own in node.entries:
+                if own != group and similar(min(size - depth, n - len(before)), size, n):
+                    yield key, own
+            stack.extend((child, depth, place) for child in node.children.values())
+
+
+def shortened(items: np.ndarray) -> np.ndarray:
+    """How many elements of a set begin with each pattern of bits, in half a byte each; there are about as many patterns as elements."""
+    bits = max(4, int(len(items) - 1).bit_length())
+    while True:
+        counts = np.bincount((items >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+        if counts.max(initial=0) < 16:
+            return (counts[0::2] << 4 | counts[1::2]).astype(np.uint8)
+        bits += 1
+
+
+def counted(short: np.ndarray) -> np.ndarray:
+    """The numbers of a shortened set, unpacked."""
+    out = np.empty(2 * len(short), np.uint8)
+    out[0::2], out[1::2] = short >> 4, short & 15
+    return out
+
+
+def most_common(a: np.ndarray, b: np.ndarray) -> int:
+    """No less than the number of common elements, from the numbers of both: in each pattern the smaller one at most."""
+    if len(a) < len(b):
+        a, b = b, a
+    if len(a) > len(b):
+        a = a.reshape(len(b), -1).sum(axis=1)
+    return int(np.minimum(a, b).sum())
+
 
 def _trim(hashes: np.ndarray, counts: np.ndarray, entries: int) -> tuple[np.ndarray, np.ndarray]:
     if len(hashes) <= entries:
@@ -181,10 +243,23 @@ def digest(items: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(items.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+#: Elements that come last have the highest bit, the others haven't; so the order of numbers is the global order.
+LATE = np.uint64(1 << 63)
+
+
+def ordered(items: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """A set's elements as numbers in the global order."""
+    late = member(items, frequent)
+    codes = items >> np.uint64(1)
+    return np.concatenate((codes[~late], codes[late] | LATE))
+
+
 def signatures(df: DataFrame, frequent: np.ndarray, key: str, text: str, width: int = WIDTH) -> DataFrame:
-    """Rows (key, n, sid, prefix, rare): size and digest of each text's set, and its prefix, of which the first `rare` aren't frequent.
+    """Rows (key, n, sid, prefix, rare, short): size and digest of each text's set, and its prefix, of which the first `rare` aren't frequent.
 
-    A task gives the prefix of equal sets once. A text without words has a null sid.
+    `short` has the upper halves of the prefix's numbers. Equal elements have equal halves,
+    so counts of common ones are never too small. A task gives the prefix of equal
+    sets once. A text without words has a null sid.
     """
     shared = df.sparkSession.sparkContext.broadcast(frequent)
 
@@ -204,40 +279,65 @@ def signatures(df: DataFrame, frequent: np.ndarray, key: str, text: str, width:
                         rare.append(0)
                         continue
                     seen.add(sid[-1])
-                    late = member(own, shared.value)
-                    p = prefix_length(len(own))
-                    first = own[~late][:p]
-                    prefix.append(first if len(first) == p else np.concatenate((first, own[late][: p - len(first)])))
-                    rare.append(len(first))
+                    first = ordered(own, shared.value)[: prefix_length(len(own))]
+                    prefix.append(first)
+                    rare.append(int(np.count_nonzero(first < LATE)))
                 ends = np.concatenate(([0], np.cumsum([len(x) for x in prefix]))).astype(np.int32)
                 flat = np.concatenate([np.zeros(0, np.uint64), *prefix]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch[key], pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(rare, pa.int32())], names=["key", "n", "sid", "prefix", "rare"])
+                yield pa.RecordBatch.from_arrays([batch[key], pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(rare, pa.int32()), pa.array([(x >> np.uint64(32)).astype(np.uint32).tobytes() for x in prefix], pa.binary())], names=["key", "n", "sid", "prefix", "rare", "short"])
+
+    return df.select(key, text).mapInArrow(run, f"key {df.schema[key].dataType.simpleString()}, n long, sid long, prefix array<long>, rare int, short binary")
+
+
+def may_start(n: str, i: str, other_n: str, other_i: str) -> Column:
+    """Whether two sets can be similar if their first common element is the i-th of one and the other_i-th of the other: what is left of either must reach the threshold."""
+    need = 3 * (F.col(n) + F.col(other_n))
+    return (7 * (F.col(n) - F.col(i)) >= need) & (7 * (F.col(other_n) - F.col(other_i)) >= need)
+
+
+def with_limits(tables: Tables, lists: DataFrame) -> DataFrame:
+    """The lists with `most` and `leader_most`: the largest set that either can be similar to, if its own prefix ends first.
 
-    return df.select(key, text).mapInArrow(run, f"key {df.schema[key].dataType.simpleString()}, n long, sid long, prefix array<long>, rare int")
+    Of two similar sets, the prefix that ends first has all but n - threshold of its elements
+    in the other's prefix too. So a set with `s` elements in lists, of `p` in its prefix, has
+    only partners of a size for which s >= p - n + 3 (n + size) / 7.
+    """
+    each = lists.select("token", "sid", "n").union(lists.select("token", F.col("leader").alias("sid"), F.col("leader_n").alias("n"))).distinct()
+    p = F.col("n") - F.floor((3 * F.col("n") + 3) / 4) + 1
+    most = F.floor((7 * (F.col("s") + F.col("n") - p) - 3 * F.col("n")) / 3).cast("int")
+    limits = tables.write(each.groupBy("sid", "n").agg(F.count(F.lit(1)).alias("s")).select("sid", most.alias("most")), "limits")
+    known = sized(limits)
+    out = lists.join(known, "sid").join(known.select(F.col("sid").alias("leader"), F.col("most").alias("leader_most")), "leader")
+    return tables.write(out.select("token", "leader", "leader_n", "leader_i", "leader_most", "sid", "n", "i", "most"), "lists")
 
 
 def star_lists(tables: Tables, found: DataFrame) -> DataFrame:
-    """Rows (token, leader, leader_n, sid, n): every set in the list of a prefix element, beside a smaller one that leads it."""
-    all_ = found.where("sid IS NOT NULL").select("sid", "n", "rare", F.posexplode("prefix").alias("at", "token"))
-    part = F.when(F.col("at") >= F.col("rare"), F.pmod("sid", F.lit(PARTS)) + 1).otherwise(F.lit(0)).cast("int")
-    all_ = all_.select("token", part.alias("part"), "sid", F.col("n").cast("int").alias("n"))
-    lead = F.first(F.struct("sid", "n")).over(W.partitionBy("token", "part").orderBy("sid").rowsBetween(W.unboundedPreceding, W.currentRow))
+    """Rows (token, leader, leader_n, leader_i, sid, n, i): every set in the list of a prefix element, with its place there, beside a smaller one that leads it."""
+    all_ = found.where("sid IS NOT NULL").select("sid", "n", "rare", F.posexplode("prefix").alias("i", "token"))
+    part = F.when(F.col("i") >= F.col("rare"), F.pmod("sid", F.lit(PARTS)) + 1).otherwise(F.lit(0)).cast("int")
+    all_ = all_.select("token", part.alias("part"), "sid", F.col("n").cast("int").alias("n"), "i")
+    lead = F.first(F.struct("sid", "n", "i")).over(W.partitionBy("token", "part").orderBy("sid").rowsBetween(W.unboundedPreceding, W.currentRow))
     small = all_.withColumn("lead", lead).where("sid <> lead.sid")
-    tops = all_.where("part > 0").groupBy("token", "part").agg(F.min(F.struct("sid", "n")).alias("top"))
+    tops = all_.where("part > 0").groupBy("token", "part").agg(F.min(F.struct("sid", "n", "i")).alias("top"))
     top = F.first("top").over(W.partitionBy("token").orderBy("top.sid").rowsBetween(W.unboundedPreceding, W.currentRow))
-    large = tops.withColumn("lead", top).where("top.sid <> lead.sid").select("token", "lead", F.col("top.sid").alias("sid"), F.col("top.n").alias("n"))
-    out = small.select("token", "lead", "sid", "n").union(large)
-    return tables.write(out.select("token", F.col("lead.sid").alias("leader"), F.col("lead.n").alias("leader_n"), "sid", "n").distinct(), "lists")
+    large = tops.withColumn("lead", top).where("top.sid <> lead.sid").select("token", "lead", F.col("top.sid").alias("sid"), F.col("top.n").alias("n"), F.col("top.i").alias("i"))
+    out = small.select("token", "lead", "sid", "n", "i").union(large)
+    return tables.write(out.select("token", F.col("lead.sid").alias("leader"), F.col("lead.n").alias("leader_n"), F.col("lead.i").alias("leader_i"), "sid", "n", "i").distinct(), "lists")
 
 
-def fetch_sets(tables: Tables, df: DataFrame, found: DataFrame, wanted: DataFrame, key: str, text: str, width: int = WIDTH) -> DataFrame:
-    """Rows (sid, items) with the whole sets of the wanted sids, from one row each where keys are unique."""
-    wanted = tables.write(wanted, "wanted")
-    n = wanted.count()
+def _rows_with(tables: Tables, df: DataFrame, found: DataFrame, wanted: DataFrame, key: str, text: str, most: int | None) -> tuple[DataFrame, DataFrame]:
+    """The wanted sids, and texts that have their sets, from one row each where keys are unique; some rows may have other sets."""
+    wanted = tables.write(wanted, "wanted", most)
+    n = rows_of(wanted)
     keys = found.where("sid IS NOT NULL").join(sized(wanted, n), "sid", "left_semi").groupBy("sid").agg(F.min("key").alias("key"))
-    keys = tables.write(keys.where("key IS NOT NULL").select(F.col("key").alias(key)), "keys")
+    keys = tables.write(keys.where("key IS NOT NULL").select(F.col("key").alias(key)), "keys", n)
     rows = df.select(key, text)
-    rows = rows.join(sized(keys, n), key, "left_semi").unionByName(rows.where(F.col(key).isNull()))
+    return sized(wanted, n), rows.join(sized(keys, n), key, "left_semi").unionByName(rows.where(F.col(key).isNull()))
+
+
+def fetch_sets(tables: Tables, df: DataFrame, found: DataFrame, wanted: DataFrame, key: str, text: str, width: int = WIDTH, most: int | None = None) -> DataFrame:
+    """Rows (sid, items) with the whole sets of the wanted sids."""
+    wanted, rows = _rows_with(tables, df, found, wanted, key, text, most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -245,66 +345,179 @@ def fetch_sets(tables: Tables, df: DataFrame, found: DataFrame, wanted: DataFram
                 own = [x for x in shingle_sets(whole[text].slice(i, j - i), width) if len(x)]
                 yield pa.RecordBatch.from_arrays([pa.array([digest(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], names=["sid", "items"])
 
-    return tables.write(rows.mapInArrow(run, "sid long, items binary").join(sized(wanted, n), "sid", "left_semi"), "sets")
+    return tables.write(rows.mapInArrow(run, "sid long, items binary").join(wanted, "sid", "left_semi"), "sets")
+
+
+def fetch_profiles(tables: Tables, df: DataFrame, found: DataFrame, wanted: DataFrame, frequent: np.ndarray, key: str, text: str, width: int = WIDTH, most: int | None = None) -> DataFrame:
+    """Rows (sid, n, prefix, short): the wanted sets' sizes, their prefixes in the global order, and the shortened whole sets."""
+    wanted, rows = _rows_with(tables, df, found, wanted, key, text, most)
+    shared = df.sparkSession.sparkContext.broadcast(frequent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i, j in chunks(text_buffer(whole[text])[1], 1 << 22):
+                own = [x for x in shingle_sets(whole[text].slice(i, j - i), width) if len(x)]
+                prefix = [ordered(x, shared.value)[: prefix_length(len(x))].tobytes() for x in own]
+                yield pa.RecordBatch.from_arrays([pa.array([digest(x) for x in own], pa.int64()), pa.array([len(x) for x in own], pa.int32()), pa.array(prefix, pa.binary()), pa.array([shortened(x).tobytes() for x in own], pa.binary())], names=["sid", "n", "prefix", "short"])
+
+    return tables.write(rows.mapInArrow(run, "sid long, n int, prefix binary, short binary").join(wanted, "sid", "left_semi").dropDuplicates(["sid"]), "profiles")
+
+
+def _prefixes(tables: Tables, found: DataFrame, wanted: DataFrame, most: int) -> DataFrame:
+    """Rows (sid, n, short), one for each wanted sid."""
+    rows = found.where("octet_length(short) > 0").join(sized(tables.write(wanted.distinct(), "wanted", most)), "sid", "left_semi")
+    return tables.write(rows.select("sid", F.col("n").cast("int").alias("n"), "short").dropDuplicates(["sid"]), "prefixes")
 
 
-def tree_links(groups: DataFrame) -> DataFrame:
-    """Rows (a, b) of similar sets: in every (tree, part) the probes (kind 1) against the tree of the members (kind 0).
+def _pair_share(a: int, b: int) -> float:
+    return int.from_bytes(hashlib.blake2b(b"%d %d" % (min(a, b), max(a, b)), digest_size=8).digest(), "little") / 2.0**64
 
-    Rows come in sorted, so a task holds one tree at a time. Sets of one component
-    (`comp`) aren't compared, and one link joins a probe to a component.
+
+def leader_candidates(groups: DataFrame) -> DataFrame:
+    """Rows (a, b) of leaders and sets that may be similar: in every (tree, part) the probe (kind 1) against the tree of the members (kind 0).
+
+    Rows come in sorted, so a task holds one tree at a time.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, tree = None, None
         for batch in batches:
-            a, b = [], []
-            names = ["tree", "part", "kind", "sid", "comp"]
-            for i, (t, part, kind, sid, comp) in enumerate(zip(*(batch[c].to_pylist() for c in names))):
+            a: list[int] = []
+            b: list[int] = []
+            for i, (t, part, kind, sid, n) in enumerate(zip(*(batch[c].to_pylist() for c in ("tree", "part", "kind", "sid", "n")))):
                 if (t, part) != now:
                     now, tree = (t, part), PrefixTree()
-                items = np.frombuffer(batch["items"][i].as_buffer(), np.uint64)
+                items = np.frombuffer(batch["short"][i].as_buffer(), np.uint32)
                 if kind == 0:
-                    tree.insert(items.copy(), sid, comp)
-                else:
-                    for other, _ in tree.search(items, comp, once=True):
+                    tree.insert(items.copy(), n, sid)
+                    continue
+                found = [other for other, _ in tree.search(items, n)]
+                a += [sid] * len(found)
+                b += found
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    dealt = groups.repartition("tree", "part").sortWithinPartitions("tree", "part", "kind", "sid")
+    return dealt.select("tree", "part", "kind", "sid", "n", "short").mapInArrow(run, "a long, b long")
+
+
+def list_candidates(groups: DataFrame, share: float) -> DataFrame:
+    """Rows (a, b) of sets that may be similar and whose first common element is that of the list: probes (kind 1) against the tree of the members (kind 0).
+
+    Sets of one component (`comp`) aren't compared. Of more than FEW candidates in a
+    component only the given share is returned, and a row (a, null) for the others.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, tree, sets = None, None, {}
+        for batch in batches:
+            a: list[int] = []
+            b: list[int | None] = []
+            for i, (t, part, kind, sid, n, comp) in enumerate(zip(*(batch[c].to_pylist() for c in ("tree", "part", "kind", "sid", "n", "comp")))):
+                if (t, part) != now:
+                    now, tree, sets = (t, part), PrefixTree(), {}
+                before = np.frombuffer(batch["before"][i].as_buffer(), np.uint64)
+                short = counted(np.frombuffer(batch["short"][i].as_buffer(), np.uint8))
+                if kind == 0:
+                    tree.insert(before.copy(), n, sid, comp)
+                    sets[sid] = (n, short)
+                    continue
+                by: dict[int, list[int]] = {}
+                for other, own in tree.search_first(before, n, comp):
+                    size, theirs = sets[other]
+                    if similar(most_common(short, theirs), n, size):
+                        by.setdefault(own, []).append(other)
+                for found in by.values():
+                    some = found if len(found) <= FEW or share >= 1 else [x for x in found if _pair_share(sid, x) < share]
+                    a += [sid] * len(some)
+                    b += some
+                    if len(some) < len(found):
                         a.append(sid)
-                        b.append(other)
+                        b.append(None)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     dealt = groups.repartition("tree", "part").sortWithinPartitions("tree", "part", "kind", "sid")
-    return dealt.select("tree", "part", "kind", "sid", "comp", "items").mapInArrow(run, "a long, b long")
+    return dealt.select("tree", "part", "kind", "sid", "n", "comp", "before", "short").mapInArrow(run, "a long, b long")
 
 
-def _leader_links(tables: Tables, lists: DataFrame, sets: DataFrame) -> DataFrame:
-    pairs = tables.write(lists.where("100 * least(leader_n, n) >= 75 * greatest(leader_n, n)").select("leader", "sid").distinct(), "pairs")
-    sizes = tables.write(pairs.groupBy("leader").agg((F.count(F.lit(1)) / TREE_SETS + 1).cast("int").alias("parts")), "sizes")
-    pairs = tables.write(pairs.join(sized(sizes), "leader").select("leader", "sid", F.pmod(F.xxhash64("sid"), F.col("parts")).alias("part")), "dealt")
-    members = sets.join(sized(pairs), "sid").select(F.col("leader").alias("tree"), "part", F.lit(0).alias("kind"), "sid", F.col("sid").alias("comp"), "items")
-    probes = pairs.select(F.col("leader").alias("sid"), "part").distinct()
-    probes = sets.join(sized(tables.write(probes, "probes")), "sid").select(F.col("sid").alias("tree"), "part", F.lit(1).alias("kind"), "sid", F.col("sid").alias("comp"), "items")
-    return tables.write(tree_links(members.union(probes)), "links")
+def _dealt(tables: Tables, pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b) with a part of a's pairs, of some TREE_SETS each, so that one set with many partners isn't one task's work."""
+    n = rows_of(pairs)
+    sizes = tables.write(pairs.groupBy("a").agg((F.count(F.lit(1)) / TREE_SETS + 1).cast("int").alias("parts")), "sizes", n)
+    return tables.write(pairs.join(sized(sizes), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part")), "dealt", n)
 
 
-def _open_lists(tables: Tables, lists: DataFrame, comps: DataFrame) -> DataFrame:
-    """Rows (token, sid, comp, m): the members of lists with several components and pairs that no leader was in, each list once."""
-    members = lists.select("token", "sid").union(lists.select("token", F.col("leader").alias("sid"))).distinct()
-    members = members.join(sized(comps), members.sid == comps.node, "left").select("token", "sid", F.coalesce("root", "sid").alias("comp"))
-    members = tables.write(members, "members")
-    open_ = members.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bit_xor(F.xxhash64("sid")).alias("x"), F.bit_xor(F.xxhash64("sid", F.lit(1))).alias("y")).where("m > 2 AND lo <> hi")
-    open_ = tables.write(open_.groupBy("m", "x", "y").agg(F.min("token").alias("token")).select("token", "m"), "open")
-    return tables.write(members.join(sized(open_), "token"), "open_members")
+def verified(tables: Tables, df: DataFrame, found: DataFrame, pairs: DataFrame, key: str, text: str, width: int = WIDTH) -> DataFrame:
+    """Those of the written pairs (a, b) that are similar as whole sets."""
+    pairs = _dealt(tables, pairs)
+    sets = fetch_sets(tables, df, found, pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct(), key, text, width, 2 * rows_of(pairs))
+    left = pairs.select("a", "part").distinct()
+    one = sets.join(sized(tables.write(left, "left", rows_of(pairs))), sets.sid == F.col("a")).select("a", "part", F.lit(0).alias("kind"), "sid", "items")
+    two = sets.join(sized(pairs), sets.sid == F.col("b")).select("a", "part", F.lit(1).alias("kind"), "sid", "items")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, own = None, None
+        for batch in batches:
+            a, b = [], []
+            for i, (t, kind, sid) in enumerate(zip(*(batch[c].to_pylist() for c in ("a", "kind", "sid")))):
+                items = np.frombuffer(batch["items"][i].as_buffer(), np.uint64)
+                if kind == 0:
+                    now, own = t, items.copy()
+                elif similar(int(np.count_nonzero(member(items, own))), len(items), len(own)):
+                    a.append(now)
+                    b.append(sid)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    dealt = one.union(two).repartition("a", "part").sortWithinPartitions("a", "part", "kind")
+    return tables.write(dealt.select("a", "kind", "sid", "items").mapInArrow(run, "a long, b long"), "links")
+
+
+def _leader_candidates(tables: Tables, lists: DataFrame, found: DataFrame) -> DataFrame:
+    near = may_start("leader_n", "leader_i", "n", "i") & ((F.col("n") <= F.col("leader_most")) | (F.col("leader_n") <= F.col("most")))
+    pairs = lists.where(near).select(F.col("leader").alias("a"), F.col("sid").alias("b")).distinct()
+    pairs = _dealt(tables, tables.write(pairs, "pairs"))
+    prefixes = _prefixes(tables, found, pairs.select(F.col("a").alias("sid")).union(pairs.select("b")), 2 * rows_of(pairs))
+    members = prefixes.join(sized(pairs), prefixes.sid == F.col("b")).select(F.col("a").alias("tree"), "part", F.lit(0).alias("kind"), "sid", "n", "short")
+    left = tables.write(pairs.select("a", "part").distinct(), "left", rows_of(pairs))
+    probes = prefixes.join(sized(left), prefixes.sid == F.col("a")).select(F.col("a").alias("tree"), "part", F.lit(1).alias("kind"), "sid", "n", "short")
+    return tables.write(leader_candidates(members.union(probes)).distinct(), "candidates")
 
 
-def _list_links(tables: Tables, members: DataFrame, sets: DataFrame) -> DataFrame:
+def _open_lists(tables: Tables, lists: DataFrame, comps: DataFrame) -> DataFrame:
+    """Rows (token, sid, i, comp, m): the members of lists with several components and pairs that no leader was in, each list once.
+
+    Of lists with the same members the one of the first element stands for all, for there
+    the places are the smallest. A member stays only if the list has a partner for it by
+    sizes, places (`may_start`) and limits (`with_limits`). Partners lie within a ratio of
+    sizes, so in a frame of fixed width over their logarithms.
+    """
+    members = lists.select("token", "sid", "n", "i", "most").union(lists.select("token", F.col("leader").alias("sid"), F.col("leader_n").alias("n"), F.col("leader_i").alias("i"), F.col("leader_most").alias("most"))).distinct()
+    members = members.join(sized(comps), members.sid == comps.node, "left").select("token", "sid", "n", "i", "most", F.coalesce("root", "sid").alias("comp"))
+    open_ = members.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bit_xor(F.xxhash64("sid")).alias("x"), F.bit_xor(F.xxhash64("sid", F.lit(1))).alias("y")).where("m > 2 AND lo <> hi")
+    open_ = tables.write(open_.groupBy("m", "x", "y").agg(F.min(F.struct(F.col("token") < 0, "token")).alias("first")).select("first.token"), "open")
+    members = members.join(sized(open_), "token", "left_semi").withColumn("reach", 4 * F.col("n") - 7 * F.col("i")).withColumn("size", F.floor(F.log("n") * 1e6))
+    around = W.partitionBy("token").orderBy("size")
+    low, both = around.rangeBetween(-RATIO, 0), around.rangeBetween(-RATIO, RATIO)
+    partner = F.when(F.col("most") >= F.col("n"), F.count(F.lit(1)).over(both) > 1).otherwise((F.min("n").over(low) <= F.col("most")) | (F.max("most").over(both) >= F.col("n")))
+    by_size = W.partitionBy("token").orderBy("size", "sid")
+    smaller = F.max("reach").over(by_size.rowsBetween(W.unboundedPreceding, -1)) >= 3 * F.col("n")
+    larger = 3 * F.lead("n").over(by_size) <= F.col("reach")
+    members = members.withColumn("near", partner & (F.coalesce(smaller, F.lit(False)) | F.coalesce(larger, F.lit(False))))
+    members = tables.write(members.where("near").select("token", "sid", "i", "comp"), "members")
+    sizes = members.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token", "m")
+    return tables.write(members.join(sized(tables.write(sizes, "sizes", rows_of(members))), "token"), "open_members", rows_of(members))
+
+
+def _list_candidates(tables: Tables, members: DataFrame, profiles: DataFrame, share: float) -> DataFrame:
     per = members.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"))
-    base = tables.write(per.groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("base")), "base")
+    base = tables.write(per.groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("base")), "base", rows_of(members))
     rows = members.join(sized(base), "token").withColumn("parts", (F.col("m") / TREE_SETS + 1).cast("int"))
-    rows = tables.write(rows, "placed")
-    inside = rows.select("token", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("kind"), "sid", "comp")
-    outside = rows.where("comp <> base").select("token", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("kind"), "sid", "comp")
-    groups = tables.write(inside.union(outside), "trees")
-    return tables.write(tree_links(sets.join(sized(groups), "sid").select(F.col("token").alias("tree"), "part", "kind", "sid", "comp", "items")), "more_links")
+    inside = rows.select("token", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("kind"), "sid", "i", "comp")
+    outside = rows.where("comp <> base").select("token", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("kind"), "sid", "i", "comp")
+    groups = tables.write(inside.union(outside), "trees", 2 * rows_of(members))
+    before = F.substring("prefix", F.lit(1), 8 * F.col("i"))
+    trees = profiles.join(sized(groups), "sid").select(F.col("token").alias("tree"), "part", "kind", "sid", "n", "comp", before.alias("before"), "short")
+    both = list_candidates(trees, share)
+    return tables.write(both.select(F.least("a", F.coalesce("b", "a")).alias("a"), F.when(F.col("b").isNotNull(), F.greatest("a", "b")).alias("b")).distinct(), "candidates")
 
 
 def join(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, tables: Tables | None = None) -> DataFrame:
@@ -316,19 +529,26 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WI
     copies of each other.
     """
     tables = tables or Tables(df.sparkSession)
-    found = tables.write(signatures(df, frequent_shingles(df, text, width), key, text, width), "signatures")
-    lists = star_lists(tables, found)
-    wanted = lists.where("100 * least(leader_n, n) >= 75 * greatest(leader_n, n)")
-    sets = fetch_sets(tables, df, found, wanted.select("sid").union(wanted.select("leader")).distinct(), key, text, width)
-    links = _leader_links(tables, lists, sets)
+    frequent = frequent_shingles(df, text, width)
+    found = tables.write(signatures(df, frequent, key, text, width), "signatures")
+    lists = with_limits(tables, star_lists(tables, found))
+    links = verified(tables, df, found, _leader_candidates(tables, lists, found), key, text, width)
     comps = components(tables, links)
-    members = _open_lists(tables, lists, comps)
-    if members.count():
-        more = members.select("sid").distinct().join(sets.select("sid").distinct(), "sid", "left_anti")
-        more = fetch_sets(tables, df, found, more, key, text, width)
-        more = _list_links(tables, members, sets.unionByName(more))
-        if more.count():
-            comps = components(tables, links.unionByName(more))
+    profiles = None
+    for share in SHARES:
+        members = _open_lists(tables, lists, comps)
+        if not rows_of(members):
+            break
+        if profiles is None:  # components only grow, so later lists have no other members
+            profiles = fetch_profiles(tables, df, found, members.select("sid").distinct(), frequent, key, text, width, rows_of(members))
+        candidates = _list_candidates(tables, members, profiles, share)
+        more = tables.write(candidates.where("b IS NOT NULL"), "more", rows_of(candidates))
+        if rows_of(more):
+            new = verified(tables, df, found, more, key, text, width)
+            links = tables.write(links.unionByName(new), "links", rows_of(links) + rows_of(new))
+            comps = components(tables, links)
+        if rows_of(more) == rows_of(candidates):
+            break
     rows = found.join(sized(comps), found.sid == comps.node, "left").select("key", "n", F.coalesce("root", "sid").alias("group"))
     rows = tables.write(rows, "rows")
     named = tables.write(rows.where("`group` IS NOT NULL").groupBy("group").agg(F.min("key").alias("component"), F.count(F.lit(1)).alias("size")).where("size > 1").select("group", "component"), "named")

@@ -67,7 +67,33 @@ QUERIES = {
     for f in (op1_warc, op2_toxicity, op3_wrappers, op4_prefix_join, op5_media_columns, op6_token_counts, op7_url_filters, op8_decontaminate, op9_byte_bpe, op10_quotations)
 }
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLES = {
+    "op4_prefix_join": rf"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM d WHERE len(ws) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+        l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+        e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        r(node, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node),
+        c AS (SELECT node AS doc_id, min(root) AS component_id FROM r GROUP BY node)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM c LEFT JOIN n USING (doc_id)
+    """,
+    "op8_decontaminate": rf"""
+        WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+        q AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+        v AS (SELECT DISTINCT item_id, w, array_to_string(ws[i:i + w - 1], ' ') AS k FROM (SELECT item_id, ws, least(13, len(ws)) AS w, unnest(range(1, len(ws) - least(13, len(ws)) + 2)) AS i FROM q WHERE len(ws) > 0)),
+        g AS (SELECT DISTINCT w FROM v),
+        k AS (SELECT doc_id, i, w, array_to_string(ws[i:i + w - 1], ' ') AS k FROM (SELECT doc_id, ws, w, unnest(range(1, len(ws) - w + 2)) AS i FROM d, g WHERE len(ws) >= w)),
+        h AS (SELECT doc_id, i, w, item_id FROM k JOIN v USING (w, k)),
+        p AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + w)) AS at FROM h) GROUP BY doc_id),
+        t AS (SELECT doc_id, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS name FROM h) GROUP BY doc_id)
+        SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AND 20 * n_hit >= len(ws) AS contaminated
+        FROM d LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id)
+    """,
     "op1_warc": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS raw FROM pages),
         d AS (SELECT page_id, octet_length(raw) AS n, sha256(raw) AS digest FROM p),

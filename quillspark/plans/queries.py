@@ -91,9 +91,9 @@ def text_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def normalise_speech(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C12 to C14, with numbers spelt."""
+    """C12 to C14, with numbers spelt, on whole texts with capitals and a title put in."""
     d = table(spark, sf_dir, "documents")
-    x = F.concat(F.upper(F.substring("text", 1, 60)), F.lit("... Mr.Vane had "), F.col("doc_id").cast("string"), F.lit(" — "), F.substring("text", 61, 400))
+    x = F.concat(F.upper(F.substring("text", 1, 60)), F.lit("... Mr.Vane had "), F.col("doc_id").cast("string"), F.lit(" — "), F.col("text").substr(F.lit(61), F.length("text")))
     return d.select("doc_id", speech.normalise_for_synthesis(x, numbers=True).alias("text"))
 
 

@@ -1,5 +1,7 @@
 """Cleaning, speech forms, segmentation."""
 
+import re
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import speech, text
 from quillspark.operators import segment
+from quillspark.plans import queries
 
 
 def one(spark, f, *values):
@@ -44,6 +47,22 @@ def test_speech(spark):
     assert speech.spell(0) == "zero" and speech.spell(1_000_001) == "one million and one" and speech.spell(123_456) == "one hundred and twenty-three thousand, four hundred and fifty-six"
 
 
+def test_normalise_speech_reads_whole_texts(spark, tmp_path):
+    texts = {21: "NASA met Dr.Who in 1999. " * 500 + "The END of it... 12 *miles* on", 7: "short", 1900: "é" * 60 + "x — y", 3: ""}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    words = {"21": "twenty-one", "7": "seven", "1900": "nineteen hundred", "3": "three", "1999": "nineteen ninety-nine", "12": "twelve"}
+
+    def plain(doc_id, x):
+        x = f"{x[:60].upper()}... Mr.Vane had {doc_id} — {x[60:]}"
+        x = re.sub("[—–]", " - ", re.sub(r"\.{3,}", ", ", x)).replace("Mr.V", "MisterV").replace("Dr.W", "DoctorW")
+        x = re.sub(r"\b\d+\b", lambda m: words[m[0]], x)
+        x = re.sub(r"\b[A-Z]{4,}\b", lambda m: m[0] if m[0] in speech.ACRONYMS else m[0].title(), x)
+        return " ".join(re.sub("[*_#~]", "", x).split())
+
+    got = {r.doc_id: r.text for r in queries.QUERIES["normalise_speech"](spark, str(tmp_path)).collect()}
+    assert got == {i: plain(i, x) for i, x in texts.items()} and got[21].endswith("END of it, twelve miles on")
+
+
 SPANS = {
     '"Hello," said Harry.': ([("dialogue", '"Hello,"'), ("narration", " said Harry.")], False),
     '"I didn\'t do it," and Ron said, "Me neither."': ([("dialogue", '"I didn\'t do it,"'), ("narration", " and Ron said, "), ("dialogue", '"Me neither."')], False),

@@ -2,8 +2,9 @@
 
 The pages of a host are aligned by simple tree matching into one tree, the wrapper.
 Text that stays the same wherever its node occurs is template; text that varies is
-content. Elements that by their name or class are menus, adverts and the like are
-left out in any case, and where a page marks its article, only what is in it counts.
+content. Menus, adverts and comments vary from page to page as articles do, so the
+template can't tell them: elements that by a fixed list of tags, classes, ids and roles
+are such are left out in any case, and where a page marks its article, only what is in it counts.
 
 Wrappers are merged like sums: each task merges the pages it reads, then wrappers of
 the same host are merged, first in parts, so that neither pages nor the wrappers of a
@@ -38,11 +39,13 @@ PARTS = 32
 #: Wrappers of all hosts are broadcast up to so many bytes, else joined by host.
 BROADCAST_BYTES = 32 << 20
 
-# fixed values: elements and words in classes that mark what isn't the main text
+# fixed values: elements, and whole classes, ids and roles, that mark what isn't the main text; those of WHOLE are judged by their tag alone
 OTHER = frozenset("head nav footer aside form script style noscript template iframe object svg button select textarea title noembed noframes dialog menu".split())
 MAIN = frozenset("article main".split())
-_WORDS = "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer menu modal nav navbar navigation newsletter notice notices popup promo promotion related reply replies share sharing sidebar social sponsor sponsored subscribe toolbar widget"
-_MARKS = re.compile(rf"(?:^|[^a-z0-9])(?:{'|'.join(_WORDS.split())})(?:$|[^a-z])|role:(?:banner|navigation|contentinfo|complementary|search|dialog|alert)")
+WHOLE = MAIN | {"html", "body"}
+_WORDS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer menu modal nav navbar navigation newsletter notice notices popup promo promotion related reply replies share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
+_ROLES = frozenset("banner navigation contentinfo complementary search dialog alert".split())
+_KIND = re.compile(r"^(class|id|role):")
 
 VARIES = -1
 
@@ -51,7 +54,19 @@ SIGN, TEXT, PAGES, KIDS, MEMBERS = range(5)
 
 
 def is_other(x: Element) -> bool:
-    return x.tag in OTHER or bool(x.names and _MARKS.search(x.names))
+    return x.tag in OTHER or bool(x.names and x.tag not in WHOLE and is_marked(x.names))
+
+
+def is_marked(names: str) -> bool:
+    """Whether a class or id as a whole is one of the words, or a role one of the roles."""
+    kind = ""
+    for name in names.split():
+        found = _KIND.match(name)
+        if found:
+            kind, name = found[1], name[found.end() :]
+        if name in (_ROLES if kind == "role" else _WORDS):
+            return True
+    return False
 
 
 def collapsed(members: list[Element]) -> list:

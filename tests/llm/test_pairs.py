@@ -173,6 +173,13 @@ def test_main_text_of_articles():
     assert wrappers.main_text(deep) == "core"
 
 
+def test_classes_are_whole_and_never_judge_the_page_or_its_article():
+    for x in ('<body class="no-sidebar {}"><p>text</p></body>', '<article class="post has-comments {}">text</article>', '<main id="{}" role="banner">text</main>', '<html class="{}"><body id={}>text', '<div class="post-comments">text</div>', '<div id="share-price">text</div>'):
+        assert wrappers.main_text(x.replace("{}", "modal" if "div" not in x else "")) == "text", x
+    for x in ('class="box ad"', 'id="sidebar"', 'class=x role="navigation"', 'id="comments" class="y"'):
+        assert wrappers.main_text(f"<body><div {x}>menu</div><p>text</p></body>") == "text", x
+
+
 def test_wrapper_finds_constant_nodes_of_a_host(shared):
     rows = [(i, f"http://Host.example/{i}", FRAME.replace("{i}", str(i)).replace("{main}", f"<div><h2>About {i}</h2><p>Text {i}</p><p>More {i * i}</p></div>")) for i in range(12)]
     rows += [(100, "http://other.example/", "<div class='intro'>Welcome to our site</div><p>Only page</p>"), (101, None, None), (102, "no host", "<p>x &amp; y</p>")]

@@ -21,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .html_tree import Element, blocks, parse
@@ -31,8 +32,6 @@ from .words import chunks, text_buffer
 #: Text is template only if it is the same in so many pages, and in so large a share of the host's pages.
 LEAST_PAGES = 8
 LEAST_SHARE = 0.5
-#: A wrapper keeps at most so many nodes, those in most pages; what it doesn't know is content.
-WRAPPER_NODES = 2000
 #: Wrappers a task holds before it passes them on; parts in which those of a host are merged first.
 TASK_WRAPPERS = 10_000
 PARTS = 32
@@ -49,7 +48,7 @@ _KIND = re.compile(r"^(class|id|role):")
 
 VARIES = -1
 
-# A node of a wrapper: signature, digest of its own text (None: none, VARIES), pages, children, page elements (or None).
+# A node of a wrapper: signature, digest of its own text (None: none, VARIES), pages, children, page elements (in a wrapper: True if varying text below was cut, or None).
 SIGN, TEXT, PAGES, KIDS, MEMBERS = range(5)
 
 
@@ -129,7 +128,7 @@ def aligned(x: list, y: list) -> Iterator[tuple[list | None, list | None]]:
 def merged(a: list, b: list) -> list:
     """One wrapper for the pages of both."""
     kids = [merged(p, q) if p and q else (p or q) for p, q in aligned(a[KIDS], b[KIDS])]
-    return [a[SIGN], a[TEXT] if a[TEXT] == b[TEXT] else VARIES, a[PAGES] + b[PAGES], kids, None]
+    return [a[SIGN], a[TEXT] if a[TEXT] == b[TEXT] else VARIES, a[PAGES] + b[PAGES], kids, a[MEMBERS] or b[MEMBERS]]
 
 
 def bare(node: list) -> list:
@@ -142,8 +141,11 @@ def nodes(node: list) -> Iterator[list]:
         yield from nodes(k)
 
 
-def bounded(wrapper: list, limit: int = WRAPPER_NODES) -> list:
-    """Without the rarest nodes if there are too many. Children are in no more pages than their parents."""
+def bounded(wrapper: list, limit: int) -> list:
+    """Without the rarest nodes if there are too many. Children are in no more pages than their parents.
+
+    This loses nodes that may still turn out to be template, so `induce` doesn't use it.
+    """
     counts = sorted((n[PAGES] for n in nodes(wrapper)), reverse=True)
     if len(counts) <= limit:
         return wrapper
@@ -155,6 +157,33 @@ def bounded(wrapper: list, limit: int = WRAPPER_NODES) -> list:
     return cut(wrapper)
 
 
+def least_pages(pages: int) -> float:
+    """In so many pages of a host's a node must be to be template."""
+    return max(LEAST_PAGES, LEAST_SHARE * pages)
+
+
+def possible(wrapper: list, pages: int) -> list:
+    """Without the nodes that can't be template any more, whatever the rest of the host's pages holds.
+
+    Nodes under which varying text is cut are marked as such in MEMBERS, for `template`.
+    """
+    least = least_pages(pages) - (pages - wrapper[PAGES])
+    if least <= 1:
+        return wrapper
+
+    def cut(n: list) -> list:
+        kept = [k for k in n[KIDS] if k[PAGES] >= least]
+        lost = n[MEMBERS] or any(varying(k) for k in n[KIDS] if k[PAGES] < least)
+        return [n[SIGN], n[TEXT], n[PAGES], [cut(k) for k in kept], lost or None]
+
+    return cut(wrapper)
+
+
+def varying(node: list) -> bool:
+    """Whether text varies in the node of a wrapper or below."""
+    return any(n[TEXT] == VARIES or n[MEMBERS] for n in nodes(node))
+
+
 def template(wrapper: list) -> list | None:
     """The wrapper with the digest of template text in its nodes, VARIES elsewhere; None if nothing is template.
 
@@ -167,9 +196,9 @@ def template(wrapper: list) -> list | None:
         nonlocal known
         tag = n[SIGN].partition(".")[0]
         if tag in MAIN or tag == "body":
-            varies = any(k[TEXT] == VARIES for k in nodes(n))
+            varies = varying(n)
         text = n[TEXT]
-        constant = varies and text not in (None, VARIES) and n[PAGES] >= max(LEAST_PAGES, LEAST_SHARE * pages)
+        constant = varies and text not in (None, VARIES) and n[PAGES] >= least_pages(pages)
         known = known or constant
         return [n[SIGN], text if constant else VARIES, n[PAGES], [mark(k, varies) for k in n[KIDS]], None]
 
@@ -209,10 +238,10 @@ def _main(root: Element) -> list[Element]:
 
 def induce(pages: DataFrame, tables: Tables, url: str = "url", html: str = "html") -> DataFrame:
     """Rows (host, wrapper): the template of every host that has one, as written bytes."""
-    schema = "host string, part int, wrapper binary"
+    schema = "host string, part int, pages long, wrapper binary"
 
     def rows(held: dict[str, list], part: int) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([part] * len(held), pa.int32()), pa.array([pickle.dumps(bounded(w)) for w in held.values()], pa.binary())], names=["host", "part", "wrapper"])
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([part] * len(held), pa.int32()), pa.array([w[PAGES] for w in held.values()], pa.int64()), pa.array([pickle.dumps(w) for w in held.values()], pa.binary())], names=["host", "part", "pages", "wrapper"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId() % PARTS
@@ -220,7 +249,7 @@ def induce(pages: DataFrame, tables: Tables, url: str = "url", html: str = "html
         for batch in batches:
             for host, page in zip(batch["host"].to_pylist(), batch["html"]):
                 own = bare(collapsed([parse(page.as_py() or "")]))
-                held[host] = bounded(merged(held[host], own)) if host in held else own
+                held[host] = merged(held[host], own) if host in held else own
                 if len(held) >= TASK_WRAPPERS:
                     yield rows(held, part)
                     held = {}
@@ -230,10 +259,10 @@ def induce(pages: DataFrame, tables: Tables, url: str = "url", html: str = "html
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         host, own = None, None
         for batch in batches:
-            for h, blob in zip(batch["host"].to_pylist(), batch["wrapper"].to_pylist()):
-                new = pickle.loads(blob)
+            for h, blob in zip(batch["host"].to_pylist(), batch["wrapper"]):
+                new = pickle.loads(blob.as_py())
                 if own is not None and h == host:
-                    own = bounded(merged(own, new))
+                    own = merged(own, new)
                     continue
                 if own is not None:
                     yield rows({host: own}, 0)
@@ -242,15 +271,22 @@ def induce(pages: DataFrame, tables: Tables, url: str = "url", html: str = "html
             yield rows({host: own}, 0)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in merge(batches):
-            for h, blob in zip(batch["host"].to_pylist(), batch["wrapper"].to_pylist()):
-                found = template(pickle.loads(blob))
+        host, own = None, None
+        for batch in batches:
+            for h, total, blob in zip(batch["host"].to_pylist(), batch["total"].to_pylist(), batch["wrapper"]):
+                if total < LEAST_PAGES:
+                    continue
+                new = pickle.loads(blob.as_py())
+                if h != host:
+                    host, own = h, None
+                own = possible(merged(own, new) if own else new, total)
+                found = template(own) if own[PAGES] == total else None
                 if found is not None:
                     yield pa.RecordBatch.from_arrays([pa.array([h]), pa.array([pickle.dumps(found)], pa.binary())], names=["host", "wrapper"])
 
     learnt = pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("html")).mapInArrow(learn, schema)
     parts = learnt.repartition("host", "part").sortWithinPartitions("host", "part").mapInArrow(merge, schema)
-    whole = parts.repartition("host").sortWithinPartitions("host").mapInArrow(finish, "host string, wrapper binary")
+    whole = parts.withColumn("total", F.sum("pages").over(W.partitionBy("host"))).sortWithinPartitions("host", "wrapper").mapInArrow(finish, "host string, wrapper binary")
     return tables.write(whole, "wrappers")
 
 

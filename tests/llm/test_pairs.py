@@ -193,6 +193,23 @@ def test_wrapper_finds_constant_nodes_of_a_host(shared):
     assert wrappers.extract(shared.createDataFrame([], PAGES)).count() == 0
 
 
+def test_large_wrappers_keep_their_template(shared):
+    page = lambda i: "<body><div>Constant notice</div>" + "".join(f"<p class={'ab'[j % 2]}>text {i} {j}</p>" for j in range(2200))
+    rows = [(i, "http://wide.example/", page(i)) for i in range(10)]
+    got = wrappers.extract(shared.createDataFrame(rows, PAGES).repartition(3)).collect()
+    assert len(got) == 10 and all(r.text == "\n".join(f"text {r.page_id} {j}" for j in range(2200)) for r in got)
+
+
+def test_only_nodes_that_are_ruled_out_are_cut():
+    tree = lambda i: wrappers.bare(wrappers.collapsed([parse(f"<h1>same</h1><p class=x{i}>a</p>" + ("<b>late</b>" if i > 9 else ""))]))
+    whole = cut = None
+    for i in range(20):
+        whole = wrappers.merged(whole, tree(i)) if whole else tree(i)
+        cut = wrappers.possible(wrappers.merged(cut, tree(i)) if cut else tree(i), 20)
+    signs = lambda w: {(n[0], n[2]) for n in wrappers.nodes(w)}
+    assert signs(cut) == {("", 20), ("h1", 20), ("b", 10)} == {x for x in signs(whole) if x[1] >= 10}
+
+
 def test_simple_tree_matching():
     tree = lambda x: wrappers.bare(wrappers.collapsed([parse(x)]))
     a, b = tree("<div><h1>a</h1><p>x</p><span>s</span></div>"), tree("<div><h1>a</h1><ul><li>l</li></ul><p>y</p></div>")

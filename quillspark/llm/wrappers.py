@@ -6,9 +6,9 @@ content. Menus, adverts and comments vary from page to page as articles do, so t
 template can't tell them: elements that by a fixed list of tags, classes, ids and roles
 are such are left out in any case, and where a page marks its article, only what is in it counts.
 
-Wrappers are merged like sums: each task merges the pages it reads, then wrappers of
-the same host are merged, first in parts, so that neither pages nor the wrappers of a
-large host meet in one task.
+Pages of a host with the same main text are copies and count once. So the pages' trees
+are dealt out by host and digest of the text. Wrappers are merged like sums, in parts
+first, so that neither pages nor the wrappers of a large host meet in one task.
 """
 
 from __future__ import annotations
@@ -19,7 +19,6 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,12 +28,14 @@ from .url_filters import host_of
 from .util import Tables
 from .words import chunks, text_buffer
 
-#: Text is template only if it is the same in so many pages, and in so large a share of the host's pages.
+#: Text is template only if it is the same in so many pages, and in so large a share of the host's pages; pages with the same main text are one.
 LEAST_PAGES = 8
 LEAST_SHARE = 0.5
-#: Wrappers a task holds before it passes them on; parts in which those of a host are merged first.
-TASK_WRAPPERS = 10_000
-PARTS = 32
+#: Parts in which the pages of a host are merged, then the wrappers of those parts, before all of a host meet.
+PARTS = (512, 16)
+#: Bytes of trees that a task passes on at once; digests by which it knows pages again.
+TREE_BYTES = 4 << 20
+TASK_DIGESTS = 200_000
 #: Wrappers of all hosts are broadcast up to so many bytes, else joined by host.
 BROADCAST_BYTES = 32 << 20
 
@@ -220,8 +221,11 @@ def main_text(page: str | None, wrapper: list | None = None) -> str:
     """The blocks of the main text, joined by line breaks; the wrapper is a result of `template`."""
     root = parse(page or "")
     silent = template_elements(collapsed([root]), wrapper, set()) if wrapper else set()
-    parts = _main(root)
-    return "\n".join(b for part in parts or [root] for b in blocks(part, is_other, silent))
+    return "\n".join(main_blocks(root, silent))
+
+
+def main_blocks(root: Element, silent: set[int]) -> Iterator[str]:
+    return (b for part in _main(root) or [root] for b in blocks(part, is_other, silent))
 
 
 def _main(root: Element) -> list[Element]:
@@ -238,37 +242,46 @@ def _main(root: Element) -> list[Element]:
 
 def induce(pages: DataFrame, tables: Tables, url: str = "url", html: str = "html") -> DataFrame:
     """Rows (host, wrapper): the template of every host that has one, as written bytes."""
-    schema = "host string, part int, pages long, wrapper binary"
+    schema = "host string, part int, digest binary, pages long, wrapper binary"
 
-    def rows(held: dict[str, list], part: int) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([part] * len(held), pa.int32()), pa.array([w[PAGES] for w in held.values()], pa.int64()), pa.array([pickle.dumps(w) for w in held.values()], pa.binary())], names=["host", "part", "pages", "wrapper"])
+    def rows(held: list[tuple[str, int, bytes | None, int, bytes]]) -> pa.RecordBatch:
+        kinds = pa.string(), pa.int32(), pa.binary(), pa.int64(), pa.binary()
+        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*held), kinds)], names=["host", "part", "digest", "pages", "wrapper"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId() % PARTS
-        held: dict[str, list] = {}
+        held, size = [], 0
+        known: set[tuple[str, bytes]] = set()
         for batch in batches:
             for host, page in zip(batch["host"].to_pylist(), batch["html"]):
-                own = bare(collapsed([parse(page.as_py() or "")]))
-                held[host] = merged(held[host], own) if host in held else own
-                if len(held) >= TASK_WRAPPERS:
-                    yield rows(held, part)
-                    held = {}
+                root = parse(page.as_py() or "")
+                digest = xxhash.xxh128_digest("\n".join(main_blocks(root, set())))
+                if (host, digest) in known:
+                    continue
+                if len(known) >= TASK_DIGESTS:
+                    known.clear()
+                known.add((host, digest))
+                held.append((host, int.from_bytes(digest[:4]) % PARTS[0], digest, 1, pickle.dumps(bare(collapsed([root])))))
+                size += len(held[-1][-1])
+                if size >= TREE_BYTES:
+                    yield rows(held)
+                    held, size = [], 0
         if held:
-            yield rows(held, part)
+            yield rows(held)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        host, own = None, None
+        """One wrapper for the rows of a host in a task, in a part of the next round; repeated digests follow each other."""
+        host, own, part, last = None, None, 0, None
         for batch in batches:
-            for h, blob in zip(batch["host"].to_pylist(), batch["wrapper"]):
-                new = pickle.loads(blob.as_py())
+            for h, p, digest, blob in zip(batch["host"].to_pylist(), batch["part"].to_pylist(), batch["digest"].to_pylist(), batch["wrapper"]):
                 if own is not None and h == host:
-                    own = merged(own, new)
+                    if digest is None or digest != last:
+                        own, last = merged(own, pickle.loads(blob.as_py())), digest
                     continue
                 if own is not None:
-                    yield rows({host: own}, 0)
-                host, own = h, new
+                    yield rows([(host, part, None, own[PAGES], pickle.dumps(own))])
+                host, own, part, last = h, pickle.loads(blob.as_py()), p % PARTS[1], digest
         if own is not None:
-            yield rows({host: own}, 0)
+            yield rows([(host, part, None, own[PAGES], pickle.dumps(own))])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         host, own = None, None
@@ -284,8 +297,9 @@ def induce(pages: DataFrame, tables: Tables, url: str = "url", html: str = "html
                 if found is not None:
                     yield pa.RecordBatch.from_arrays([pa.array([h]), pa.array([pickle.dumps(found)], pa.binary())], names=["host", "wrapper"])
 
-    learnt = pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("html")).mapInArrow(learn, schema)
-    parts = learnt.repartition("host", "part").sortWithinPartitions("host", "part").mapInArrow(merge, schema)
+    parts = pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("html")).mapInArrow(learn, schema)
+    for _ in PARTS:
+        parts = parts.repartition("host", "part").sortWithinPartitions("host", "part", "digest", "wrapper").mapInArrow(merge, schema)
     whole = parts.withColumn("total", F.sum("pages").over(W.partitionBy("host"))).sortWithinPartitions("host", "wrapper").mapInArrow(finish, "host string, wrapper binary")
     return tables.write(whole, "wrappers")
 

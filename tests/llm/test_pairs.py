@@ -200,6 +200,21 @@ def test_large_wrappers_keep_their_template(shared):
     assert len(got) == 10 and all(r.text == "\n".join(f"text {r.page_id} {j}" for j in range(2200)) for r in got)
 
 
+def test_copies_of_an_article_are_one_witness(shared):
+    copy = "<body><nav>menu {}</nav><article><h1>Copied</h1><h2>Part</h2><p>same</p></article></body>"
+    rows = [(i, "http://hot.example/", copy.format(i)) for i in range(12)]
+    rows += [(i, "http://hot.example/", f"<body><article><h1>Title {i}</h1><p>text {i}</p></article></body>") for i in range(12, 20)]
+    # copies don't make up a host's pages either: 8 of 9 different ones hold the notice
+    rows += [(100 + i, "http://many.example/", "<body><p>only text</p></body>") for i in range(30)]
+    rows += [(200 + i, "http://many.example/", f"<body><div>notice</div><p>text {i}</p></body>") for i in range(8)]
+    # seven different pages are too few
+    rows += [(300 + i, "http://small.example/", f"<body><div>notice</div><p>text {i % 7}</p></body>") for i in range(21)]
+    got = {r.page_id: r.text for r in wrappers.extract(shared.createDataFrame(rows, PAGES).repartition(5)).collect()}
+    assert all(got[i] == "Copied\nPart\nsame" for i in range(12)) and all(got[i] == f"Title {i}\ntext {i}" for i in range(12, 20))
+    assert all(got[200 + i] == f"text {i}" for i in range(8)) and got[100] == "only text"
+    assert all(got[300 + i] == f"notice\ntext {i % 7}" for i in range(21))
+
+
 def test_only_nodes_that_are_ruled_out_are_cut():
     tree = lambda i: wrappers.bare(wrappers.collapsed([parse(f"<h1>same</h1><p class=x{i}>a</p>" + ("<b>late</b>" if i > 9 else ""))]))
     whole = cut = None

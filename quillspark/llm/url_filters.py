@@ -7,6 +7,7 @@ host that links to bad ones is suspect. All of it is DataFrame operations.
 
 from __future__ import annotations
 
+import math
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -16,7 +17,6 @@ from .util import Tables, rows_of, sized
 
 DAMPING = 0.85
 TOLERANCE = 1e-6
-MAX_STEPS = 50
 #: A host is blocked if distrust is more than this share of distrust and trust.
 THRESHOLD = 0.5
 
@@ -64,12 +64,13 @@ def best_rule(rules: list[Rule], host: Column, path: Column) -> tuple[Column, Co
     return (none, none) if name is None else (name, verdict)
 
 
-def rank(tables: Tables, edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE, steps: int = MAX_STEPS) -> DataFrame:
+def rank(tables: Tables, edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """Rows (host, score): personalised PageRank over edges (src, dst, w) from seeds (host, mass).
 
     Scores sum to 1. The rank of hosts without links goes back to the seeds. Ends
-    when the sum of changes is below the tolerance. Only sums over links are
-    shuffled, pre-aggregated on the map side.
+    when the sum of changes is below the tolerance. After k steps it is at most
+    2 * damping^k, which bounds their number. Only sums over links are shuffled,
+    pre-aggregated on the map side.
     """
     total = seeds.agg(F.sum("mass")).first()[0] or 0.0
     if not total:
@@ -80,7 +81,7 @@ def rank(tables: Tables, edges: DataFrame, seeds: DataFrame, damping: float = DA
     if not rows_of(shares):
         return start.select("host", F.col("start").alias("score"))
     scores = start.select("host", F.col("start").alias("score"))
-    for _ in range(steps):
+    for _ in range(math.ceil(math.log(tolerance / 2) / math.log(damping)) + 1):
         flow = shares.join(sized(scores), shares.src == scores.host).groupBy("dst").agg(F.sum(F.col("score") * F.col("share")).alias("flow"))
         flow = tables.write(flow, "flow")
         back = 1.0 - damping * (flow.agg(F.sum("flow")).first()[0] or 0.0)

@@ -272,6 +272,13 @@ def plain_rank(edges, seeds, damping=0.85, steps=200):
     return x
 
 
+def test_rank_goes_on_until_it_converges(shared):
+    edges, seeds = [("a", "b", 1.0), ("b", "a", 1.0)], [("a", 1.0)]
+    got = url_filters.rank(Tables(shared), shared.createDataFrame(edges, "src string, dst string, w double"), shared.createDataFrame(seeds, "host string, mass double"), tolerance=1e-4)
+    got = {r.host: r.score for r in got.collect()}
+    assert abs(got["a"] - 1 / 1.85) + abs(got["b"] - 0.85 / 1.85) < 1e-4  # after 50 steps still 2.7e-4
+
+
 def test_rank_equals_power_iteration(shared):
     rng = random.Random(2)
     edges = [(f"h{rng.randrange(12)}", f"h{rng.randrange(12)}", float(rng.randint(1, 3))) for _ in range(40)]

@@ -202,8 +202,15 @@ def matches(segment: Segment, block: tuple[list[str], np.ndarray, np.ndarray], w
                 yield item, w, found
 
 
-def search(index: DataFrame, blocks: list[str], key: str = "doc_id", key_type: str = "long", width: int = WINDOW) -> DataFrame:
-    """Rows (key, n_words, n_hit, items) for every indexed document: words inside any occurrence, and the items that occur, ascending as text."""
+def search(index: DataFrame, blocks: list[str], key: str = "doc_id", key_type: str = "long", width: int = WINDOW, slack: int | None = None) -> DataFrame:
+    """Rows (key, n_words, n_hit, items) for every indexed document: words inside any occurrence, and the items that occur, ascending as text.
+
+    With `slack` also `near`, the proximity matches: items and the ascending places, from 0
+    in the document, of the term of one of their windows that is rarest in the segment, with all
+    other terms of the window within its width and `slack` more around it (see `Segment.near`).
+    """
+    if slack is not None and not 0 <= slack < GAP - width + 1:
+        raise ValueError(f"slack must be from 0 to {GAP - width}, or places reach into other documents")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,18 +219,28 @@ def search(index: DataFrame, blocks: list[str], key: str = "doc_id", key_type: s
                 keys = pa.ipc.open_stream(row["docs"]).read_next_batch()[key]
                 hits: list[np.ndarray] = []
                 items: dict[int, set[str]] = {}
+                near: dict[int, set[tuple[str, int]]] = {}
                 for path in blocks:
                     for item, w, found in matches(segment, _block(path), width):
                         hits.append((found[:, None] + np.arange(w)).ravel())
                         for d in np.unique(segment.document(found)).tolist():
                             items.setdefault(d, set()).add(item)
+                    if slack is not None:
+                        for item, _, found in matches(segment, _block(path), width, slack):
+                            docs = segment.document(found)
+                            for d, at in zip(docs.tolist(), (found - segment.first[docs]).tolist()):
+                                near.setdefault(d, set()).add((item, at))
                 n_hit = np.zeros(len(segment.words), np.int64)
                 if hits:
                     inside = np.unique(np.concatenate(hits))
                     n_hit += np.bincount(segment.document(inside), minlength=len(n_hit))
-                yield pa.RecordBatch.from_arrays([keys, pa.array(segment.words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([sorted(items.get(d, ())) for d in range(len(n_hit))], pa.list_(pa.string()))], names=[key, "n_words", "n_hit", "items"])
+                columns = [keys, pa.array(segment.words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([sorted(items.get(d, ())) for d in range(len(n_hit))], pa.list_(pa.string()))]
+                if slack is not None:
+                    places = [[{"item": item, "at": at} for item, at in sorted(near.get(d, ()))] for d in range(len(n_hit))]
+                    columns.append(pa.array(places, pa.list_(pa.struct([("item", pa.string()), ("at", pa.int64())]))))
+                yield pa.RecordBatch.from_arrays(columns, names=[key, "n_words", "n_hit", "items", "near"][: len(columns)])
 
-    return index.mapInArrow(run, f"`{key}` {key_type}, n_words long, n_hit long, items array<string>")
+    return index.mapInArrow(run, f"`{key}` {key_type}, n_words long, n_hit long, items array<string>" + (", near array<struct<item: string, at: long>>" if slack is not None else ""))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", width: int = WINDOW, tables: Tables | None = None) -> DataFrame:

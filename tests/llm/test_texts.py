@@ -219,6 +219,20 @@ def test_decontamination_of_empty_tables(shared, documents):
     assert [tuple(r) for r in decontaminate.decontaminate(documents("one two"), items.limit(0)).collect()] == [(0, 2, 0, 0, hashlib.sha256(b"").hexdigest(), False)]
 
 
+def test_search_returns_proximity_matches_beside_exact_ones(shared, documents):
+    items = shared.createDataFrame([(1, "fox red"), (2, "ran far"), (3, "far the")], "item_id long, text string")
+    docs = documents("the red old fox ran far", "a fox red b red fox", None, "fox", "red")
+    blocks, vocabulary = decontaminate.write_windows(items)
+    index = decontaminate.write_index(docs.coalesce(1), vocabulary=vocabulary)
+    got = {r.doc_id: (r.n_hit, r["items"], {(n["item"], n["at"]) for n in r.near}) for r in decontaminate.search(index, blocks, slack=1).collect()}
+    # fox and red are equally rare in the segment, so the places of the item's first term count
+    assert got == {0: (2, ["2"], {("1", 3), ("2", 4)}), 1: (2, ["1"], {("1", 1), ("1", 5)}), 2: (0, [], set()), 3: (0, [], set()), 4: (0, [], set())}
+    exact = decontaminate.search(index, blocks)
+    assert exact.columns == ["doc_id", "n_words", "n_hit", "items"] and {r.doc_id: (r.n_hit, r["items"]) for r in exact.collect()} == {k: v[:2] for k, v in got.items()}
+    with pytest.raises(ValueError):
+        decontaminate.search(index, blocks, slack=decontaminate.GAP)
+
+
 def test_proximity_and_full_index():
     hashes, counts = decontaminate.terms_of(pa.array(["the red old fox ran far", "fox red", None]))
     index = decontaminate.Segment.build(hashes, counts)

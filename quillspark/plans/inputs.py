@@ -75,6 +75,16 @@ def voices(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def nation_voices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A voice catalogue: every nation, with pitch and brightness from its key; one in nine isn't measured."""
+    n = table(spark, sf_dir, "nation")
+    key = F.col("n_nationkey")
+    return n.select(
+        key.cast("int").alias("pos"), F.concat(F.lit("voice-"), key.cast("string")).alias("id"), (key == 0).alias("narrator_reserved"),
+        F.when(key % 9 != 4, 160 + (key * 7 % 25 - 12) / 12 * 45).alias("f0"), (1900 + (key * 11 % 25 - 12) / 12 * 400).alias("centroid"),
+    )
+
+
 VOICES = """voices AS (
   SELECT CAST(vec_id AS INTEGER) AS pos, 'voice-' || vec_id AS id, vec_id = 0 AS narrator_reserved,
          CASE WHEN vec_id % 9 <> 4 THEN 160 + CAST(embedding[1] AS DOUBLE) * 45 END AS f0, 1900 + CAST(embedding[2] AS DOUBLE) * 400 AS centroid

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import speech, text
 from ..operators import attribute, audio, casting, evaluate, names, segment, store, structure
 from ..sources import markup
-from .inputs import DIALOGUE, NAMES, PREDICTIONS, SEGMENTS, VOICES, dialogue, predictions, segments, table, voices
+from .inputs import DIALOGUE, NAMES, PREDICTIONS, SEGMENTS, VOICES, dialogue, nation_voices, predictions, segments, table, voices
 from .inputs import names as book_names
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -480,7 +480,7 @@ def voice_assignment_measured(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = segments(spark, sf_dir)
     c = s.where("speaker_id NOT IN ('narrator', 'unknown')").groupBy("book_id", F.col("speaker_id").alias("name")).agg(F.count(F.lit(1)).alias("line_count"), F.min("seg_idx").alias("first_seen"))
     c = c.select("book_id", F.col("name").alias("id"), "name", "line_count", "first_seen", F.lit("unknown").alias("gender"), F.lit("unknown").alias("age_bracket"))
-    catalogue = [r.asDict() for r in voices(spark, sf_dir).orderBy("pos").collect()]  # a dimension of forty voices
+    catalogue = [r.asDict() for r in nation_voices(spark, sf_dir).orderBy("pos").collect()]  # a whole dimension of the same size at every scale
     return casting.assign_measured(c, catalogue, casting.adjacency(s))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark import schema
 from quillspark.operators import attribute, audio, casting, evaluate, names, store, structure
+from quillspark.plans import queries
 
 
 def paragraphs(spark, *texts, book="b"):
@@ -240,3 +241,11 @@ def test_styles_and_bootstrap(spark):
     v = spark.createDataFrame([(float(i % 4 > 0),) for i in range(400)], "v double")
     r = evaluate.bootstrap(v, "v", rounds=200, seed=3).first()
     assert 0.65 < r.lower < 0.75 < r.upper < 0.85 and tuple(evaluate.bootstrap(v.limit(0), "v", rounds=10).first()) == (0.0, 0.0)
+
+
+def test_voice_assignment_measured_takes_every_voice(spark, tmp_path):
+    spark.range(60).selectExpr("id AS n_nationkey").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.range(60).selectExpr("id AS vec_id", "array(float(id), float(-id)) AS embedding").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.range(50).selectExpr("id AS event_id", "1L AS user_id", "timestamp_seconds(id) AS ts", "concat('who', id) AS event_type").write.parquet(f"{tmp_path}/events.parquet")
+    got = queries.QUERIES["voice_assignment_measured"](spark, str(tmp_path)).collect()
+    assert len(got) == 50 == len({r.voice_id for r in got}) and "voice-0" not in {r.voice_id for r in got}

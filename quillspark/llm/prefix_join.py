@@ -255,11 +255,9 @@ def ordered(items: np.ndarray, frequent: np.ndarray) -> np.ndarray:
 
 
 def signatures(df: DataFrame, frequent: np.ndarray, key: str, text: str, width: int = WIDTH) -> DataFrame:
-    """Rows (key, n, sid, prefix, rare, short): size and digest of each text's set, and its prefix, of which the first `rare` aren't frequent.
+    """Rows (key, n, sid, prefix, rare): size and digest of each text's set, and its prefix, of which the first `rare` aren't frequent.
 
-    `short` has the upper halves of the prefix's numbers. Equal elements have equal halves,
-    so counts of common ones are never too small. A task gives the prefix of equal
-    sets once. A text without words has a null sid.
+    A task gives the prefix of equal sets once. A text without words has a null sid.
     """
     shared = df.sparkSession.sparkContext.broadcast(frequent)
 
@@ -284,9 +282,9 @@ def signatures(df: DataFrame, frequent: np.ndarray, key: str, text: str, width:
                     rare.append(int(np.count_nonzero(first < LATE)))
                 ends = np.concatenate(([0], np.cumsum([len(x) for x in prefix]))).astype(np.int32)
                 flat = np.concatenate([np.zeros(0, np.uint64), *prefix]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch[key], pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(rare, pa.int32()), pa.array([(x >> np.uint64(32)).astype(np.uint32).tobytes() for x in prefix], pa.binary())], names=["key", "n", "sid", "prefix", "rare", "short"])
+                yield pa.RecordBatch.from_arrays([batch[key], pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(rare, pa.int32())], names=["key", "n", "sid", "prefix", "rare"])
 
-    return df.select(key, text).mapInArrow(run, f"key {df.schema[key].dataType.simpleString()}, n long, sid long, prefix array<long>, rare int, short binary")
+    return df.select(key, text).mapInArrow(run, f"key {df.schema[key].dataType.simpleString()}, n long, sid long, prefix array<long>, rare int")
 
 
 def may_start(n: str, i: str, other_n: str, other_i: str) -> Column:
@@ -305,10 +303,11 @@ def with_limits(tables: Tables, lists: DataFrame) -> DataFrame:
     each = lists.select("token", "sid", "n").union(lists.select("token", F.col("leader").alias("sid"), F.col("leader_n").alias("n"))).distinct()
     p = F.col("n") - F.floor((3 * F.col("n") + 3) / 4) + 1
     most = F.floor((7 * (F.col("s") + F.col("n") - p) - 3 * F.col("n")) / 3).cast("int")
-    limits = tables.write(each.groupBy("sid", "n").agg(F.count(F.lit(1)).alias("s")).select("sid", most.alias("most")), "limits")
-    known = sized(limits)
-    out = lists.join(known, "sid").join(known.select(F.col("sid").alias("leader"), F.col("most").alias("leader_most")), "leader")
-    return tables.write(out.select("token", "leader", "leader_n", "leader_i", "leader_most", "sid", "n", "i", "most"), "lists")
+    with Tables(tables.spark) as own:
+        limits = own.write(each.groupBy("sid", "n").agg(F.count(F.lit(1)).alias("s")).select("sid", most.alias("most")), "limits")
+        leading = sized(limits.select(F.col("sid").alias("leader"), F.col("most").alias("leader_most")), rows_of(limits))
+        out = lists.join(sized(limits), "sid").join(leading, "leader")
+        return tables.write(out.select("token", "leader", "leader_n", "leader_i", "leader_most", "sid", "n", "i", "most"), "lists")
 
 
 def star_lists(tables: Tables, found: DataFrame) -> DataFrame:
@@ -325,19 +324,18 @@ def star_lists(tables: Tables, found: DataFrame) -> DataFrame:
     return tables.write(out.select("token", F.col("lead.sid").alias("leader"), F.col("lead.n").alias("leader_n"), F.col("lead.i").alias("leader_i"), "sid", "n", "i").distinct(), "lists")
 
 
-def _rows_with(tables: Tables, df: DataFrame, found: DataFrame, wanted: DataFrame, key: str, text: str, most: int | None) -> tuple[DataFrame, DataFrame]:
+def _rows_with(own: Tables, df: DataFrame, found: DataFrame, wanted: DataFrame, key: str, text: str, most: int | None) -> tuple[DataFrame, DataFrame]:
     """The wanted sids, and texts that have their sets, from one row each where keys are unique; some rows may have other sets."""
-    wanted = tables.write(wanted, "wanted", most)
+    wanted = own.write(wanted, "wanted", most)
     n = rows_of(wanted)
     keys = found.where("sid IS NOT NULL").join(sized(wanted, n), "sid", "left_semi").groupBy("sid").agg(F.min("key").alias("key"))
-    keys = tables.write(keys.where("key IS NOT NULL").select(F.col("key").alias(key)), "keys", n)
+    keys = own.write(keys.where("key IS NOT NULL").select(F.col("key").alias(key)), "keys", n)
     rows = df.select(key, text)
     return sized(wanted, n), rows.join(sized(keys, n), key, "left_semi").unionByName(rows.where(F.col(key).isNull()))
 
 
 def fetch_sets(tables: Tables, df: DataFrame, found: DataFrame, wanted: DataFrame, key: str, text: str, width: int = WIDTH, most: int | None = None) -> DataFrame:
     """Rows (sid, items) with the whole sets of the wanted sids."""
-    wanted, rows = _rows_with(tables, df, found, wanted, key, text, most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -345,12 +343,13 @@ def fetch_sets(tables: Tables, df: DataFrame, found: DataFrame, wanted: DataFram
                 own = [x for x in shingle_sets(whole[text].slice(i, j - i), width) if len(x)]
                 yield pa.RecordBatch.from_arrays([pa.array([digest(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], names=["sid", "items"])
 
-    return tables.write(rows.mapInArrow(run, "sid long, items binary").join(wanted, "sid", "left_semi"), "sets")
+    with Tables(tables.spark) as own:
+        wanted, rows = _rows_with(own, df, found, wanted, key, text, most)
+        return tables.write(rows.mapInArrow(run, "sid long, items binary").join(wanted, "sid", "left_semi"), "sets")
 
 
 def fetch_profiles(tables: Tables, df: DataFrame, found: DataFrame, wanted: DataFrame, frequent: np.ndarray, key: str, text: str, width: int = WIDTH, most: int | None = None) -> DataFrame:
     """Rows (sid, n, prefix, short): the wanted sets' sizes, their prefixes in the global order, and the shortened whole sets."""
-    wanted, rows = _rows_with(tables, df, found, wanted, key, text, most)
     shared = df.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -360,13 +359,16 @@ def fetch_profiles(tables: Tables, df: DataFrame, found: DataFrame, wanted: Data
                 prefix = [ordered(x, shared.value)[: prefix_length(len(x))].tobytes() for x in own]
                 yield pa.RecordBatch.from_arrays([pa.array([digest(x) for x in own], pa.int64()), pa.array([len(x) for x in own], pa.int32()), pa.array(prefix, pa.binary()), pa.array([shortened(x).tobytes() for x in own], pa.binary())], names=["sid", "n", "prefix", "short"])
 
-    return tables.write(rows.mapInArrow(run, "sid long, n int, prefix binary, short binary").join(wanted, "sid", "left_semi").dropDuplicates(["sid"]), "profiles")
+    with Tables(tables.spark) as own:
+        wanted, rows = _rows_with(own, df, found, wanted, key, text, most)
+        return tables.write(rows.mapInArrow(run, "sid long, n int, prefix binary, short binary").join(wanted, "sid", "left_semi").dropDuplicates(["sid"]), "profiles")
 
 
 def _prefixes(tables: Tables, found: DataFrame, wanted: DataFrame, most: int) -> DataFrame:
-    """Rows (sid, n, short), one for each wanted sid."""
-    rows = found.where("octet_length(short) > 0").join(sized(tables.write(wanted.distinct(), "wanted", most)), "sid", "left_semi")
-    return tables.write(rows.select("sid", F.col("n").cast("int").alias("n"), "short").dropDuplicates(["sid"]), "prefixes")
+    """Rows (sid, n, short), one for each wanted sid. `short` has the upper halves of the prefix's numbers: equal elements have equal ones, so counts of common ones are never too small."""
+    short = F.transform("prefix", lambda x: F.shiftright(x, 32).cast("int"))
+    rows = found.where("size(prefix) > 0").join(sized(tables.write(wanted.distinct(), "wanted", most)), "sid", "left_semi")
+    return tables.write(rows.select("sid", F.col("n").cast("int").alias("n"), short.alias("short")).dropDuplicates(["sid"]), "prefixes")
 
 
 def _pair_share(a: int, b: int) -> float:
@@ -387,7 +389,7 @@ def leader_candidates(groups: DataFrame) -> DataFrame:
             for i, (t, part, kind, sid, n) in enumerate(zip(*(batch[c].to_pylist() for c in ("tree", "part", "kind", "sid", "n")))):
                 if (t, part) != now:
                     now, tree = (t, part), PrefixTree()
-                items = np.frombuffer(batch["short"][i].as_buffer(), np.uint32)
+                items = np.asarray(batch["short"][i].values).view(np.uint32)
                 if kind == 0:
                     tree.insert(items.copy(), n, sid)
                     continue
@@ -439,20 +441,15 @@ def list_candidates(groups: DataFrame, share: float) -> DataFrame:
     return dealt.select("tree", "part", "kind", "sid", "n", "comp", "before", "short").mapInArrow(run, "a long, b long")
 
 
-def _dealt(tables: Tables, pairs: DataFrame) -> DataFrame:
+def _dealt(own: Tables, pairs: DataFrame) -> DataFrame:
     """Pairs (a, b) with a part of a's pairs, of some TREE_SETS each, so that one set with many partners isn't one task's work."""
     n = rows_of(pairs)
-    sizes = tables.write(pairs.groupBy("a").agg((F.count(F.lit(1)) / TREE_SETS + 1).cast("int").alias("parts")), "sizes", n)
-    return tables.write(pairs.join(sized(sizes), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part")), "dealt", n)
+    sizes = own.write(pairs.groupBy("a").agg((F.count(F.lit(1)) / TREE_SETS + 1).cast("int").alias("parts")), "sizes", n)
+    return own.write(pairs.join(sized(sizes), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part")), "dealt", n)
 
 
 def verified(tables: Tables, df: DataFrame, found: DataFrame, pairs: DataFrame, key: str, text: str, width: int = WIDTH) -> DataFrame:
     """Those of the written pairs (a, b) that are similar as whole sets."""
-    pairs = _dealt(tables, pairs)
-    sets = fetch_sets(tables, df, found, pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct(), key, text, width, 2 * rows_of(pairs))
-    left = pairs.select("a", "part").distinct()
-    one = sets.join(sized(tables.write(left, "left", rows_of(pairs))), sets.sid == F.col("a")).select("a", "part", F.lit(0).alias("kind"), "sid", "items")
-    two = sets.join(sized(pairs), sets.sid == F.col("b")).select("a", "part", F.lit(1).alias("kind"), "sid", "items")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, own = None, None
@@ -467,19 +464,26 @@ def verified(tables: Tables, df: DataFrame, found: DataFrame, pairs: DataFrame,
                     b.append(sid)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    dealt = one.union(two).repartition("a", "part").sortWithinPartitions("a", "part", "kind")
-    return tables.write(dealt.select("a", "kind", "sid", "items").mapInArrow(run, "a long, b long"), "links")
+    with Tables(tables.spark) as own:
+        pairs = _dealt(own, pairs)
+        sets = fetch_sets(own, df, found, pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct(), key, text, width, 2 * rows_of(pairs))
+        left = own.write(pairs.select("a", "part").distinct(), "left", rows_of(pairs))
+        one = sets.join(sized(left), sets.sid == F.col("a")).select("a", "part", F.lit(0).alias("kind"), "sid", "items")
+        two = sets.join(sized(pairs), sets.sid == F.col("b")).select("a", "part", F.lit(1).alias("kind"), "sid", "items")
+        dealt = one.union(two).repartition("a", "part").sortWithinPartitions("a", "part", "kind")
+        return tables.write(dealt.select("a", "kind", "sid", "items").mapInArrow(run, "a long, b long"), "links")
 
 
 def _leader_candidates(tables: Tables, lists: DataFrame, found: DataFrame) -> DataFrame:
     near = may_start("leader_n", "leader_i", "n", "i") & ((F.col("n") <= F.col("leader_most")) | (F.col("leader_n") <= F.col("most")))
     pairs = lists.where(near).select(F.col("leader").alias("a"), F.col("sid").alias("b")).distinct()
-    pairs = _dealt(tables, tables.write(pairs, "pairs"))
-    prefixes = _prefixes(tables, found, pairs.select(F.col("a").alias("sid")).union(pairs.select("b")), 2 * rows_of(pairs))
-    members = prefixes.join(sized(pairs), prefixes.sid == F.col("b")).select(F.col("a").alias("tree"), "part", F.lit(0).alias("kind"), "sid", "n", "short")
-    left = tables.write(pairs.select("a", "part").distinct(), "left", rows_of(pairs))
-    probes = prefixes.join(sized(left), prefixes.sid == F.col("a")).select(F.col("a").alias("tree"), "part", F.lit(1).alias("kind"), "sid", "n", "short")
-    return tables.write(leader_candidates(members.union(probes)).distinct(), "candidates")
+    with Tables(tables.spark) as own:
+        pairs = _dealt(own, own.write(pairs, "pairs"))
+        prefixes = _prefixes(own, found, pairs.select(F.col("a").alias("sid")).union(pairs.select("b")), 2 * rows_of(pairs))
+        members = prefixes.join(sized(pairs), prefixes.sid == F.col("b")).select(F.col("a").alias("tree"), "part", F.lit(0).alias("kind"), "sid", "n", "short")
+        left = own.write(pairs.select("a", "part").distinct(), "left", rows_of(pairs))
+        probes = prefixes.join(sized(left), prefixes.sid == F.col("a")).select(F.col("a").alias("tree"), "part", F.lit(1).alias("kind"), "sid", "n", "short")
+        return tables.write(leader_candidates(members.union(probes)).distinct(), "candidates")
 
 
 def _open_lists(tables: Tables, lists: DataFrame, comps: DataFrame) -> DataFrame:
@@ -490,34 +494,36 @@ def _open_lists(tables: Tables, lists: DataFrame, comps: DataFrame) -> DataFrame
     sizes, places (`may_start`) and limits (`with_limits`). Partners lie within a ratio of
     sizes, so in a frame of fixed width over their logarithms.
     """
-    members = lists.select("token", "sid", "n", "i", "most").union(lists.select("token", F.col("leader").alias("sid"), F.col("leader_n").alias("n"), F.col("leader_i").alias("i"), F.col("leader_most").alias("most"))).distinct()
-    members = members.join(sized(comps), members.sid == comps.node, "left").select("token", "sid", "n", "i", "most", F.coalesce("root", "sid").alias("comp"))
-    open_ = members.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bit_xor(F.xxhash64("sid")).alias("x"), F.bit_xor(F.xxhash64("sid", F.lit(1))).alias("y")).where("m > 2 AND lo <> hi")
-    open_ = tables.write(open_.groupBy("m", "x", "y").agg(F.min(F.struct(F.col("token") < 0, "token")).alias("first")).select("first.token"), "open")
-    members = members.join(sized(open_), "token", "left_semi").withColumn("reach", 4 * F.col("n") - 7 * F.col("i")).withColumn("size", F.floor(F.log("n") * 1e6))
-    around = W.partitionBy("token").orderBy("size")
-    low, both = around.rangeBetween(-RATIO, 0), around.rangeBetween(-RATIO, RATIO)
-    partner = F.when(F.col("most") >= F.col("n"), F.count(F.lit(1)).over(both) > 1).otherwise((F.min("n").over(low) <= F.col("most")) | (F.max("most").over(both) >= F.col("n")))
-    by_size = W.partitionBy("token").orderBy("size", "sid")
-    smaller = F.max("reach").over(by_size.rowsBetween(W.unboundedPreceding, -1)) >= 3 * F.col("n")
-    larger = 3 * F.lead("n").over(by_size) <= F.col("reach")
-    members = members.withColumn("near", partner & (F.coalesce(smaller, F.lit(False)) | F.coalesce(larger, F.lit(False))))
-    members = tables.write(members.where("near").select("token", "sid", "i", "comp"), "members")
-    sizes = members.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token", "m")
-    return tables.write(members.join(sized(tables.write(sizes, "sizes", rows_of(members))), "token"), "open_members", rows_of(members))
+    with Tables(tables.spark) as own:
+        members = lists.select("token", "sid", "n", "i", "most").union(lists.select("token", F.col("leader").alias("sid"), F.col("leader_n").alias("n"), F.col("leader_i").alias("i"), F.col("leader_most").alias("most"))).distinct()
+        members = members.join(sized(comps), members.sid == comps.node, "left").select("token", "sid", "n", "i", "most", F.coalesce("root", "sid").alias("comp"))
+        open_ = members.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bit_xor(F.xxhash64("sid")).alias("x"), F.bit_xor(F.xxhash64("sid", F.lit(1))).alias("y")).where("m > 2 AND lo <> hi")
+        open_ = own.write(open_.groupBy("m", "x", "y").agg(F.min(F.struct(F.col("token") < 0, "token")).alias("first")).select("first.token"), "open")
+        members = members.join(sized(open_), "token", "left_semi").withColumn("reach", 4 * F.col("n") - 7 * F.col("i")).withColumn("size", F.floor(F.log("n") * 1e6))
+        around = W.partitionBy("token").orderBy("size")
+        low, both = around.rangeBetween(-RATIO, 0), around.rangeBetween(-RATIO, RATIO)
+        partner = F.when(F.col("most") >= F.col("n"), F.count(F.lit(1)).over(both) > 1).otherwise((F.min("n").over(low) <= F.col("most")) | (F.max("most").over(both) >= F.col("n")))
+        by_size = W.partitionBy("token").orderBy("size", "sid")
+        smaller = F.max("reach").over(by_size.rowsBetween(W.unboundedPreceding, -1)) >= 3 * F.col("n")
+        larger = 3 * F.lead("n").over(by_size) <= F.col("reach")
+        members = members.withColumn("near", partner & (F.coalesce(smaller, F.lit(False)) | F.coalesce(larger, F.lit(False))))
+        members = own.write(members.where("near").select("token", "sid", "i", "comp"), "members")
+        sizes = members.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token", "m")
+        return tables.write(members.join(sized(own.write(sizes, "sizes", rows_of(members))), "token"), "open_members", rows_of(members))
 
 
 def _list_candidates(tables: Tables, members: DataFrame, profiles: DataFrame, share: float) -> DataFrame:
-    per = members.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"))
-    base = tables.write(per.groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("base")), "base", rows_of(members))
-    rows = members.join(sized(base), "token").withColumn("parts", (F.col("m") / TREE_SETS + 1).cast("int"))
-    inside = rows.select("token", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("kind"), "sid", "i", "comp")
-    outside = rows.where("comp <> base").select("token", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("kind"), "sid", "i", "comp")
-    groups = tables.write(inside.union(outside), "trees", 2 * rows_of(members))
-    before = F.substring("prefix", F.lit(1), 8 * F.col("i"))
-    trees = profiles.join(sized(groups), "sid").select(F.col("token").alias("tree"), "part", "kind", "sid", "n", "comp", before.alias("before"), "short")
-    both = list_candidates(trees, share)
-    return tables.write(both.select(F.least("a", F.coalesce("b", "a")).alias("a"), F.when(F.col("b").isNotNull(), F.greatest("a", "b")).alias("b")).distinct(), "candidates")
+    with Tables(tables.spark) as own:
+        per = members.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"))
+        base = own.write(per.groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("base")), "base", rows_of(members))
+        rows = members.join(sized(base), "token").withColumn("parts", (F.col("m") / TREE_SETS + 1).cast("int"))
+        inside = rows.select("token", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("kind"), "sid", "i", "comp")
+        outside = rows.where("comp <> base").select("token", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("kind"), "sid", "i", "comp")
+        groups = own.write(inside.union(outside), "trees", 2 * rows_of(members))
+        before = F.substring("prefix", F.lit(1), 8 * F.col("i"))
+        trees = profiles.join(sized(groups), "sid").select(F.col("token").alias("tree"), "part", "kind", "sid", "n", "comp", before.alias("before"), "short")
+        both = list_candidates(trees, share)
+        return tables.write(both.select(F.least("a", F.coalesce("b", "a")).alias("a"), F.when(F.col("b").isNotNull(), F.greatest("a", "b")).alias("b")).distinct(), "candidates")
 
 
 def join(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, tables: Tables | None = None) -> DataFrame:
@@ -529,27 +535,35 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WI
     copies of each other.
     """
     tables = tables or Tables(df.sparkSession)
-    frequent = frequent_shingles(df, text, width)
-    found = tables.write(signatures(df, frequent, key, text, width), "signatures")
-    lists = with_limits(tables, star_lists(tables, found))
-    links = verified(tables, df, found, _leader_candidates(tables, lists, found), key, text, width)
-    comps = components(tables, links)
-    profiles = None
-    for share in SHARES:
-        members = _open_lists(tables, lists, comps)
-        if not rows_of(members):
-            break
-        if profiles is None:  # components only grow, so later lists have no other members
-            profiles = fetch_profiles(tables, df, found, members.select("sid").distinct(), frequent, key, text, width, rows_of(members))
-        candidates = _list_candidates(tables, members, profiles, share)
-        more = tables.write(candidates.where("b IS NOT NULL"), "more", rows_of(candidates))
-        if rows_of(more):
-            new = verified(tables, df, found, more, key, text, width)
-            links = tables.write(links.unionByName(new), "links", rows_of(links) + rows_of(new))
-            comps = components(tables, links)
-        if rows_of(more) == rows_of(candidates):
-            break
-    rows = found.join(sized(comps), found.sid == comps.node, "left").select("key", "n", F.coalesce("root", "sid").alias("group"))
-    rows = tables.write(rows, "rows")
+    with Tables(df.sparkSession) as own:
+        frequent = frequent_shingles(df, text, width)
+        signed = own.write(signatures(df, frequent, key, text, width), "signatures")
+        stars = star_lists(own, signed)
+        lists = with_limits(own, stars)
+        own.drop(stars)
+        candidates = _leader_candidates(own, lists, signed)
+        found = own.write(signed.select("key", "n", "sid"), "sets")
+        own.drop(signed)
+        links = verified(own, df, found, candidates, key, text, width)
+        comps = components(own, links)
+        profiles = None
+        for share in SHARES:
+            members = _open_lists(own, lists, comps)
+            if not rows_of(members):
+                break
+            if profiles is None:  # components only grow, so later lists have no other members
+                profiles = fetch_profiles(own, df, found, members.select("sid").distinct(), frequent, key, text, width, rows_of(members))
+            candidates = _list_candidates(own, members, profiles, share)
+            own.drop(members)
+            more = own.write(candidates.where("b IS NOT NULL"), "more", rows_of(candidates))
+            if rows_of(more):
+                new = verified(own, df, found, more, key, text, width)
+                links = own.write(links.unionByName(new), "links", rows_of(links) + rows_of(new))
+                own.drop(comps)
+                comps = components(own, links)
+            if rows_of(more) == rows_of(candidates):
+                break
+        rows = found.join(sized(comps), found.sid == comps.node, "left").select("key", "n", F.coalesce("root", "sid").alias("group"))
+        rows = tables.write(rows, "rows")
     named = tables.write(rows.where("`group` IS NOT NULL").groupBy("group").agg(F.min("key").alias("component"), F.count(F.lit(1)).alias("size")).where("size > 1").select("group", "component"), "named")
     return rows.join(sized(named), "group", "left").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "key").alias("component_id"))

@@ -7,13 +7,16 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-#: A side of a join is broadcast only if its written table, read back, is known to have at most so many rows.
-BROADCAST_ROWS = 2_000_000
+#: A side of a join is broadcast only if its written table is known to have at most so many bytes.
+BROADCAST_BYTES = 32 << 20
 #: Rows of a small table that one task writes.
 SMALL_ROWS = 50_000
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_NUMBERS = frozenset("boolean byte short integer long float double date timestamp".split())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,34 +51,61 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 class Tables:
-    """Tables written to the shared folder: they cut lineage, and a lost executor costs no earlier stage."""
+    """Tables written to the shared folder: they cut lineage, and a lost executor costs no earlier stage.
+
+    As a context manager it deletes at its end all that it wrote; what outlives it is written by another one.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.paths: list[str] = []
 
+    def __enter__(self) -> Tables:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        while self.paths:
+            remove(self.spark, self.paths.pop())
+
     def write(self, df: DataFrame, name: str, most: int | None = None) -> DataFrame:
-        """The same rows, read back from Parquet; their number is known without another job (see `rows_of`).
+        """The same rows, read back from Parquet; their number and size are known without another job (see `rows_of`, `sized`).
 
         `most`: how many rows there can be, if that is known: a small table is then written by few tasks.
+        Shuffle files of the job go with its end, for nothing reads them again.
         """
         path = new_path(self.spark, name)
         seen = Observation()
-        out = df.observe(seen, F.count(F.lit(1)).alias("n"))
+        out = df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(row_bytes(df.schema)).alias("bytes"))
         if most is not None and most < SMALL_ROWS * 1000:
             out = out.coalesce(max(1, -(-most // SMALL_ROWS)))
-        out.write.parquet(path)
         self.paths.append(path)
+        before = self.spark.conf.get(_CLEANUP, "false")
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            out.write.parquet(path)
+        finally:
+            self.spark.conf.set(_CLEANUP, before)
         back = self.spark.read.schema(df.schema).parquet(path)
-        back._rows_written = seen.get["n"]
+        back._path, back._rows_written, back._bytes_written = path, seen.get["n"], seen.get["bytes"] or 0
         return back
 
     def drop(self, *frames: DataFrame) -> None:
-        """Delete tables that no later result reads."""
+        """Delete written tables that no later result reads."""
         for df in frames:
-            for path in self.paths:
-                if any(path.split("://")[-1] in f for f in df.inputFiles()[:1]):
-                    remove(self.spark, path)
+            remove(self.spark, df._path)
+            self.paths.remove(df._path)
+
+
+def row_bytes(schema: StructType) -> Column:
+    """Bytes of a row in memory: 8 for it and for each value, and the contents of strings, binaries and arrays of numbers."""
+    total = F.lit(8 * (1 + len(schema))).cast("long")
+    for field in schema:
+        kind, column = field.dataType.typeName(), F.col(f"`{field.name}`")
+        if kind in ("string", "binary"):
+            total += F.coalesce(F.octet_length(column), F.lit(0))
+        elif kind == "array":
+            total += 8 * F.coalesce(F.size(column), F.lit(0))
+    return total
 
 
 def rows_of(df: DataFrame) -> int:
@@ -84,9 +114,15 @@ def rows_of(df: DataFrame) -> int:
     return df.count() if n is None else n
 
 
-def sized(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """A written table, marked for broadcast if its counted rows are few; else joined by shuffle, where AQE splits skewed keys."""
-    return F.broadcast(df) if (rows_of(df) if rows is None else rows) <= limit else df
+def sized(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Marked for broadcast if its size is known and small; else joined by shuffle, where AQE splits skewed keys.
+
+    The size is that of a written table, or for numbers alone that of so many rows.
+    """
+    known = getattr(df, "_bytes_written", None)
+    if known is None and all(f.dataType.typeName() in _NUMBERS for f in df.schema):
+        known = 8 * (1 + len(df.schema)) * (rows_of(df) if rows is None else rows)
+    return F.broadcast(df) if known is not None and known <= limit else df
 
 
 def components(tables: Tables, edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -99,26 +135,26 @@ def components(tables: Tables, edges: DataFrame, a: str = "a", b: str = "b") ->
     pre-aggregated before any shuffle.
     """
     n = getattr(edges, "_rows_written", None)
-    e = tables.write(edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct(), "edges", n)
-    maps: list[DataFrame] = []
-    while rows_of(e):
-        n = rows_of(e)
-        hook = tables.write(e.groupBy("b").agg(F.min("a").alias("a")).select(F.col("b").alias("node"), F.col("a").alias("up")), "hooks", n)
-        n_nodes = rows_of(hook)
-        for _ in range(2):  # pointer jumping
-            over = sized(hook.select(F.col("node").alias("up"), F.col("up").alias("upper")), n_nodes)
-            hook = hook.join(over, "up", "left").select("node", F.coalesce("upper", "up").alias("up"))
-        hook = tables.write(hook, "parents", n_nodes)
-        maps.append(hook)
-        small = sized(hook, n_nodes)
-        left = small.select(F.col("node").alias("a"), F.col("up").alias("ra"))
-        right = small.select(F.col("node").alias("b"), F.col("up").alias("rb"))
-        moved = e.join(left, "a", "left").join(right, "b", "left").select(F.coalesce("ra", "a").alias("x"), F.coalesce("rb", "b").alias("y"))
-        e = tables.write(moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges", n)
-    nodes = edges.select(F.col(a).alias("node")).union(edges.select(F.col(b).alias("node"))).distinct()
-    out = nodes.withColumn("root", F.col("node"))
-    for hook in maps:
-        up = sized(hook.select(F.col("node").alias("root"), "up"), rows_of(hook))
-        out = out.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root"))
-    edge_rows = getattr(edges, "_rows_written", None)
-    return tables.write(out, "components", None if edge_rows is None else 2 * edge_rows)
+    with Tables(tables.spark) as own:
+        e = own.write(edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct(), "edges", n)
+        maps: list[DataFrame] = []
+        while rows_of(e):
+            n = rows_of(e)
+            hook = own.write(e.groupBy("b").agg(F.min("a").alias("a")).select(F.col("b").alias("node"), F.col("a").alias("up")), "hooks", n)
+            n_nodes = rows_of(hook)
+            for _ in range(2):  # pointer jumping
+                over = sized(hook.select(F.col("node").alias("up"), F.col("up").alias("upper")), n_nodes)
+                hook = hook.join(over, "up", "left").select("node", F.coalesce("upper", "up").alias("up"))
+            hook = own.write(hook, "parents", n_nodes)
+            maps.append(hook)
+            left = sized(hook.select(F.col("node").alias("a"), F.col("up").alias("ra")), n_nodes)
+            right = sized(hook.select(F.col("node").alias("b"), F.col("up").alias("rb")), n_nodes)
+            moved = e.join(left, "a", "left").join(right, "b", "left").select(F.coalesce("ra", "a").alias("x"), F.coalesce("rb", "b").alias("y"))
+            e = own.write(moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges", n)
+        nodes = edges.select(F.col(a).alias("node")).union(edges.select(F.col(b).alias("node"))).distinct()
+        out = nodes.withColumn("root", F.col("node"))
+        for hook in maps:
+            up = sized(hook.select(F.col("node").alias("root"), "up"), rows_of(hook))
+            out = out.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root"))
+        edge_rows = getattr(edges, "_rows_written", None)
+        return tables.write(out, "components", None if edge_rows is None else 2 * edge_rows)

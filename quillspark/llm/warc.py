@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .files import Output, open_input
-from .util import BROADCAST_ROWS, Tables, new_path, rows_of
+from .util import Tables, new_path, sized
 
 #: The magic number of the leading frame, among those that decoders skip.
 SKIPPABLE = 0x184D2A5D
@@ -155,8 +155,9 @@ def write_archives(pages: DataFrame, directory: str, key: str = "page_id", url:
 
     Null payloads are empty. Of equal payloads with at least `least` bytes the row
     with the smallest key is stored, and all rows with that key if it repeats;
-    rows with a null key are stored unless an equal payload has a key. Only
-    digests and keys are shuffled, never payloads.
+    rows with a null key are stored unless an equal payload has a key. Digests and
+    keys are shuffled; payloads only where the digests of repeated payloads are too
+    large to broadcast (`util.BROADCAST_BYTES`), with the same records then.
     """
     spark = pages.sparkSession
     tables = tables or Tables(spark)
@@ -166,11 +167,7 @@ def write_archives(pages: DataFrame, directory: str, key: str = "page_id", url:
         rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 AND first IS NOT NULL").select("digest", "first"),
         "stored",
     )
-    if rows_of(keep) <= BROADCAST_ROWS:
-        rows = rows.join(F.broadcast(keep), "digest", "left")
-    else:  # too many to broadcast: look them up beside the payloads, by key, so that only digests are shuffled
-        revisits = rows.select("key", "digest").join(keep, "digest").select("key", "digest", "first").distinct()
-        rows = rows.join(revisits, ["key", "digest"], "left")
+    rows = rows.join(sized(keep), "digest", "left")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()

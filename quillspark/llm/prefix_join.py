@@ -7,7 +7,8 @@ prefix element stay short unless the sets really are alike.
 
 1. Equal sets are one set, known by a 64-bit digest.
 2. In the list of every prefix element the smallest set leads; each other set is
-   compared with its leaders. Large lists are led part by part, and the parts' leaders
+   compared with the one that leads it most often, then with those leaders that are
+   still in another component. Large lists are led part by part, and the parts' leaders
    by one leader, so no list meets in one task.
 3. Links make components. Lists in which several components are left are searched
    in full: every set outside the largest component against all others. Lists with the
@@ -364,11 +365,13 @@ def fetch_profiles(tables: Tables, df: DataFrame, found: DataFrame, wanted: Data
         return tables.write(rows.mapInArrow(run, "sid long, n int, prefix binary, short binary").join(wanted, "sid", "left_semi").dropDuplicates(["sid"]), "profiles")
 
 
-def _prefixes(tables: Tables, found: DataFrame, wanted: DataFrame, most: int) -> DataFrame:
-    """Rows (sid, n, short), one for each wanted sid. `short` has the upper halves of the prefix's numbers: equal elements have equal ones, so counts of common ones are never too small."""
+def _prefixes(tables: Tables, found: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Rows (sid, n, short), one for each set of the pairs. `short` has the upper halves of the prefix's numbers: equal elements have equal ones, so counts of common ones are never too small."""
     short = F.transform("prefix", lambda x: F.shiftright(x, 32).cast("int"))
-    rows = found.where("size(prefix) > 0").join(sized(tables.write(wanted.distinct(), "wanted", most)), "sid", "left_semi")
-    return tables.write(rows.select("sid", F.col("n").cast("int").alias("n"), short.alias("short")).dropDuplicates(["sid"]), "prefixes")
+    with Tables(tables.spark) as own:
+        wanted = own.write(pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct(), "wanted", 2 * rows_of(pairs))
+        rows = found.where("size(prefix) > 0").join(sized(wanted), "sid", "left_semi")
+        return tables.write(rows.select("sid", F.col("n").cast("int").alias("n"), short.alias("short")).dropDuplicates(["sid"]), "prefixes")
 
 
 def _pair_share(a: int, b: int) -> float:
@@ -474,12 +477,24 @@ def verified(tables: Tables, df: DataFrame, found: DataFrame, pairs: DataFrame,
         return tables.write(dealt.select("a", "kind", "sid", "items").mapInArrow(run, "a long, b long"), "links")
 
 
-def _leader_candidates(tables: Tables, lists: DataFrame, found: DataFrame) -> DataFrame:
+def _leader_pairs(tables: Tables, lists: DataFrame) -> DataFrame:
+    """Rows (a, b, tokens) of leaders and the sets they lead that may be similar, with the number of lists."""
     near = may_start("leader_n", "leader_i", "n", "i") & ((F.col("n") <= F.col("leader_most")) | (F.col("leader_n") <= F.col("most")))
-    pairs = lists.where(near).select(F.col("leader").alias("a"), F.col("sid").alias("b")).distinct()
+    pairs = lists.where(near).groupBy(F.col("leader").alias("a"), F.col("sid").alias("b")).agg(F.count(F.lit(1)).alias("tokens"))
+    return tables.write(pairs, "pairs")
+
+
+def _apart(tables: Tables, pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """The pairs whose sets are in different components."""
+    a = sized(comps.select(F.col("node").alias("a"), F.col("root").alias("ra")), rows_of(comps))
+    b = sized(comps.select(F.col("node").alias("b"), F.col("root").alias("rb")), rows_of(comps))
+    rows = pairs.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
+    return tables.write(rows.select("a", "b"), "apart")
+
+
+def _leader_candidates(tables: Tables, pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
     with Tables(tables.spark) as own:
-        pairs = _dealt(own, own.write(pairs, "pairs"))
-        prefixes = _prefixes(own, found, pairs.select(F.col("a").alias("sid")).union(pairs.select("b")), 2 * rows_of(pairs))
+        pairs = _dealt(own, pairs)
         members = prefixes.join(sized(pairs), prefixes.sid == F.col("b")).select(F.col("a").alias("tree"), "part", F.lit(0).alias("kind"), "sid", "n", "short")
         left = own.write(pairs.select("a", "part").distinct(), "left", rows_of(pairs))
         probes = prefixes.join(sized(left), prefixes.sid == F.col("a")).select(F.col("a").alias("tree"), "part", F.lit(1).alias("kind"), "sid", "n", "short")
@@ -541,11 +556,19 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WI
         stars = star_lists(own, signed)
         lists = with_limits(own, stars)
         own.drop(stars)
-        candidates = _leader_candidates(own, lists, signed)
+        pairs = _leader_pairs(own, lists)
+        prefixes = _prefixes(own, signed, pairs)
         found = own.write(signed.select("key", "n", "sid"), "sets")
         own.drop(signed)
-        links = verified(own, df, found, candidates, key, text, width)
+        first = own.write(pairs.groupBy("b").agg(F.max_by("a", F.struct("tokens", "a")).alias("a")).select("a", "b"), "first", rows_of(pairs))
+        links = verified(own, df, found, _leader_candidates(own, first, prefixes), key, text, width)
         comps = components(own, links)
+        apart = _apart(own, pairs.join(sized(first), ["a", "b"], "left_anti"), comps)
+        if rows_of(apart):
+            new = verified(own, df, found, _leader_candidates(own, apart, prefixes), key, text, width)
+            links = own.write(links.unionByName(new), "links", rows_of(links) + rows_of(new))
+            comps = components(own, links)
+        own.drop(pairs, prefixes)
         profiles = None
         for share in SHARES:
             members = _open_lists(own, lists, comps)

@@ -13,7 +13,8 @@ prefix element stay short unless the sets really are alike.
 3. Links make components. Lists in which several components are left are searched
    in full: every set outside the largest component against all others. Lists with the
    same members are searched once, large ones in parts. Of many candidates for a link
-   between a set and a component a few are tried first, then more, in the end all.
+   between a set and a component a few are tried first; only where some are left, and the
+   two aren't linked by then, more are tried, in the end all.
 
 Comparisons run in prefix trees. With a leader, a walk over the ordered prefixes shares
 the overlap of common beginnings, and leaves out subtrees that can't reach the threshold
@@ -405,43 +406,49 @@ def leader_candidates(groups: DataFrame) -> DataFrame:
     return dealt.select("tree", "part", "kind", "sid", "n", "short").mapInArrow(run, "a long, b long")
 
 
-def list_candidates(groups: DataFrame, share: float) -> DataFrame:
-    """Rows (a, b) of sets that may be similar and whose first common element is that of the list: probes (kind 1) against the tree of the members (kind 0).
+def list_candidates(groups: DataFrame, before: float, share: float) -> DataFrame:
+    """Rows (tree, a, b) of sets that may be similar and whose first common element is that of the list: probes (kind 1) against the tree of the members (kind 0).
 
     Sets of one component (`comp`) aren't compared. Of more than FEW candidates in a
-    component only the given share is returned, and a row (a, null) for the others.
+    component only those up to the given share are returned, without those of the share
+    `before`, and a row (tree, a, null) if there are others.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, tree, sets = None, None, {}
         for batch in batches:
+            lists: list[int] = []
             a: list[int] = []
             b: list[int | None] = []
-            for i, (t, part, kind, sid, n, comp) in enumerate(zip(*(batch[c].to_pylist() for c in ("tree", "part", "kind", "sid", "n", "comp")))):
-                if (t, part) != now:
-                    now, tree, sets = (t, part), PrefixTree(), {}
-                before = np.frombuffer(batch["before"][i].as_buffer(), np.uint64)
+            for i, (t, part, block, kind, sid, n, comp) in enumerate(zip(*(batch[c].to_pylist() for c in ("tree", "part", "block", "kind", "sid", "n", "comp")))):
+                if (t, part, block) != now:
+                    now, tree, sets = (t, part, block), PrefixTree(), {}
+                ahead = np.frombuffer(batch["before"][i].as_buffer(), np.uint64)
                 short = counted(np.frombuffer(batch["short"][i].as_buffer(), np.uint8))
                 if kind == 0:
-                    tree.insert(before.copy(), n, sid, comp)
+                    tree.insert(ahead.copy(), n, sid, comp)
                     sets[sid] = (n, short)
                     continue
                 by: dict[int, list[int]] = {}
-                for other, own in tree.search_first(before, n, comp):
+                for other, own in tree.search_first(ahead, n, comp):
                     size, theirs = sets[other]
                     if similar(most_common(short, theirs), n, size):
                         by.setdefault(own, []).append(other)
+                more = False
                 for found in by.values():
-                    some = found if len(found) <= FEW or share >= 1 else [x for x in found if _pair_share(sid, x) < share]
-                    a += [sid] * len(some)
-                    b += some
-                    if len(some) < len(found):
-                        a.append(sid)
-                        b.append(None)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                    if len(found) > FEW:
+                        shares = [_pair_share(sid, x) for x in found]
+                        more = more or any(x >= share for x in shares)
+                        found = [x for x, y in zip(found, shares) if before <= y < share]
+                    b += found
+                if more:
+                    b.append(None)
+                a += [sid] * (len(b) - len(a))
+                lists += [t] * (len(b) - len(lists))
+            yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["tree", "a", "b"])
 
-    dealt = groups.repartition("tree", "part").sortWithinPartitions("tree", "part", "kind", "sid")
-    return dealt.select("tree", "part", "kind", "sid", "n", "comp", "before", "short").mapInArrow(run, "a long, b long")
+    dealt = groups.repartition("tree", "part", "block").sortWithinPartitions("tree", "part", "block", "kind", "sid")
+    return dealt.select("tree", "part", "block", "kind", "sid", "n", "comp", "before", "short").mapInArrow(run, "tree long, a long, b long")
 
 
 def _dealt(own: Tables, pairs: DataFrame) -> DataFrame:
@@ -527,18 +534,29 @@ def _open_lists(tables: Tables, lists: DataFrame, comps: DataFrame) -> DataFrame
         return tables.write(members.join(sized(own.write(sizes, "sizes", rows_of(members))), "token"), "open_members", rows_of(members))
 
 
-def _list_candidates(tables: Tables, members: DataFrame, profiles: DataFrame, share: float) -> DataFrame:
+def _probes(tables: Tables, members: DataFrame) -> DataFrame:
+    """Rows (token, sid): the members of the lists outside the largest component of each."""
     with Tables(tables.spark) as own:
         per = members.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"))
         base = own.write(per.groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("base")), "base", rows_of(members))
-        rows = members.join(sized(base), "token").withColumn("parts", (F.col("m") / TREE_SETS + 1).cast("int"))
-        inside = rows.select("token", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("kind"), "sid", "i", "comp")
-        outside = rows.where("comp <> base").select("token", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("kind"), "sid", "i", "comp")
-        groups = own.write(inside.union(outside), "trees", 2 * rows_of(members))
-        before = F.substring("prefix", F.lit(1), 8 * F.col("i"))
-        trees = profiles.join(sized(groups), "sid").select(F.col("token").alias("tree"), "part", "kind", "sid", "n", "comp", before.alias("before"), "short")
-        both = list_candidates(trees, share)
-        return tables.write(both.select(F.least("a", F.coalesce("b", "a")).alias("a"), F.when(F.col("b").isNotNull(), F.greatest("a", "b")).alias("b")).distinct(), "candidates")
+        return tables.write(members.join(sized(base), "token").where("comp <> base").select("token", "sid"), "probes", rows_of(members))
+
+
+def _list_candidates(tables: Tables, members: DataFrame, probes: DataFrame, comps: DataFrame, profiles: DataFrame, before: float, share: float) -> DataFrame:
+    """Rows (tree, a, b) of `list_candidates`. Of long lists both the trees and the probes are dealt out in parts."""
+    with Tables(tables.spark) as own:
+        counts = own.write(probes.groupBy("token").agg((F.count(F.lit(1)) / TREE_SETS + 1).cast("int").alias("blocks")), "counts", rows_of(probes))
+        roots = sized(comps.select(F.col("node").alias("sid"), "root"), rows_of(comps))
+        rows = members.drop("comp").join(sized(counts), "token").join(roots, "sid", "left").withColumn("comp", F.coalesce("root", "sid"))
+        rows = own.write(rows.select("token", "sid", "i", "comp", "blocks", (F.col("m") / TREE_SETS + 1).cast("int").alias("parts")), "rows", rows_of(members))
+        all_ = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        some = lambda n, salt: F.pmod(F.xxhash64("sid", F.lit(salt)), F.col(n)).cast("int")
+        inside = rows.select("token", some("parts", 0).alias("part"), all_("blocks").alias("block"), F.lit(0).alias("kind"), "sid", "i", "comp")
+        outside = rows.join(sized(probes), ["token", "sid"], "left_semi").select("token", all_("parts").alias("part"), some("blocks", 1).alias("block"), F.lit(1).alias("kind"), "sid", "i", "comp")
+        groups = own.write(inside.union(outside), "trees")
+        trees = profiles.join(sized(groups), "sid").select(F.col("token").alias("tree"), "part", "block", "kind", "sid", "n", "comp", F.substring("prefix", F.lit(1), 8 * F.col("i")).alias("before"), "short")
+        both = list_candidates(trees, before, share)
+        return tables.write(both.select("tree", F.when(F.col("b").isNull(), F.col("a")).otherwise(F.least("a", "b")).alias("a"), F.when(F.col("b").isNotNull(), F.greatest("a", "b")).alias("b")), "candidates")
 
 
 def join(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, tables: Tables | None = None) -> DataFrame:
@@ -569,23 +587,23 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WI
             links = own.write(links.unionByName(new), "links", rows_of(links) + rows_of(new))
             comps = components(own, links)
         own.drop(pairs, prefixes)
-        profiles = None
-        for share in SHARES:
-            members = _open_lists(own, lists, comps)
-            if not rows_of(members):
-                break
-            if profiles is None:  # components only grow, so later lists have no other members
-                profiles = fetch_profiles(own, df, found, members.select("sid").distinct(), frequent, key, text, width, rows_of(members))
-            candidates = _list_candidates(own, members, profiles, share)
-            own.drop(members)
-            more = own.write(candidates.where("b IS NOT NULL"), "more", rows_of(candidates))
-            if rows_of(more):
-                new = verified(own, df, found, more, key, text, width)
-                links = own.write(links.unionByName(new), "links", rows_of(links) + rows_of(new))
-                own.drop(comps)
-                comps = components(own, links)
-            if rows_of(more) == rows_of(candidates):
-                break
+        members = _open_lists(own, lists, comps)
+        own.drop(lists)
+        if rows_of(members):
+            profiles = fetch_profiles(own, df, found, members.select("sid").distinct(), frequent, key, text, width, rows_of(members))
+            probes, before = _probes(own, members), 0.0
+            for share in SHARES:
+                if not rows_of(probes):
+                    break
+                candidates = _list_candidates(own, members, probes, comps, profiles, before, share)
+                more = own.write(candidates.where("b IS NOT NULL").select("a", "b").distinct(), "more", rows_of(candidates))
+                probes = own.write(candidates.where("b IS NULL").select(F.col("tree").alias("token"), F.col("a").alias("sid")).distinct(), "probes", rows_of(candidates))
+                before = share
+                if rows_of(more):
+                    new = verified(own, df, found, more, key, text, width)
+                    links = own.write(links.unionByName(new), "links", rows_of(links) + rows_of(new))
+                    own.drop(comps)
+                    comps = components(own, links)
         rows = found.join(sized(comps), found.sid == comps.node, "left").select("key", "n", F.coalesce("root", "sid").alias("group"))
         rows = tables.write(rows, "rows")
     named = tables.write(rows.where("`group` IS NOT NULL").groupBy("group").agg(F.min("key").alias("component"), F.count(F.lit(1)).alias("size")).where("size > 1").select("group", "component"), "named")

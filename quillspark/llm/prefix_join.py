@@ -12,9 +12,9 @@ prefix element stay short unless the sets really are alike.
    by one leader, so no list meets in one task.
 3. Links make components. Lists in which several components are left are searched
    in full: every set outside the largest component against all others. Lists with the
-   same members are searched once, large ones in parts. Of many candidates for a link
-   between a set and a component a few are tried first; only where some are left, and the
-   two aren't linked by then, more are tried, in the end all.
+   same members are searched once, large ones in parts. A set's search ends at a few
+   candidates first; where it did, it is done again among the components as they are by
+   then, which leaves out all that is linked, with more candidates, in the end with all.
 
 Comparisons run in prefix trees. With a leader, a walk over the ordered prefixes shares
 the overlap of common beginnings, and leaves out subtrees that can't reach the threshold
@@ -53,9 +53,9 @@ TREE_SETS = 2048
 RATIO = 287_684
 #: Sets whose prefix a task has already given.
 SEEN = 1 << 20
-#: Of more than FEW candidates between a set and a component these shares are tried in turn, by the hash of the pair.
-FEW = 8
-SHARES = (1 / 64, 1 / 8, 1.0)
+#: Candidates that a set in a list may have in the first round, and how many times as many in the second; the third has no limit.
+FEW = 4
+MORE = 16
 
 
 def similar(common: int, a: int, b: int) -> bool:
@@ -375,10 +375,6 @@ def _prefixes(tables: Tables, found: DataFrame, pairs: DataFrame) -> DataFrame:
         return tables.write(rows.select("sid", F.col("n").cast("int").alias("n"), short.alias("short")).dropDuplicates(["sid"]), "prefixes")
 
 
-def _pair_share(a: int, b: int) -> float:
-    return int.from_bytes(hashlib.blake2b(b"%d %d" % (min(a, b), max(a, b)), digest_size=8).digest(), "little") / 2.0**64
-
-
 def leader_candidates(groups: DataFrame) -> DataFrame:
     """Rows (a, b) of leaders and sets that may be similar: in every (tree, part) the probe (kind 1) against the tree of the members (kind 0).
 
@@ -406,12 +402,11 @@ def leader_candidates(groups: DataFrame) -> DataFrame:
     return dealt.select("tree", "part", "kind", "sid", "n", "short").mapInArrow(run, "a long, b long")
 
 
-def list_candidates(groups: DataFrame, before: float, share: float) -> DataFrame:
+def list_candidates(groups: DataFrame, limit: int | None) -> DataFrame:
     """Rows (tree, a, b) of sets that may be similar and whose first common element is that of the list: probes (kind 1) against the tree of the members (kind 0).
 
-    Sets of one component (`comp`) aren't compared. Of more than FEW candidates in a
-    component only those up to the given share are returned, without those of the share
-    `before`, and a row (tree, a, null) if there are others.
+    Sets of one component (`comp`) aren't compared. The search for a probe ends at more
+    than `limit` candidates; a row (tree, a, null) then says that there are others.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -429,20 +424,15 @@ def list_candidates(groups: DataFrame, before: float, share: float) -> DataFrame
                     tree.insert(ahead.copy(), n, sid, comp)
                     sets[sid] = (n, short)
                     continue
-                by: dict[int, list[int]] = {}
-                for other, own in tree.search_first(ahead, n, comp):
+                found = 0
+                for other, _ in tree.search_first(ahead, n, comp):
                     size, theirs = sets[other]
                     if similar(most_common(short, theirs), n, size):
-                        by.setdefault(own, []).append(other)
-                more = False
-                for found in by.values():
-                    if len(found) > FEW:
-                        shares = [_pair_share(sid, x) for x in found]
-                        more = more or any(x >= share for x in shares)
-                        found = [x for x, y in zip(found, shares) if before <= y < share]
-                    b += found
-                if more:
-                    b.append(None)
+                        if found == limit:
+                            b.append(None)
+                            break
+                        b.append(other)
+                        found += 1
                 a += [sid] * (len(b) - len(a))
                 lists += [t] * (len(b) - len(lists))
             yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["tree", "a", "b"])
@@ -542,7 +532,7 @@ def _probes(tables: Tables, members: DataFrame) -> DataFrame:
         return tables.write(members.join(sized(base), "token").where("comp <> base").select("token", "sid"), "probes", rows_of(members))
 
 
-def _list_candidates(tables: Tables, members: DataFrame, probes: DataFrame, comps: DataFrame, profiles: DataFrame, before: float, share: float) -> DataFrame:
+def _list_candidates(tables: Tables, members: DataFrame, probes: DataFrame, comps: DataFrame, profiles: DataFrame, limit: int | None) -> DataFrame:
     """Rows (tree, a, b) of `list_candidates`. Of long lists both the trees and the probes are dealt out in parts."""
     with Tables(tables.spark) as own:
         counts = own.write(probes.groupBy("token").agg((F.count(F.lit(1)) / TREE_SETS + 1).cast("int").alias("blocks")), "counts", rows_of(probes))
@@ -555,7 +545,7 @@ def _list_candidates(tables: Tables, members: DataFrame, probes: DataFrame, comp
         outside = rows.join(sized(probes), ["token", "sid"], "left_semi").select("token", all_("parts").alias("part"), some("blocks", 1).alias("block"), F.lit(1).alias("kind"), "sid", "i", "comp")
         groups = own.write(inside.union(outside), "trees")
         trees = profiles.join(sized(groups), "sid").select(F.col("token").alias("tree"), "part", "block", "kind", "sid", "n", "comp", F.substring("prefix", F.lit(1), 8 * F.col("i")).alias("before"), "short")
-        both = list_candidates(trees, before, share)
+        both = list_candidates(trees, limit)
         return tables.write(both.select("tree", F.when(F.col("b").isNull(), F.col("a")).otherwise(F.least("a", "b")).alias("a"), F.when(F.col("b").isNotNull(), F.greatest("a", "b")).alias("b")), "candidates")
 
 
@@ -591,14 +581,13 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WI
         own.drop(lists)
         if rows_of(members):
             profiles = fetch_profiles(own, df, found, members.select("sid").distinct(), frequent, key, text, width, rows_of(members))
-            probes, before = _probes(own, members), 0.0
-            for share in SHARES:
+            probes = _probes(own, members)
+            for limit in (FEW, FEW * MORE, None):
                 if not rows_of(probes):
                     break
-                candidates = _list_candidates(own, members, probes, comps, profiles, before, share)
+                candidates = _list_candidates(own, members, probes, comps, profiles, limit)
                 more = own.write(candidates.where("b IS NOT NULL").select("a", "b").distinct(), "more", rows_of(candidates))
                 probes = own.write(candidates.where("b IS NULL").select(F.col("tree").alias("token"), F.col("a").alias("sid")).distinct(), "probes", rows_of(candidates))
-                before = share
                 if rows_of(more):
                     new = verified(own, df, found, more, key, text, width)
                     links = own.write(links.unionByName(new), "links", rows_of(links) + rows_of(new))

@@ -19,16 +19,18 @@ from quillspark.llm.util import Tables, rows_of, ship, sized
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the multiple-instance model finds toxic; it learns from the labels of documents of this stage."""
     labels = ship(spark).read.parquet(f"{sf_dir}/labels.parquet")
-    return toxicity.reject(docs, toxicity.train(docs, labels))
+    with Tables(spark) as own:
+        return toxicity.reject(docs, toxicity.train(docs, labels, tables=own))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest doc_id. Rows with equal doc_ids are one document, of which the first by text stays."""
     tables = Tables(ship(spark))
-    groups = tables.write(prefix_join.join(docs, tables=tables), "groups")
-    copies = tables.write(groups.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
+    with Tables(spark) as own:
+        groups = own.write(prefix_join.join(docs, tables=own), "groups")
+        copies = tables.write(groups.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
+        repeated = tables.write(groups.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id"), "repeated")
     kept = docs.join(sized(copies), "doc_id", "left_anti")
-    repeated = tables.write(groups.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id"), "repeated")
     n = rows_of(repeated)
     if n:
         few = sized(repeated, n)
@@ -41,8 +43,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents of which benchmark passages are a twentieth of the words or more."""
     tables = Tables(ship(spark))
-    found = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), tables=tables)
-    bad = tables.write(found.where("contaminated").select("doc_id").distinct(), "contaminated")
+    with Tables(spark) as own:
+        found = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), tables=own)
+        bad = tables.write(found.where("contaminated").select("doc_id").distinct(), "contaminated")
     return docs.join(sized(bad), "doc_id", "left_anti").select(docs.columns)
 
 
@@ -64,9 +67,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole of `documents`, each written and read again."""
+    """All stages over the whole of `documents`, each written and read again; a stage's output goes once the next one's is written."""
     tables = Tables(ship(spark))
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = tables.write(stage(spark, docs, sf_dir), name)
+    for i, (name, stage) in enumerate(STAGES):
+        after = tables.write(stage(spark, docs, sf_dir), name)
+        if i:
+            tables.drop(docs)
+        docs = after
     return docs

@@ -66,15 +66,6 @@ styles AS (SELECT event_id AS quote_id, ['tagged', 'pronoun_tagged', 'first_pers
 scored AS (SELECT quote_id, speaker, confidence, coalesce(actual, 'unknown') AS actual FROM predicted LEFT JOIN gold USING (quote_id))"""
 
 
-def voices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A voice catalogue of fixed size: the first embeddings as pitch and brightness."""
-    e = table(spark, sf_dir, "embeddings").where("vec_id < 40")
-    return e.select(
-        F.col("vec_id").cast("int").alias("pos"), F.concat(F.lit("voice-"), F.col("vec_id").cast("string")).alias("id"), (F.col("vec_id") == 0).alias("narrator_reserved"),
-        F.when(F.col("vec_id") % 9 != 4, 160 + F.element_at("embedding", 1).cast("double") * 45).alias("f0"), (1900 + F.element_at("embedding", 2).cast("double") * 400).alias("centroid"),
-    )
-
-
 def nation_voices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A voice catalogue: every nation, with pitch and brightness from its key; one in nine isn't measured."""
     n = table(spark, sf_dir, "nation")
@@ -86,9 +77,9 @@ def nation_voices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 VOICES = """voices AS (
-  SELECT CAST(vec_id AS INTEGER) AS pos, 'voice-' || vec_id AS id, vec_id = 0 AS narrator_reserved,
-         CASE WHEN vec_id % 9 <> 4 THEN 160 + CAST(embedding[1] AS DOUBLE) * 45 END AS f0, 1900 + CAST(embedding[2] AS DOUBLE) * 400 AS centroid
-  FROM embeddings WHERE vec_id < 40)"""
+  SELECT CAST(n_nationkey AS INTEGER) AS pos, 'voice-' || n_nationkey AS id, n_nationkey = 0 AS narrator_reserved,
+         CASE WHEN n_nationkey % 9 <> 4 THEN 160 + (n_nationkey * 7 % 25 - 12) / 12 * 45 END AS f0, 1900 + (n_nationkey * 11 % 25 - 12) / 12 * 400 AS centroid
+  FROM nation)"""
 
 
 def names(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import speech, text
 from ..operators import attribute, audio, casting, evaluate, names, segment, store, structure
 from ..sources import markup
-from .inputs import DIALOGUE, NAMES, PREDICTIONS, SEGMENTS, VOICES, dialogue, nation_voices, predictions, segments, table, voices
+from .inputs import DIALOGUE, NAMES, PREDICTIONS, SEGMENTS, VOICES, dialogue, nation_voices, predictions, segments, table
 from .inputs import names as book_names
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,12 +77,12 @@ def running_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     regexp_matches(x, '"[^"]{1,500}"') OR regexp_matches(x, '[—–]') AS is_dialogue,
     CASE WHEN len(regexp_extract_all(x, '(?:^|\s)[''‘’]')) > len(regexp_extract_all(x, '(?:^|\s)["“”„]')) THEN 'single' ELSE 'double' END AS quote_style,
     sha256(text || chr(0) || source) AS hash, replace(replace(lower(source || ' No. ' || lang), ' ', '_'), '.', '') AS slug
-    FROM (SELECT *, CASE WHEN doc_id % 3 = 0 THEN '"' || left(text, 40) || '" ' || source WHEN doc_id % 3 = 1 THEN text || ' ''so' ELSE text END AS x FROM documents)"""
+    FROM (SELECT *, CASE WHEN doc_id % 3 = 0 THEN '"' || text || '" ' || source WHEN doc_id % 3 = 1 THEN text || ' ''so' ELSE text END AS x FROM documents)"""
 )
 def text_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C9, C15, C22, C23, C24, C34."""
     d = table(spark, sf_dir, "documents")
-    x = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit('"'), F.substring("text", 1, 40), F.lit('" '), "source")).when(F.col("doc_id") % 3 == 1, F.concat("text", F.lit(" 'so"))).otherwise(F.col("text"))
+    x = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit('"'), "text", F.lit('" '), "source")).when(F.col("doc_id") % 3 == 1, F.concat("text", F.lit(" 'so"))).otherwise(F.col("text"))
     return d.select(
         "doc_id", text.word_count(F.col("text")).cast("long").alias("words"), text.preview(F.col("text")).alias("preview"), text.detect_dialogue(x).alias("is_dialogue"),
         text.detect_quote_style(x).alias("quote_style"), text.text_hash(F.col("text"), F.col("source")).alias("hash"), text.character_slug(F.concat_ws(" No. ", "source", "lang")).alias("slug"),
@@ -429,14 +429,14 @@ def adjacency_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _PROFILE = """SELECT doc_id, CASE WHEN m + f + n = 0 THEN 'unknown' WHEN m >= f AND m >= n THEN 'male' WHEN f >= n THEN 'female' ELSE 'nonbinary' END AS gender,
     CASE WHEN m + f + n = 0 THEN CAST(0.0 AS DOUBLE) WHEN list_sort([m, f, n])[3] = list_sort([m, f, n])[2] THEN round(round(greatest(m, f, n) / (m + f + n), 4) * 0.5, 4) ELSE round(greatest(m, f, n) / (m + f + n), 4) END AS gender_confidence
-    FROM (SELECT doc_id, len(regexp_extract_all(x, '(?i)\\b(he|him|his)\\b')) AS m, len(regexp_extract_all(x, '(?i)\\b(she|her|hers)\\b')) AS f, len(regexp_extract_all(x, '(?i)\\b(they|them|their|theirs)\\b')) AS n FROM
-      (SELECT doc_id, regexp_replace(regexp_replace(text, '\\bthe\\b', 'they', 'g'), '\\b(in|of)\\b', 'she', 'g') || ' him' AS x FROM documents WHERE lang = 'en'))"""
+    FROM (SELECT doc_id, len(regexp_extract_all(x, '(?i) (he|him|his) ')) AS m, len(regexp_extract_all(x, '(?i) (she|her|hers) ')) AS f, len(regexp_extract_all(x, '(?i) (they|them|their|theirs) ')) AS n FROM
+      (SELECT doc_id, regexp_replace(replace(x, ' the ', ' they '), ' (in|of) ', ' she ', 'g') || '  him ' AS x FROM (SELECT doc_id, ' ' || regexp_replace(text, '[^\\p{L}\\p{N}_]', '  ', 'g') || ' ' AS x FROM documents)))"""
 
 
 @query(_PROFILE)
 def profile_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G6 (English texts with pronouns put in)."""
-    d = table(spark, sf_dir, "documents").where("lang = 'en'")
+    """G6, on texts with pronouns put in."""
+    d = table(spark, sf_dir, "documents")
     x = F.concat(F.regexp_replace(F.regexp_replace("text", r"\bthe\b", "they"), r"\b(in|of)\b", "she"), F.lit(" him"))
     gender, sure = casting.infer_gender(x)
     return d.select("doc_id", gender.alias("gender"), sure.alias("gender_confidence"))
@@ -455,8 +455,8 @@ def profile_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {VOICES} SELECT a.id AS a, b.id AS b, CASE WHEN a.f0 IS NULL OR b.f0 IS NULL THEN CAST('inf' AS DOUBLE) ELSE round(sqrt(((a.f0 - b.f0) / 45) ** 2 + ((a.centroid - b.centroid) / 400) ** 2), 9) END AS distance FROM voices a JOIN voices b ON a.pos < b.pos"""
 )
 def voice_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C26; the catalogue is a dimension of forty voices."""
-    v = voices(spark, sf_dir)
+    """C26, of all voices of a catalogue."""
+    v = nation_voices(spark, sf_dir)
     a, b = v.alias("a"), v.alias("b")
     return a.join(F.broadcast(b), F.col("a.pos") < F.col("b.pos")).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.round(audio.acoustic_distance(F.col("a.f0"), F.col("a.centroid"), F.col("b.f0"), F.col("b.centroid")), 9).alias("distance"))
 
@@ -471,7 +471,7 @@ def voice_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = segments(spark, sf_dir).where("speaker_id NOT IN ('narrator', 'unknown')")
     c = s.groupBy("book_id", F.col("speaker_id").alias("id")).agg(F.count(F.lit(1)).alias("line_count"), F.min("seg_idx").alias("first_seen"))
     c = c.select("book_id", "id", F.col("id").alias("name"), "line_count", "first_seen", F.lit(False).alias("user_locked"), F.lit(None).cast("string").alias("locked_voice"))
-    return casting.assign_in_order(c, voices(spark, sf_dir))
+    return casting.assign_in_order(c, nation_voices(spark, sf_dir))
 
 
 @query()
@@ -605,22 +605,26 @@ _PRF = "round(CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END, 9) AS precis
 
 
 @query(
-    f"""WITH g AS (SELECT DISTINCT c_nationkey AS canonical, c_mktsegment AS alias FROM customer WHERE c_custkey % 3 <> 0), p AS (SELECT DISTINCT c_nationkey AS canonical, c_mktsegment AS alias FROM customer WHERE c_custkey % 11 = 0),
+    f"""WITH g AS (SELECT DISTINCT c_nationkey AS canonical, c_mktsegment || c_custkey % 50 AS alias FROM customer),
+    p AS (SELECT DISTINCT c_nationkey AS canonical, c_mktsegment || c_custkey % CASE WHEN c_custkey % 3 = 0 THEN 70 ELSE 50 END AS alias FROM customer),
     c AS (SELECT (SELECT count(*) FROM (FROM g INTERSECT FROM p)) AS tp, (SELECT count(*) FROM (FROM p EXCEPT FROM g)) AS fp, (SELECT count(*) FROM (FROM g EXCEPT FROM p)) AS fn) SELECT tp, fp, fn, {_PRF} FROM c"""
 )
 def alias_prf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F7, G11, D11, J2."""
-    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("canonical"), F.col("c_mktsegment").alias("alias"))
-    return evaluate.alias_prf(c.where("c_custkey % 3 <> 0"), c.where("c_custkey % 11 = 0")).withColumns({x: F.round(x, 9) for x in ("precision", "recall", "f1")})
+    c = table(spark, sf_dir, "customer")
+    gold, other = (c.select(F.col("c_nationkey").alias("canonical"), F.concat("c_mktsegment", (F.col("c_custkey") % n).cast("string")).alias("alias")) for n in (F.lit(50), F.when(F.col("c_custkey") % 3 == 0, 70).otherwise(50)))
+    return evaluate.alias_prf(gold, other).withColumns({x: F.round(x, 9) for x in ("precision", "recall", "f1")})
 
 
 @query(
-    f"""WITH c AS (SELECT count(*) FILTER (WHERE event_id % 3 <> 0 AND event_id % 4 <> 0) AS tp, count(*) FILTER (WHERE event_id % 3 = 0 AND event_id % 4 <> 0) AS fp, count(*) FILTER (WHERE event_id % 3 <> 0 AND event_id % 4 = 0) AS fn FROM events) SELECT tp, fp, fn, {_PRF} FROM c"""
+    f"""WITH g AS (SELECT CASE WHEN event_id % 3 = 0 THEN -2 * event_id - 2 ELSE event_id END AS id, event_type FROM events), p AS (SELECT CASE WHEN event_id % 4 = 0 THEN -2 * event_id - 1 ELSE event_id END AS id, event_type FROM events),
+    c AS (SELECT (SELECT count(*) FROM g JOIN p USING (id)) AS tp, (SELECT count(*) FROM p WHERE id NOT IN (SELECT id FROM g)) AS fp, (SELECT count(*) FROM g WHERE id NOT IN (SELECT id FROM p)) AS fn) SELECT tp, fp, fn, {_PRF} FROM c"""
 )
 def alignment_prf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F6, G16, J1."""
-    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("quote_id"), F.col("event_type").alias("text"))
-    return evaluate.alignment(e.where("quote_id % 3 <> 0"), e.where("quote_id % 4 <> 0"))[1].withColumns({x: F.round(x, 9) for x in ("precision", "recall", "f1")})
+    e, i = table(spark, sf_dir, "events"), F.col("event_id")
+    gold, other = (e.select(F.when(i % k == 0, -2 * i - minus).otherwise(i).alias("quote_id"), F.col("event_type").alias("text")) for k, minus in ((3, 2), (4, 1)))
+    return evaluate.alignment(gold, other)[1].withColumns({x: F.round(x, 9) for x in ("precision", "recall", "f1")})
 
 
 @query(

@@ -1,7 +1,8 @@
 """Media columns: payloads stored as WAV members of ZIP archives, read by a Spark data source.
 
-The source lists an archive directory, cuts every archive into byte ranges, and
-reads in each range the members whose header begins there. Payloads leave it in
+The source lists an archive directory, or those of its archives that a manifest
+names, cuts every archive into byte ranges, and reads in each range the members
+whose header begins there. Payloads leave it in
 Arrow batches of bounded size. A member that fails is read again by its offset,
 without reading its neighbours again.
 """
@@ -11,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import time
+import uuid
 import zipfile
 import zlib
 from collections.abc import Iterator
@@ -115,7 +117,11 @@ class Range(InputPartition):
 
 
 class MediaSource(DataSource):
-    """`spark.read.format("media_archive").option("path", directory)`: rows name, path, offset, media."""
+    """`spark.read.format("media_archive").option("path", directory)`: rows name, path, offset, media.
+
+    Option `manifest`: a file with the name of an archive a line; others in the directory, which
+    a repeated task may have left, aren't read, and a named one that is missing is an error.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -130,13 +136,20 @@ class MediaSource(DataSource):
 
 class MediaReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
-        self.path = options["path"]
+        self.path, self.manifest = options["path"], options.get("manifest")
         self.range_bytes = int(options.get("rangebytes", RANGE_BYTES))
         self.retries = int(options.get("retries", RETRIES))
         self.batch_bytes = int(options.get("batchbytes", BATCH_BYTES))
 
     def partitions(self) -> list[Range]:
-        ranges = [Range(path, at, min(size, at + self.range_bytes)) for path, size in listing(self.path, SUFFIX) for at in range(0, size, self.range_bytes)]
+        archives = listing(self.path, SUFFIX)
+        if self.manifest:
+            with open_input(self.manifest) as file:
+                named = set(file.read().decode().split())
+            archives = [(path, size) for path, size in archives if path.rpartition("/")[2] in named]
+            if len(archives) < len(named):
+                raise FileNotFoundError(f"{self.path}: {len(named) - len(archives)} archives of the manifest are missing")
+        ranges = [Range(path, at, min(size, at + self.range_bytes)) for path, size in archives for at in range(0, size, self.range_bytes)]
         return ranges or [Range("", 0, 0)]
 
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
@@ -216,8 +229,21 @@ def features(media: DataFrame, key: str = "doc_id") -> DataFrame:
     return media.select("name", "media").mapInArrow(run, f"`{key}` long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
+def write_manifest(archives: DataFrame, directory: str) -> str:
+    """Name the archives of `write_members` rows in a file: one line for each of some 256 MB, passed through the driver a partition at a time."""
+    path = f"{directory}/{uuid.uuid4().hex}.manifest"
+    out = Output(path)
+    for row in archives.select("path").distinct().toLocalIterator():
+        out.write((row["path"].rpartition("/")[2] + "\n").encode())
+    out.close()
+    return path
+
+
 def store_and_read(spark: SparkSession, df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Store all texts in a new archive directory in the shared folder, read them back by the source, and return the features."""
+    """Store all texts in a new archive directory in the shared folder, read them back by the source, and return the features.
+
+    Every row is a member of its own, repeated ones too. Only archives of committed tasks are read.
+    """
     directory = new_path(spark, "media")
-    write_members(df, directory, key, text)
-    return features(read_members(spark, directory), key)
+    archives = write_members(df, directory, key, text)
+    return features(read_members(spark, directory, manifest=write_manifest(archives, directory)), key)

@@ -107,6 +107,17 @@ def test_media_ranges_cover_every_member_once(shared, documents):
     assert sorted(map(tuple, whole.select("name", "offset").collect())) == sorted(map(tuple, parts.select("name", "offset").collect()))
 
 
+def test_archives_of_other_attempts_are_not_read(shared, documents):
+    from quillspark.llm.util import new_path
+
+    folder = new_path(shared, "media")
+    archives = media.write_members(documents("one", "two", "two").repartition(2), folder)
+    media.write_members(documents("one", "other"), folder)
+    manifest = media.write_manifest(archives, folder)
+    assert media.read_members(shared, folder).count() == 5
+    assert sorted(r.n_bytes for r in media.features(media.read_members(shared, folder, manifest=manifest)).collect()) == [3, 3, 3]
+
+
 def test_media_member_is_read_again_after_a_failure(tmp_path):
     import zipfile
 

@@ -7,7 +7,6 @@ host that links to bad ones is suspect. All of it is DataFrame operations.
 
 from __future__ import annotations
 
-import math
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -68,9 +67,10 @@ def rank(tables: Tables, edges: DataFrame, seeds: DataFrame, damping: float = DA
     """Rows (host, score): personalised PageRank over edges (src, dst, w) from seeds (host, mass).
 
     Scores sum to 1. The rank of hosts without links goes back to the seeds. Ends
-    when the sum of changes is below the tolerance. After k steps it is at most
-    2 * damping^k, which bounds their number. Only sums over links are shuffled,
-    pre-aggregated on the map side.
+    when the sum of changes is below the tolerance and the last step has reached no
+    new host, so every host that a seed leads to has a score. After k steps the change
+    is at most 2 * damping^k; beyond that the steps are those of the longest of the
+    shortest paths. Only sums over links are shuffled, pre-aggregated on the map side.
     """
     total = seeds.agg(F.sum("mass")).first()[0] or 0.0
     if not total:
@@ -80,8 +80,8 @@ def rank(tables: Tables, edges: DataFrame, seeds: DataFrame, damping: float = DA
     shares = tables.write(edges.join(sized(tables.write(outgoing, "outgoing")), "src").select("src", "dst", (F.col("w") / F.col("all")).alias("share")), "shares")
     if not rows_of(shares):
         return start.select("host", F.col("start").alias("score"))
-    scores = start.select("host", F.col("start").alias("score"))
-    for _ in range(math.ceil(math.log(tolerance / 2) / math.log(damping)) + 1):
+    scores = tables.write(start.select("host", F.col("start").alias("score")), "scores")
+    while True:
         flow = shares.join(sized(scores), shares.src == scores.host).groupBy("dst").agg(F.sum(F.col("score") * F.col("share")).alias("flow"))
         flow = tables.write(flow, "flow")
         back = 1.0 - damping * (flow.agg(F.sum("flow")).first()[0] or 0.0)
@@ -91,10 +91,9 @@ def rank(tables: Tables, edges: DataFrame, seeds: DataFrame, damping: float = DA
         )
         after = tables.write(after, "scores")
         change = after.join(scores.withColumnRenamed("score", "before"), "host", "full").agg(F.sum(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("before", F.lit(0.0))))).first()[0]
-        scores = after
-        if change < tolerance:
-            break
-    return scores
+        grown, scores = rows_of(after) > rows_of(scores), after
+        if change < tolerance and not grown:
+            return scores
 
 
 def host_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:

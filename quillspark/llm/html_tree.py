@@ -26,7 +26,7 @@ CLOSES = {
 ENDS_P = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
 )
-#: Deeper elements are read as part of the one at this depth.
+#: Deeper elements are read as part of the one at this depth: they begin and end blocks there, and end nothing else.
 DEPTH = 200
 
 _TOKEN = re.compile(
@@ -54,6 +54,7 @@ def parse(page: str) -> Element:
     """The tree of a page; text is kept as it is written. Whatever is cut off or unbalanced still gives a tree."""
     root = Element("")
     stack = [root]
+    deep: dict[str, int] = {}
     at, n = 0, len(page)
     search = _TOKEN.search
     while at < n:
@@ -69,9 +70,15 @@ def parse(page: str) -> Element:
             continue
         tag = name.lower()
         if end:
+            if deep.get(tag):  # ends one that wasn't opened for its depth
+                deep[tag] -= 1
+                if tag not in INLINE:
+                    stack[-1].kids.append(Element(tag))
+                continue
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
                     del stack[k:]
+                    deep.clear()
                     break
             continue
         if tag in ENDS_P:
@@ -88,6 +95,10 @@ def parse(page: str) -> Element:
                 stack.append(element)
             elif tag not in VOID:
                 stack.append(element)
+        else:
+            deep[tag] = deep.get(tag, 0) + 1
+            if tag not in INLINE:
+                stack[-1].kids.append(Element(tag))
     return root
 
 

@@ -148,6 +148,15 @@ def test_warc_round_trip(shared):
     assert warc.archive(shared, pages.limit(0)).count() == 0
 
 
+def test_warc_has_one_result_on_any_size(shared, monkeypatch):
+    rows = [(5, "u", "y" * 120), (3, "u", "y" * 120), (None, "u", "y" * 120), (None, "u", "z" * 130), (None, "u", "z" * 130)]
+    pages = shared.createDataFrame(rows, PAGES)
+    few = sorted(map(tuple, warc.archive(shared, pages).collect()), key=repr)
+    monkeypatch.setattr(warc, "sized", lambda df: df)
+    assert sorted(map(tuple, warc.archive(shared, pages).collect()), key=repr) == few
+    assert sorted((r[0] is None, r[3], r[4]) for r in few if r[4] is not None) == [(False, "revisit", 3), (True, "revisit", 3)]
+
+
 def test_warc_form_and_random_access(shared):
     pages = shared.createDataFrame([(i, f"http://h/{i}", f"<p>page {i} of a series of pages</p>" * 9) for i in range(400)], PAGES)
     index = warc.write_archives(pages.coalesce(1), new_path(shared, "warc")).orderBy("offset").collect()
@@ -173,6 +182,11 @@ def test_main_text_of_articles():
     assert wrappers.main_text(deep) == "core"
 
 
+def test_deep_pages_keep_what_follows():
+    deep = "<div><article>first" + "<div>" * 260 + "deep<p>open" + "</div>" * 260 + "<p>second after</p></article>x</div>"
+    assert wrappers.main_text(deep) == "first\ndeep\nopen\nsecond after"
+
+
 def test_classes_are_whole_and_never_judge_the_page_or_its_article():
     for x in ('<body class="no-sidebar {}"><p>text</p></body>', '<article class="post has-comments {}">text</article>', '<main id="{}" role="banner">text</main>', '<html class="{}"><body id={}>text', '<div class="post-comments">text</div>', '<div id="share-price">text</div>'):
         assert wrappers.main_text(x.replace("{}", "modal" if "div" not in x else "")) == "text", x
@@ -279,6 +293,14 @@ def test_rank_goes_on_until_it_converges(shared):
     assert abs(got["a"] - 1 / 1.85) + abs(got["b"] - 0.85 / 1.85) < 1e-4  # after 50 steps still 2.7e-4
 
 
+def test_rank_reaches_every_host_that_seeds_lead_to(shared):
+    edges, seeds = [(f"h{i:03d}", f"h{(i + 1) % 24:03d}", 1.0) for i in range(24)], [("h000", 1.0)]
+    got = url_filters.rank(Tables(shared), shared.createDataFrame(edges, "src string, dst string, w double"), shared.createDataFrame(seeds, "host string, mass double"), damping=0.2, tolerance=1e-2)
+    got = {r.host: r.score for r in got.collect()}  # the tolerance alone is met after four steps
+    want = plain_rank(edges, dict(seeds), damping=0.2)
+    assert set(got) == set(want) and all(x > 0 and abs(x - want[h]) < 1e-2 for h, x in got.items())
+
+
 def test_rank_equals_power_iteration(shared):
     rng = random.Random(2)
     edges = [(f"h{rng.randrange(12)}", f"h{rng.randrange(12)}", float(rng.randint(1, 3))) for _ in range(40)]

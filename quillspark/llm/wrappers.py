@@ -1,10 +1,13 @@
 """Main text of HTML pages by wrapper induction.
 
 The pages of a host are aligned by simple tree matching into one tree, the wrapper.
-Text that stays the same wherever its node occurs is template; text that varies is
-content. Menus, adverts and comments vary from page to page as articles do, so the
-template can't tell them: elements that by a fixed list of tags, classes, ids and roles
-are such are left out in any case, and where a page marks its article, only what is in it counts.
+The content slot is the innermost element that holds nearly all of the text outside
+links; what lies beside it is template, but for headings. So are slots in it whose text is
+the same on the pages, or one of few texts that come back. Text that varies from page to
+page is content. What varies in the content slot as articles do, as comments, the wrapper
+can't tell: elements that by a fixed list of tags, classes, ids and roles are such are left
+out in any case. Only on hosts without a content slot, as those with few pages, a page's
+article or main element tells where the content is.
 
 Pages of a host with the same main text are copies and count once. So the pages' trees
 are dealt out by host and digest of the text. Wrappers are merged like sums, in parts
@@ -15,6 +18,7 @@ from __future__ import annotations
 
 import pickle
 import re
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,6 +35,10 @@ from .words import chunks, text_buffer
 #: Text is template only if it is the same in so many pages, and in so large a share of the host's pages; pages with the same main text are one.
 LEAST_PAGES = 8
 LEAST_SHARE = 0.5
+#: A slot with several texts is template if they are at most so many, and each is on LEAST_PAGES pages on average.
+MOST_TEXTS = 8
+#: The content slot has at least so large a share of the characters outside links, on so large a share of the pages.
+CONTENT_SHARE = 0.9
 #: Parts in which the pages of a host are merged, then the wrappers of those parts, before all of a host meet.
 PARTS = (512, 16)
 #: Bytes of trees that a task passes on at once; digests by which it knows pages again.
@@ -47,10 +55,17 @@ _WORDS = frozenset("ad ads advert adverts advertisement advertising banner bread
 _ROLES = frozenset("banner navigation contentinfo complementary search dialog alert".split())
 _KIND = re.compile(r"^(class|id|role):")
 
-VARIES = -1
+#: More texts than MOST_TEXTS.
+VARIES = ()
+#: The digest of no text, and the mark of slots that are left out with all that is in them.
+NONE, OUT = 0, -1
+#: Elements that don't hold a whole main text, and those that stay beside the one that does.
+PARTIAL = frozenset("p ul ol dl li dt dd table tbody thead tr td th blockquote pre figure a b i em strong span".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
-# A node of a wrapper: signature, digest of its own text (None: none, VARIES), pages, children, page elements (in a wrapper: True if varying text below was cut, or None).
-SIGN, TEXT, PAGES, KIDS, MEMBERS = range(5)
+# A node of a wrapper: signature, ascending digests of its own texts (or VARIES), pages, children, page elements (in a wrapper: True if varying text below was cut, or None).
+# MASS: characters of its own text that aren't in a link.
+SIGN, TEXT, PAGES, KIDS, MEMBERS, MASS = range(6)
 
 
 def is_other(x: Element) -> bool:
@@ -69,8 +84,9 @@ def is_marked(names: str) -> bool:
     return False
 
 
-def collapsed(members: list[Element]) -> list:
+def collapsed(members: list[Element], linked: bool = False) -> list:
     """Elements of one signature as a node; their children in turn, neighbours of one signature together."""
+    linked = linked or members[0].tag == "a" or members[0].tag in OTHER
     text = " ".join(" ".join(k.split()) for m in members for k in m.kids if isinstance(k, str)).strip()
     groups: list[list[Element]] = []
     for m in members:
@@ -81,7 +97,7 @@ def collapsed(members: list[Element]) -> list:
                 groups[-1].append(k)
             else:
                 groups.append([k])
-    return [members[0].sign, (xxhash.xxh64_intdigest(text) >> 1) if text else None, 1, [collapsed(g) for g in groups], members]
+    return [members[0].sign, ((xxhash.xxh64_intdigest(text) >> 1) or 1 if text else NONE,), 1, [collapsed(g, linked) for g in groups], members, 0 if linked else len(text)]
 
 
 def matching(a: list, b: list) -> int:
@@ -91,13 +107,14 @@ def matching(a: list, b: list) -> int:
     x, y = a[KIDS], b[KIDS]
     if not x or not y:
         return 1
-    if len(x) == len(y) and all(p[SIGN] == q[SIGN] for p, q in zip(x, y)):
-        return 1 + sum(matching(p, q) for p, q in zip(x, y))
-    return 1 + _table(x, y)[len(x)][len(y)]
+    begin, end = _ends(x, y)
+    first, last = x[:begin], x[len(x) - end :]
+    x, y = x[begin : len(x) - end], y[begin : len(y) - end]
+    return 1 + sum(map(size, first)) + sum(map(size, last)) + _table(x, y)[len(x)][len(y)]
 
 
-def _table(x: list, y: list) -> list[list[int]]:
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+def _table(x: list, y: list) -> list[array]:
+    best = [array("i", bytes(4 * (len(y) + 1))) for _ in range(len(x) + 1)]
     for i, p in enumerate(x):
         for j, q in enumerate(y):
             both = best[i][j] + matching(p, q) if p[SIGN] == q[SIGN] else 0
@@ -105,11 +122,27 @@ def _table(x: list, y: list) -> list[list[int]]:
     return best
 
 
+def alike(a: list, b: list) -> bool:
+    """Whether two trees have the same shape and signatures."""
+    return a[SIGN] == b[SIGN] and len(a[KIDS]) == len(b[KIDS]) and all(map(alike, a[KIDS], b[KIDS]))
+
+
+def _ends(x: list, y: list) -> tuple[int, int]:
+    """How many children at the beginning and at the end are alike: matched with each other they are part of a best matching, so only the rest needs a table."""
+    most, i, j = min(len(x), len(y)), 0, 0
+    while i < most and alike(x[i], y[i]):
+        i += 1
+    while j < most - i and alike(x[-1 - j], y[-1 - j]):
+        j += 1
+    return i, j
+
+
 def aligned(x: list, y: list) -> Iterator[tuple[list | None, list | None]]:
     """The children of two matched nodes in order, each with its partner or None."""
-    if len(x) == len(y) and all(p[SIGN] == q[SIGN] for p, q in zip(x, y)):
-        yield from zip(x, y)
-        return
+    begin, end = _ends(x, y)
+    yield from zip(x[:begin], y[:begin])
+    last = list(zip(x[len(x) - end :], y[len(y) - end :]))
+    x, y = x[begin : len(x) - end], y[begin : len(y) - end]
     best = _table(x, y)
     out: list[tuple[list | None, list | None]] = []
     i, j = len(x), len(y)
@@ -124,16 +157,33 @@ def aligned(x: list, y: list) -> Iterator[tuple[list | None, list | None]]:
             i -= 1
             out.append((x[i], None))
     yield from reversed(out)
+    yield from last
+
+
+def size(node: list) -> int:
+    return 1 + sum(map(size, node[KIDS]))
+
+
+def mass(node: list) -> int:
+    return node[MASS] + sum(map(mass, node[KIDS]))
+
+
+def together(a: tuple, b: tuple) -> tuple:
+    """The texts of two slots as one."""
+    if a == b or not a or not b:
+        return a and b
+    both = sorted({*a, *b})
+    return tuple(both) if len(both) <= MOST_TEXTS else VARIES
 
 
 def merged(a: list, b: list) -> list:
     """One wrapper for the pages of both."""
     kids = [merged(p, q) if p and q else (p or q) for p, q in aligned(a[KIDS], b[KIDS])]
-    return [a[SIGN], a[TEXT] if a[TEXT] == b[TEXT] else VARIES, a[PAGES] + b[PAGES], kids, a[MEMBERS] or b[MEMBERS]]
+    return [a[SIGN], together(a[TEXT], b[TEXT]), a[PAGES] + b[PAGES], kids, a[MEMBERS] or b[MEMBERS], a[MASS] + b[MASS]]
 
 
 def bare(node: list) -> list:
-    return [node[SIGN], node[TEXT], node[PAGES], [bare(k) for k in node[KIDS]], None]
+    return [node[SIGN], node[TEXT], node[PAGES], [bare(k) for k in node[KIDS]], None, node[MASS]]
 
 
 def nodes(node: list) -> Iterator[list]:
@@ -153,7 +203,7 @@ def bounded(wrapper: list, limit: int) -> list:
     least = counts[limit] + 1
 
     def cut(n: list) -> list:
-        return [n[SIGN], n[TEXT], n[PAGES], [cut(k) for k in n[KIDS] if k[PAGES] >= least], None]
+        return [n[SIGN], n[TEXT], n[PAGES], [cut(k) for k in n[KIDS] if k[PAGES] >= least], None, n[MASS]]
 
     return cut(wrapper)
 
@@ -175,41 +225,66 @@ def possible(wrapper: list, pages: int) -> list:
     def cut(n: list) -> list:
         kept = [k for k in n[KIDS] if k[PAGES] >= least]
         lost = n[MEMBERS] or any(varying(k) for k in n[KIDS] if k[PAGES] < least)
-        return [n[SIGN], n[TEXT], n[PAGES], [cut(k) for k in kept], lost or None]
+        return [n[SIGN], n[TEXT], n[PAGES], [cut(k) for k in kept], lost or None, n[MASS] + sum(map(mass, (k for k in n[KIDS] if k[PAGES] < least)))]
 
     return cut(wrapper)
 
 
 def varying(node: list) -> bool:
     """Whether text varies in the node of a wrapper or below."""
-    return any(n[TEXT] == VARIES or n[MEMBERS] for n in nodes(node))
+    return any(len(n[TEXT]) != 1 or n[MEMBERS] for n in nodes(node))
+
+
+def tag_of(node: list) -> str:
+    return node[SIGN].partition(".")[0]
+
+
+def content_path(wrapper: list) -> list[list]:
+    """The nodes from the root to the content slot; only the root if there is none."""
+    path = [wrapper]
+    while True:
+        at = path[-1]
+        best = max(at[KIDS], key=mass, default=None)
+        if best is None or tag_of(best) in PARTIAL | HEADINGS | OTHER or best[PAGES] < CONTENT_SHARE * wrapper[PAGES] or mass(best) < CONTENT_SHARE * max(1, mass(at)):
+            return path
+        path.append(best)
 
 
 def template(wrapper: list) -> list | None:
-    """The wrapper with the digest of template text in its nodes, VARIES elsewhere; None if nothing is template.
+    """The wrapper with the digests of template texts in its nodes, OUT in those beside the content slot, VARIES elsewhere; None if nothing is template.
 
-    Where nothing varies the pages are copies of each other, and nothing counts as template.
+    MEMBERS of the root tells whether there is a content slot within the page's body. Where
+    nothing varies the pages are copies of each other, and nothing counts as template.
     """
     pages = wrapper[PAGES]
     known = False
+    path = content_path(wrapper)
+    found = path[-1][SIGN] and tag_of(path[-1]) not in ("html", "body") and varying(path[-1])
+    inside = {id(n) for n in path} if found else set()
 
     def mark(n: list, varies: bool) -> list:
         nonlocal known
-        tag = n[SIGN].partition(".")[0]
+        tag = tag_of(n)
         if tag in MAIN or tag == "body":
             varies = varying(n)
         text = n[TEXT]
-        constant = varies and text not in (None, VARIES) and n[PAGES] >= least_pages(pages)
-        known = known or constant
-        return [n[SIGN], text if constant else VARIES, n[PAGES], [mark(k, varies) for k in n[KIDS]], None]
+        few = varies and any(text) and n[PAGES] >= max(least_pages(pages), LEAST_PAGES * len(text))
+        known = known or few
+        beside = id(n) in inside and n is not path[-1]
+        kids = [[k[SIGN], (OUT,), k[PAGES], [], None, 0] if beside and id(k) not in inside and tag_of(k) not in HEADINGS else mark(k, varies) for k in n[KIDS]]
+        return [n[SIGN], text if few else VARIES, n[PAGES], kids, None, 0]
 
     out = mark(wrapper, False)
-    return out if known else None
+    out[MEMBERS] = True if found else None
+    return out if known or found else None
 
 
 def template_elements(page: list, wrapper: list, found: set[int]) -> set[int]:
     """id() of the page's elements whose own text is template, by aligning it with the wrapper."""
-    if wrapper[TEXT] != VARIES and wrapper[TEXT] == page[TEXT]:
+    if wrapper[TEXT] == (OUT,):
+        found.update(id(m) for n in nodes(page) for m in n[MEMBERS])
+        return found
+    if page[TEXT][0] != NONE and page[TEXT][0] in wrapper[TEXT]:
         found.update(id(m) for m in page[MEMBERS])
     for p, w in aligned(page[KIDS], wrapper[KIDS]):
         if p and w:
@@ -221,11 +296,12 @@ def main_text(page: str | None, wrapper: list | None = None) -> str:
     """The blocks of the main text, joined by line breaks; the wrapper is a result of `template`."""
     root = parse(page or "")
     silent = template_elements(collapsed([root]), wrapper, set()) if wrapper else set()
-    return "\n".join(main_blocks(root, silent))
+    return "\n".join(main_blocks(root, silent, bool(wrapper and wrapper[MEMBERS])))
 
 
-def main_blocks(root: Element, silent: set[int]) -> Iterator[str]:
-    return (b for part in _main(root) or [root] for b in blocks(part, is_other, silent))
+def main_blocks(root: Element, silent: set[int], slot: bool = False) -> Iterator[str]:
+    """The blocks that count; with `slot` the wrapper has told where the content is."""
+    return (b for part in (not slot and _main(root)) or [root] for b in blocks(part, is_other, silent))
 
 
 def _main(root: Element) -> list[Element]:

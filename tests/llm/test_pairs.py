@@ -207,6 +207,56 @@ def test_wrapper_finds_constant_nodes_of_a_host(shared):
     assert wrappers.extract(shared.createDataFrame([], PAGES)).count() == 0
 
 
+SLOTS = "<body><div class=top><a href=/x>menu {0}</a> <a href=/y>more {0}</a></div><h1>Title {0}</h1><div class=box><p>{1}</p><h2>Part {0}</h2><p>{1} again</p></div><div class=low>short line {0}</div></body>"
+
+
+def test_content_slot_needs_no_names(shared):
+    """Everything varies, and no tag or class tells what is what: only the wrapper does."""
+    text = lambda i: " ".join(f"word{i}x{j}" for j in range(60))
+    rows = [(i, "http://slots.example/", SLOTS.format(i, text(i))) for i in range(24)]
+    want = {i: f"Title {i}\n{text(i)}\nPart {i}\n{text(i)} again" for i in range(24)}
+    for parts in (1, 7):
+        got = wrappers.extract(shared.createDataFrame(rows, PAGES).repartition(parts)).collect()
+        assert {r.page_id: r.text for r in got} == want
+    assert wrappers.main_text(rows[3][2]) == f"menu 3 more 3\n{want[3]}\nshort line 3"
+
+
+def test_texts_that_come_back_are_template():
+    page = lambda i: f"<body><div><p>text {i}</p><ul><li>offer {i % 3}</li></ul></div></body>"
+    whole = None
+    for i in range(40):
+        one = wrappers.bare(wrappers.collapsed([parse(page(i))]))
+        whole = wrappers.merged(whole, one) if whole else one
+    assert wrappers.main_text(page(7), wrappers.template(whole)) == "text 7"
+
+
+def plain_matching(a, b):
+    if a[0] != b[0]:
+        return 0
+    x, y = a[3], b[3]
+    best = {(i, j): 0 for i in range(len(x) + 1) for j in range(len(y) + 1)}
+    for i in range(1, len(x) + 1):
+        for j in range(1, len(y) + 1):
+            best[i, j] = max(best[i - 1, j], best[i, j - 1], best[i - 1, j - 1] + plain_matching(x[i - 1], y[j - 1]))
+    return 1 + best[len(x), len(y)]
+
+
+def test_matching_equals_plain_simple_tree_matching():
+    rng = random.Random(8)
+    tree = lambda depth: [rng.choice("ab"), (0,), 1, [tree(depth - 1) for _ in range(rng.randrange(5) if depth else 0)], None, 0]
+    for _ in range(300):
+        a, b = tree(3), tree(3)
+        a[0] = b[0]
+        assert wrappers.matching(a, b) == plain_matching(a, b)
+        pairs = [(p, q) for p, q in wrappers.aligned(a[3], b[3]) if p and q]
+        assert 1 + sum(wrappers.matching(p, q) for p, q in pairs) == wrappers.matching(a, b)
+
+
+def test_pages_of_many_siblings_align_without_a_table():
+    tree = lambda n: wrappers.bare(wrappers.collapsed([parse("<p>a</p><h2>b</h2>" * n)]))
+    assert len(wrappers.merged(tree(10_000), tree(9_000))[3]) == 20_000
+
+
 def test_large_wrappers_keep_their_template(shared):
     page = lambda i: "<body><div>Constant notice</div>" + "".join(f"<p class={'ab'[j % 2]}>text {i} {j}</p>" for j in range(2200))
     rows = [(i, "http://wide.example/", page(i)) for i in range(10)]

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import speech, text
 from ..operators import attribute, audio, casting, evaluate, names, segment, store, structure
-from ..sources import markup
-from .inputs import DIALOGUE, NAMES, PREDICTIONS, SEGMENTS, VOICES, dialogue, nation_voices, predictions, segments, table
+from ..schema import RUNS
+from ..sources import books, markup
+from .inputs import DIALOGUE, NAMES, PREDICTIONS, SEGMENTS, VOICES, dialogue, nation_voices, predictions, scratch, segments, table
 from .inputs import names as book_names
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -699,3 +700,87 @@ def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G13, seeded."""
     s = _scored(spark, sf_dir).select((F.col("speaker") == F.col("actual")).cast("double").alias("v"))
     return evaluate.bootstrap(s, "v", rounds=200, seed=7)
+
+
+# ---- sources and sinks: written in their format, then read back
+
+
+@query(
+    """SELECT CAST(conv_id AS VARCHAR) AS book_id, 0 AS chapter_idx, 'Part ' || conv_id AS title, CAST(0.5 AS DOUBLE) AS confidence, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS para_idx,
+    'p' || turn AS id, text, upper(role) AS original_text, role = 'user' AS is_dialogue FROM conversations"""
+)
+def book_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as nested books."""
+    c = table(spark, sf_dir, "conversations")
+    rows = c.select(
+        F.col("conv_id").cast("string").alias("book_id"), F.lit(0).alias("chapter_idx"), F.concat(F.lit("Part "), F.col("conv_id").cast("string")).alias("title"), F.lit(0.5).alias("confidence"), F.col("turn").cast("int").alias("para_idx"),
+        F.concat(F.lit("p"), F.col("turn").cast("string")).alias("id"), "text", F.upper("role").alias("original_text"), (F.col("role") == "user").alias("is_dialogue"),
+    )
+    path = scratch(spark, "books")
+    books.write_books(books.to_books(rows), path)
+    return books.book_paragraphs(books.read_book_json(spark, path, lines=True))
+
+
+def _one_file(rows: DataFrame, path: str) -> str:
+    """Rows of a bounded dimension as one JSON array."""
+    rows.agg(F.to_json(F.sort_array(F.collect_list(F.struct("*")))).alias("value")).write.text(path)
+    return path
+
+
+@query(
+    """SELECT CAST(row_number() OVER (ORDER BY n_nationkey) - 1 AS INTEGER) AS pos, 'v' || lpad(CAST(n_nationkey AS VARCHAR), 3, '0') AS id, n_name AS name, CASE WHEN n_nationkey % 3 > 0 THEN lower(r_name) END AS gender,
+    100 + n_nationkey / 4 AS proxy_median_f0_hz, n_nationkey = 0 AS narrator_reserved FROM nation JOIN region ON n_regionkey = r_regionkey"""
+)
+def voice_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields that an entry lacks are null."""
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    key = F.col("n_nationkey")
+    rows = n.join(r, n.n_regionkey == r.r_regionkey).select(
+        F.concat(F.lit("v"), F.lpad(key.cast("string"), 3, "0")).alias("id"), F.col("n_name").alias("name"), F.when(key % 3 > 0, F.lower("r_name")).alias("gender"),
+        (100 + key / 4).alias("proxy_median_f0_hz"), (key == 0).alias("narrator_reserved"),
+    )
+    return books.read_voices(spark, _one_file(rows, scratch(spark, "voices"))).select("pos", "id", "name", "gender", "proxy_median_f0_hz", "narrator_reserved")
+
+
+@query("""SELECT CASE WHEN n_regionkey = 3 THEN NULL ELSE n_name END AS name, CASE WHEN n_nationkey % 2 = 0 THEN [left(n_name, 2), n_name || ' II'] ELSE [] END AS aliases FROM nation WHERE n_regionkey <> 3""")
+def character_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations of one region have an empty name and are left out, every second one has no aliases."""
+    n = table(spark, sf_dir, "nation")
+    aliases = F.when(F.col("n_nationkey") % 2 == 0, F.array(F.left("n_name", F.lit(2)), F.concat("n_name", F.lit(" II"))))
+    rows = n.select(F.when(F.col("n_regionkey") == 3, "").otherwise(F.col("n_name")).alias("name"), aliases.alias("aliases"))
+    path = scratch(spark, "seeds")
+    rows.agg(F.to_json(F.struct(F.collect_list(F.struct("*")).alias("characters"))).alias("value")).write.text(path)
+    return books.read_seeds(spark, path)
+
+
+@query("""SELECT CAST(n_nationkey AS INTEGER) AS index, n_name AS title, printf('c%02d-p000', n_nationkey) AS start_paragraph_id FROM nation WHERE n_nationkey % 4 <> 1""")
+def chapter_override(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries without a first paragraph are left out."""
+    n, key = table(spark, sf_dir, "nation"), F.col("n_nationkey")
+    rows = n.select(key.cast("int").alias("index"), F.col("n_name").alias("title"), F.when(key % 4 != 1, F.format_string("c%02d-p000", key)).alias("start_paragraph_id"))
+    return books.read_override(spark, _one_file(rows, scratch(spark, "override")))
+
+
+@query("""SELECT 'h' || c_nationkey AS source_hash, 'Q' || c_custkey AS quote_id, c_mktsegment AS speaker, c_name AS text, CAST(c_custkey % 9 AS INTEGER) AS chapter, CASE WHEN c_custkey % 2 = 0 THEN 'tagged' END AS style FROM customer""")
+def gold_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file of customers for each nation."""
+    c, key = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    quote = F.struct(F.concat(F.lit("Q"), key.cast("string")).alias("quote_id"), F.col("c_mktsegment").alias("speaker"), F.col("c_name").alias("text"), (key % 9).cast("int").alias("chapter"), F.when(key % 2 == 0, "tagged").alias("style"))
+    files = c.groupBy("c_nationkey").agg(F.collect_list(quote).alias("quotes")).select(F.to_json(F.struct(F.concat(F.lit("h"), F.col("c_nationkey").cast("string")).alias("source_hash"), "quotes")).alias("value"))
+    path = scratch(spark, "gold")
+    files.write.option("maxRecordsPerFile", 1).text(path)
+    return books.read_gold(spark, path).drop("path")
+
+
+@query("""SELECT 'r' || s_suppkey AS run_id, s_name AS book, CAST(s_acctbal AS DOUBLE) AS overall_accuracy, CAST(s_suppkey * 3 AS BIGINT) AS total_quotes, CAST(s_nationkey AS DOUBLE) / 8 AS tagged FROM supplier""")
+def run_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two lots of records added to a folder, and a file that isn't one."""
+    s, path = table(spark, sf_dir, "supplier"), scratch(spark, "runs")
+    rows = s.select(
+        F.concat(F.lit("r"), F.col("s_suppkey").cast("string")).alias("run_id"), F.col("s_name").alias("book"), F.col("s_acctbal").cast("double").alias("overall_accuracy"), (F.col("s_suppkey") * 3).cast("bigint").alias("total_quotes"),
+        F.create_map(F.lit("tagged"), F.col("s_nationkey").cast("double") / 8).alias("style_breakdown"), "s_suppkey",
+    )
+    for even in (True, False):
+        books.write_runs(rows.where((F.col("s_suppkey") % 2 == 0) == even).drop("s_suppkey"), path)
+    spark.createDataFrame([("not a record",)], "value string").write.mode("append").text(path)
+    return books.read_runs(spark, path, RUNS).select("run_id", "book", "overall_accuracy", "total_quotes", F.col("style_breakdown")["tagged"].alias("tagged"))

@@ -150,8 +150,9 @@ def read_books(spark: SparkSession, path: str) -> DataFrame:
     return txt_paragraphs(found).select(columns).unionByName(docx_paragraphs(found).select(columns)).unionByName(epub_paragraphs(found).select(columns))
 
 
-def read_book_json(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(BOOK).json(path, multiLine=True)
+def read_book_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Nested books: a file each, or with `lines` a line each, as `write_books` writes them."""
+    return spark.read.schema(BOOK).json(path, multiLine=not lines)
 
 
 def book_paragraphs(books: DataFrame) -> DataFrame:
@@ -173,7 +174,7 @@ def to_books(paragraphs: DataFrame, facts: DataFrame | None = None) -> DataFrame
 
 
 def write_books(books: DataFrame, path: str, override: bool = False) -> None:
-    """A JSON file set; an existing one stays unless it is overridden."""
+    """A set of files with a JSON object a line; an existing one stays unless it is overridden."""
     books.write.mode("overwrite" if override else "ignore").json(path)
 
 
@@ -218,4 +219,5 @@ def read_runs(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def write_runs(runs: DataFrame, path: str) -> None:
-    runs.write.mode("append").json(path)
+    """Add run records, a file each."""
+    runs.write.mode("append").option("maxRecordsPerFile", 1).json(path)

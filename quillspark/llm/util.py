@@ -20,12 +20,14 @@ _NUMBERS = frozenset("boolean byte short integer long float double date timestam
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or one made here if there is none (tests)."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or in local mode (tests) one made here."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         context = spark.sparkContext
         base = getattr(context, "_quillspark_shared", None)
         if base is None:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
             base = context._quillspark_shared = "file://" + tempfile.mkdtemp(prefix="quillspark-")
     return base.rstrip("/")
 

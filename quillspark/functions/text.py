@@ -206,3 +206,8 @@ def matches_name(query: Column, *names: Column, aliases: Column) -> Column:
     for n in names:
         hit = hit | F.coalesce(F.lower(n) == q, F.lit(False))
     return hit
+
+
+def hardware_tier(memory_gb: Column) -> Column:
+    """What a machine with so much graphics memory can run; `unknown` where it wasn't measured."""
+    return F.when(memory_gb.isNull(), "unknown").when(memory_gb >= 8, "multi_voice").when(memory_gb >= 4, "narrator_only").otherwise("unsupported")

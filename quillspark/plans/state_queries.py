@@ -291,21 +291,7 @@ def txt_books(spark: SparkSession, sf_dir: str) -> DataFrame:
     return books.txt_paragraphs(rows).select("book_id", "para_idx", "id", "original_text")
 
 
-# ---- chunks and tags
-
-
-@query(
-    f"""WITH {DIALOGUE}, v AS (SELECT book_id, chapter_idx, para_idx, string_split(replace(text, '", said', '" said'), '"') AS parts FROM dialogue),
-    s AS (SELECT book_id, chapter_idx, para_idx, parts, unnest(range(1, len(parts) + 1)) AS k FROM v),
-    x AS (SELECT *, trim(CASE WHEN k % 2 = 0 THEN '"' || parts[k] || CASE WHEN k < len(parts) THEN '"' ELSE '' END ELSE parts[k] END, ' ' || chr(10)) AS text FROM s),
-    y AS (SELECT *, row_number() OVER w - 1 AS seg_idx, lead(text) OVER w AS following, lead(k) OVER w AS next_k FROM x WHERE text <> '' WINDOW w AS (PARTITION BY book_id, chapter_idx, para_idx ORDER BY k))
-    SELECT book_id, format('c{{:02d}}-p{{:03d}}-s{{:02d}}', chapter_idx, para_idx, seg_idx) AS id, regexp_extract(following, '^said\\s+([A-Z]\\w*(?:\\s+[A-Z]\\w*)*)', 1) AS speaker, CAST(0.98 AS DOUBLE) AS confidence, 'tag: ' || following AS evidence
-    FROM y WHERE k % 2 = 0 AND next_k % 2 = 1 AND regexp_matches(following, '^said\\s+[A-Z]')"""
-)
-def following_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tag in the narration after a quote."""
-    d = dialogue(spark, sf_dir).withColumn("text", F.regexp_replace("text", '", said', '" said'))
-    return attribute.apply_context_rules(segment.segment_paragraphs(d, most=10**6))
+# ---- chunks
 
 
 @query(

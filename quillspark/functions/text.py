@@ -64,16 +64,24 @@ def remove_page_numbers(c: Column) -> Column:
 def remove_running_headers(c: Column, min_repeats: int = 3) -> Column:
     """Without the lines whose trimmed text occurs `min_repeats` times or more; blank lines stay.
 
-    Counting goes over the sorted trimmed lines: one that equals the line
-    `min_repeats` - 1 places further on is repeated. That costs n log n, not n squared.
+    The trimmed lines are sorted with their places: a line is repeated if among its neighbours some
+    `min_repeats` in a row are equal and it is one of them. What was found is sorted back to the
+    places, so no line is looked up in a list: n log n whatever the text.
     """
     step = min_repeats - 1
 
     def without(lines: Column) -> Column:
-        trimmed = F.array_sort(F.transform(lines, py_strip))
-        pairs = let(trimmed, lambda t: F.zip_with(t, F.slice(t, F.lit(1 + step), F.size(t)), lambda a, b: F.when((a == b) & (a != ""), a)))
-        repeated = F.array_distinct(F.filter(pairs, lambda x: x.isNotNull()))
-        return let(repeated, lambda r: F.array_join(F.filter(lines, lambda x: ~F.array_contains(r, py_strip(x))), "\n"))
+        by_text = F.array_sort(F.transform(lines, lambda x, i: F.struct(py_strip(x).alias("s"), i.alias("i"))))
+        return let(let(by_text, marked), lambda m: F.array_join(F.filter(lines, lambda x, i: ~F.get(m, i)["gone"]), "\n"))
+
+    def marked(t: Column) -> Column:
+        def gone(x: Column, j: Column) -> Column:
+            equal = F.lit(False)
+            for d in range(min_repeats):
+                equal = equal | F.coalesce(F.get(t, j - d)["s"] == F.get(t, j - d + step)["s"], F.lit(False))
+            return equal & (x["s"] != "")
+
+        return F.array_sort(F.transform(t, lambda x, j: F.struct(x["i"].alias("i"), gone(x, j).alias("gone"))))
 
     return let(F.split(c, "\n"), without)
 

@@ -63,14 +63,12 @@ def character_snippets(paragraphs: DataFrame, characters: DataFrame) -> DataFram
 
 def infer_gender(text: Column) -> tuple[Column, Column]:
     """Label and trust by pronouns; of equal counts the first of male, female, nonbinary, with half the trust."""
-    counts = {g: votes(text, w) for g, w in GENDER_WORDS.items()}
-    return _winner(counts, halve=True)
+    return _winner({g: votes(text, w) for g, w in GENDER_WORDS.items()}, halve=True)
 
 
 def infer_age(text: Column) -> tuple[Column, Column]:
     """Label and trust by words for ages; of equal counts the more special."""
-    counts = {a: votes(text, w) for a, w in AGE_WORDS.items()}
-    return _winner(counts, halve=False)
+    return _winner({a: votes(text, w) for a, w in AGE_WORDS.items()}, halve=False)
 
 
 def _winner(counts: dict[str, Column], halve: bool) -> tuple[Column, Column]:
@@ -87,11 +85,20 @@ def _winner(counts: dict[str, Column], halve: bool) -> tuple[Column, Column]:
 
 
 def infer_profiles(snippets: DataFrame) -> DataFrame:
-    """Rows (book_id, id, gender, gender_confidence, age_bracket, age_confidence) over each character's snippets, joined by blanks in order."""
-    joined = snippets.groupBy("book_id", "id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x["text"]), " ").alias("text"))
-    gender, sure = infer_gender(F.col("text"))
-    age, age_sure = infer_age(F.col("text"))
-    return joined.select("book_id", "id", gender.alias("gender"), sure.alias("gender_confidence"), age.alias("age_bracket"), age_sure.alias("age_confidence"))
+    """Rows (book_id, id, gender, gender_confidence, age_bracket, age_confidence) over each character's snippets.
+
+    The outcome is that of the snippets joined by blanks in order, but only counts are shuffled: each snippet
+    is counted by itself. What a joint can add is a `young` at its left with its noun at its right.
+    """
+    words = GENDER_WORDS | AGE_WORDS
+    text = F.col("text")
+    counted = snippets.select("book_id", "id", "place", text.rlike(r"(?iU)\byoung\s*\z").alias("_ends"), text.rlike(r"(?iU)\A\s*(man|woman|lady|fellow)\b").alias("_begins"), *(votes(text, w).alias(f"_{k}") for k, w in words.items()))
+    joint = F.lag("_ends", 1, False).over(W.partitionBy("book_id", "id").orderBy("place")) & F.col("_begins")
+    counted = counted.withColumn("_young_adult", F.col("_young_adult") + joint.cast("int"))
+    sums = counted.groupBy("book_id", "id").agg(*(F.sum(f"_{k}").alias(f"_{k}") for k in words))
+    gender, sure = _winner({g: F.col(f"_{g}") for g in GENDER_WORDS}, halve=True)
+    age, age_sure = _winner({a: F.col(f"_{a}") for a in AGE_WORDS}, halve=False)
+    return sums.select("book_id", "id", gender.alias("gender"), sure.alias("gender_confidence"), age.alias("age_bracket"), age_sure.alias("age_confidence"))
 
 
 def profile_characters(characters: DataFrame, paragraphs: DataFrame) -> DataFrame:

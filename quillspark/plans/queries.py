@@ -482,7 +482,20 @@ def profile_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", gender.alias("gender"), sure.alias("gender_confidence"))
 
 
-@query()
+_ADDED = " He and the old lady saw her."
+_VOTES = ", ".join(f"len(regexp_extract_all(x, '(?i)\\b({words})\\b')) AS {k}" for k, words in (casting.GENDER_WORDS | casting.AGE_WORDS).items())
+
+
+@query(
+    f"""WITH {_SPLIT.replace("FROM dialogue)", f"FROM (SELECT * REPLACE (text || '{_ADDED}' AS text) FROM dialogue))")},
+    who AS (SELECT book_id, ['User', 'Assistant', 'System'][seg_idx % 3 + 1] AS name, count(*) AS line_count, min(chapter_idx) AS first_chapter FROM y GROUP BY ALL),
+    t AS (SELECT c.book_id, name, string_agg(text || '{_ADDED}', ' ' ORDER BY chapter_idx, para_idx) AS x FROM who c JOIN dialogue d ON c.book_id = d.book_id AND contains(d.text || '{_ADDED}', name) GROUP BY ALL),
+    v AS (SELECT book_id, name, {_VOTES} FROM t), g AS (SELECT *, male + female + nonbinary AS gn, greatest(male, female, nonbinary) AS gm, elderly + child + young_adult + adult AS an, greatest(elderly, child, young_adult, adult) AS am FROM v)
+    SELECT c.book_id, lower(c.name) AS id, line_count, first_chapter, CASE WHEN coalesce(gn, 0) = 0 THEN 'unknown' WHEN male = gm THEN 'male' WHEN female = gm THEN 'female' ELSE 'nonbinary' END AS gender,
+    CASE WHEN coalesce(gn, 0) = 0 THEN CAST(0 AS DOUBLE) WHEN len(list_filter([male, female, nonbinary], lambda k: k = gm)) > 1 THEN round(round(gm / gn, 4) * 0.5, 4) ELSE round(gm / gn, 4) END AS gender_confidence,
+    CASE WHEN coalesce(an, 0) = 0 THEN 'unknown' WHEN elderly = am THEN 'elderly' WHEN child = am THEN 'child' WHEN young_adult = am THEN 'young_adult' ELSE 'adult' END AS age_bracket, CASE WHEN coalesce(an, 0) = 0 THEN CAST(0 AS DOUBLE) ELSE round(am / an, 4) END AS age_confidence
+    FROM who c LEFT JOIN g ON c.book_id = g.book_id AND c.name = g.name"""
+)
 def profile_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F10, G7, G8, K6."""
     p = dialogue(spark, sf_dir).withColumn("text", F.concat("text", F.lit(" He and the old lady saw her.")))

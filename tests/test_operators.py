@@ -128,6 +128,13 @@ def test_profiles(spark):
     assert [r[3] for r in got[5:]] == ["elderly", "child", "young_adult"]
 
 
+def test_profiles_add_up(spark):
+    rows = [("b", "m", 0, "He is young "), ("b", "m", 1, "man of his word"), ("b", "m", 2, "She was young"), ("b", "n", 0, "young"), ("b", "n", 1, "child"), ("c", "m", 0, "lady")]
+    df = spark.createDataFrame(rows, "book_id string, id string, place int, text string")
+    got = {(r.book_id, r.id): (r.gender, r.gender_confidence, r.age_bracket, r.age_confidence) for r in casting.infer_profiles(df).collect()}
+    assert got == {("b", "m"): ("male", 0.6667, "young_adult", 0.5), ("b", "n"): ("unknown", 0.0, "child", 1.0), ("c", "m"): ("unknown", 0.0, "adult", 1.0)}
+
+
 def cast_rows(spark, *rows):
     return spark.createDataFrame([("b", n.lower(), n, n, [], lines, i, locked, voice) for i, (n, lines, locked, voice) in enumerate(rows)], "book_id string, id string, name string, display_name string, aliases array<string>, line_count long, first_seen int, user_locked boolean, locked_voice string")
 

@@ -1,6 +1,8 @@
 """Cleaning, speech forms, segmentation."""
 
+import random
 import re
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings
@@ -123,3 +125,18 @@ def test_queries_import_without_a_session(path):
     import sys
 
     assert subprocess.run([sys.executable, "-c", f"import {path}, __spark_entry__ as e; assert len(e.queries()) > 50"], timeout=120).returncode == 0
+
+
+def test_running_headers_against_plain(spark):
+    draw = random.Random(4)
+    cases = ["\n".join(draw.choice(["a", " a", "b ", "", "  ", "c", "long line", str(draw.randrange(40))]) for _ in range(draw.randrange(40))) for _ in range(60)] + ["", "x\nx\nx", "\n" * 9]
+
+    def plain(text, least):
+        lines = text.split("\n")
+        n = Counter(x.strip() for x in lines)
+        return "\n".join(x for x in lines if not x.strip() or n[x.strip()] < least)
+
+    df = spark.createDataFrame(list(enumerate(cases)), "i int, x string")
+    for least in (2, 3, 5):
+        got = [r.y for r in df.select("i", text.remove_running_headers(F.col("x"), least).alias("y")).orderBy("i").collect()]
+        assert got == [plain(x, least) for x in cases]

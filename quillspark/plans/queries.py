@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -303,7 +304,29 @@ def chunk_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.posexplode(segment.chunked(F.col("text"), 250)).alias("i", "chunk"))
 
 
-@query()
+def _spoken(x: str) -> str:
+    """`normalise_for_synthesis` without numbers, in SQL over the expression `x`."""
+    x = rf"regexp_replace(regexp_replace({x}, '\.{{3,}}|…', ', ', 'g'), '[—–]', ' - ', 'g')"
+    for short, spoken in speech.TITLES.items():
+        x = rf"regexp_replace({x}, '\b{re.escape(short)}\b', '{spoken}', 'g')"
+    acronyms = ", ".join(f"'{a}'" for a in sorted(speech.ACRONYMS))
+    runs = rf"regexp_extract_all({x}, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]+')"
+    x = f"array_to_string(list_transform({runs}, lambda w: CASE WHEN regexp_full_match(w, '[A-Z]{{4,}}') AND w NOT IN ({acronyms}) THEN left(w, 1) || lower(substr(w, 2)) ELSE w END), '')"
+    return rf"trim(regexp_replace(regexp_replace({x}, '[*_#~]', '', 'g'), '\s+', ' ', 'g'), ' ')"
+
+
+_PLACE = "book_id, chapter_idx, para_idx, seg_idx"
+
+
+@query(
+    f"""WITH RECURSIVE d AS (SELECT doc_id // 100 AS book_id, CAST(doc_id % 100 // 10 AS INTEGER) AS chapter_idx, CAST(doc_id % 10 AS INTEGER) AS para_idx, {_SENTENCES.format(x="text")} AS s FROM documents),
+    e AS (SELECT book_id, chapter_idx, para_idx, unnest(s) AS sentence, generate_subscripts(s, 1) - 1 AS seg_idx FROM d), f AS (SELECT {_PLACE}, {_spoken("sentence")} AS said FROM e),
+    n AS (SELECT {_PLACE}, said, {_SENTENCES.format(x="said")} AS s FROM f WHERE said <> ''), o AS (SELECT {_PLACE}, CASE WHEN length(said) <= 250 THEN [said] ELSE {_PACKED.format(most=250)} END AS out FROM n),
+    packed AS (SELECT {_PLACE}, unnest(out) AS x, generate_subscripts(out, 1) AS i FROM o), {_CUT.format(keys=_PLACE, most=250)},
+    z AS (SELECT {_PLACE}, x, row_number() OVER (PARTITION BY {_PLACE} ORDER BY i, path) - 1 AS j, count(*) OVER (PARTITION BY {_PLACE}) AS n FROM cut WHERE length(x) <= 250)
+    SELECT book_id, format('c{{:02d}}-p{{:03d}}-s{{:02d}}', chapter_idx, para_idx, seg_idx) || CASE WHEN n > 1 THEN chr(CAST(97 + j AS INTEGER)) ELSE '' END AS id, chapter_idx AS chapter, format('c{{:02d}}-p{{:03d}}', chapter_idx, para_idx) AS paragraph_id, para_idx, CAST(seg_idx AS INTEGER) AS seg_idx,
+    CAST(j AS INTEGER) AS chunk_idx, 'narrator' AS speaker_id, 'narrator' AS speaker, 'narration' AS kind, x AS text, 'pending' AS status FROM z WHERE trim(x, ' ') <> ''"""
+)
 def narrator_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D8, K10."""
     d = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 100).alias("book_id"), F.floor(F.col("doc_id") % 100 / 10).cast("int").alias("chapter_idx"), (F.col("doc_id") % 10).cast("int").alias("para_idx"), "text")

@@ -87,4 +87,8 @@ def chapter_id(chapter: Column) -> Column:
 def segment_id(paragraph: Column, seg: Column, chunk: Column | None = None) -> Column:
     """`<paragraph>-s00`, and a letter for the pieces of a split sentence."""
     base = F.format_string("%s-s%02d", paragraph, seg.cast("int"))
-    return base if chunk is None else F.concat(base, F.when(chunk.isNotNull(), F.char(F.lit(97) + chunk)).otherwise(F.lit("")))
+    if chunk is None:
+        return base
+    # the character with the number 97 + chunk; `char` starts again at 256
+    letter = F.decode(F.unhex(F.lpad(F.hex(F.lit(97) + chunk), 8, "0")), "UTF-32")
+    return F.concat(base, F.when(chunk.isNotNull(), letter).otherwise(F.lit("")))

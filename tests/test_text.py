@@ -140,3 +140,9 @@ def test_running_headers_against_plain(spark):
     for least in (2, 3, 5):
         got = [r.y for r in df.select("i", text.remove_running_headers(F.col("x"), least).alias("y")).orderBy("i").collect()]
         assert got == [plain(x, least) for x in cases]
+
+
+def test_letters_of_many_pieces(spark):
+    df = spark.createDataFrame([("b", 0, 0, "word " * 400)], "book_id string, chapter_idx int, para_idx int, text string")
+    got = [r.id for r in segment.narrator_segments(df, 6).orderBy("chunk_idx").collect()]
+    assert got == [f"c00-p000-s00{chr(97 + i)}" for i in range(400)]

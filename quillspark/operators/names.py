@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import NAME_STOP_WORDS, TITLE_TOKENS, name_tokens, py_strip
+from ..functions.text import NAME_STOP_WORDS, TITLE_TOKENS, name_tokens
 
 # fixed values: titles that name nobody by themselves
 AMBIGUOUS_TITLES = frozenset("captain doctor dr professor inspector major colonel judge priest father officer detective".split()) | {"the old man"}
@@ -92,13 +92,11 @@ def resolve_names(names: DataFrame, seeds: DataFrame | None = None) -> DataFrame
     """Rows (book_id, ord, name, resolved, canonical, flagged_reason): each name as it is resolved at its place, and its character's name in the end.
 
     The outcome depends on the order, so a book is folded in order by one task, which holds
-    the names of that book only and streams its rows. Seeds (book_id, name, aliases) come first.
+    all names of that book. Seeds (book_id, name, aliases) come first.
     """
     rows = names.select("book_id", F.col("ord").cast("long").alias("ord"), "name", F.lit(None).cast("array<string>").alias("aliases"))
     if seeds is not None:
         rows = rows.unionByName(seeds.select("book_id", F.lit(None).cast("long").alias("ord"), "name", "aliases"))
-    # spellings repeat: only the first of each needs the fold, the others look it up
-    spelt = rows.withColumn("spelling", F.lower(py_strip(F.coalesce("name", F.lit("")))))
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         registry, out = Registry(), []
@@ -112,7 +110,7 @@ def resolve_names(names: DataFrame, seeds: DataFrame | None = None) -> DataFrame
         return pd.DataFrame({"book_id": [rows["book_id"].iloc[0]] * len(out), "ord": [o[0] for o in out], "name": [o[1] for o in out], "resolved": [o[2] for o in out], "canonical": last, "flagged_reason": [o[3] for o in out]})
 
     kind = names.schema["book_id"].dataType.simpleString()
-    return spelt.select("book_id", "ord", "name", "aliases").groupBy("book_id").applyInPandas(fold, f"book_id {kind}, ord long, name string, resolved string, canonical string, flagged_reason string")
+    return rows.groupBy("book_id").applyInPandas(fold, f"book_id {kind}, ord long, name string, resolved string, canonical string, flagged_reason string")
 
 
 def alias_candidates(names: DataFrame, least: int = 1) -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, media, prefix_join, quotations, token_counts, toxicity, url_filters, warc, wrappers
+from . import byte_bpe, decontaminate, divergence, hard_negatives, licenses, media, prefix_join, quotations, token_counts, toxicity, url_filters, warc, wrappers
 from .util import ship
 
 #: The rules of op7: verdict, host with its subdomains, beginning of the path.
@@ -62,10 +63,29 @@ def op10_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotations.link(_table(spark, sf_dir, "conversations"))
 
 
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(_table(spark, sf_dir, "documents"), licenses.BASE_PHRASES, licenses.TEMPLATES)
+    return found.drop("places")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _table(spark, sf_dir, "embeddings")
+    label = F.col("label").cast("long")
+    moved = e.select("vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label).alias("label"))
+    return hard_negatives.mine(moved, F.col("vec_id") % 50 == 0)
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_warc, op2_toxicity, op3_wrappers, op4_prefix_join, op5_media_columns, op6_token_counts, op7_url_filters, op8_decontaminate, op9_byte_bpe, op10_quotations)
-}
+    for f in (
+        op1_warc, op2_toxicity, op3_wrappers, op4_prefix_join, op5_media_columns, op6_token_counts, op7_url_filters, op8_decontaminate, op9_byte_bpe, op10_quotations,
+        op11_licenses, op12_hard_negatives, op13_source_divergence,
+    )
+}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -103,4 +123,30 @@ ORACLES = {
                CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to
         FROM f
     """,
+    "op12_hard_negatives": """
+        WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+          FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        a AS (SELECT * FROM r WHERE vec_id % 50 = 0),
+        s AS (SELECT a.vec_id AS anchor_id, r.vec_id AS id, a.label = r.label AS same, CAST(list_dot_product(a.v::DOUBLE[], r.v::DOUBLE[]) AS BIGINT) AS score FROM a JOIN r ON a.vec_id <> r.vec_id),
+        p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+        SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.id AS negative_id, positive_score, s.score AS negative_score
+        FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+        WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.id) QUALIFY row_number() OVER w <= 3
+    """,
+    "op13_source_divergence": rf"""
+        WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+        w AS (SELECT r, lang, source, unnest(ws) AS term FROM d),
+        k AS (SELECT lang, term FROM w GROUP BY ALL HAVING count(DISTINCT r) >= 30),
+        v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+        c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN k USING (lang, term) GROUP BY ALL),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        ng AS (SELECT lang, source, CAST(coalesce(sum(n), 0) AS BIGINT) AS total FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+        nl AS (SELECT lang, CAST(sum(n) AS BIGINT) AS total FROM c GROUP BY lang),
+        p AS (SELECT lang, ng.source, term, coalesce(n, 0) AS n, 1 + 1000000000 * (coalesce(n, 0) + 5) // (total + 5 * v) AS p FROM ng JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term)),
+        q AS (SELECT lang, term, 1 + 1000000000 * (n + 5) // (total + 5 * v) AS q FROM (SELECT lang, term, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY ALL) JOIN nl USING (lang) JOIN v USING (lang)),
+        f AS (SELECT lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b USING (lang, term) WHERE a.source <> b.source GROUP BY ALL),
+        o AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+          UNION ALL SELECT lang, source, 'term', term, p - q FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+        SELECT *, CAST(row_number() OVER w AS INTEGER) AS rank FROM o WINDOW w AS (PARTITION BY lang, source, part ORDER BY value DESC, item) QUALIFY part = 'pair' OR row_number() OVER w <= 50
+    """,
 }

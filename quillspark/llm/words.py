@@ -30,6 +30,11 @@ ALNUM_WORDS = np.ones(256, dtype=bool)
 ALNUM_WORDS[0x00:0x30] = False
 ALNUM_WORDS[0x3A:0x61] = False
 ALNUM_WORDS[0x7B:0x80] = False
+#: `[^\x00-\x40\x5B-\x60\x7B-\x7F]+`: ASCII letters and all bytes of other characters.
+LETTER_WORDS = np.ones(256, dtype=bool)
+LETTER_WORDS[0x00:0x41] = False
+LETTER_WORDS[0x5B:0x61] = False
+LETTER_WORDS[0x7B:0x80] = False
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
@@ -109,6 +114,15 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, *more: np
         return np.stack(rows) if more else rows[0]
 
 
+def word_bytes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The words themselves, ASCII letters lower-cased."""
+    sizes = ends - starts
+    offsets = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(sizes, out=offsets[1:])
+    at = np.repeat(starts - offsets[:-1], sizes) + np.arange(offsets[-1])
+    return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(_LOWER[raw[at]])])
+
+
 def shingle_hashes(words: np.ndarray, width: int = 5) -> np.ndarray:
     """Hashes of all `width`-word shingles of one text; a shorter text is one shingle, an empty one none."""
     n = len(words)

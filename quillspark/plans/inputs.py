@@ -2,26 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the driver and all executors share: that of spark.checkpoint.dir, or in local mode a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="quillspark-")
-    return f"{base.rstrip('/')}/quillspark/{uuid.uuid4().hex}/{name}"
+from ..cluster import scratch, ship  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:

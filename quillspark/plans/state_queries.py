@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import attribute, casting, evaluate, names, segment, store, structure
 from ..sources import books
+from ..sources.book_files import write_book_files
+from ..sources.book_format import read_raw
 from .inputs import DIALOGUE, NAMES, SEGMENTS, VOICES, dialogue, nation_voices, scratch, segments, table
 from .inputs import names as book_names
 from .queries import query
@@ -280,15 +282,43 @@ def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH f AS (SELECT doc_id, unnest(string_split(replace(text, '. ', '.' || chr(10) || chr(10)), chr(10) || chr(10))) AS raw, generate_subscripts(string_split(replace(text, '. ', '.' || chr(10) || chr(10)), chr(10) || chr(10)), 1) - 1 AS i FROM documents)
-    SELECT CAST(doc_id AS VARCHAR) AS book_id, CAST(i AS INTEGER) AS para_idx, format('c00-p{:03d}', i) AS id, regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS original_text FROM f WHERE regexp_replace(raw, '^\\s+|\\s+$', '', 'g') <> ''"""
+    """WITH f AS (SELECT doc_id, list_filter(list_transform(string_split(replace(text, '. ', '.' || chr(10) || chr(10)), chr(10) || chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS b FROM documents)
+    SELECT CAST(doc_id AS VARCHAR) AS book_id, CAST(i - 1 AS INTEGER) AS para_idx, format('c00-p{:03d}', i - 1) AS id, b[i] AS original_text FROM (SELECT doc_id, b, unnest(range(1, len(b) + 1)) AS i FROM f)"""
 )
 def txt_books(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A1, A2: documents as text files with returns and line feeds; blocks as they stand, cleaning has queries of its own."""
+    """A2: documents as text files with returns and line feeds; blocks as they stand, cleaning has queries of its own."""
     d = table(spark, sf_dir, "documents")
     content = F.encode(F.replace("text", F.lit(". "), F.lit(".\r\n\r\n")), "UTF-8")
-    rows = d.select(F.col("doc_id").cast("string").alias("book_id"), F.lit("t").alias("title"), F.lit("txt").alias("format"), content.alias("content"))
-    return books.txt_paragraphs(rows).select("book_id", "para_idx", "id", "original_text")
+    rows = d.select(F.col("doc_id").cast("string").alias("book_id"), F.lit("t").alias("title"), content.alias("content"))
+    return books.txt_paragraphs(books.txt_blocks(rows)).select("book_id", "para_idx", "id", "original_text")
+
+
+_CLEANED = (
+    "regexp_replace(regexp_replace(translate(replace(nfc_normalize(x), chr(173), ''), '‘’‚‛‹›“”„‟«»', '"
+    + "''" * 6
+    + '"' * 6
+    + "'), '[ \\t]{2,}', ' ', 'g'), '^\\s+|\\s+$', '', 'g')"
+)
+
+
+@query(
+    rf"""WITH l AS (SELECT doc_id, i - 1 AS i, regexp_replace(lines[i], '^\s+|\s+$', '', 'g') AS x FROM (SELECT doc_id, string_split(text, chr(10)) AS lines, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)),
+    c AS (SELECT *, {_CLEANED} AS text, dense_rank() OVER (PARTITION BY doc_id ORDER BY i // 8) - 1 AS chapter, row_number() OVER (PARTITION BY doc_id, i // 8 ORDER BY i) - 1 AS in_chapter, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS in_book FROM l WHERE x <> ''),
+    p AS (SELECT *, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE chapter END AS chapter_idx, CASE WHEN doc_id % 3 = 0 THEN in_book ELSE in_chapter END AS para_idx FROM c)
+    SELECT CASE doc_id % 3 WHEN 0 THEN 'book ' || doc_id ELSE 'Title & ' || doc_id END AS book_title, CAST(chapter_idx AS INTEGER) AS chapter_idx, CASE doc_id % 3 WHEN 0 THEN 'book ' || doc_id ELSE 'Chapter <' || (i // 8) || '>' END AS title,
+      CAST(CASE doc_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 0.9 ELSE 0.95 END AS DOUBLE) AS confidence, CAST(para_idx AS INTEGER) AS para_idx, format('c{{:02d}}-p{{:03d}}', chapter_idx, para_idx) AS id, x AS original_text, text FROM p"""
+)
+def book_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1, A2, A3, A4, E9, L-Extractor: each document a text, DOCX or EPUB file that a task writes, eight lines a chapter; the folder read back by the source."""
+    d, folder = table(spark, sf_dir, "documents"), scratch(spark, "books")
+    key, line = F.col("doc_id"), F.posexplode(F.transform(F.split("text", "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))).alias("para_idx", "text")
+    kind = F.element_at(F.array(*map(F.lit, ("txt", "docx", "epub"))), (key % 3 + 1).cast("int"))
+    rows = d.select(F.concat(F.lit("book "), key.cast("string")).alias("name"), kind.alias("format"), F.concat(F.lit("Title & "), key.cast("string")).alias("book_title"), line).where("text <> ''")
+    chapter = F.floor(F.col("para_idx") / 8).cast("int")
+    titled = rows.select("*", chapter.alias("chapter_idx"), F.concat(F.lit("Chapter <"), chapter.cast("string"), F.lit(">")).alias("title"))
+    write_book_files(titled, folder).write.format("noop").mode("overwrite").save()
+    titles = read_raw(spark, folder).select("book_id", F.col("title").alias("book_title")).distinct()
+    return books.read_books(spark, folder).join(titles, "book_id").select("book_title", "chapter_idx", "title", "confidence", "para_idx", "id", "original_text", "text")
 
 
 # ---- chunks

@@ -1,19 +1,7 @@
-"""Reading and writing books, casts, labels and runs.
-
-TXT, DOCX and EPUB files are read as rows of `binaryFile`, so listing, splitting and
-remote paths are Spark's; only taking a file apart is Python, one file at a time.
-"""
+"""Reading and writing books, casts, labels and runs."""
 
 from __future__ import annotations
 
-import io
-import posixpath
-import zipfile
-from collections.abc import Iterator
-from urllib.parse import unquote
-from xml.etree import ElementTree
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,26 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.text import clean, detect_dialogue, remove_page_numbers, remove_running_headers
 from ..operators.structure import by_headings, by_styles, heading_confidence, pdf_text
 from ..schema import BOOK, VOICES, ensure_columns, paragraph_id
-from .markup import read_html
-
-FORMATS = ("docx", "epub", "pdf", "txt")
-_W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-_DC = "{http://purl.org/dc/elements/1.1/}"
-_OPF = "{http://www.idpf.org/2007/opf}"
-
-
-class ExtractionError(ValueError):
-    """A file that can't be read as a book."""
-
-
-def files(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (path, format, book_id, title, content) of book files; an unknown ending is an error that names the known ones."""
-    raw = spark.read.format("binaryFile").load(path)
-    ending = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    known = F.when(ending.isin(*FORMATS), ending).otherwise(F.raise_error(F.concat(F.lit("no reader for "), F.col("path"), F.lit(f"; known: {', '.join(FORMATS)}"))))
-    stem = F.url_decode(F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1))
-    return raw.select("path", known.alias("format"), F.substring(F.sha2("path", 256), 1, 32).alias("book_id"), stem.alias("title"), "content")
-
+from .book_format import read_raw
 
 def finished(rows: DataFrame) -> DataFrame:
     """Paragraph rows with ids, the text before cleaning, and the mark of dialogue."""
@@ -52,78 +21,32 @@ def _once(c: Column) -> Column:
     return F.explode(F.array(c))
 
 
-def txt_paragraphs(books: DataFrame) -> DataFrame:
-    """Paragraphs of text files: blocks between blank lines, cleaned one by one. Ids keep the place of the block, so blank ones leave gaps."""
+def txt_blocks(books: DataFrame) -> DataFrame:
+    """Texts (book_id, title, content) as raw rows: blocks between blank lines, counted without those that are blank."""
     text = F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "\r\n?", "\n")
-    blocks = books.where("format = 'txt'").select("book_id", "title", F.posexplode(F.split(text, "\n\n")).alias("para_idx", "raw"))
-    rows = blocks.select("book_id", F.lit(0).alias("chapter_idx"), "title", F.lit(0.0).alias("confidence"), "para_idx", F.regexp_replace("raw", r"(?U)^\s+|\s+\z", "").alias("original_text"))
-    rows = rows.where("original_text <> ''").select("*", _once(remove_running_headers(F.col("original_text"))).alias("stripped"))
+    blocks = F.filter(F.transform(F.split(text, "\n\n"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+\z", "")), lambda x: x != "")
+    return books.select("book_id", "title", F.lit("txt").alias("format"), F.posexplode(blocks).alias("place", "text"))
+
+
+def txt_paragraphs(raw: DataFrame) -> DataFrame:
+    """Paragraphs of text files, cleaned one by one. Ids keep the place of the block, so those that cleaning empties leave gaps."""
+    rows = raw.where("format = 'txt'").select("book_id", F.lit(0).alias("chapter_idx"), "title", F.lit(0.0).alias("confidence"), F.col("place").alias("para_idx"), F.col("text").alias("original_text"))
+    rows = rows.select("*", _once(remove_running_headers(F.col("original_text"))).alias("stripped"))
     # normal form C makes no text empty, so the filter stays native
     return finished(rows.where(clean(F.col("stripped"), unicode=False) != "").withColumn("text", clean(F.col("stripped"))).drop("stripped"))
 
 
-def _unpacked(books: DataFrame, kind: str, take, schema: str) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [c.split()[0] for c in schema.split(", ")]
-        for rows in batches:
-            for book, title, content in zip(rows["book_id"], rows["title"], rows["content"]):
-                yield pd.DataFrame([(book, *r) for r in take(bytes(content), title)], columns=columns)
-
-    return books.where(F.col("format") == kind).select("book_id", "title", "content").mapInPandas(run, schema)
-
-
-def docx_rows(content: bytes, title: str) -> Iterator[tuple]:
-    """(title, author, order, style, text) of each paragraph of a DOCX file."""
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        core = ElementTree.fromstring(z.read("docProps/core.xml")) if "docProps/core.xml" in z.namelist() else None
-        styles = {}
-        if "word/styles.xml" in z.namelist():
-            for s in ElementTree.fromstring(z.read("word/styles.xml")).iter(f"{_W}style"):
-                name = s.find(f"{_W}name")
-                styles[s.get(f"{_W}styleId")] = name.get(f"{_W}val") if name is not None else ""
-        body = ElementTree.fromstring(z.read("word/document.xml"))
-    title = (core.findtext(f"{_DC}title") if core is not None else None) or title
-    author = (core.findtext(f"{_DC}creator") if core is not None else None) or ""
-    for i, p in enumerate(body.iter(f"{_W}p")):
-        style = p.find(f"{_W}pPr/{_W}pStyle")
-        name = styles.get(style.get(f"{_W}val"), style.get(f"{_W}val")) if style is not None else ""
-        text = "".join("\t" if x.tag == f"{_W}tab" else "\n" if x.tag == f"{_W}br" else x.text or "" for x in p.iter() if x.tag in (f"{_W}t", f"{_W}tab", f"{_W}br"))
-        yield title, author, i, name, text
-
-
-def docx_paragraphs(books: DataFrame, exact: bool = True) -> DataFrame:
-    rows = _unpacked(books, "docx", docx_rows, "book_id string, book_title string, author string, order int, style string, text string")
-    found = by_styles(rows.select("book_id", "order", "style", "text"), "book_id", exact=exact).where("text IS NOT NULL")
-    return finished(found.withColumn("original_text", F.col("text")).withColumn("text", clean(F.regexp_replace("text", r"(?U)^\s+|\s+\z", ""))))
-
-
-def epub_rows(content: bytes, title: str) -> Iterator[tuple]:
-    """(title, author, chapter, heading, order, text) of an EPUB file in reading order; navigation is left out."""
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        box = ElementTree.fromstring(z.read("META-INF/container.xml"))
-        root = next(x.get("full-path") for x in box.iter() if x.tag.endswith("rootfile"))
-        package = ElementTree.fromstring(z.read(root))
-        title = next((x.text for x in package.iter(f"{_DC}title") if x.text), title)
-        author = next((x.text for x in package.iter(f"{_DC}creator") if x.text), "")
-        items = {x.get("id"): x for x in package.iter(f"{_OPF}item")}
-        chapter = 0
-        for ref in package.iter(f"{_OPF}itemref"):
-            item = items.get(ref.get("idref"))
-            if item is None or "nav" in (item.get("properties") or "").split() or "html" not in (item.get("media-type") or ""):
-                continue
-            name = posixpath.normpath(posixpath.join(posixpath.dirname(root), unquote(item.get("href"))))
-            if any(part in name.lower() for part in ("nav.", "toc.")):
-                continue
-            heading, found = read_html(z.read(name).decode("utf-8", "replace"))
-            for i, text in enumerate(found):
-                yield title, author, chapter, heading, i, text
-            chapter += bool(found)
-
-
-def epub_paragraphs(books: DataFrame) -> DataFrame:
-    rows = _unpacked(books, "epub", epub_rows, "book_id string, book_title string, author string, chapter_idx int, title string, para_idx int, text string")
-    rows = rows.where(clean(F.col("text"), unicode=False) != "")
-    return finished(rows.select("book_id", "chapter_idx", "title", F.lit(0.95).alias("confidence"), "para_idx", F.col("text").alias("original_text"), clean(F.col("text")).alias("text")))
+def docx_paragraphs(raw: DataFrame, exact: bool = True) -> DataFrame:
+    rows = raw.where("format = 'docx'").select("book_id", F.col("place").alias("order"), "style", "text")
+    found = by_styles(rows, "book_id", exact=exact).where("text IS NOT NULL").withColumn("original_text", F.regexp_replace("text", r"(?U)^\s+|\s+\z", ""))
+    return finished(found.withColumn("text", clean(F.col("original_text"))))
+
+
+def epub_paragraphs(raw: DataFrame) -> DataFrame:
+    """Paragraphs of EPUB files; documents without any aren't counted as chapters. Ids keep the place of the paragraph in its document."""
+    rows = raw.where("format = 'epub'").where(clean(F.col("text"), unicode=False) != "")
+    chapter = (F.dense_rank().over(W.partitionBy("book_id").orderBy("chapter")) - 1).alias("chapter_idx")
+    return finished(rows.select("book_id", chapter, F.col("heading").alias("title"), F.lit(0.95).alias("confidence"), F.col("place").alias("para_idx"), F.col("text").alias("original_text"), clean(F.col("text")).alias("text")))
 
 
 def pdf_paragraphs(pages: DataFrame) -> DataFrame:
@@ -143,11 +66,11 @@ def pdf_paragraphs(pages: DataFrame) -> DataFrame:
     return finished(out.withColumn("original_text", F.col("text")))
 
 
-def read_books(spark: SparkSession, path: str) -> DataFrame:
-    """Paragraphs of all text, DOCX and EPUB files under a path or pattern."""
-    found = files(spark, path)
+def read_books(spark: SparkSession, path: str, exact: bool = False) -> DataFrame:
+    """Paragraphs of all text, DOCX and EPUB files under a path; files of another format are an error that names the known ones."""
+    raw = lambda kind: read_raw(spark, path, exact=exact, formats=kind)
     columns = ["book_id", "chapter_idx", "title", "confidence", "para_idx", "id", "text", "original_text", "is_dialogue"]
-    return txt_paragraphs(found).select(columns).unionByName(docx_paragraphs(found).select(columns)).unionByName(epub_paragraphs(found).select(columns))
+    return txt_paragraphs(raw("txt")).select(columns).unionByName(docx_paragraphs(raw("docx")).select(columns)).unionByName(epub_paragraphs(raw("epub")).select(columns))
 
 
 def read_book_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:

@@ -18,6 +18,9 @@ class _Reader(HTMLParser):
         self.title: str | None = None
         self.paragraphs: list[str] = []
         self.body: list[str] = []
+        self.title_parts: list[str] | None = None
+        self.parts: list[list[str]] = []
+        self.pieces: list[str] = []
         self._heading: list[str] | None = None
         self._paragraph: list[str] | None = None
         self._skip = 0
@@ -37,7 +40,7 @@ class _Reader(HTMLParser):
         if tag in ("script", "style", "head"):
             self._skip = max(0, self._skip - 1)
         elif tag in ("h1", "h2", "h3") and self._heading is not None:
-            self.title = " ".join("".join(self._heading).split())
+            self.title, self.title_parts = " ".join("".join(self._heading).split()), self._heading
             self._heading = None
         elif tag == "p":
             self._end_paragraph()
@@ -49,27 +52,39 @@ class _Reader(HTMLParser):
             self._heading.append(data)
             return
         self.body.append(data)
+        self.pieces.append(data)
         if self._paragraph is not None:
             self._paragraph.append(data)
 
     def _end_paragraph(self) -> None:
         if self._paragraph is not None:
             self.paragraphs.append(" ".join("".join(self._paragraph).split()))
+            self.parts.append(self._paragraph)
             self._paragraph = None
 
-    def finish(self) -> tuple[str, list[str]]:
+    def finish(self, exact: bool = False) -> tuple[str, list[str]]:
+        """The title and paragraphs. With `exact` as older output has them.
+
+        Then the parts of a title are joined by nothing and those of a paragraph by blanks, blank
+        paragraphs keep their place as empty texts, and a page without paragraphs is split at blank lines alone.
+        """
         self.close()
         self._end_paragraph()
+        if exact:
+            texts = [" ".join(x.strip() for x in p if x.strip()) for p in self.parts]
+            if not texts:
+                texts = [x.strip() for x in "\n".join(self.pieces).split("\n\n") if x.strip()]
+            return "".join(x.strip() for x in self.title_parts or ()), texts
         found = [p for p in self.paragraphs if p]
         if not found:
             found = [" ".join(b.split()) for b in "".join(self.body).split("\n\n")]
         return self.title or "", [p for p in found if p]
 
 
-def read_html(text: str) -> tuple[str, list[str]]:
+def read_html(text: str, exact: bool = False) -> tuple[str, list[str]]:
     reader = _Reader()
     reader.feed(text)
-    return reader.finish()
+    return reader.finish(exact)
 
 
 def html_paragraphs(pages: DataFrame, *keys: str, html: str = "html") -> DataFrame:

@@ -8,7 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark import schema
-from quillspark.sources import books, markup
+from quillspark.sources import book_format, books, markup
+from quillspark.sources.book_files import write_book_files
+from quillspark.sources.book_format import BookReader, read_raw, text_rows
+from quillspark.storage import Output
 from quillspark.streaming import resume
 
 
@@ -40,13 +43,64 @@ def test_books_of_three_formats(spark, tmp_path):
     (tmp_path / "c.epub").write_bytes(epub())
     rows = books.read_books(spark, str(tmp_path)).orderBy("confidence", "chapter_idx", "para_idx").collect()
     txt = [r for r in rows if r.confidence == 0.0]
-    assert [(r.id, r.text, r.is_dialogue) for r in txt] == [("c00-p000", "Chapter 1: The Start", False), ("c00-p002", '"You lied," she said.', True), ("c00-p003", "bad � byte", False)]
+    assert [(r.id, r.text, r.is_dialogue) for r in txt] == [("c00-p000", "Chapter 1: The Start", False), ("c00-p001", '"You lied," she said.', True), ("c00-p002", "bad � byte", False)]
     assert txt[0].title == "plain book"
     assert [(r.chapter_idx, r.title, r.text) for r in rows if r.confidence == 0.9] == [(0, "The Beginning", "Mira set the lamp down."), (1, "The Middle", '"You lied," she said.')]
     assert [(r.chapter_idx, r.title, r.text) for r in rows if r.confidence == 0.95] == [(0, "The Beginning", "First & one."), (0, "The Beginning", "Second."), (1, "End", "By morning."), (1, "End", "Mira left.")]
-    (tmp_path / "d.odt").write_bytes(b"x")
-    with pytest.raises(Exception, match="known: docx, epub, pdf, txt"):
-        books.files(spark, str(tmp_path)).collect()
+    exact = books.read_books(spark, str(tmp_path), exact=True).where("confidence = 0.95").orderBy("chapter_idx", "para_idx").collect()
+    assert [(r.title, r.id, r.text) for r in exact] == [("End", "c00-p000", "By morning.\nMira left."), ("TheBeginning", "c01-p000", "First & one."), ("TheBeginning", "c01-p002", "Second.")]
+
+
+def test_files_that_are_no_books(spark, tmp_path):
+    (tmp_path / "d.ODT").write_bytes(b"x")
+    with pytest.raises(Exception, match=r"no reader for \.odt .*known formats: \.docx, \.epub, \.txt"):
+        read_raw(spark, str(tmp_path)).collect()
+    with pytest.raises(Exception, match="no file or folder"):
+        read_raw(spark, str(tmp_path / "none")).collect()
+    assert read_raw(spark, str(tmp_path), pathGlobFilter="*.txt").count() == 0
+    for name in ("a.docx", "b.epub"):
+        (tmp_path / name).write_bytes(b"no archive")
+        with pytest.raises(Exception, match=f"{name} can't be read"):
+            read_raw(spark, str(tmp_path / name)).collect()
+
+
+def test_files_are_grouped_by_size_and_read_as_streams(spark, tmp_path, monkeypatch):
+    for i in range(40):
+        (tmp_path / f"{i:02d}.TXT").write_text(f"x{i}\n\n" * 10_000)
+    (tmp_path / "_SUCCESS").write_text("")
+    raw = read_raw(spark, str(tmp_path), groupBytes=500_000)
+    parts = BookReader({"path": str(tmp_path), "groupbytes": "500000"}).partitions()
+    assert len(parts) == raw.rdd.getNumPartitions() == 10 and sum(len(p.paths) for p in parts) == 40
+    assert raw.groupBy("title").agg(F.count("*").alias("n"), F.max("place").alias("m")).where("n = 10000 AND m = 9999").count() == 40
+    text = "a\r\n\r\nb\n\n\n\nc\n\n\nd\re\n"
+    want = [r[6] for r in text_rows(io.BytesIO(text.encode()), "t")]
+    assert want == ["a", "b", "c", "d\ne"] == [b.strip() for b in text.replace("\r\n", "\n").replace("\r", "\n").split("\n\n") if b.strip()]
+    for size in (1, 2, 3, 5):
+        monkeypatch.setattr(book_format, "TEXT_CHARS", size)
+        assert [r[6] for r in text_rows(io.BytesIO(text.encode()), "t")] == want
+
+
+def test_books_written_by_tasks_come_back(spark, tmp_path):
+    texts = ["First & <one>.", "tab\there", "\x0bcontrol", "“quoted”"]
+    rows = [(f"b{i % 3}", kind, "T & U", c, f"Chapter {c}", p, f"{t} {i}") for i in range(6) for kind in ("txt", "docx", "epub") for c in (0, 2) for p, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "name string, format string, book_title string, chapter_idx int, title string, para_idx int, text string")
+    assert write_book_files(df, str(tmp_path / "out")).count() == 9
+    assert not list(tmp_path.rglob("*.part"))
+    raw = read_raw(spark, str(tmp_path / "out"))
+    want = {t.replace("\x0b", "") if kind != "txt" else t.strip() for kind in ("docx", "txt") for *_, t in rows}
+    assert {r.text for r in raw.where("style = '' AND format <> 'epub'").collect()} == want
+    assert {r.title for r in raw.where("format <> 'txt'").collect()} == {"T & U"}
+    books_ = books.read_books(spark, str(tmp_path / "out"))
+    assert books_.count() == len(rows) and {r.chapter_idx for r in books_.select("chapter_idx").collect()} == {0, 1}
+
+
+def test_output_of_a_failed_task_is_deleted(tmp_path):
+    with pytest.raises(RuntimeError), Output(str(tmp_path / "x")) as out:
+        out.write(b"half")
+        raise RuntimeError
+    with Output(str(tmp_path / "y")) as out:
+        assert out.write(b"a") == 0 and out.write(b"b") == 1
+    assert [p.name for p in tmp_path.iterdir()] == ["y"]
 
 
 def test_pdf_pages(spark):

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import matches_name, speaker_slug, text_hash
+from ..functions.text import let, matches_name, speaker_slug, text_hash
 
 WINDOW = 20
 MINOR_LINES = 3
@@ -140,14 +137,8 @@ def valid_voices(voices: DataFrame, engine_voices: DataFrame) -> DataFrame:
     return voices.join(engine_voices.select("engine", "id"), ["engine", "id"], "left_semi")
 
 
-def assign_in_order(characters: DataFrame, voices: DataFrame) -> DataFrame:
-    """Rows (book_id, id, voice_id): without measured voices, the n-th character by lines gets the n-th voice of the catalogue (`pos`).
-
-    If there are more characters than voices the last two are extras that minor
-    characters share in turn. 'I' speaks as the narrator, as do those for whom no voice
-    is left and no extras are. Locked characters keep theirs, which nobody else gets. Ranks and
-    equi-joins on (book, rank).
-    """
+def _parts(characters: DataFrame, voices: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Characters with their role and rank `k` in it; the voices for main characters, book by book in order; those that others share."""
     books = characters.select("book_id").distinct()
     narrator = voices.agg(F.coalesce(F.min_by(F.when(F.coalesce("narrator_reserved", F.lit(False)), F.col("id")), F.when(F.coalesce("narrator_reserved", F.lit(False)), F.col("pos"))), F.min_by("id", "pos"), F.lit("narrator")).alias("narrator_id"))
     free = voices.where(~F.coalesce("narrator_reserved", F.lit(False))).select(F.col("id").alias("voice"), "pos")
@@ -173,45 +164,83 @@ def assign_in_order(characters: DataFrame, voices: DataFrame) -> DataFrame:
     spare = spare.select("book_id", F.col("turn").alias("turn"), F.col("voice").alias("extra"))
     n_extras = F.least(F.lit(EXTRAS), F.col("n_voices"))
     wanted = named.withColumn("turn", F.when(F.col("role") == "minor", F.pmod(F.col("k") - 1, F.greatest(n_extras, F.lit(1)))).otherwise(0))
+    return wanted, main, spare
+
+
+def assign_in_order(characters: DataFrame, voices: DataFrame) -> DataFrame:
+    """Rows (book_id, id, voice_id): without measured voices, the n-th character by lines gets the n-th voice of the catalogue (`pos`).
+
+    If there are more characters than voices the last two are extras that minor
+    characters share in turn. 'I' speaks as the narrator, as do those for whom no voice
+    is left and no extras are. Locked characters keep theirs, which nobody else gets. Ranks and
+    equi-joins on (book, rank).
+    """
+    wanted, main, spare = _parts(characters, voices)
     out = wanted.join(main, ["book_id", "role", "k"], "left").join(spare, ["book_id", "turn"], "left")
     voice = F.when(F.col("role") == "locked", F.col("locked_voice")).when(F.col("role") == "narrator", F.col("narrator_id")).when(F.col("role") == "minor", F.coalesce("extra", "narrator_id")).otherwise(F.coalesce("voice", F.when(F.col("pooled"), F.col("extra")), "narrator_id"))
     return out.select("book_id", "id", voice.alias("voice_id"))
 
 
-def assign_measured(characters: DataFrame, voices: list[dict], pairs: DataFrame) -> DataFrame:
-    """Rows (book_id, id, voice_id): with measured voices, each character in turn the one that is least like those of its neighbours.
+_MEASURED = "array<struct<pos:int,id:string,f0:double,centroid:double,gender:string,gender_verified:boolean,age_bracket:string,age_verified:boolean>>"
 
-    Greedy, so a book is one group: its characters and the pairs they form. The catalogue is a plain list.
-    """
 
-    def distance(a: dict, b: dict) -> float:
-        x = [a.get("f0"), a.get("centroid"), b.get("f0"), b.get("centroid")]
-        return math.inf if any(v is None for v in x) else math.hypot((x[0] - x[2]) / 45.0, (x[1] - x[3]) / 400.0)
-
-    free = [v for v in voices if not v.get("narrator_reserved")]
-    narrator = next((v["id"] for v in voices if v.get("narrator_reserved")), voices[0]["id"] if voices else "narrator")
-
-    def run(key: tuple, own: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
-        weight = {(a, b): n for a, b, n in zip(near["a"], near["b"], near["n"])}
-        left, given, out = list(free), {}, []
-        for x in own.sort_values(["line_count", "first_seen"], ascending=[False, True], kind="stable").itertuples():
-            if x.name.strip().upper() == "I":
-                out.append((key[0], x.id, narrator))
-                continue
-            pool = [v for v in left if all(want in (None, "unknown") or (v.get(f"{tag}_verified") and v.get(tag) == want) for tag, want in (("gender", x.gender), ("age_bracket", x.age_bracket)))] or left
-
-            def penalty(v: dict) -> float:
-                return sum((1 - d) * w * 10 for other, o in given.items() if (w := weight.get((min(x.name, other), max(x.name, other)), 0)) and (d := distance(v, o)) < 1)
-
-            best = min(pool, key=penalty) if pool else None
-            if best is not None:
-                left.remove(best)
-                given[x.name] = best
-            out.append((key[0], x.id, best["id"] if best else narrator))
-        return pd.DataFrame(out, columns=["book_id", "id", "voice_id"])
-
-    kind = characters.schema["book_id"].dataType.simpleString()
-    return characters.select("book_id", "id", "name", "line_count", "first_seen", "gender", "age_bracket").groupBy("book_id").cogroup(pairs.groupBy("book_id")).applyInPandas(run, f"book_id {kind}, id string, voice_id string")
+def assign_measured(characters: DataFrame, voices: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Rows (book_id, id, voice_id): with measured voices, each main character in turn gets the one least like those of its neighbours.
+
+    `characters` and `voices` as for `assign_in_order`, besides with `gender`, `age_bracket`, and for voices `f0`,
+    `centroid` and whether the tags are verified; `pairs` (book_id, a, b, n) by name. A voice costs, for every
+    neighbour that has one nearer than 1, the difference to 1 times ten times how often both come
+    near each other; of equal costs (to nine places) the first voice counts. Voices with the wanted tags go
+    before others. Locked characters have their voices from the start; all others as without measures.
+
+    A scored character takes a voice for itself, so a book has no more of them than the catalogue has
+    voices: what is gathered of a book, their weights for each other and for the locked voices, is bounded by the catalogue
+    alone, and a fold inside Spark's own code gives out the voices.
+    """
+    wanted, main, _ = _parts(characters, voices)
+    number = voices.withColumn("u", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("pos")).cast("int"))  # the catalogue is small
+    tags = [F.col(c) if c in voices.columns else F.lit(None).cast(kind).alias(c) for c, kind in (("gender", "string"), ("gender_verified", "boolean"), ("age_bracket", "string"), ("age_verified", "boolean"))]
+    catalogue = voices.select(F.struct("pos", "id", F.col("f0").cast("double").alias("f0"), F.col("centroid").cast("double").alias("centroid"), *tags).alias("v")).agg(F.array_sort(F.collect_list("v")).cast(_MEASURED).alias("voices"))
+    free = main.join(F.broadcast(number.select(F.col("id").alias("voice"), "u")), "voice").groupBy("book_id").agg(F.array_sort(F.collect_list("u")).alias("free"))
+    scored = wanted.where("role = 'main'").join(free, "book_id").where(F.col("k") <= F.size("free")).select("book_id", "id", "name", "k", "gender", "age_bracket")
+    both = pairs.select("book_id", F.col("a").alias("name"), F.col("b").alias("other"), "n").unionByName(pairs.select("book_id", F.col("b").alias("name"), F.col("a").alias("other"), "n")).where("name <> other")
+    mine = scored.select("book_id", "name", "k").join(both, ["book_id", "name"])
+    before = mine.join(scored.select("book_id", F.col("name").alias("other"), F.col("k").alias("j")), ["book_id", "other"]).where("j < k").select("book_id", "k", "j", F.lit(None).cast("int").alias("u"), "n")
+    locked = wanted.where("role = 'locked'").join(F.broadcast(number.select(F.col("id").alias("locked_voice"), "u")), "locked_voice").select("book_id", F.col("name").alias("other"), "u")
+    fixed = mine.join(locked, ["book_id", "other"]).select("book_id", "k", F.lit(None).cast("int").alias("j"), "u", "n")
+    near = before.unionByName(fixed).groupBy("book_id", "k", "j", "u").agg(F.sum("n").cast("double").alias("w")).groupBy("book_id", "k").agg(F.array_sort(F.collect_list(F.struct("j", "u", "w"))).alias("near"))
+    each = scored.join(near, ["book_id", "k"], "left").withColumn("near", F.coalesce("near", F.array().cast("array<struct<j:int,u:int,w:double>>")))
+    books = each.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("k", "id", "gender", "age_bracket", "near"))).alias("cast")).join(free, "book_id").crossJoin(F.broadcast(catalogue))
+
+    def fits(v: Column, x: Column) -> Column:
+        ok = F.lit(True)
+        for tag, sure in (("gender", "gender_verified"), ("age_bracket", "age_verified")):
+            want = F.lower(F.coalesce(x[tag], F.lit("unknown")))
+            ok = ok & ((want == "unknown") | (F.coalesce(v[sure], F.lit(False)) & (F.lower(F.coalesce(v[tag], F.lit(""))) == want)))
+        return ok
+
+    def step(state: Column, x: Column) -> Column:
+        voice = lambda u: F.element_at("voices", u)
+
+        def cost(u: Column, others: Column) -> Column:
+            def add(total: Column, e: Column) -> Column:
+                a, b = voice(u), voice(e["u"])
+                apart = F.sqrt(F.pow((a["f0"] - b["f0"]) / 45.0, F.lit(2)) + F.pow((a["centroid"] - b["centroid"]) / 400.0, F.lit(2)))
+                return total + F.coalesce(F.when(apart < 1, (1 - apart) * e["w"] * 10), F.lit(0.0))
+
+            return F.round(F.aggregate(others, F.lit(0.0), add), 9)
+
+        fitting = F.filter(state["left"], lambda u: fits(voice(u), x))
+        pool = F.when(F.size(fitting) > 0, fitting).otherwise(state["left"])
+        others = F.transform(x["near"], lambda e: F.struct(F.coalesce(e["u"], F.element_at(state["given"], F.coalesce(e["j"], F.lit(1)))).alias("u"), e["w"].alias("w")))
+        best = let(others, lambda o: F.array_min(F.transform(pool, lambda u: F.struct(cost(u, o).alias("cost"), u.alias("u"))))["u"])
+        return let(best, lambda u: F.struct(F.array_remove(state["left"], u).alias("left"), F.array_append(state["given"], u).alias("given")))
+
+    start = F.struct(F.col("free").alias("left"), F.array().cast("array<int>").alias("given"))
+    given = F.aggregate("cast", start, step, lambda state: state["given"])
+    chosen = books.select("book_id", "cast", "voices", given.alias("given")).select("book_id", F.explode(F.arrays_zip("cast", "given")).alias("x"), "voices")
+    chosen = chosen.select("book_id", F.col("x.cast.id").alias("id"), F.element_at("voices", F.col("x.given"))["id"].alias("scored"))
+    return assign_in_order(characters, voices).join(chosen, ["book_id", "id"], "left").select("book_id", "id", F.coalesce("scored", "voice_id").alias("voice_id"))
 
 
 def set_voice(characters: DataFrame, book_id: object, who: str, engine: str, voice_id: str) -> DataFrame:

@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import NAME_STOP_WORDS, TITLE_TOKENS, name_tokens
+from ..functions.text import NAME_STOP_WORDS, TITLE_TOKENS, name_tokens, py_strip
 
 # fixed values: titles that name nobody by themselves
 AMBIGUOUS_TITLES = frozenset("captain doctor dr professor inspector major colonel judge priest father officer detective".split()) | {"the old man"}
 _TITLES, _STOP = frozenset(TITLE_TOKENS), frozenset(NAME_STOP_WORDS)
 RECENT_PARAGRAPHS = 8
+#: Before all places in a book.
+NEVER = -(1 << 62)
 
 
 def tokens(name: str) -> frozenset[str]:
@@ -91,26 +93,53 @@ class Registry:
 def resolve_names(names: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
     """Rows (book_id, ord, name, resolved, canonical, flagged_reason): each name as it is resolved at its place, and its character's name in the end.
 
-    The outcome depends on the order, so a book is folded in order by one task, which holds
-    all names of that book. Seeds (book_id, name, aliases) come first.
+    The outcome depends on the order, but a spelling is only decided where it first comes up;
+    later on it leads to the name that its character has by then. So only the distinct spellings of a book
+    are folded in order, which gives each spelling's character and the versions of that character's name with
+    the places they hold from. Every version is longer than the one before, so they are few. All rows then take the
+    newest version at their place by a join on the spelling. Seeds (book_id, name, aliases) come first.
     """
-    rows = names.select("book_id", F.col("ord").cast("long").alias("ord"), "name", F.lit(None).cast("array<string>").alias("aliases"))
+    kind = names.schema["book_id"].dataType.simpleString()
+    rows = names.select("book_id", F.col("ord").cast("long").alias("ord"), "name", F.lower(py_strip(F.coalesce("name", F.lit("")))).alias("spelling"))
+    fixed = F.col("spelling").isin("", "unknown", "narrator")
+    spellings = rows.where(~fixed).groupBy("book_id", "spelling").agg(F.min(F.struct("ord", "name")).alias("first")).select("book_id", "spelling", "first.ord", "first.name", F.lit(None).cast("array<string>").alias("aliases"))
     if seeds is not None:
-        rows = rows.unionByName(seeds.select("book_id", F.lit(None).cast("long").alias("ord"), "name", "aliases"))
+        spellings = spellings.unionByName(seeds.select("book_id", F.lower("name").alias("spelling"), F.lit(None).cast("long").alias("ord"), "name", "aliases"))
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        registry, out = Registry(), []
-        for order, name, aliases in rows.sort_values("ord", na_position="first", kind="stable")[["ord", "name", "aliases"]].itertuples(index=False):
+    def fold(spelt: pd.DataFrame) -> pd.DataFrame:
+        registry, decided = Registry(), []
+        versions: dict[int, list[tuple[int, str]]] = {}
+        for order, spelling, name, aliases in spelt.sort_values(["ord", "name"], na_position="first", kind="stable")[["ord", "spelling", "name", "aliases"]].itertuples(index=False):
             if pd.isna(order):
-                registry.add(name, list(aliases) if aliases is not None else [])
-            else:
-                resolved, why = registry.resolve(name or "")
-                out.append((int(order), name, resolved, why))
-        last = [registry.names[registry.alias[r.lower()]] if r.lower() in registry.alias else r for _, _, r, _ in out]
-        return pd.DataFrame({"book_id": [rows["book_id"].iloc[0]] * len(out), "ord": [o[0] for o in out], "name": [o[1] for o in out], "resolved": [o[2] for o in out], "canonical": last, "flagged_reason": [o[3] for o in out]})
-
-    kind = names.schema["book_id"].dataType.simpleString()
-    return rows.groupBy("book_id").applyInPandas(fold, f"book_id {kind}, ord long, name string, resolved string, canonical string, flagged_reason string")
+                n = registry.add(name, list(aliases) if aliases is not None else [])
+                versions[n] = [(NEVER, name)]
+                continue
+            _, why = registry.resolve(name)
+            n = registry.alias.get(name.strip().lower())
+            if n is None:  # nothing but what only Python strips
+                continue
+            known = versions.setdefault(n, [])
+            if not known or known[-1][1] != registry.names[n]:
+                known.append((int(order), registry.names[n]))
+            decided.append((spelling, int(order), n, why))
+        final = lambda name: registry.names[registry.alias[name.lower()]] if name.lower() in registry.alias else name
+        if not decided:
+            return pd.DataFrame()
+        return pd.DataFrame(
+            {
+                "book_id": [spelt["book_id"].iloc[0]] * len(decided), "spelling": [d[0] for d in decided], "first_ord": [d[1] for d in decided], "why": [d[3] for d in decided],
+                "versions": pd.Series([[{"since": at, "name": name, "final": final(name)} for at, name in versions[d[2]]] for d in decided], dtype=object),
+            }
+        )
+
+    folded = spellings.groupBy("book_id").applyInPandas(fold, f"book_id {kind}, spelling string, first_ord long, why string, versions array<struct<since: long, name: string, final: string>>")
+    joined = rows.join(folded, ["book_id", "spelling"], "left")
+    now = F.element_at(F.filter("versions", lambda v: v["since"] <= F.col("ord")), -1)
+    alone = F.when(F.col("spelling") == "", "unknown").otherwise(F.col("spelling"))
+    return joined.select(
+        "book_id", "ord", "name", F.when(fixed, alone).otherwise(F.coalesce(now["name"], F.lit("unknown"))).alias("resolved"), F.when(fixed, alone).otherwise(F.coalesce(now["final"], F.lit("unknown"))).alias("canonical"),
+        F.when(F.col("ord") == F.col("first_ord"), F.col("why")).alias("flagged_reason"),
+    )
 
 
 def alias_candidates(names: DataFrame, least: int = 1) -> DataFrame:

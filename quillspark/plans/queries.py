@@ -423,10 +423,42 @@ def name_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", F.array_sort(text.name_tokens(F.concat(F.lit("The "), "p_name", F.lit(", Mr. "), "p_type", F.lit(" O'X")))).alias("tokens"))
 
 
-@query()
+_TITLES = "['mr', 'mrs', 'ms', 'dr', 'professor', 'captain', 'colonel']"
+_GENERIC = "['captain', 'doctor', 'dr', 'professor', 'inspector', 'major', 'colonel', 'judge', 'priest', 'father', 'officer', 'detective']"
+#: Whether the tokens a and b of two names may be one person's.
+_COMPATIBLE = (
+    f"len(list_filter({{a}}, lambda t: t IN {{b}} AND t NOT IN {_GENERIC})) > 0"
+    f" AND (len(list_filter({{a}}, lambda t: t NOT IN {{b}} AND t NOT IN {_GENERIC} AND t NOT IN {_TITLES})) = 0 OR len(list_filter({{b}}, lambda t: t NOT IN {{a}} AND t NOT IN {_GENERIC} AND t NOT IN {_TITLES})) = 0)"
+    f" AND (NOT list_has_any({{a}}, {_TITLES}) OR NOT list_has_any({{b}}, {_TITLES}) OR list_sort(list_intersect({{a}}, {_TITLES})) = list_sort(list_intersect({{b}}, {_TITLES})))"
+)
+
+
+@query(
+    f"""WITH RECURSIVE {NAMES},
+    n AS (SELECT book_id, ord, CASE ord % 40 WHEN 0 THEN 'Captain' WHEN 1 THEN ' Narrator ' WHEN 2 THEN '' WHEN 3 THEN upper(name) WHEN 4 THEN name || '  ' WHEN 5 THEN 'Sir ' || name ELSE name END AS name FROM names),
+    s AS (SELECT *, lower(trim(name)) AS s FROM n),
+    o AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY first_ord) AS k, list_distinct(list_filter(string_split(regexp_replace(s, '[^a-z0-9 ]', ' ', 'g'), ' '), lambda t: t IN {_TITLES} OR (length(t) >= 2 AND t NOT IN ['the', 'a', 'an', 'sir', 'lady', 'lord']))) AS toks
+      FROM (SELECT book_id, s, min(ord) AS first_ord, trim(arg_min(name, ord)) AS nm FROM s WHERE s NOT IN ('', 'unknown', 'narrator') GROUP BY ALL)),
+    r(book_id, k, names, known, hit, why) AS (
+      SELECT DISTINCT book_id, CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[][]), CAST(0 AS BIGINT), CAST(NULL AS VARCHAR) FROM o
+      UNION ALL
+      SELECT book_id, k, CASE WHEN fresh THEN list_append(names, nm) WHEN longer THEN list_transform(names, lambda x, i: CASE WHEN i = c THEN nm ELSE x END) ELSE names END,
+        CASE WHEN fresh THEN list_append(known, toks) WHEN longer THEN list_transform(known, lambda x, i: CASE WHEN i = c THEN toks ELSE x END) ELSE known END,
+        CASE WHEN fresh THEN len(names) + 1 ELSE c END, CASE WHEN generic THEN 'ambiguous_generic_title' WHEN len(cand) > 1 THEN 'multiple_matching_characters' END
+      FROM (SELECT *, generic OR len(cand) <> 1 AS fresh, cand[1] AS c, length(nm) > length(names[cand[1]]) AS longer FROM
+        (SELECT o.*, names, known, len(toks) > 0 AND list_has_all({_GENERIC}, toks) AS generic, list_filter(range(1, len(names) + 1), lambda i: {_COMPATIBLE.format(a="toks", b="known[i]")}) AS cand FROM r JOIN o ON o.book_id = r.book_id AND o.k = r.k + 1))),
+    z AS (SELECT book_id, arg_max(names, k) AS names FROM r GROUP BY book_id),
+    x AS (SELECT s.*, o.k AS own, o.first_ord FROM s LEFT JOIN o ON o.book_id = s.book_id AND o.s = s.s),
+    y AS (SELECT x.*, o.k AS latest FROM x ASOF LEFT JOIN o ON x.book_id = o.book_id AND x.ord >= o.first_ord)
+    SELECT y.book_id, y.ord, y.name, CASE WHEN y.s = '' THEN 'unknown' WHEN y.own IS NULL THEN y.s ELSE l.names[f.hit] END AS resolved, CASE WHEN y.s = '' THEN 'unknown' WHEN y.own IS NULL THEN y.s ELSE z.names[f.hit] END AS canonical,
+      CASE WHEN y.ord = y.first_ord THEN f.why END AS flagged_reason
+    FROM y LEFT JOIN r f ON f.book_id = y.book_id AND f.k = y.own LEFT JOIN r l ON l.book_id = y.book_id AND l.k = y.latest LEFT JOIN z ON z.book_id = y.book_id"""
+)
 def name_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fold in order."""
-    return names.resolve_names(book_names(spark, sf_dir))
+    """Names in order, some of them titles alone, blank, padded, in capitals or the narrator's."""
+    n, kind = book_names(spark, sf_dir), F.col("ord") % 40
+    odd = F.when(kind == 0, "Captain").when(kind == 1, " Narrator ").when(kind == 2, "").when(kind == 3, F.upper("name")).when(kind == 4, F.concat("name", F.lit("  "))).when(kind == 5, F.concat(F.lit("Sir "), "name"))
+    return names.resolve_names(n.withColumn("name", F.coalesce(odd, "name")))
 
 
 _CANDIDATES = f"""{NAMES}, n AS (SELECT DISTINCT book_id, name FROM names),
@@ -550,14 +582,49 @@ def voice_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return casting.assign_in_order(c, nation_voices(spark, sf_dir))
 
 
-@query()
+_TAGGED = """(SELECT *, CASE WHEN pos % 2 = 0 THEN 'Male' ELSE 'female' END AS gender, pos % 3 <> 0 AS gender_verified FROM voices)"""
+
+
+@query(
+    f"""WITH RECURSIVE {VOICES},
+    seg AS (SELECT CASE WHEN o_custkey % 3 = 0 THEN 40 + o_custkey % 200 ELSE o_custkey % 40 END AS book_id, o_orderkey AS ord, 'c' || o_custkey AS id, o_custkey AS key FROM orders),
+    who AS (SELECT book_id, id, key, CASE WHEN key % 50 = 7 THEN ' i ' ELSE id END AS name, count(*) AS n, min(ord) AS f, ['unknown', 'male', 'FEMALE'][key % 3 + 1] AS gender, CASE WHEN key % 11 = 0 THEN 'voice-' || (key % 25) END AS locked FROM seg GROUP BY ALL),
+    cnt AS (SELECT *, count(*) OVER (PARTITION BY book_id) > 24 AS pooled FROM who),
+    rol AS (SELECT *, row_number() OVER (PARTITION BY book_id, role ORDER BY n DESC, f) AS k FROM (SELECT *, CASE WHEN locked IS NOT NULL THEN 'locked' WHEN trim(name) = 'i' THEN 'narrator' WHEN pooled AND n <= 3 THEN 'minor' ELSE 'main' END AS role FROM cnt)),
+    vx AS (SELECT *, pos + 1 AS u FROM {_TAGGED}),
+    lk AS (SELECT DISTINCT book_id, locked FROM rol WHERE role = 'locked'),
+    fr AS (SELECT b.book_id, list(u ORDER BY u) AS free FROM (SELECT DISTINCT book_id, pooled FROM rol) b JOIN vx ON pos > 0 AND NOT (pooled AND pos >= 23) LEFT JOIN lk ON lk.book_id = b.book_id AND lk.locked = vx.id WHERE lk.locked IS NULL GROUP BY b.book_id),
+    sc AS (SELECT rol.* FROM rol JOIN fr USING (book_id) WHERE role = 'main' AND k <= len(free)),
+    nb AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY ord) AS at FROM seg),
+    pr AS (SELECT x.book_id, x.id AS a, y.id AS b, count(*) AS w FROM nb x JOIN nb y ON x.book_id = y.book_id AND x.id <> y.id AND abs(x.at - y.at) BETWEEN 1 AND 20 GROUP BY ALL),
+    ne AS (SELECT s.book_id, s.k, list({{'j': CAST(t.k AS INTEGER), 'w': CAST(w AS DOUBLE)}} ORDER BY t.k) AS near FROM sc s JOIN pr ON pr.book_id = s.book_id AND pr.a = s.id JOIN sc t ON t.book_id = s.book_id AND t.id = pr.b WHERE t.k < s.k GROUP BY ALL),
+    fx AS (SELECT book_id, k, list({{'u': CAST(u AS INTEGER), 'w': w}} ORDER BY u) AS fixed FROM (SELECT s.book_id, s.k, vx.u, CAST(sum(w) AS DOUBLE) AS w FROM sc s JOIN pr ON pr.book_id = s.book_id AND pr.a = s.id JOIN rol t ON t.book_id = s.book_id AND t.id = pr.b AND t.role = 'locked' AND t.name = t.id JOIN vx ON vx.id = t.locked GROUP BY ALL) GROUP BY ALL),
+    mx AS (SELECT list(CASE WHEN f0a IS NULL OR f0b IS NULL OR d >= 1 THEN 0.0 ELSE 1 - d END ORDER BY ub) AS near, ua FROM (SELECT a.u AS ua, b.u AS ub, a.f0 AS f0a, b.f0 AS f0b, sqrt(((a.f0 - b.f0) / 45) ** 2 + ((a.centroid - b.centroid) / 400) ** 2) AS d FROM vx a, vx b) GROUP BY ua),
+    mm AS (SELECT list(near ORDER BY ua) AS m FROM mx), vv AS (SELECT list(lower(gender) ORDER BY u) AS g, list(gender_verified ORDER BY u) AS gv, list(id ORDER BY u) AS ids FROM vx),
+    todo AS (SELECT s.book_id, s.k, s.id, lower(s.gender) AS gender, coalesce(near, []) AS near, coalesce(fixed, []) AS fixed FROM sc s LEFT JOIN ne USING (book_id, k) LEFT JOIN fx USING (book_id, k)),
+    r(book_id, k, lefts, given) AS (
+      SELECT book_id, CAST(0 AS BIGINT), free, CAST([] AS INTEGER[]) FROM fr
+      UNION ALL
+      SELECT book_id, k, list_filter(lefts, lambda u: u <> best), list_append(given, best) FROM
+        (SELECT q.*, pool[list_position(costs, list_min(costs))] AS best FROM
+          (SELECT q.*, list_transform(pool, lambda v: round(list_sum(list_concat([0.0], list_transform(near, lambda e: m[v][given[e.j]] * e.w * 10), list_transform(fixed, lambda e: m[v][e.u] * e.w * 10))), 9)) AS costs FROM
+            (SELECT r.book_id, todo.k, lefts, given, near, fixed, m, CASE WHEN todo.gender = 'unknown' OR len(list_filter(lefts, lambda u: gv[u] AND g[u] = todo.gender)) = 0 THEN lefts ELSE list_filter(lefts, lambda u: gv[u] AND g[u] = todo.gender) END AS pool
+             FROM r JOIN todo ON todo.book_id = r.book_id AND todo.k = r.k + 1, mm, vv) q) q)),
+    z AS (SELECT book_id, arg_max(given, k) AS given FROM r GROUP BY book_id)
+    SELECT rol.book_id, rol.id, CASE WHEN role = 'locked' THEN locked WHEN role = 'narrator' THEN 'voice-0' WHEN role = 'minor' THEN ids[24 + (k - 1) % 2] WHEN k <= len(given) THEN ids[given[k]] WHEN pooled THEN ids[24] ELSE 'voice-0' END AS voice_id
+    FROM rol LEFT JOIN z USING (book_id), vv"""
+)
 def voice_assignment_measured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K7, F20, I7 with measures."""
-    s = segments(spark, sf_dir)
-    c = s.where("speaker_id NOT IN ('narrator', 'unknown')").groupBy("book_id", F.col("speaker_id").alias("name")).agg(F.count(F.lit(1)).alias("line_count"), F.min("seg_idx").alias("first_seen"))
-    c = c.select("book_id", F.col("name").alias("id"), "name", "line_count", "first_seen", F.lit("unknown").alias("gender"), F.lit("unknown").alias("age_bracket"))
-    catalogue = [r.asDict() for r in nation_voices(spark, sf_dir).orderBy("pos").collect()]  # a whole dimension of the same size at every scale
-    return casting.assign_measured(c, catalogue, casting.adjacency(s))
+    """K7, F20, I7 with measures: customers as characters of small and large books, some locked, some minor, some the narrator."""
+    key = F.col("o_custkey")
+    s = table(spark, sf_dir, "orders").select(F.when(key % 3 == 0, 40 + key % 200).otherwise(key % 40).alias("book_id"), F.col("o_orderkey").alias("ord"), F.concat(F.lit("c"), key.cast("string")).alias("speaker_id"), key.alias("key"))
+    c = s.groupBy("book_id", F.col("speaker_id").alias("id"), "key").agg(F.count(F.lit(1)).alias("line_count"), F.min("ord").alias("first_seen"))
+    key = F.col("key")
+    gender = F.element_at(F.array(*map(F.lit, ("unknown", "male", "FEMALE"))), (key % 3 + 1).cast("int"))
+    locked = F.when(key % 11 == 0, F.concat(F.lit("voice-"), (key % 25).cast("string")))
+    c = c.select("book_id", "id", F.when(key % 50 == 7, " i ").otherwise(F.col("id")).alias("name"), "line_count", "first_seen", gender.alias("gender"), F.lit("unknown").alias("age_bracket"), locked.isNotNull().alias("user_locked"), locked.alias("locked_voice"))
+    v = nation_voices(spark, sf_dir).withColumns({"gender": F.when(F.col("pos") % 2 == 0, "Male").otherwise("female"), "gender_verified": F.col("pos") % 3 != 0})
+    return casting.assign_measured(c, v, casting.adjacency(s))
 
 
 # ---- state

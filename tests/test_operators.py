@@ -1,6 +1,7 @@
 """Structure, attribution, names, casting, state, audio, evaluation."""
 
 import math
+import random
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -103,6 +104,82 @@ def test_name_resolution(spark):
     assert len({x[0] for x in got["spouses"]}) == 2 and {x[0] for x in got["parts"]} == {"Harry Potter"} and [x[0] for x in got["empty"]] == ["unknown", "unknown"]
 
 
+def test_names_of_distinct_spellings_resolve_as_all_in_order(spark):
+    rng = random.Random(5)
+    pool = ["Mira", "mira", " Mira Vane ", "Vane", "Ms. Vane", "Mr. Vane", "Captain", "Captain Vane", "John Smith", "Jane Smith", "Smith", "Dr. John Smith", "", None, "NARRATOR", "unknown", "the old man", "Sir Tomas", "Tomas", "Éloi", "ÉLOI Vane"]
+    rows = [(b, i * 3, rng.choice(pool)) for b in range(12) for i in range(60)]
+    want = []
+    for b in range(12):
+        registry, own = names.Registry(), [r for r in rows if r[0] == b]
+        got = [registry.resolve(n or "") for _, _, n in own]
+        final = lambda x: registry.names[registry.alias[x.lower()]] if x.lower() in registry.alias else x  # noqa: E731, B023
+        want += [(b, i, n, r, final(r), why) for (_, i, n), (r, why) in zip(own, got)]
+    df = spark.createDataFrame(rows, "book_id int, ord long, name string").repartition(4)
+    assert sorted(map(tuple, names.resolve_names(df).collect()), key=lambda r: r[:2]) == want
+
+
+def test_names_follow_their_seeds(spark):
+    df = spark.createDataFrame([(1, 0, "m"), (1, 1, "Mira Vane-Smith"), (1, 2, "Mira"), (2, 0, "m")], "book_id int, ord long, name string")
+    seeds = spark.createDataFrame([(1, "Mira", ["M"]), (3, "None", [])], "book_id int, name string, aliases array<string>")
+    got = names.resolve_names(df, seeds).orderBy("book_id", "ord").collect()
+    assert [(r.resolved, r.canonical) for r in got] == [("Mira", "Mira Vane-Smith"), ("Mira Vane-Smith", "Mira Vane-Smith"), ("Mira Vane-Smith", "Mira Vane-Smith"), ("m", "m")]
+
+
+def _plain_cast(cast, voices, near):
+    free = [v for v in voices if not v["narrator_reserved"]]
+    narrator = next((v["id"] for v in voices if v["narrator_reserved"]), voices[0]["id"] if voices else "narrator")
+    pooled = len(cast) > len(free)
+    extras = free[-2:] if pooled else []
+    pool, given, out, turn = [v for v in free if v not in extras], {}, {}, 0
+    for x in cast:
+        if x["locked"]:
+            out[x["id"]] = x["locked"]
+            known = [v for v in voices if v["id"] == x["locked"]]
+            given.update({x["id"]: v for v in known})
+            pool = [v for v in pool if v not in known]
+
+    def distance(a, b):
+        return math.inf if None in (a["f0"], b["f0"]) else math.hypot((a["f0"] - b["f0"]) / 45, (a["centroid"] - b["centroid"]) / 400)
+
+    for x in sorted(cast, key=lambda x: (-x["lines"], x["first"])):
+        if x["id"] in out:
+            continue
+        if x["name"].strip().upper() == "I":
+            out[x["id"]] = narrator
+        elif x["lines"] <= 3 and pooled:
+            out[x["id"]] = extras[turn % len(extras)]["id"] if extras else narrator
+            turn += 1
+        elif not pool:
+            out[x["id"]] = extras[0]["id"] if extras else narrator
+        else:
+            fitting = [v for v in pool if x["gender"] == "unknown" or (v["gender_verified"] and v["gender"] == x["gender"])] or pool
+            cost = lambda v: round(sum((1 - d) * n * 10 for o, u in given.items() if (n := near.get(frozenset((x["id"], o)), 0)) and (d := distance(v, u)) < 1), 9)  # noqa: E731, B023
+            best = min(fitting, key=cost)
+            pool.remove(best)
+            given[x["id"]] = best
+            out[x["id"]] = best["id"]
+    return out
+
+
+def test_measured_casting_equals_a_plain_one(spark):
+    rng = random.Random(8)
+    voices = [{"pos": i, "id": f"v{i}", "narrator_reserved": i == 2, "f0": rng.choice([None, *map(float, range(100, 200, 15))]), "centroid": 1500.0 + 100 * rng.randrange(8), "gender": rng.choice(["male", "female"]), "gender_verified": rng.random() < 0.7} for i in range(9)]
+    kinds = "pos int, id string, narrator_reserved boolean, f0 double, centroid double, gender string, gender_verified boolean"
+    rows, pairs, want = [], [], []
+    for b in range(14):
+        cast = [{"id": f"c{i}", "name": "i" if rng.random() < 0.1 else f"c{i}", "lines": rng.randrange(1, 12), "first": i, "gender": rng.choice(["male", "female", "unknown"]), "locked": rng.choice(["v1", "v4", "v2", "other"]) if rng.random() < 0.15 else None} for i in range(rng.choice([1, 4, 8, 9, 15]))]
+        near = {frozenset((a["id"], c["id"])): rng.randrange(1, 9) for a in cast for c in cast if a["id"] < c["id"] and rng.random() < 0.6}
+        rows += [(b, x["id"], x["id"] if x["name"] != "i" else "i", x["lines"], x["first"], x["gender"], "unknown", x["locked"] is not None, x["locked"]) for x in cast]
+        pairs += [(b, *sorted(k), n) for k, n in near.items()]
+        # characters of one name are told apart by id only where they have no voice of their own to lose
+        alone = {x["id"] for x in cast if x["name"] != "i"}
+        want += [(b, i, v) for i, v in _plain_cast(cast, voices, {k: n for k, n in near.items() if k <= alone}).items()]
+    c = spark.createDataFrame(rows, "book_id int, id string, name string, line_count int, first_seen int, gender string, age_bracket string, user_locked boolean, locked_voice string")
+    v = spark.createDataFrame([tuple(x.values()) for x in voices], kinds)
+    p = spark.createDataFrame(pairs, "book_id int, a string, b string, n long")
+    assert sorted(map(tuple, casting.assign_measured(c, v, p).collect())) == sorted(want)
+
+
 def test_merge_and_undo(spark):
     r = spark.createDataFrame([("b", "Thomas", ["Thomas"], 3), ("b", "Tomas", ["Tomas", "T"], 2)], "book_id string, canonical string, aliases array<string>, mentions long")
     merged = names.merge_entries(r, spark.createDataFrame([("b", "Thomas", "Tomas")], "book_id string, source string, target string"))
@@ -252,7 +329,6 @@ def test_styles_and_bootstrap(spark):
 
 def test_voice_assignment_measured_takes_every_voice(spark, tmp_path):
     spark.range(60).selectExpr("id AS n_nationkey").write.parquet(f"{tmp_path}/nation.parquet")
-    spark.range(60).selectExpr("id AS vec_id", "array(float(id), float(-id)) AS embedding").write.parquet(f"{tmp_path}/embeddings.parquet")
-    spark.range(50).selectExpr("id AS event_id", "1L AS user_id", "timestamp_seconds(id) AS ts", "concat('who', id) AS event_type").write.parquet(f"{tmp_path}/events.parquet")
+    spark.range(60).selectExpr("120 * id + 40 AS o_custkey", "id AS o_orderkey").where("o_custkey % 11 <> 0").limit(50).write.parquet(f"{tmp_path}/orders.parquet")  # one book
     got = queries.QUERIES["voice_assignment_measured"](spark, str(tmp_path)).collect()
     assert len(got) == 50 == len({r.voice_id for r in got}) and "voice-0" not in {r.voice_id for r in got}

@@ -273,15 +273,15 @@ def audit(docs: DataFrame, lang: str = "lang", source: str = "source", text: str
         groups = own.write(groups, "groups")
         sums = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
         sizes = dictionary.groupBy("lang", "chunk").agg(F.count(F.lit(1)).cast("int").alias("size"))
-        sizes = own.write(sizes, "chunks")
+        sizes = own.write(sizes, "chunks", rows_of(dictionary))
         terms = sizes.groupBy("lang").agg(F.sum("size").alias("kept"))
         langs = groups.groupBy("lang").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
-        langs = own.write(langs.join(terms, "lang", "left").na.fill(0, ["kept"]), "langs")
+        langs = own.write(langs.join(terms, "lang", "left").na.fill(0, ["kept"]), "langs", rows_of(groups))
         own_tile = F.pmod(F.xxhash64("source"), F.col("tiles")).cast("int")
-        known = own.write(groups.join(sums, ["lang", "source"], "left").na.fill(0, ["total"]).join(sized(langs), "lang").withColumn("tile", own_tile), "sources")
+        known = own.write(groups.join(sums, ["lang", "source"], "left").na.fill(0, ["total"]).join(sized(langs), "lang").withColumn("tile", own_tile), "sources", rows_of(groups))
         # a language without kept terms has one empty chunk
         per_lang = langs.join(sizes, "lang", "left").select("lang", "tiles", "kept", F.coalesce("chunk", F.lit(0).cast("long")).alias("chunk"), F.coalesce("size", F.lit(0)).alias("size"))
-        per_lang = own.write(per_lang, "spread")
+        per_lang = own.write(per_lang, "spread", rows_of(sizes) + rows_of(langs))
         fields = ("lang", "chunk", "tiles", "source", "tile", "place", "n", "size", "kept")
         nothing = [F.lit(0).alias("size"), F.lit(0).cast("long").alias("kept")]
         rows = counts.join(sized(known), ["lang", "source"]).select("lang", "chunk", "tiles", "source", "tile", "place", "n", *nothing)

@@ -34,8 +34,8 @@ UNIT = 1_000_000_000
 TOP_TERMS = 50
 #: Bytes of text that are counted at a time.
 TEXT_BYTES = 8 << 20
-#: Terms in a file of the dictionary, which a worker holds in memory; the texts are read once for each file.
-FILE_TERMS = 8 << 20
+#: Terms of the dictionary that a worker holds in memory; the texts are read once for each such part of it.
+PART_TERMS = 8 << 20
 #: Terms in a dense vector; sources in a tile, on average.
 CHUNK_TERMS = 4096
 TILE = 32
@@ -89,7 +89,7 @@ def document_frequencies(docs: DataFrame, lang: str = "lang", text: str = "text"
 
 
 def write_dictionary(kept: DataFrame, tables: Tables) -> DataFrame:
-    """Rows (lang, chunk, place, term) in the order of the terms, a file for each range of terms. `kept` is a written table."""
+    """Rows (lang, chunk, place, term) in the order of the terms and of their files. `kept` is a written table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, place, last = TaskContext.get().partitionId() << 32, -1, None
@@ -104,7 +104,7 @@ def write_dictionary(kept: DataFrame, tables: Tables) -> DataFrame:
                 place_of.append(place)
             yield pa.RecordBatch.from_arrays([batch["lang"], pa.array(chunk_of, pa.int64()), pa.array(place_of, pa.int32()), batch["term"]], names=["lang", "chunk", "place", "term"])
 
-    n = -(-max(1, rows_of(kept)) // FILE_TERMS)
+    n = -(-max(1, rows_of(kept)) // PART_TERMS)
     ordered = kept.select("lang", "term").repartitionByRange(n, "lang", "term").sortWithinPartitions("lang", "term")
     return tables.write(ordered.mapInArrow(run, "lang string, chunk long, place int, term binary"), "dictionary")
 
@@ -123,7 +123,7 @@ def first_bytes(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
 
 
 class Terms:
-    """The kept terms of a language within a file, ascending."""
+    """The kept terms of a language within a part of the dictionary, ascending."""
 
     def __init__(self, terms: pa.Array, chunk: np.ndarray, place: np.ndarray):
         self.keys, self.sizes, self.at, self.raw = first_bytes(terms)
@@ -150,10 +150,29 @@ class Terms:
         return out
 
 
+def parts_of(dictionary: DataFrame) -> list[tuple[str, ...]]:
+    """The files of a written dictionary in order, as parts of at most PART_TERMS terms, or of one file with more."""
+    parts: list[list[str]] = []
+    held = PART_TERMS
+    for path, _ in listing(dictionary._path, ".parquet"):
+        with open_input(path) as f:
+            n = pq.read_metadata(f).num_rows
+        if n and held + n > PART_TERMS:
+            parts.append([])
+            held = 0
+        if n:
+            parts[-1].append(path)
+            held += n
+    return list(map(tuple, parts))
+
+
 @lru_cache(maxsize=1)
-def _load(path: str) -> dict[str, Terms]:
-    with open_input(path) as f:
-        got = pq.read_table(f)
+def _load(paths: tuple[str, ...]) -> dict[str, Terms]:
+    tables = []
+    for path in paths:
+        with open_input(path) as f:
+            tables.append(pq.read_table(f))
+    got = pa.concat_tables(tables).combine_chunks()
     codes, langs = _coded(got["lang"].combine_chunks())
     chunk, place, terms = got["chunk"].to_numpy(), got["place"].to_numpy(), pc.cast(got["term"], pa.large_binary()).combine_chunks()
     out: dict[str, Terms] = {}
@@ -163,11 +182,11 @@ def _load(path: str) -> dict[str, Terms]:
     return out
 
 
-def count_terms(docs: DataFrame, path: str, lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:
-    """Rows (lang, source, chunk, place, n): sums over some megabytes of text of the terms in a file of the dictionary."""
+def count_terms(docs: DataFrame, part: tuple[str, ...], lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:
+    """Rows (lang, source, chunk, place, n): sums over some megabytes of text of the terms in a part of the dictionary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _load(path)
+        known = _load(part)
         for batch in _parts(batches, text):
             (of, langs), (own, sources) = _coded(batch[lang]), _coded(batch[source])
             found = Words(batch[text])
@@ -259,8 +278,7 @@ def audit(docs: DataFrame, lang: str = "lang", source: str = "source", text: str
     with Tables(docs.sparkSession) as own:
         kept = own.write(document_frequencies(docs, lang, text).where(F.col("documents") >= least), "kept")
         dictionary = write_dictionary(kept, tables)
-        files = [path for path, _ in listing(dictionary._path, ".parquet")]
-        counted = [count_terms(docs, path, lang, source, text) for path in files] if rows_of(kept) else []
+        counted = [count_terms(docs, part, lang, source, text) for part in parts_of(dictionary)]
         groups = docs.select(F.coalesce(lang, F.lit("")).alias("lang"), F.coalesce(source, F.lit("")).alias("source")).distinct()
         if not counted:
             counts = groups.limit(0).select("lang", "source", F.lit(0).cast("long").alias("chunk"), F.lit(0).alias("place"), F.lit(0).cast("long").alias("n"))

@@ -186,7 +186,7 @@ def _texts(seed, n=150):
 
 @pytest.mark.parametrize("sizes", [(4096, 32, 8 << 20), (7, 2, 50)])
 def test_divergence_equals_a_plain_audit(shared, monkeypatch, sizes):
-    for name, value in zip(("CHUNK_TERMS", "TILE", "FILE_TERMS"), sizes):
+    for name, value in zip(("CHUNK_TERMS", "TILE", "PART_TERMS"), sizes):
         monkeypatch.setattr(divergence, name, value)
     rows = _texts(3)
     df = shared.createDataFrame([(i, *r, "clash") for i, r in enumerate(rows)], DOCS).repartition(3)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 # fixed values: element names with a meaning of their own in HTML
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -35,6 +36,10 @@ _TOKEN = re.compile(
 )
 _NAMES = re.compile(r"""(?:^|[\s"'])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
+_KIND = re.compile(r"^(class|id|role):")
+_WORDS = re.compile(r"[^\W_]+")
+_NUMBERS = re.compile(r"\d+")
+
 
 class Element:
     __slots__ = ("tag", "names", "kids")
@@ -44,12 +49,27 @@ class Element:
 
     @property
     def sign(self) -> str:
-        return f"{self.tag}.{self.names}" if self.names else self.tag
+        """The tag with its names, without what tells one page's elements from another's."""
+        return f"{self.tag}.{general(self.names)}" if self.names else self.tag
 
     def elements(self) -> list[Element]:
         return [k for k in self.kids if not isinstance(k, str)]
 
 
+@lru_cache(maxsize=100_000)
+def general(names: str) -> str:
+    """Names with numbers as a sign; so is an id made of three words or more, for such name a page's own text."""
+    out = []
+    kind = ""
+    for name in names.split():
+        found = _KIND.match(name)
+        kind = found[1] if found else kind
+        if kind == "id" and len(_WORDS.findall(name)) - bool(found) > 2:
+            name = "id:#"
+        out.append(_NUMBERS.sub("#", name))
+    return " ".join(out)
+
+
 def parse(page: str) -> Element:
     """The tree of a page; text is kept as it is written. Whatever is cut off or unbalanced still gives a tree."""
     root = Element("")

@@ -1,10 +1,12 @@
 """Main text of HTML pages by wrapper induction.
 
 The pages of a host are aligned by simple tree matching into one tree, the wrapper.
-The content slot is the innermost element that holds nearly all of the text outside
-links; what lies beside it is template, but for headings. So are slots in it whose text is
-the same on the pages, or one of few texts that come back. Text that varies from page to
-page is content. What varies in the content slot as articles do, as comments, the wrapper
+Where its text is the same on the pages, or one of few texts that come back, it is template;
+where it varies from page to page it is content. The content slot is the host's article or main
+element, or else the innermost element that holds nearly all of the text outside links. All that is in it stays but
+template, its headings in any case. Beside an article or main element only headings stay; beside
+another slot also what varies and isn't mostly links. What varies in the content slot as
+articles do, as comments, the wrapper
 can't tell: elements that by a fixed list of tags, classes, ids and roles are such are left
 out in any case. Only on hosts without a content slot, as those with few pages, a page's
 article or main element tells where the content is.
@@ -18,9 +20,9 @@ from __future__ import annotations
 
 import pickle
 import re
-from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -41,6 +43,8 @@ MOST_TEXTS = 8
 CONTENT_SHARE = 0.9
 #: Parts in which the pages of a host are merged, then the wrappers of those parts, before all of a host meet.
 PARTS = (512, 16)
+#: Cells of a table in which children are matched at once.
+TABLE_CELLS = 4 << 20
 #: Bytes of trees that a task passes on at once; digests by which it knows pages again.
 TREE_BYTES = 4 << 20
 TASK_DIGESTS = 200_000
@@ -64,8 +68,8 @@ PARTIAL = frozenset("p ul ol dl li dt dd table tbody thead tr td th blockquote p
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 # A node of a wrapper: signature, ascending digests of its own texts (or VARIES), pages, children, page elements (in a wrapper: True if varying text below was cut, or None).
-# MASS: characters of its own text that aren't in a link.
-SIGN, TEXT, PAGES, KIDS, MEMBERS, MASS = range(6)
+# MASS, LINKS: characters of its own text outside and inside links.
+SIGN, TEXT, PAGES, KIDS, MEMBERS, MASS, LINKS = range(7)
 
 
 def is_other(x: Element) -> bool:
@@ -93,11 +97,11 @@ def collapsed(members: list[Element], linked: bool = False) -> list:
         for k in m.kids:
             if isinstance(k, str):
                 continue
-            if groups and groups[-1][0].tag == k.tag and groups[-1][0].names == k.names:
+            if groups and groups[-1][0].tag == k.tag and groups[-1][0].sign == k.sign:
                 groups[-1].append(k)
             else:
                 groups.append([k])
-    return [members[0].sign, ((xxhash.xxh64_intdigest(text) >> 1) or 1 if text else NONE,), 1, [collapsed(g, linked) for g in groups], members, 0 if linked else len(text)]
+    return [members[0].sign, ((xxhash.xxh64_intdigest(text) >> 1) or 1 if text else NONE,), 1, [collapsed(g, linked) for g in groups], members, 0 if linked else len(text), len(text) if linked else 0]
 
 
 def matching(a: list, b: list) -> int:
@@ -110,18 +114,92 @@ def matching(a: list, b: list) -> int:
     begin, end = _ends(x, y)
     first, last = x[:begin], x[len(x) - end :]
     x, y = x[begin : len(x) - end], y[begin : len(y) - end]
-    return 1 + sum(map(size, first)) + sum(map(size, last)) + _table(x, y)[len(x)][len(y)]
+    return 1 + sum(map(size, first)) + sum(map(size, last)) + (int(_last_row(x, y)[-1]) if x and y else 0)
 
 
-def _table(x: list, y: list) -> list[array]:
-    best = [array("i", bytes(4 * (len(y) + 1))) for _ in range(len(x) + 1)]
-    for i, p in enumerate(x):
+class _Weights:
+    """Matchings of children with those of the same sign, each pair of shapes once."""
+
+    def __init__(self, x: list, y: list):
+        self.x, self.y, self.known = x, y, {}
+        self.places: dict[str, list[int]] = {}
         for j, q in enumerate(y):
-            both = best[i][j] + matching(p, q) if p[SIGN] == q[SIGN] else 0
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], both)
+            self.places.setdefault(q[SIGN], []).append(j)
+        shapes: dict[tuple, int] = {}
+
+        def shape(n: list) -> int:
+            return shapes.setdefault((n[SIGN], *map(shape, n[KIDS])), len(shapes))
+
+        self.shape_x, self.shape_y = list(map(shape, x)), list(map(shape, y))
+        self.rows: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def pair(self, i: int, j: int) -> int:
+        key = self.shape_x[i], self.shape_y[j]
+        if key not in self.known:
+            self.known[key] = matching(self.x[i], self.y[j])
+        return self.known[key]
+
+    def row(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places in y that child i can go with, and what each brings."""
+        own = self.shape_x[i]
+        if own not in self.rows:
+            at = self.places.get(self.x[i][SIGN], [])
+            self.rows[own] = np.array(at, np.int64), np.array([self.pair(i, j) for j in at], np.int32)
+        return self.rows[own]
+
+
+def _rows(weights: _Weights, order: range, low: int, high: int) -> Iterator[np.ndarray]:
+    """Best sums with the children in `order`, one after the other, and y from `low` up to each place below `high`; from the end where the order goes down."""
+    n, back = high - low, order.step < 0
+    best = np.zeros(n + 1, np.int32)
+    yield best
+    for i in order:
+        at, gain = weights.row(i)
+        a, b = np.searchsorted(at, [low, high])
+        at, gain = at[a:b] - low, gain[a:b]
+        if back:
+            at = n - 1 - at
+        new = best.copy()
+        if len(at):
+            new[at + 1] = np.maximum(new[at + 1], best[at] + gain)
+            new = np.maximum.accumulate(new)
+        best = new
+        yield best
+
+
+def _last_row(x: list, y: list) -> np.ndarray:
+    for best in _rows(_Weights(x, y), range(len(x)), 0, len(y)):
+        pass
     return best
 
 
+def _pairs(weights: _Weights, top: int, bottom: int, low: int, high: int) -> list[tuple[int, int]]:
+    """A best matching of children from top to bottom with those from low to high. Above TABLE_CELLS it is put together from halves, so that memory stays small."""
+    if top == bottom or low == high:
+        return []
+    if bottom - top > 1 and (bottom - top) * (high - low) > TABLE_CELLS:
+        middle = (top + bottom) // 2
+        for above in _rows(weights, range(top, middle), low, high):
+            pass
+        for below in _rows(weights, range(bottom - 1, middle - 1, -1), low, high):
+            pass
+        cut = low + int(np.argmax(above + below[::-1]))
+        return _pairs(weights, top, middle, low, cut) + _pairs(weights, middle, bottom, cut, high)
+    best = list(_rows(weights, range(top, bottom), low, high))
+    out = []
+    i, j = bottom - top, high - low
+    while i and j:
+        p, q = top + i - 1, low + j - 1
+        if weights.x[p][SIGN] == weights.y[q][SIGN] and best[i][j] == best[i - 1][j - 1] + weights.pair(p, q):
+            i, j = i - 1, j - 1
+            out.append((p, q))
+        elif best[i][j] == best[i][j - 1]:
+            j -= 1
+        else:
+            i -= 1
+    return out[::-1]
+
+
 def alike(a: list, b: list) -> bool:
     """Whether two trees have the same shape and signatures."""
     return a[SIGN] == b[SIGN] and len(a[KIDS]) == len(b[KIDS]) and all(map(alike, a[KIDS], b[KIDS]))
@@ -143,20 +221,13 @@ def aligned(x: list, y: list) -> Iterator[tuple[list | None, list | None]]:
     yield from zip(x[:begin], y[:begin])
     last = list(zip(x[len(x) - end :], y[len(y) - end :]))
     x, y = x[begin : len(x) - end], y[begin : len(y) - end]
-    best = _table(x, y)
-    out: list[tuple[list | None, list | None]] = []
-    i, j = len(x), len(y)
-    while i or j:
-        if i and j and x[i - 1][SIGN] == y[j - 1][SIGN] and best[i][j] == best[i - 1][j - 1] + matching(x[i - 1], y[j - 1]):
-            i, j = i - 1, j - 1
-            out.append((x[i], y[j]))
-        elif j and best[i][j] == best[i][j - 1]:
-            j -= 1
-            out.append((None, y[j]))
-        else:
-            i -= 1
-            out.append((x[i], None))
-    yield from reversed(out)
+    i = j = 0
+    for p, q in [*(_pairs(_Weights(x, y), 0, len(x), 0, len(y)) if x and y else ()), (len(x), len(y))]:
+        yield from ((k, None) for k in x[i:p])
+        yield from ((None, k) for k in y[j:q])
+        if p < len(x):
+            yield x[p], y[q]
+        i, j = p + 1, q + 1
     yield from last
 
 
@@ -168,6 +239,10 @@ def mass(node: list) -> int:
     return node[MASS] + sum(map(mass, node[KIDS]))
 
 
+def links(node: list) -> int:
+    return node[LINKS] + sum(map(links, node[KIDS]))
+
+
 def together(a: tuple, b: tuple) -> tuple:
     """The texts of two slots as one."""
     if a == b or not a or not b:
@@ -179,11 +254,11 @@ def together(a: tuple, b: tuple) -> tuple:
 def merged(a: list, b: list) -> list:
     """One wrapper for the pages of both."""
     kids = [merged(p, q) if p and q else (p or q) for p, q in aligned(a[KIDS], b[KIDS])]
-    return [a[SIGN], together(a[TEXT], b[TEXT]), a[PAGES] + b[PAGES], kids, a[MEMBERS] or b[MEMBERS], a[MASS] + b[MASS]]
+    return [a[SIGN], together(a[TEXT], b[TEXT]), a[PAGES] + b[PAGES], kids, a[MEMBERS] or b[MEMBERS], a[MASS] + b[MASS], a[LINKS] + b[LINKS]]
 
 
 def bare(node: list) -> list:
-    return [node[SIGN], node[TEXT], node[PAGES], [bare(k) for k in node[KIDS]], None, node[MASS]]
+    return [node[SIGN], node[TEXT], node[PAGES], [bare(k) for k in node[KIDS]], None, node[MASS], node[LINKS]]
 
 
 def nodes(node: list) -> Iterator[list]:
@@ -192,22 +267,6 @@ def nodes(node: list) -> Iterator[list]:
         yield from nodes(k)
 
 
-def bounded(wrapper: list, limit: int) -> list:
-    """Without the rarest nodes if there are too many. Children are in no more pages than their parents.
-
-    This loses nodes that may still turn out to be template, so `induce` doesn't use it.
-    """
-    counts = sorted((n[PAGES] for n in nodes(wrapper)), reverse=True)
-    if len(counts) <= limit:
-        return wrapper
-    least = counts[limit] + 1
-
-    def cut(n: list) -> list:
-        return [n[SIGN], n[TEXT], n[PAGES], [cut(k) for k in n[KIDS] if k[PAGES] >= least], None, n[MASS]]
-
-    return cut(wrapper)
-
-
 def least_pages(pages: int) -> float:
     """In so many pages of a host's a node must be to be template."""
     return max(LEAST_PAGES, LEAST_SHARE * pages)
@@ -223,9 +282,9 @@ def possible(wrapper: list, pages: int) -> list:
         return wrapper
 
     def cut(n: list) -> list:
-        kept = [k for k in n[KIDS] if k[PAGES] >= least]
-        lost = n[MEMBERS] or any(varying(k) for k in n[KIDS] if k[PAGES] < least)
-        return [n[SIGN], n[TEXT], n[PAGES], [cut(k) for k in kept], lost or None, n[MASS] + sum(map(mass, (k for k in n[KIDS] if k[PAGES] < least)))]
+        kept, gone = [k for k in n[KIDS] if k[PAGES] >= least], [k for k in n[KIDS] if k[PAGES] < least]
+        lost = n[MEMBERS] or any(map(varying, gone))
+        return [n[SIGN], n[TEXT], n[PAGES], [cut(k) for k in kept], lost or None, n[MASS] + sum(map(mass, gone)), n[LINKS] + sum(map(links, gone))]
 
     return cut(wrapper)
 
@@ -245,13 +304,13 @@ def content_path(wrapper: list) -> list[list]:
     while True:
         at = path[-1]
         best = max(at[KIDS], key=mass, default=None)
-        if best is None or tag_of(best) in PARTIAL | HEADINGS | OTHER or best[PAGES] < CONTENT_SHARE * wrapper[PAGES] or mass(best) < CONTENT_SHARE * max(1, mass(at)):
+        if tag_of(at) in MAIN or best is None or tag_of(best) in PARTIAL | HEADINGS | OTHER or best[PAGES] < CONTENT_SHARE * wrapper[PAGES] or mass(best) < CONTENT_SHARE * max(1, mass(at)):
             return path
         path.append(best)
 
 
 def template(wrapper: list) -> list | None:
-    """The wrapper with the digests of template texts in its nodes, OUT in those beside the content slot, VARIES elsewhere; None if nothing is template.
+    """The wrapper with the digests of template texts in its nodes, OUT in those beside the content slot that aren't content, VARIES elsewhere; None if nothing is template.
 
     MEMBERS of the root tells whether there is a content slot within the page's body. Where
     nothing varies the pages are copies of each other, and nothing counts as template.
@@ -261,20 +320,26 @@ def template(wrapper: list) -> list | None:
     path = content_path(wrapper)
     found = path[-1][SIGN] and tag_of(path[-1]) not in ("html", "body") and varying(path[-1])
     inside = {id(n) for n in path} if found else set()
+    named = tag_of(path[-1]) in MAIN
+
+    def other(n: list) -> bool:
+        """Of what is beside the slot: anything but headings if the slot is named as the content, else what is mostly links."""
+        return tag_of(n) not in HEADINGS and (named or links(n) > mass(n))
 
-    def mark(n: list, varies: bool) -> list:
+    def mark(n: list, varies: bool, slot: bool) -> list:
         nonlocal known
         tag = tag_of(n)
+        slot = slot or (bool(found) and n is path[-1])
         if tag in MAIN or tag == "body":
             varies = varying(n)
         text = n[TEXT]
-        few = varies and any(text) and n[PAGES] >= max(least_pages(pages), LEAST_PAGES * len(text))
+        few = varies and any(text) and n[PAGES] >= max(least_pages(pages), LEAST_PAGES * len(text)) and not (slot and tag in HEADINGS)
         known = known or few
         beside = id(n) in inside and n is not path[-1]
-        kids = [[k[SIGN], (OUT,), k[PAGES], [], None, 0] if beside and id(k) not in inside and tag_of(k) not in HEADINGS else mark(k, varies) for k in n[KIDS]]
-        return [n[SIGN], text if few else VARIES, n[PAGES], kids, None, 0]
+        kids = [[k[SIGN], (OUT,), k[PAGES], [], None, 0, 0] if beside and id(k) not in inside and other(k) else mark(k, varies, slot) for k in n[KIDS]]
+        return [n[SIGN], text if few else VARIES, n[PAGES], kids, None, 0, 0]
 
-    out = mark(wrapper, False)
+    out = mark(wrapper, False, False)
     out[MEMBERS] = True if found else None
     return out if known or found else None
 

@@ -171,7 +171,7 @@ def llm_quotes(reply: Column) -> Column:
     got = F.from_json(reply, "attributions ARRAY<STRUCT<quote_id: STRING, speaker_id: STRING, confidence: STRING>>")["attributions"]
     whole = F.forall(got, lambda a: a["quote_id"].isNotNull() & a["speaker_id"].isNotNull())
     out = F.transform(got, lambda a: F.struct(a["quote_id"].alias("quote_id"), a["speaker_id"].alias("speaker_id"), llm_confidence(a["confidence"]).alias("confidence")))
-    return F.when(got.isNotNull() & whole, out)
+    return F.when(got.isNotNull() & whole, out).cast("array<struct<quote_id:string,speaker_id:string,confidence:double>>")
 
 
 def llm_spans(reply: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -86,27 +88,40 @@ def kappa(one: DataFrame, two: DataFrame) -> DataFrame:
     return joined.select("n", ratio(F.col("same"), F.col("n")).alias("agreement"), F.when(F.col("n") == 0, 0.0).when(pe == 1, 1.0).otherwise((po - pe) / (1 - pe)).alias("kappa"))
 
 
-def bootstrap(values: DataFrame, value: str, rounds: int = 1000, level: float = 0.95, seed: int = 0) -> DataFrame:
-    """One row (lower, upper) of the mean's interval, by resampling.
+#: Counts below this are drawn by the distribution's own steps, from it on by the normal approximation with its skew.
+LARGE_COUNT = 32
+
+
+def _poisson(mean: Column, a: Column, b: Column) -> Column:
+    """A Poisson variable from two uniform ones."""
+    z = F.sqrt(-2 * F.log(a)) * F.cos(F.lit(2 * math.pi) * b)
+    large = F.greatest(F.lit(0.0), F.floor(mean + z * F.sqrt(mean) + (z * z - 1) / 6 + 0.5).cast("double"))
+    start = F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("total"), F.lit(0.0).alias("k"))
+
+    def step(s: Column, k: Column) -> Column:
+        p = s["p"] * mean / k
+        return F.struct(p.alias("p"), (s["total"] + p).alias("total"), (s["k"] + F.when(a >= s["total"], 1.0).otherwise(0.0)).alias("k"))
+
+    return F.when(mean < LARGE_COUNT, F.aggregate(F.sequence(F.lit(1), F.lit(120)), start, step, lambda s: s["k"])).otherwise(large)
+
+
+def bootstrap(values: DataFrame, value: str, *keys: str, rounds: int = 1000, level: float = 0.95, seed: int = 0) -> DataFrame:
+    """A row (keys, lower, upper) of the mean's interval, by resampling; without keys one row, 0 and 0 if there are no values.
 
-    A row counts in each round as often as a Poisson variable with mean 1 says (drawn from
-    the round, the row and the seed), which needs no second pass over the data and no shuffle
-    but of the sums: one partial sum per round and task.
+    Of a value that is there n times a round has a Poisson number with mean n, drawn from
+    a digest of the seed, the round, the keys and the value. So what is drawn are distinct values times rounds, not rows, and the
+    result doesn't depend on how rows are dealt out. Rounds that draw nothing are left out.
     """
-    u = F.xxhash64(F.lit(seed), "round", "row").cast("double") / F.lit(2.0**64) + 0.5
-    limits, p, k = [], 0.36787944117144233, 0
-    total = p
-    while total < 1 - 1e-9:
-        limits.append(total)
-        k += 1
-        p /= k
-        total += p
-    times = sum((F.when(F.col("u") >= x, 1).otherwise(0) for x in limits), F.lit(0))
-    rows = values.select(F.col(value).cast("double").alias("v"), F.monotonically_increasing_id().alias("row"))
-    drawn = rows.select("v", "row", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round")).withColumn("u", u).withColumn("times", times)
-    means = drawn.groupBy("round").agg((F.sum(F.col("v") * F.col("times")) / F.sum("times")).alias("mean")).agg(F.array_sort(F.collect_list("mean")).alias("m"))
+    counts = values.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    text = F.coalesce(F.col("v").try_cast("decimal(38,12)").cast("string"), F.col("v").cast("string"))
+    drawn = counts.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
+    drawn = drawn.withColumn("h", F.sha2(F.concat_ws("|", F.lit(seed), "round", *(F.col(k).cast("string") for k in keys), text), 256))
+    uniform = lambda at: (F.conv(F.substring("h", at, 13), 16, 10).cast("double") + 0.5) / 2.0**52
+    drawn = drawn.withColumns({"a": uniform(1), "b": uniform(14)}).withColumn("times", _poisson(F.col("n"), F.col("a"), F.col("b")))
+    means = drawn.groupBy(*keys, "round").agg((F.sum(F.col("v") * F.col("times")) / F.nullif(F.sum("times"), F.lit(0.0))).alias("mean"))
+    means = means.groupBy(*keys).agg(F.array_sort(F.collect_list("mean")).alias("m"))
     at = lambda q: F.coalesce(F.try_element_at("m", F.greatest(F.lit(1), F.least(F.size("m"), F.lit(int(q * rounds) + 1)))), F.lit(0.0))
-    return means.select(at((1 - level) / 2).alias("lower"), at(1 - (1 - level) / 2).alias("upper"))
+    return means.select(*keys, at((1 - level) / 2).alias("lower"), at(1 - (1 - level) / 2).alias("upper"))
 
 
 def calibration_buckets(scored: DataFrame, bounds: tuple[float, ...] = BUCKETS, closed: bool = False) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import re
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import speech, text
-from ..operators import attribute, audio, casting, evaluate, names, segment, store, structure
+from ..operators import attribute, audio, casting, evaluate, names, replies, segment, store, structure
 from ..schema import RUNS
 from ..sources import books, markup
 from .inputs import DIALOGUE, NAMES, PREDICTIONS, SEGMENTS, VOICES, dialogue, nation_voices, predictions, scratch, segments, table
@@ -91,12 +93,45 @@ def text_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+def _titled(x: str) -> str:
+    """Dots of ellipsis, dashes and titles of `normalise_for_synthesis`, in SQL over the expression `x`."""
+    x = rf"regexp_replace(regexp_replace({x}, '\.{{3,}}|…', ', ', 'g'), '[—–]', ' - ', 'g')"
+    for short, spoken in speech.TITLES.items():
+        x = rf"regexp_replace({x}, '\b{re.escape(short)}\b', '{spoken}', 'g')"
+    return x
+
+
+_RUNS = r"regexp_extract_all({x}, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]+')"
+_ACRONYMS = ", ".join(f"'{a}'" for a in sorted(speech.ACRONYMS))
+_TIDY = r"trim(regexp_replace(regexp_replace({x}, '[*_#~]', '', 'g'), '\s+', ' ', 'g'), ' ')"
+_NAMED = "['zero','one','two','three','four','five','six','seven','eight','nine','ten','eleven','twelve','thirteen','fourteen','fifteen','sixteen','seventeen','eighteen','nineteen']"
+_HEAD = "upper(replace(left(text, 60), 'ß', 'ss')) || '... Mr.Vane had ' || doc_id || ' — in ' || (1100 + doc_id * 7 % 1000) || ', of ' || (doc_id * doc_id * 1000003) || ' and 0' || (doc_id % 300 * 1000000) || ', NASA'"
+
+
+@query(
+    rf"""WITH one AS (SELECT {_NAMED} AS one, ['twenty','thirty','forty','fifty','sixty','seventy','eighty','ninety'] AS ten),
+    ty AS (SELECT one, list_transform(range(100), lambda n: CASE WHEN n < 20 THEN one[n + 1] ELSE ten[n // 10 - 1] || CASE WHEN n % 10 > 0 THEN '-' || one[n % 10 + 1] ELSE '' END END) AS ty FROM one),
+    w AS (SELECT ty, list_transform(range(1000), lambda n: CASE WHEN n < 100 THEN ty[n + 1] ELSE one[n // 100 + 1] || ' hundred' || CASE WHEN n % 100 > 0 THEN ' and ' || ty[n % 100 + 1] ELSE '' END END) AS w FROM ty),
+    d AS (SELECT doc_id, {_titled(f"({_HEAD} || substr(text, 61))")} AS x FROM documents),
+    t AS (SELECT doc_id, i, r[i] AS t FROM (SELECT doc_id, r, unnest(range(1, len(r) + 1)) AS i FROM (SELECT doc_id, {_RUNS.format(x="x")} AS r FROM d))),
+    n AS (SELECT *, ltrim(t, '0') AS own, CAST(ceil(length(ltrim(t, '0')) / 3) AS INTEGER) AS k FROM t WHERE regexp_full_match(t, '[0-9]+')),
+    g AS (SELECT *, list_transform(range(k), lambda j: CAST(substr(lpad(own, 3 * k, '0'), CAST(3 * j + 1 AS INTEGER), 3) AS INTEGER)) AS g FROM n),
+    s AS (SELECT doc_id, i, CASE WHEN own = '' THEN 'zero' WHEN k > 6 THEN own ELSE
+        array_to_string(list_filter(list_transform(g[1:k - 1], lambda v, j: CASE WHEN v > 0 THEN w[v + 1] || ' ' || (['thousand', 'million', 'billion', 'trillion', 'quadrillion'])[k - j] END), lambda p: p IS NOT NULL), ', ')
+        || CASE WHEN g[k] = 0 THEN '' WHEN k = 1 THEN w[g[k] + 1] WHEN g[k] < 100 THEN ' and ' || w[g[k] + 1] ELSE ', ' || w[g[k] + 1] END END AS spelt,
+      CASE WHEN regexp_full_match(t, '(1[1-9]|20)[0-9][0-9]') THEN CASE WHEN t < '2000' THEN ty[CAST(left(t, 2) AS INTEGER) + 1] || ' ' || CASE WHEN t[3:] = '00' THEN 'hundred' ELSE ty[CAST(t[3:] AS INTEGER) + 1] END
+        ELSE ty[CAST(left(t, 1) AS INTEGER) + 1] || ' thousand' || CASE WHEN t[2:] = '000' THEN '' ELSE ' ' || w[CAST(t[2:] AS INTEGER) + 1] END END END AS year FROM g, w),
+    o AS (SELECT doc_id, i, coalesce(spelt, c) AS a, coalesce(year, spelt, c) AS b FROM (SELECT t.doc_id, t.i, spelt, year, CASE WHEN regexp_full_match(t, '[A-Z]{{4,}}') AND t NOT IN ({_ACRONYMS}) THEN left(t, 1) || lower(substr(t, 2)) ELSE t END AS c FROM t LEFT JOIN s ON s.doc_id = t.doc_id AND s.i = t.i)),
+    z AS (SELECT doc_id, string_agg(a, '' ORDER BY i) AS a, string_agg(b, '' ORDER BY i) AS b FROM o GROUP BY doc_id)
+    SELECT doc_id, {_TIDY.format(x="a")} AS text, {_TIDY.format(x="b")} AS with_years FROM z"""
+)
 def normalise_speech(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C12 to C14, with numbers spelt, on whole texts with capitals and a title put in."""
-    d = table(spark, sf_dir, "documents")
-    x = F.concat(F.upper(F.substring("text", 1, 60)), F.lit("... Mr.Vane had "), F.col("doc_id").cast("string"), F.lit(" — "), F.col("text").substr(F.lit(61), F.length("text")))
-    return d.select("doc_id", speech.normalise_for_synthesis(x, numbers=True).alias("text"))
+    """C12 to C14, with numbers spelt, and with years beside them, on whole texts with capitals, a title, a year and large numbers put in."""
+    d, key = table(spark, sf_dir, "documents"), F.col("doc_id")
+    word = lambda c: c.cast("string")
+    head = F.concat(F.upper(F.replace(F.substring("text", 1, 60), F.lit("ß"), F.lit("ss"))), F.lit("... Mr.Vane had "), word(key), F.lit(" — in "), word(1100 + key * 7 % 1000), F.lit(", of "), word(key * key * 1000003), F.lit(" and 0"), word(key % 300 * 1000000), F.lit(", NASA"))
+    x = F.concat(head, F.col("text").substr(F.lit(61), F.length("text")))
+    return d.select("doc_id", speech.normalise_for_synthesis(x, numbers=True).alias("text"), speech.normalise_for_synthesis(x, numbers=True, years=True).alias("with_years"))
 
 
 @query(
@@ -306,13 +341,9 @@ def chunk_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _spoken(x: str) -> str:
     """`normalise_for_synthesis` without numbers, in SQL over the expression `x`."""
-    x = rf"regexp_replace(regexp_replace({x}, '\.{{3,}}|…', ', ', 'g'), '[—–]', ' - ', 'g')"
-    for short, spoken in speech.TITLES.items():
-        x = rf"regexp_replace({x}, '\b{re.escape(short)}\b', '{spoken}', 'g')"
-    acronyms = ", ".join(f"'{a}'" for a in sorted(speech.ACRONYMS))
-    runs = rf"regexp_extract_all({x}, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]+')"
-    x = f"array_to_string(list_transform({runs}, lambda w: CASE WHEN regexp_full_match(w, '[A-Z]{{4,}}') AND w NOT IN ({acronyms}) THEN left(w, 1) || lower(substr(w, 2)) ELSE w END), '')"
-    return rf"trim(regexp_replace(regexp_replace({x}, '[*_#~]', '', 'g'), '\s+', ' ', 'g'), ' ')"
+    runs = _RUNS.format(x=_titled(x))
+    said = f"array_to_string(list_transform({runs}, lambda w: CASE WHEN regexp_full_match(w, '[A-Z]{{4,}}') AND w NOT IN ({_ACRONYMS}) THEN left(w, 1) || lower(substr(w, 2)) ELSE w END), '')"
+    return _TIDY.format(x=said)
 
 
 _PLACE = "book_id, chapter_idx, para_idx, seg_idx"
@@ -402,6 +433,35 @@ def attribution_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribute.attribute(p, s, stand_in, ["User", "Assistant", "System"]).select("book_id", "id", "speaker_id", "kind", "confidence", "source", "evidence")
 
 
+@query(
+    f"""WITH {_SPLIT}, n AS (SELECT *, row_number() OVER (PARTITION BY book_id, chapter_idx, para_idx ORDER BY k) AS n FROM y WHERE kind = 'dialogue'),
+    l AS (SELECT book_id, chapter_idx, para_idx, sum(length(text) - length('[Q' || n || ']')) AS less FROM n GROUP BY ALL),
+    a AS (SELECT book_id, chapter_idx, para_idx, CAST((length(text) - less) % 5 AS BIGINT) AS kind FROM l JOIN dialogue USING (book_id, chapter_idx, para_idx))
+    SELECT book_id, format('c{{:02d}}-p{{:03d}}-s{{:02d}}', chapter_idx, para_idx, seg_idx) AS id, CASE WHEN a.kind = 3 THEN 'narrator' WHEN n % 3 = 0 THEN 'narrator' ELSE (['User', 'Assistant', 'unknown', 'x', 'System'])[a.kind + 1] END AS speaker,
+      CAST(CASE WHEN a.kind = 3 OR n % 3 = 0 THEN 0 WHEN a.kind = 4 THEN 0.4 ELSE 0.95 END AS DOUBLE) AS confidence, CASE WHEN a.kind = 3 OR n % 3 = 0 THEN 'no reply' ELSE 'llm' END AS evidence, CAST(CASE WHEN a.kind = 3 THEN 3 WHEN a.kind < 3 THEN a.kind + 1 ELSE 1 END AS INTEGER) AS attempts, CAST(0 AS BIGINT) AS sent_again
+    FROM n JOIN a USING (book_id, chapter_idx, para_idx)"""
+)
+def reply_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts sent to a stand-in whose replies are good at the first, second, third or no time and leave every third quote out; a second run sends nothing."""
+    d = dialogue(spark, sf_dir)
+    s = segment.segment_paragraphs(d, most=10**6).withColumn("speaker_id", F.when(F.col("kind") == "dialogue", "unknown").otherwise(F.col("speaker_id")))
+    marked = attribute.marked_paragraphs(d.withColumn("id", F.format_string("c%02d-p%03d", "chapter_idx", "para_idx")), s)
+    wanted, path, sent = replies.requests(marked, ["User", "Assistant", "System", "unknown"], "stand-in"), scratch(spark, "replies"), Counter()
+
+    def stand_in(prompts: list[str]) -> list[str | None]:
+        sent.update(prompts)  # a copy in each task, where retries happen too
+        texts = [p.partition("\n\n")[2] for p in prompts]
+        reply = lambda m, k: json.dumps({"attributions": [{"quote_id": f"Q{i}", "speaker_id": ("User", "Assistant", "narrator", "x", "System")[k], "confidence": "?" if k == 4 else "High"} for i in range(1, m.count("[Q") + 1) if i % 3]})
+        return [reply(m, len(m) % 5) if sent[p] > (0, 1, 2, 9, 0)[len(m) % 5] else '{"attributions": [{}]}' for p, m in zip(prompts, texts)]
+
+    answered = replies.ask(wanted, path, stand_in, pause=0.0)
+    rows = spark.read.parquet(path).count()
+    replies.ask(wanted, path, stand_in, pause=0.0)
+    again = spark.read.parquet(path).count() - rows
+    attempts = answered.select("book_id", F.explode("ids").alias("id"), "attempts")
+    return replies.speakers_of(answered, "narrator").join(attempts, ["book_id", "id"]).withColumn("sent_again", F.lit(again).cast("long"))
+
+
 @query(
     f"""WITH {SEGMENTS} SELECT book_id, count(*) AS total, count(*) FILTER (WHERE speaker_id = 'unknown') AS unknown, round(count(*) FILTER (WHERE speaker_id = 'unknown') * 100 / count(*), 1) AS unknown_pct FROM segments WHERE kind = 'dialogue' GROUP BY book_id"""
 )
@@ -840,11 +900,22 @@ def quote_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("chapter").alias("conv_id"), F.split("quote_id", "-")[1].cast("long").alias("turn"), "style")
 
 
-@query()
+@query(
+    f"""WITH {PREDICTIONS},
+    c AS (SELECT user_id, CAST(speaker = actual AS INTEGER) AS v, CAST(count(*) AS DOUBLE) AS n FROM scored JOIN events ON event_id = quote_id GROUP BY ALL),
+    h AS (SELECT *, sha256('7|' || round || '|' || user_id || '|' || v || '.000000000000') AS h FROM c, (SELECT unnest(range(1, 201)) AS round)),
+    u AS (SELECT *, (CAST('0x' || substr(h, 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0::DOUBLE AS a, (CAST('0x' || substr(h, 14, 13) AS BIGINT) + 0.5) / 4503599627370496.0::DOUBLE AS b FROM h),
+    z AS (SELECT *, sqrt(-2 * ln(a)) * cos(6.283185307179586::DOUBLE * b) AS z FROM u),
+    f AS (SELECT n, list(p ORDER BY k) AS p FROM (SELECT n, k, sum(exp(-n + k * ln(n) - lgamma(k + 1))) OVER (PARTITION BY n ORDER BY k) AS p FROM (SELECT DISTINCT n, unnest(range(0, 121)) AS k FROM c WHERE n < 32)) GROUP BY n),
+    t AS (SELECT user_id, round, v, CASE WHEN z.n < 32 THEN len(list_filter(p, lambda x: a >= x)) ELSE greatest(0, floor(z.n + z * sqrt(z.n) + (z * z - 1) / 6 + 0.5)) END AS times FROM z LEFT JOIN f ON f.n = z.n),
+    m AS (SELECT user_id, list_sort(list(s)) AS m FROM (SELECT user_id, round, sum(v * times) / sum(times) AS s FROM t GROUP BY ALL HAVING sum(times) > 0) GROUP BY user_id)
+    SELECT user_id, m[least(len(m), 6)] AS lower, m[least(len(m), 196)] AS upper FROM m"""
+)
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G13, seeded."""
-    s = _scored(spark, sf_dir).select((F.col("speaker") == F.col("actual")).cast("double").alias("v"))
-    return evaluate.bootstrap(s, "v", rounds=200, seed=7)
+    """G13, seeded, of the accuracy of each user's quotes."""
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("quote_id"), "user_id")
+    s = _scored(spark, sf_dir).join(e, "quote_id").select("user_id", (F.col("speaker") == F.col("actual")).cast("double").alias("v"))
+    return evaluate.bootstrap(s, "v", "user_id", rounds=200, seed=7)
 
 
 # ---- sources and sinks: written in their format, then read back

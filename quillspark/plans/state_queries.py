@@ -11,6 +11,7 @@ from ..operators import attribute, casting, evaluate, names, segment, store, str
 from ..sources import books
 from ..sources.book_files import write_book_files
 from ..sources.book_format import read_raw
+from ..streaming import resume
 from .inputs import DIALOGUE, NAMES, SEGMENTS, VOICES, dialogue, nation_voices, scratch, segments, table
 from .inputs import names as book_names
 from .queries import query
@@ -59,6 +60,62 @@ def resume_work(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.unfinished(_stateful(spark, sf_dir), running=True).select("book_id", "id", "status")
 
 
+def _told(paragraphs: DataFrame) -> DataFrame:
+    """Every paragraph as a segment; those whose text ends in a mark are a user's."""
+    p = F.format_string("c%02d-p%03d", "chapter_idx", "para_idx")
+    user = F.col("text").endswith("(user)")
+    return paragraphs.select(
+        "book_id", F.concat(p, F.lit("-s00")).alias("id"), F.col("chapter_idx").alias("chapter"), p.alias("paragraph_id"), "para_idx", F.lit(0).alias("seg_idx"),
+        F.lit("narration").alias("kind"), F.when(user, "user").otherwise("rule").alias("source"), "text", F.when(F.col("para_idx") % 2 == 0, "done").otherwise("pending").alias("status"),
+    )
+
+
+@query(
+    """WITH p AS (SELECT CAST(conv_id // 10 AS VARCHAR) AS book_id, CAST(conv_id % 10 AS INTEGER) AS chapter, CAST(turn AS INTEGER) AS para_idx, text || CASE WHEN (conv_id + turn) % 5 = 0 THEN ' (user)' ELSE '' END AS text, conv_id, turn FROM conversations)
+    SELECT book_id, format('c{:02d}-p{:03d}-s00', chapter + k * 100, para_idx) AS id, CAST(chapter + k * 100 AS INTEGER) AS chapter, CASE WHEN k = 1 THEN 'new ' || conv_id WHEN (conv_id + turn) % 5 <> 0 AND conv_id % 3 = 0 THEN 'later ' || turn ELSE text END AS text,
+      CASE WHEN k = 0 AND (conv_id + turn) % 5 = 0 THEN 'user' ELSE 'rule' END AS source, CASE WHEN para_idx % 2 = 0 THEN 'done' ELSE 'pending' END AS status
+    FROM p, (VALUES (0), (1)) t(k) WHERE k = 0 OR (conv_id % 3 = 0 AND turn = (SELECT min(turn) FROM p AS o WHERE o.conv_id = p.conv_id))"""
+)
+def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M, B4: paragraphs that come as a stream in two batches, the second with changed and new ones, and once more after a failure; the table read back."""
+    c, folder = table(spark, sf_dir, "conversations"), scratch(spark, "stream")
+    key = F.col("conv_id")
+    mark = F.when((key + F.col("turn")) % 5 == 0, " (user)").otherwise("")
+    first = c.select(F.floor(key / 10).cast("string").alias("book_id"), (key % 10).cast("int").alias("chapter_idx"), F.col("turn").cast("int").alias("para_idx"), F.concat("text", mark).alias("text"))
+    first.write.parquet(f"{folder}/in")
+    resume.stream_segments(spark, f"{folder}/in", f"{folder}/table", f"{folder}/state", _told).awaitTermination()
+    third = c.where(key % 3 == 0).select(F.floor(key / 10).cast("string").alias("book_id"), (key % 10).cast("int").alias("chapter_idx"), F.col("turn").cast("int").alias("para_idx"), F.concat(F.lit("later "), F.col("turn").cast("string")).alias("text"))
+    new = c.where(key % 3 == 0).groupBy("conv_id").agg(F.min("turn").cast("int").alias("para_idx")).select(F.floor(key / 10).cast("string").alias("book_id"), (key % 10 + 100).cast("int").alias("chapter_idx"), "para_idx", F.concat(F.lit("new "), key.cast("string")).alias("text"))
+    second = third.unionByName(new)
+    second.write.mode("append").parquet(f"{folder}/in")
+    resume.stream_segments(spark, f"{folder}/in", f"{folder}/table", f"{folder}/state", _told).awaitTermination()
+    resume.upsert(f"{folder}/table", _told(second), resume.versions(f"{folder}/table")[-1])
+    return resume.table(spark, f"{folder}/table").select("book_id", "id", "chapter", "text", "source", "status")
+
+
+@query(
+    f"""WITH e AS (SELECT CAST(user_id AS VARCHAR) AS book_id, CAST(event_id AS VARCHAR) AS id, CAST(event_id // 1000 AS INTEGER) AS chapter, {_STATUS} AS status, CASE WHEN user_id % 2 = 0 THEN 0 ELSE CAST(event_id % 3 AS INTEGER) END AS retry_count FROM events),
+    m AS (SELECT min(CAST(book_id AS BIGINT)) AS b, max(CAST(id AS BIGINT)) AS i FROM e)
+    SELECT 'book' AS scan, e.* FROM e, m WHERE book_id = CAST(b AS VARCHAR) UNION ALL SELECT 'chapter', e.* FROM e, m WHERE book_id = CAST(b AS VARCHAR) AND chapter = 0
+    UNION ALL SELECT 'ids', e.* FROM e, m WHERE id IN (CAST(i AS VARCHAR), '0') UNION ALL SELECT 'status', e.* FROM e WHERE status IN ('pending', 'failed')"""
+)
+def state_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of a stored table by book, chapter, ids and status; half of its rows come without retries, which are then counted from 0."""
+    e, folder = table(spark, sf_dir, "events"), scratch(spark, "state")
+    key, rows = F.col("event_id"), _stateful(spark, sf_dir).select(F.col("book_id").cast("string").alias("book_id"), "id", "status", "retry_count")
+    rows = rows.withColumn("chapter", F.floor(F.col("id").cast("long") / 1000).cast("int"))
+    even = F.col("book_id").cast("long") % 2 == 0
+    resume.upsert(folder, rows.where(even).drop("retry_count"), 0)
+    resume.upsert(folder, rows.where(~even), 1)
+    least, most = (str(x) for x in e.agg(F.min("user_id"), F.max(key)).first())
+    found = {
+        "book": resume.scan(spark, folder, least), "chapter": resume.scan(spark, folder, least, chapter=0),
+        "ids": resume.scan(spark, folder, ids=[most, "0"]), "status": resume.scan(spark, folder, status=["pending", "failed"]),
+    }
+    each = [df.select(F.lit(name).alias("scan"), "book_id", "id", "chapter", "status", "retry_count") for name, df in found.items()]
+    return each[0].unionByName(each[1]).unionByName(each[2]).unionByName(each[3])
+
+
 @query(
     """SELECT s_suppkey AS job_id, stage, CASE stage WHEN 'ingest' THEN 'done' ELSE 'running' END AS status, CASE stage WHEN 'ingest' THEN s_name END AS name, CASE stage WHEN 'attribute' THEN CAST(s_nationkey AS BIGINT) END AS unknown, true AS timed
     FROM supplier, (VALUES ('ingest'), ('attribute')) t(stage)"""

@@ -88,3 +88,13 @@ def listing(url: str, suffix: str = "") -> list[tuple[str, int]]:
 def exists(url: str) -> bool:
     fs, path = store(url)
     return fs.get_file_info(path).type != pafs.FileType.NotFound
+
+
+def remove(url: str) -> None:
+    """Delete a file or a folder with all that is in it; one that isn't there is no error."""
+    fs, path = store(url)
+    kind = fs.get_file_info(path).type
+    if kind == pafs.FileType.Directory:
+        fs.delete_dir(path)
+    elif kind == pafs.FileType.File:
+        fs.delete_file(path)

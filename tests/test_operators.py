@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quillspark import schema
-from quillspark.operators import attribute, audio, casting, evaluate, names, store, structure
+from quillspark.operators import attribute, audio, casting, evaluate, names, replies, store, structure
 from quillspark.plans import queries
 
 
@@ -332,3 +332,59 @@ def test_voice_assignment_measured_takes_every_voice(spark, tmp_path):
     spark.range(60).selectExpr("120 * id + 40 AS o_custkey", "id AS o_orderkey").where("o_custkey % 11 <> 0").limit(50).write.parquet(f"{tmp_path}/orders.parquet")  # one book
     got = queries.QUERIES["voice_assignment_measured"](spark, str(tmp_path)).collect()
     assert len(got) == 50 == len({r.voice_id for r in got}) and "voice-0" not in {r.voice_id for r in got}
+
+
+def test_bootstrap_doesnt_depend_on_how_rows_are_dealt_out(spark):
+    rng = random.Random(3)
+    df = spark.createDataFrame([(k, float(rng.random() < 0.7)) for k in ("a", "b") for _ in range(400 if k == "a" else 9)] + [("c", None)], "k string, v double")
+    got = [sorted(map(tuple, evaluate.bootstrap(df.repartition(n), "v", "k", rounds=300, seed=5).collect())) for n in (1, 7)]
+    assert got[0] == got[1] and [r[0] for r in got[0]] == ["a", "b"]
+    (_, low, high), (_, wide_low, wide_high) = got[0]
+    share = df.where("k = 'a'").agg(F.avg("v")).first()[0]
+    assert low < share < high and 0.06 < high - low < 0.12 < wide_high - wide_low
+    assert got[0] != sorted(map(tuple, evaluate.bootstrap(df, "v", "k", rounds=300, seed=6).collect()))
+
+
+def test_poisson_draws_have_their_mean_and_variance(spark):
+    for mean in (1.0, 8.0, 31.0, 32.0, 5000.0):
+        x = spark.range(20_000).select(F.lit(mean).alias("n"), ((F.xxhash64("id") / 2.0**64) + 0.5).alias("a"), ((F.xxhash64("id", F.lit(1)) / 2.0**64) + 0.5).alias("b"))
+        m, v = x.select(evaluate._poisson(F.col("n"), F.col("a"), F.col("b")).alias("k")).agg(F.avg("k"), F.var_samp("k")).first()
+        assert abs(m - mean) < 4 * math.sqrt(mean / 20_000) and abs(v / mean - 1) < 0.06
+
+
+def test_replies_are_sent_once_and_kept(spark, tmp_path):
+    marked = spark.createDataFrame([(b, f"p{i}", f"[Q1] and [Q2] {i % 4}", [f"p{i}-s0", f"p{i}-s1", f"p{i}-s2"]) for b in (1, 2) for i in range(6)], "book_id int, paragraph_id string, marked string, ids array<string>")
+    path, log = str(tmp_path / "replies"), tmp_path / "log"
+    log.mkdir()
+    good = '{"attributions": [{"quote_id": "Q1", "speaker_id": "Mira", "confidence": "high"}, {"quote_id": "Q2", "speaker_id": "narrator", "confidence": 0.2}]}'
+
+    def send(prompts):
+        first = [p for p in prompts if not (log / str(hash(p[-1]))).exists()]
+        for p in prompts:
+            with (log / str(hash(p[-1]))).open("a") as f:
+                f.write(p[-1])
+        if any(p.endswith("1") for p in first):
+            raise ConnectionError("no route")  # all of the batch
+        return [None if p.endswith("2") else "[]" if p.endswith("3") and p in first else good for p in prompts]
+
+    wanted = replies.requests(marked, ["Mira"], "m")
+    assert wanted.select("key").distinct().count() == 4 and "Mira" in wanted.first().prompt
+    got = replies.ask(wanted, path, send, pause=0.0, tasks=1)
+    rows = {(r.book_id, r.paragraph_id): r for r in got.collect()}
+    assert len(rows) == 12 and {rows[b, f"p{i}"].error for b in (1, 2) for i in (2,)} == {"malformed"} and rows[1, "p2"].attempts == 3 and rows[1, "p2"].reply is None
+    assert rows[2, "p0"].attempts == rows[1, "p4"].attempts == 2 and rows[1, "p1"].attempts == 2
+    sent = sum(p.stat().st_size for p in log.iterdir())
+    assert replies.ask(wanted, path, send, pause=0.0).where("reply IS NULL").count() == 2 and sum(p.stat().st_size for p in log.iterdir()) == sent
+    replies.ask(wanted, path, send, pause=0.0, failed_again=True)
+    assert sum(p.stat().st_size for p in log.iterdir()) == sent + 3
+    found = {(r.book_id, r.id): (r.speaker, r.confidence, r.evidence) for r in replies.speakers_of(got).collect()}
+    assert found[1, "p0-s0"] == ("Mira", 0.95, "llm") and found[1, "p0-s1"] == ("unknown", 0.2, "llm") and found[1, "p0-s2"] == found[2, "p2-s0"] == ("unknown", 0.0, "no reply")
+
+
+def test_pauses_grow(monkeypatch):
+    waited = []
+    monkeypatch.setattr(replies.time, "sleep", waited.append)
+    assert replies.send_batch(["a", "b"], lambda ps: ['{"attributions": []}' if p == "a" else "?" for p in ps], 3, 0.5) == [('{"attributions": []}', 1, None), (None, 4, "malformed")]
+    assert waited == [0.5, 1.0, 2.0]
+    for bad in (None, "", "x", "[]", "{}", '{"attributions": 1}', '{"attributions": [1]}', '{"attributions": [{"quote_id": "Q1"}]}'):
+        assert not replies.well_formed(bad)

@@ -156,3 +156,46 @@ def test_streamed_paragraphs_restart(spark, tmp_path):
     again(spark.createDataFrame([("b", 0, 1, "More.")], schema_), 1)  # a batch that runs twice has no other effect
     assert sorted(r.text for r in resume.table(spark, target).collect()) == ['"Hi,"', "More.", "he said."]
     assert resume.to_do(spark.createDataFrame([("b", 0, 1, ""), ("b", 0, 7, "")], schema_), resume.table(spark, target)).select(F.max("para_idx")).first()[0] == 7
+
+
+def test_a_batch_writes_its_own_buckets_only(spark, tmp_path):
+    path = str(tmp_path / "table")
+    segment = lambda b, i, text, source="rule": (str(b), f"s{i:02d}", i // 10, text, source)
+    kinds = "book_id string, id string, chapter int, text string, source string"
+    files = lambda: {p.relative_to(path): p.stat().st_mtime_ns for p in (tmp_path / "table").rglob("*.parquet")}
+    first = [segment(b, i, "old", "user" if i == 3 else "rule") for b in range(20) for i in range(30)]
+    assert len(resume.upsert(path, spark.createDataFrame(first, kinds), 0, buckets=8)) == 8
+    before = files()
+    second = [segment(4, i, "new") for i in (2, 3, 99)] + [segment(4, 2, "newer")]
+    touched = resume.upsert(path, spark.createDataFrame(second, kinds), 1)
+    assert len(touched) == 1
+    kept = {name: at for name, at in files().items() if name in before}
+    assert kept == before and {name.parts[1] for name in files() if name not in before} == {f"bucket={touched[0]}"}
+    got = {(r.book_id, r.id): r for r in resume.table(spark, path).collect()}
+    assert len(got) == 601 and {k: got["4", f"s{k:02d}"].text for k in (2, 3, 4, 99)} == {2: "newer", 3: "old", 4: "old", 99: "new"}
+    assert got["4", "s99"].status == "pending"
+    resume.upsert(path, spark.createDataFrame(second, kinds), 1)  # again, with no other effect
+    assert {(r.book_id, r.id): r for r in resume.table(spark, path).collect()} == got
+    assert resume.table(spark, path, below=1).count() == 600
+    resume.upsert(path, spark.createDataFrame([], kinds), 2)
+    resume.upsert(path, spark.createDataFrame([segment(4, 1, "last")], kinds), 3)
+    # the versions before the last two are gone, and so is what only they named
+    assert resume.versions(path) == [2, 3] and not any(name.parts == ("v=0", f"bucket={touched[0]}") for name in (n.parent for n in files()))
+    assert resume.table(spark, path).count() == 601
+
+
+def test_scans_read_one_bucket_and_old_files(spark, tmp_path):
+    path = str(tmp_path / "table")
+    rows = [(str(b), f"s{i:03d}", i // 100, "done" if i % 2 else "failed") for b in range(12) for i in range(300)]
+    resume.upsert(path, spark.createDataFrame(rows, "book_id string, id string, chapter int, status string"), 0, buckets=4)
+    own = resume.scan(spark, path, "7", chapter=1, status=["failed"])
+    assert [(r.book_id, r.id) for r in own.collect()] == [("7", f"s{i:03d}") for i in range(100, 200, 2)]
+    assert len({f.split("/")[-2] for f in own.inputFiles()}) == 1
+    plan = own._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "EqualTo(book_id,7)" in plan and "EqualTo(chapter,1)" in plan
+    assert [r.id for r in resume.scan(spark, path, "7", ids=["s005", "none"]).collect()] == ["s005"]
+    # a file from before statuses and retries were stored
+    folder = resume.manifest(path)["folders"]
+    spark.createDataFrame([("old", "s0", 1)], "book_id string, id string, chapter int").write.mode("append").parquet(f"{path}/{next(iter(folder.values()))}")
+    assert [(r.id, r.status, r.retry_count) for r in resume.scan(spark, path, ids=["s0"]).collect()] == [("s0", "pending", 0)]
+    assert resume.scan(spark, str(tmp_path / "none"), "7").count() == 0

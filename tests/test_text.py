@@ -45,19 +45,36 @@ def test_scalars(spark):
 def test_speech(spark):
     cases = {"Wait...": "Wait,", "yes—no": "yes - no", "WAIT": "Wait", "NASA": "NASA", "Hello*World": "HelloWorld", "Test_123": "Test123", "": None, "***": None, "  ": None}
     assert dict(zip(cases, one(spark, speech.normalise_for_synthesis, *cases))) == cases
-    assert one(spark, lambda c: speech.normalise_for_synthesis(c, numbers=True, exact=False), "Mr. Smith met 21 in 1999, 1900 and 2024") == ["Mister Smith met twenty-one in nineteen ninety-nine, nineteen hundred and two thousand twenty-four"]
-    assert speech.spell(0) == "zero" and speech.spell(1_000_001) == "one million and one" and speech.spell(123_456) == "one hundred and twenty-three thousand, four hundred and fifty-six"
+    assert one(spark, lambda c: speech.normalise_for_synthesis(c, numbers=True, exact=False, years=True), "Mr. Smith met 21 in 1999, 1900 and 2024") == ["Mister Smith met twenty-one in nineteen ninety-nine, nineteen hundred and two thousand twenty-four"]
+    spelt = {
+        "0": "zero", "000": "zero", "7": "seven", "0019": "nineteen", "80": "eighty", "101": "one hundred and one", "1000": "one thousand", "1999": "one thousand, nine hundred and ninety-nine", "2001": "two thousand and one",
+        "1000001": "one million and one", "123456": "one hundred and twenty-three thousand, four hundred and fifty-six", "1000000": "one million", "5000000100": "five billion, one hundred", "1" + "0" * 18: "1" + "0" * 18, "٢٣": "twenty-three",
+        "a1 1a _2 2_ 3,4.5-6": "a1 1a _2 2_ three,four.five-six", "x\n12\ty": "x\ntwelve\ty", "": "", "ABCD NASA ÄBCD ABCD1": "Abcd NASA ÄBCD ABCD1",
+    }
+    assert dict(zip(spelt, one(spark, speech.speak, *spelt))) == spelt
+    assert one(spark, lambda c: speech.speak(c, years=True), "1099 1100 1905 1999 2000 2010 2100 01999") == ["one thousand and ninety-nine eleven hundred nineteen five nineteen ninety-nine two thousand two thousand ten two thousand, one hundred one thousand, nine hundred and ninety-nine"]
+    assert one(spark, lambda c: speech.normalise_for_synthesis(c, numbers=True), "In 1999") == ["In one thousand, nine hundred and ninety-nine"]
 
 
 def test_normalise_speech_reads_whole_texts(spark, tmp_path):
     texts = {21: "NASA met Dr.Who in 1999. " * 500 + "The END of it... 12 *miles* on", 7: "short", 1900: "é" * 60 + "x — y", 3: ""}
     spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    words = {"21": "twenty-one", "7": "seven", "1900": "nineteen hundred", "3": "three", "1999": "nineteen ninety-nine", "12": "twelve"}
-
-    def plain(doc_id, x):
-        x = f"{x[:60].upper()}... Mr.Vane had {doc_id} — {x[60:]}"
+    small = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
+    tens = "twenty thirty forty fifty sixty seventy eighty ninety".split()
+
+    def spell(n):
+        if n < 100:
+            return small[n] if n < 20 else tens[n // 10 - 2] + (f"-{small[n % 10]}" if n % 10 else "")
+        if n < 1000:
+            return f"{small[n // 100]} hundred" + (f" and {spell(n % 100)}" if n % 100 else "")
+        size, name = next((10**k, x) for k, x in ((12, "trillion"), (9, "billion"), (6, "million"), (3, "thousand")) if n >= 10**k)
+        rest = n % size
+        return f"{spell(n // size)} {name}" + ("" if not rest else f" and {spell(rest)}" if rest < 100 else f", {spell(rest)}")
+
+    def plain(i, x):
+        x = f"{x[:60].replace('ß', 'ss').upper()}... Mr.Vane had {i} — in {1100 + i * 7 % 1000}, of {i * i * 1000003} and 0{i % 300 * 1000000}, NASA{x[60:]}"
         x = re.sub("[—–]", " - ", re.sub(r"\.{3,}", ", ", x)).replace("Mr.V", "MisterV").replace("Dr.W", "DoctorW")
-        x = re.sub(r"\b\d+\b", lambda m: words[m[0]], x)
+        x = re.sub(r"\b\d+\b", lambda m: spell(int(m[0])), x)
         x = re.sub(r"\b[A-Z]{4,}\b", lambda m: m[0] if m[0] in speech.ACRONYMS else m[0].title(), x)
         return " ".join(re.sub("[*_#~]", "", x).split())
 

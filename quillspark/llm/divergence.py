@@ -89,24 +89,32 @@ def document_frequencies(docs: DataFrame, lang: str = "lang", text: str = "text"
 
 
 def write_dictionary(kept: DataFrame, tables: Tables) -> DataFrame:
-    """Rows (lang, chunk, place, term) in the order of the terms and of their files. `kept` is a written table."""
+    """Rows (lang, chunk, place, term): a term's rank among its language's, cut into chunks. `kept` is a written table.
+
+    Terms are sorted in ranges and counted in each; the sums over the ranges before give the ranks, so
+    chunks are full however many ranges there are.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, place, last = TaskContext.get().partitionId() << 32, -1, None
+        part, n, last = TaskContext.get().partitionId(), -1, None
         for batch in batches:
-            chunk_of, place_of = [], []
+            places = []
             for lang in batch["lang"].to_pylist():
-                place += 1
-                if lang != last and last is not None or place == CHUNK_TERMS:
-                    chunk, place = chunk + 1, 0
+                n = n + 1 if lang == last else 0
                 last = lang
-                chunk_of.append(chunk)
-                place_of.append(place)
-            yield pa.RecordBatch.from_arrays([batch["lang"], pa.array(chunk_of, pa.int64()), pa.array(place_of, pa.int32()), batch["term"]], names=["lang", "chunk", "place", "term"])
+                places.append(n)
+            yield pa.RecordBatch.from_arrays([batch["lang"], pa.array([part] * len(places), pa.int32()), pa.array(places, pa.int64()), batch["term"]], names=["lang", "part", "n", "term"])
 
-    n = -(-max(1, rows_of(kept)) // PART_TERMS)
-    ordered = kept.select("lang", "term").repartitionByRange(n, "lang", "term").sortWithinPartitions("lang", "term")
-    return tables.write(ordered.mapInArrow(run, "lang string, chunk long, place int, term binary"), "dictionary")
+    with Tables(kept.sparkSession) as own:
+        ranges = -(-max(1, rows_of(kept)) // PART_TERMS)
+        ordered = kept.select("lang", "term").repartitionByRange(ranges, "lang", "term").sortWithinPartitions("lang", "term")
+        ordered = own.write(ordered.mapInArrow(run, "lang string, part int, n long, term binary"), "ordered")
+        before = W.partitionBy("lang").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+        sizes = ordered.groupBy("lang", "part").agg(F.count(F.lit(1)).alias("size"))
+        starts = own.write(sizes.select("lang", "part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start")), "starts", rows_of(ordered))
+        rank = F.col("start") + F.col("n")
+        ranked = ordered.join(sized(starts), ["lang", "part"]).select("lang", F.floor(rank / CHUNK_TERMS).alias("chunk"), (rank % CHUNK_TERMS).cast("int").alias("place"), "term")
+        return tables.write(ranked, "dictionary")
 
 
 def first_bytes(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -151,7 +159,7 @@ class Terms:
 
 
 def parts_of(dictionary: DataFrame) -> list[tuple[str, ...]]:
-    """The files of a written dictionary in order, as parts of at most PART_TERMS terms, or of one file with more."""
+    """The files of a written dictionary, as parts of at most PART_TERMS terms, or of one file with more."""
     parts: list[list[str]] = []
     held = PART_TERMS
     for path, _ in listing(dictionary._path, ".parquet"):
@@ -172,7 +180,7 @@ def _load(paths: tuple[str, ...]) -> dict[str, Terms]:
     for path in paths:
         with open_input(path) as f:
             tables.append(pq.read_table(f))
-    got = pa.concat_tables(tables).combine_chunks()
+    got = pa.concat_tables(tables).sort_by([("lang", "ascending"), ("chunk", "ascending"), ("place", "ascending")]).combine_chunks()
     codes, langs = _coded(got["lang"].combine_chunks())
     chunk, place, terms = got["chunk"].to_numpy(), got["place"].to_numpy(), pc.cast(got["term"], pa.large_binary()).combine_chunks()
     out: dict[str, Terms] = {}

@@ -4,10 +4,11 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quillspark import schema
-from quillspark.operators import attribute, audio, casting, evaluate, names, replies, store, structure
+from quillspark.operators import attribute, audio, casting, evaluate, names, narrate, replies, store, structure
 from quillspark.plans import queries
 
 
@@ -388,3 +389,49 @@ def test_pauses_grow(monkeypatch):
     assert waited == [0.5, 1.0, 2.0]
     for bad in (None, "", "x", "[]", "{}", '{"attributions": 1}', '{"attributions": [1]}', '{"attributions": [{"quote_id": "Q1"}]}'):
         assert not replies.well_formed(bad)
+
+
+def ticks(fail=""):
+    """An engine whose samples tell the text; texts with a mark fail."""
+
+    class Ticks:  # in a function, for tasks can't import the tests
+        name, rate, max_chars = "ticks", 100, 40
+
+        def synthesise(self, text, voice):
+            if fail and fail in text:
+                raise OSError("no device")
+            return np.arange(1, len(text) + 1) * (-1) ** len(text)
+
+    return Ticks()
+
+
+def test_narration_is_laid_out_in_parts(spark, tmp_path):
+    texts = [("b", 0, 0, "One. Two is longer. Fail now!"), ("b", 0, 1, "A sentence without any end, that is longer than forty characters, by far"), ("b", 1, 0, "Second chapter."), ("c", 0, 0, "Fail.")]
+    df = spark.createDataFrame(texts, "book_id string, chapter_idx int, para_idx int, text string")
+    folder, seen = str(tmp_path / "n"), []
+    first = narrate.narrate(df, folder, ticks("Fail"), lambda done, total: seen.append((done, total)), speakable=False)
+    assert {r.status for r in first.where("text LIKE 'Fail%'").collect()} == {"failed"} and seen == [(0, 8), (6, 8)]
+    again = narrate.narrate(df, folder, ticks("Fail."), lambda done, total: seen.append((done, total)), speakable=False)
+    rows = {r.id: (r.status, r.retry_count) for r in again.where("text LIKE 'Fail%'").collect()}
+    assert seen[2:] == [(6, 8), (7, 8)] and sorted(rows.values()) == [("done", 1), ("failed", 2)]
+    # only what wasn't done was spoken again
+    assert [spark.read.parquet(f"{folder}/spoken/version={v}").count() for v in (0, 2)] == [8, 2]
+    placed = narrate.placed(spark, folder, 100)
+    for size in (7, 33, 10_000):
+        out = str(tmp_path / f"chapters{size}")
+        parts = narrate.write_chapters(placed, out, 100, size)
+        assert parts.where("part >= 0").agg(F.max("samples")).first()[0] <= size
+        for chapter, pieces in ((0, ["One.", 30, "Two is longer.", 30, "Fail now!", 70, "A sentence without any end,", 15, "that is longer than forty characters,", 15, "by far"]), (1, ["Second chapter."])):
+            raw = b"".join((tmp_path / f"chapters{size}" / "b" / f"{chapter:05d}" / p.name).read_bytes() for p in sorted((tmp_path / f"chapters{size}" / "b" / f"{chapter:05d}").iterdir()))
+            rate, x = audio.from_wav(raw)
+            want = [v for p in pieces for v in ([0] * p if isinstance(p, int) else [k * (-1) ** len(p) * 10 for k in range(1, len(p) + 1)])]
+            assert rate == 100 and x.tolist() == want, (size, chapter)
+    assert not (tmp_path / "chapters7" / "c").exists()
+
+
+def test_the_stand_in_engine():
+    silent, tone = narrate.FakeEngine(), narrate.FakeEngine(tone=True)
+    assert len(silent.synthesise("one", "narrator")) == 4410 and not silent.synthesise("a b c", "narrator").any() and tone.synthesise("x", "narrator")[25] == int(32767 * math.sin(2 * math.pi * 440 / 22050 * 25))
+    with pytest.raises(ValueError, match="100000 characters"):
+        silent.synthesise("a" * 100_001, "narrator")
+    assert narrate.wav_header(3, 22050) + b"\0" * 6 == audio.to_wav(np.zeros(3))

@@ -201,6 +201,43 @@ def chapter_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("chapter_idx", F.col("chapter_idx").cast("long")).withColumn("para_idx", F.col("para_idx").cast("long"))
 
 
+_HEADINGS = ["Chapter 7: The Road", "PROLOGUE", "part 2 of it", "THE LONG NIGHT", "chapter xiv", "Chapters are long", "A SHOUT!"]
+_CAPS = structure.CAPS_LINE.replace("'", "''")
+_LINES = f"""l AS (SELECT CAST(doc_id AS VARCHAR) AS book_id, i - 1 AS o, CASE WHEN i % 6 = 4 THEN ({_HEADINGS})[CAST((doc_id + i // 6) % 7 + 1 AS BIGINT)] || chr(10) || s[i] ELSE s[i] END AS text, doc_id % 4 AS kind FROM
+      (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, string_split(text, '. ') AS s FROM documents))),
+    n AS (SELECT *, count(*) OVER (PARTITION BY book_id) AS n FROM l),
+    h AS (SELECT *, regexp_replace(string_split(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), chr(10))[1], '^\\s+|\\s+$', '', 'g') AS line FROM n),
+    g AS (SELECT *, CAST(CASE WHEN regexp_matches(line, '{structure.CHAPTER_LINE}') THEN 0.75 WHEN regexp_matches(line, '{_CAPS}') AND length(line) <= 60 THEN 0.6 END AS DOUBLE) AS sure FROM h),
+    s AS (SELECT *, count(sure) OVER w AS section, last_value(CASE WHEN sure IS NOT NULL THEN line END IGNORE NULLS) OVER w AS title, last_value(sure IGNORE NULLS) OVER w AS trust, count(*) FILTER (WHERE sure IS NULL) OVER (PARTITION BY book_id) AS body FROM g WHERE kind = 0 WINDOW w AS (PARTITION BY book_id ORDER BY o ROWS UNBOUNDED PRECEDING))"""
+
+
+@query(
+    f"""WITH {_LINES},
+    a AS (SELECT book_id, CASE WHEN body = 0 THEN 0 ELSE dense_rank() OVER (PARTITION BY book_id ORDER BY section) - 1 END AS chapter_idx, CASE WHEN body = 0 THEN '' ELSE coalesce(title, '') END AS title, CASE WHEN body = 0 THEN 0.4 ELSE coalesce(trust, 0.4) END AS confidence,
+        row_number() OVER (PARTITION BY book_id, CASE WHEN body = 0 THEN 0 ELSE section END ORDER BY o) - 1 AS para_idx, text FROM s WHERE sure IS NULL OR body = 0),
+    b AS (SELECT book_id, CASE WHEN n > 1 THEN o % 2 ELSE 0 END AS chapter_idx, 'Old' AS title, CASE WHEN kind = 1 OR n = 1 THEN 0.9 ELSE 0.5 END AS confidence, o // 2 AS para_idx, text FROM n WHERE kind IN (1, 3)),
+    c AS (SELECT book_id, k AS chapter_idx, CASE k WHEN 0 THEN 'A' ELSE 'B' END AS title, 1.0 AS confidence, o - CASE WHEN k = 1 AND n > 2 THEN 2 ELSE 0 END AS para_idx, text FROM n, (VALUES (0), (1)) t(k) WHERE kind = 2 AND (n <= 2 OR (k = 0) = (o < 2)))
+    SELECT book_id, CAST(chapter_idx AS INTEGER) AS chapter_idx, title, CAST(confidence AS DOUBLE) AS confidence, CAST(para_idx AS INTEGER) AS para_idx, format('c{{:02d}}-p{{:03d}}', chapter_idx, para_idx) AS id, text FROM (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c)"""
+)
+def chapter_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Books of one unsure chapter are split at their heading lines, those of sure chapters or of several stay, overrides win."""
+    d, key = table(spark, sf_dir, "documents"), F.col("doc_id")
+    lines = d.select(F.col("doc_id"), F.posexplode(F.split("text", r"\. ")).alias("o", "line"))
+    i = F.col("o") + 1
+    head = F.element_at(F.array(*map(F.lit, _HEADINGS)), ((key + F.floor(i / 6)) % 7 + 1).cast("int"))
+    n = F.count(F.lit(1)).over(W.partitionBy("doc_id"))
+    rows = lines.select(key, "o", F.when(i % 6 == 4, F.concat(head, F.lit("\n"), "line")).otherwise(F.col("line")).alias("text"), (key % 4).alias("kind"), n.alias("n"))
+    several = F.col("kind").isin(1, 3) & (F.col("n") > 1)
+    known = F.when(F.col("kind").isin(1, 3), F.when((F.col("kind") == 1) | (F.col("n") == 1), 0.9).otherwise(0.5)).otherwise(0.4)
+    p = rows.select(
+        key.cast("string").alias("book_id"), F.when(several, F.col("o") % 2).otherwise(0).cast("int").alias("chapter_idx"), F.lit("Old").alias("title"), known.alias("confidence"),
+        F.when(several, F.floor(F.col("o") / 2)).otherwise(F.col("o")).cast("int").alias("para_idx"), "text",
+    )
+    parts = F.explode(F.array(F.struct(F.lit(0).alias("index"), F.lit("A").alias("title"), F.lit("c00-p000").alias("start_paragraph_id")), F.struct(F.lit(1).alias("index"), F.lit("B").alias("title"), F.lit("c00-p002").alias("start_paragraph_id"))))
+    override = d.where(key % 4 == 2).select(key.cast("string").alias("book_id"), parts.alias("x")).select("book_id", "x.*")
+    return structure.detect_chapters(p, override).select("book_id", "chapter_idx", "title", "confidence", "para_idx", "id", "text")
+
+
 _STYLED = """e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS o, CAST(event_id AS VARCHAR) AS text,
       CAST(CASE event_type WHEN 'signup' THEN 0.9 WHEN 'error' THEN 0.8 END AS DOUBLE) AS own FROM events),
     s AS (SELECT *, count(own) OVER (PARTITION BY user_id ORDER BY o ROWS UNBOUNDED PRECEDING) AS section FROM e),
@@ -410,29 +447,61 @@ def narrator_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {DIALOGUE}, p AS (SELECT book_id, chapter_idx, para_idx, text, string_split(text, '"') AS parts FROM dialogue WHERE ends_with(text, '.') AND NOT starts_with(text, '".')),
-    q AS (SELECT book_id, chapter_idx, para_idx, parts[2] AS quote, length(parts[2]) + 2 AS stop FROM p WHERE len(parts) = 3)
-    SELECT book_id, chapter_idx, para_idx, 'Q1' AS quote_id, quote AS text, CAST(0 AS BIGINT) AS start_char, CAST(stop AS BIGINT) AS end_char FROM q"""
+    f"""WITH {DIALOGUE}, p AS (SELECT book_id, chapter_idx, para_idx, CASE WHEN ends_with(text, '.') THEN 'So: ' || text || ' “Well,” and "" and "so' || CASE WHEN para_idx % 2 = 0 THEN '"!' ELSE '' END ELSE text END AS text FROM dialogue),
+    f AS (SELECT book_id, chapter_idx, para_idx, string_split(translate(text, '“”', '""'), '"') AS parts FROM p),
+    q AS (SELECT *, unnest(list_filter(range(2, len(parts)), lambda k: k % 2 = 0)) AS k FROM f)
+    SELECT book_id, chapter_idx, para_idx, 'Q' || row_number() OVER (PARTITION BY book_id, chapter_idx, para_idx ORDER BY k) AS quote_id, parts[k] AS text,
+      CAST(length(array_to_string(parts[1:k - 1], '"')) AS BIGINT) AS start_char, CAST(length(array_to_string(parts[1:k], '"')) + 1 AS BIGINT) AS end_char FROM q"""
 )
 def quote_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """D9, C21."""
-    out = segment.quotes(dialogue(spark, sf_dir), "book_id", "chapter_idx", "para_idx")
+    """Paragraphs with several quotes, curly, empty and open ones among them."""
+    d = dialogue(spark, sf_dir)
+    more = F.concat(F.lit("So: "), "text", F.lit(' “Well,” and "" and "so'), F.when(F.col("para_idx") % 2 == 0, '"!').otherwise(""))
+    out = segment.quotes(d.withColumn("text", F.when(F.col("text").endswith("."), more).otherwise(F.col("text"))), "book_id", "chapter_idx", "para_idx")
     return out.withColumn("start_char", F.col("start_char").cast("long")).withColumn("end_char", F.col("end_char").cast("long"))
 
 
+_VOWELS = "(SELECT doc_id, translate(text, 'aeiou', '“”„‘’') AS x FROM documents)"
+
+
+@query("SELECT doc_id, translate(x, '“”„‘’', '" + '"' * 3 + "'" * 4 + "') AS double_style, translate(x, '‘’', '" + "'" * 4 + f"') AS single_style FROM {_VOWELS}")
+def quote_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C10, C11, on texts whose vowels are quotation marks."""
+    x = F.translate("text", "aeiou", "“”„‘’")
+    return table(spark, sf_dir, "documents").select("doc_id", text.normalise_double_style(x).alias("double_style"), text.normalise_single_style(x).alias("single_style"))
+
+
+@query(
+    """SELECT event_id, i - 1 AS i, event_type || i AS text, CASE i WHEN 1 THEN 'Mira' ELSE 'narrator' END AS speaker, (['dialogue', 'narration', 'thought'])[(event_id + i) % 3 + 1] AS kind FROM events, (VALUES (1), (2)) t(i) WHERE event_id % 7 NOT IN (3, 4, 5)"""
+)
+def llm_older_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The older form of replies; some lack a speaker, have a kind of their own, or are no JSON."""
+    e, key = table(spark, sf_dir, "events"), F.col("event_id")
+    kind = lambda i: F.element_at(F.array(*map(F.lit, ("dialogue", "narration", "thought"))), ((key + i) % 3 + 1).cast("int"))
+    span = lambda i, who: F.struct(F.concat("event_type", F.lit(str(i))).alias("text"), F.lit(who).alias("speaker"), kind(i).alias("kind"))
+    good = F.to_json(F.struct(F.array(span(1, "Mira"), span(2, "narrator")).alias("spans")))
+    odd = F.when(key % 7 == 3, F.replace(good, F.lit('"speaker":"narrator",'), F.lit(""))).when(key % 7 == 4, F.lit('{"spans":[{"text":"a","speaker":"b","kind":"aside"}]}')).when(key % 7 == 5, "no reply")
+    s = e.select("event_id", text.llm_spans(F.coalesce(odd, good)).alias("s")).where("s IS NOT NULL")
+    return s.select("event_id", F.posexplode("s").alias("i", "x")).select("event_id", F.col("i").cast("int").alias("i"), "x.text", "x.speaker", "x.kind")
+
+
 # ---- attribution
 
 _VERBS = "|".join(attribute.SPEECH_VERBS)
 
 
 @query(
-    f"""WITH {DIALOGUE}, t AS (SELECT book_id, chapter_idx, para_idx, text, regexp_extract(text, '"([^"]+)",\\s+({_VERBS})\\s+(\\S+)', 3) AS name FROM dialogue WHERE regexp_matches(text, '"([^"]+)",\\s+({_VERBS})\\s+(\\S+)'))
-    SELECT book_id, format('c{{:02d}}-p{{:03d}}', chapter_idx, para_idx) AS id, name AS speaker, CAST(0.98 AS DOUBLE) AS confidence, 'tag: "' || regexp_extract(text, '"([^"]+)"', 1) || '" said ' || name AS evidence FROM t"""
+    f"""WITH {DIALOGUE}, x AS (SELECT book_id, chapter_idx, para_idx, CASE para_idx % 3 WHEN 1 THEN 'Mira  Vane replied, "' || replace(text, '"', '') || '"' WHEN 2 THEN 'mira replied, "' || replace(text, '"', '') || '"' ELSE text END AS text FROM dialogue),
+    t AS (SELECT *, regexp_matches(text, '"([^"]+)",\\s+({_VERBS})\\s+(\\S+)') AS after, regexp_matches(text, '^([A-Z][a-zA-Z\\s]+)\\s+({_VERBS}),\\s+"([^"]+)"') AS before FROM x)
+    SELECT book_id, format('c{{:02d}}-p{{:03d}}', chapter_idx, para_idx) AS id, CASE WHEN after THEN regexp_extract(text, '"([^"]+)",\\s+({_VERBS})\\s+(\\S+)', 3) ELSE trim(regexp_extract(text, '^([A-Z][a-zA-Z\\s]+)\\s+({_VERBS}),', 1)) END AS speaker, CAST(0.98 AS DOUBLE) AS confidence,
+      CASE WHEN after THEN 'tag: "' || regexp_extract(text, '"([^"]+)"', 1) || '" said ' || regexp_extract(text, '"([^"]+)",\\s+({_VERBS})\\s+(\\S+)', 3) ELSE 'tag: ' || regexp_extract(text, '^([A-Z][a-zA-Z\\s]+)\\s+({_VERBS}),', 1) || ' replied "' || regexp_extract(text, '"([^"]+)"', 1) || '"' END AS evidence FROM t WHERE after OR before"""
 )
 def rule_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """E11, over whole paragraphs, where quote and tag stand together."""
-    d = dialogue(spark, sf_dir).select("book_id", F.format_string("c%02d-p%03d", "chapter_idx", "para_idx").alias("id"), F.lit("dialogue").alias("kind"), "text")
-    return attribute.apply_rules(d)
+    """E11, over whole paragraphs, where quote and tag stand together: tags after, before, and names that aren't any."""
+    d = dialogue(spark, sf_dir)
+    bare = F.concat(F.replace("text", F.lit('"'), F.lit("")), F.lit('"'))
+    x = F.when(F.col("para_idx") % 3 == 1, F.concat(F.lit('Mira  Vane replied, "'), bare)).when(F.col("para_idx") % 3 == 2, F.concat(F.lit('mira replied, "'), bare)).otherwise(F.col("text"))
+    return attribute.apply_rules(d.select("book_id", F.format_string("c%02d-p%03d", "chapter_idx", "para_idx").alias("id"), F.lit("dialogue").alias("kind"), x.alias("text")))
 
 
 @query(
@@ -753,7 +822,7 @@ def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.review_queue(s).select("book_id", "event_id", "speaker_id", "confidence")
 
 
-_UPSERT = f"""{SEGMENTS}, old AS (SELECT * FROM segments WHERE event_id % 3 <> 0), new AS (SELECT book_id, event_id, 'New' AS speaker_id, CAST(0.5 AS DOUBLE) AS confidence FROM segments WHERE event_id % 2 = 0)
+_UPSERT = f"""{SEGMENTS}, old AS (SELECT * FROM segments WHERE event_id % 3 <> 0), new AS (SELECT book_id, event_id, 'New' AS speaker_id, CAST(0.5 AS DOUBLE) AS confidence FROM segments WHERE event_id % 2 = 0 OR event_id % 3 = 0)
     SELECT coalesce(old.event_id, new.event_id) AS event_id,
     CASE WHEN old.event_id IS NULL THEN new.speaker_id WHEN new.event_id IS NULL OR old.source = 'user' THEN old.speaker_id ELSE new.speaker_id END AS speaker_id,
     CASE WHEN old.event_id IS NULL THEN new.confidence WHEN new.event_id IS NULL OR old.source = 'user' THEN old.confidence ELSE new.confidence END AS confidence,
@@ -764,7 +833,7 @@ _UPSERT = f"""{SEGMENTS}, old AS (SELECT * FROM segments WHERE event_id % 3 <> 0
 def guarded_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B4."""
     s = segments(spark, sf_dir).select("event_id", "speaker_id", "confidence", "kind", "source")
-    new = s.where("event_id % 2 = 0").select("event_id", F.lit("New").alias("speaker_id"), F.lit(0.5).alias("confidence"))
+    new = s.where("event_id % 2 = 0 OR event_id % 3 = 0").select("event_id", F.lit("New").alias("speaker_id"), F.lit(0.5).alias("confidence"))
     return store.upsert(s.where("event_id % 3 <> 0"), new, ["event_id"], ["speaker_id", "confidence"], F.col("old.source") == "user").select("event_id", "speaker_id", "confidence", "kind")
 
 
@@ -1016,7 +1085,7 @@ def character_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT CAST(n_nationkey AS INTEGER) AS index, n_name AS title, printf('c%02d-p000', n_nationkey) AS start_paragraph_id FROM nation WHERE n_nationkey % 4 <> 1""")
 def chapter_override(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries without a first paragraph are left out."""
+    """Entries without a first paragraph are left out."""
     n, key = table(spark, sf_dir, "nation"), F.col("n_nationkey")
     rows = n.select(key.cast("int").alias("index"), F.col("n_name").alias("title"), F.when(key % 4 != 1, F.format_string("c%02d-p000", key)).alias("start_paragraph_id"))
     return books.read_override(spark, _one_file(rows, scratch(spark, "override")))
@@ -1024,7 +1093,7 @@ def chapter_override(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT 'h' || c_nationkey AS source_hash, 'Q' || c_custkey AS quote_id, c_mktsegment AS speaker, c_name AS text, CAST(c_custkey % 9 AS INTEGER) AS chapter, CASE WHEN c_custkey % 2 = 0 THEN 'tagged' END AS style FROM customer""")
 def gold_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A file of customers for each nation."""
+    """A file of customers for each nation."""
     c, key = table(spark, sf_dir, "customer"), F.col("c_custkey")
     quote = F.struct(F.concat(F.lit("Q"), key.cast("string")).alias("quote_id"), F.col("c_mktsegment").alias("speaker"), F.col("c_name").alias("text"), (key % 9).cast("int").alias("chapter"), F.when(key % 2 == 0, "tagged").alias("style"))
     files = c.groupBy("c_nationkey").agg(F.collect_list(quote).alias("quotes")).select(F.to_json(F.struct(F.concat(F.lit("h"), F.col("c_nationkey").cast("string")).alias("source_hash"), "quotes")).alias("value"))

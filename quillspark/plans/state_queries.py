@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import attribute, casting, evaluate, names, segment, store, structure
+from ..schema import SEGMENTS as SCHEMA
+from ..schema import ensure_columns
 from ..sources import books
 from ..sources.book_files import write_book_files
 from ..sources.book_format import read_raw
@@ -21,14 +23,14 @@ from .queries import query
 
 @query(
     """WITH o AS (SELECT c_custkey AS id, c_name AS project_name, c_mktsegment AS current_stage, 1000 + c_custkey AS created_at FROM customer WHERE c_custkey % 3 <> 0),
-    n AS (SELECT c_custkey AS id, upper(c_name) AS project_name, 'casting' AS current_stage, 5000 + c_custkey AS created_at FROM customer WHERE c_custkey % 2 = 0)
+    n AS (SELECT c_custkey AS id, upper(c_name) AS project_name, 'casting' AS current_stage, 5000 + c_custkey AS created_at FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0)
     SELECT coalesce(o.id, n.id) AS id, coalesce(n.project_name, o.project_name) AS project_name, coalesce(n.current_stage, o.current_stage) AS current_stage, CAST(coalesce(o.created_at, n.created_at) AS BIGINT) AS created_at FROM o FULL JOIN n ON o.id = n.id"""
 )
 def job_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Jobs that are new, known or both; the time of creation stays."""
+    """Jobs that are new, known or both; the time of creation stays."""
     c, key = table(spark, sf_dir, "customer"), F.col("c_custkey")
     old = c.where(key % 3 != 0).select(key.alias("id"), F.col("c_name").alias("project_name"), F.col("c_mktsegment").alias("current_stage"), (1000 + key).cast("long").alias("created_at"))
-    new = c.where(key % 2 == 0).select(key.alias("id"), F.upper("c_name").alias("project_name"), F.lit("casting").alias("current_stage"), (5000 + key).cast("long").alias("created_at"))
+    new = c.where((key % 2 == 0) | (key % 3 == 0)).select(key.alias("id"), F.upper("c_name").alias("project_name"), F.lit("casting").alias("current_stage"), (5000 + key).cast("long").alias("created_at"))
     return store.save_jobs(old, new)
 
 
@@ -147,7 +149,7 @@ def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     (SELECT event_id, event_type FROM events)"""
 )
 def run_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hashes, times left, shares done, and what a machine can run."""
+    """Hashes, times left, shares done, and what a machine can run."""
     e, key = table(spark, sf_dir, "events"), F.col("event_id")
     memory = F.when(key % 4 == 1, 8.0).when(key % 4 == 2, 7.9).when(key % 4 == 3, 3.9)
     return e.select(
@@ -190,12 +192,18 @@ def registry_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.merge_entries(r, _merges(r))
 
 
-@query(f"""WITH {_REGISTRY} SELECT book_id, canonical, [upper(canonical)] AS aliases, mentions FROM r""")
+@query(
+    f"""WITH {_REGISTRY} SELECT 'undone' AS state, book_id, canonical, [upper(canonical)] AS aliases, mentions FROM r
+    UNION ALL SELECT 'merged', r.book_id, coalesce(target, canonical), list_sort(list_distinct(flatten(list(CASE WHEN target IS NULL THEN [upper(canonical)] ELSE [upper(canonical), canonical] END)))), CAST(sum(mentions) AS BIGINT)
+      FROM r LEFT JOIN m ON r.book_id = m.book_id AND r.canonical = m.source GROUP BY r.book_id, coalesce(target, canonical)"""
+)
 def registry_undo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K4: what a merge did, undone."""
+    """K4: what a merge did, and the same undone."""
     r = _registry(spark, sf_dir)
     m = _merges(r)
-    return names.undo_merges(names.merge_entries(r, m), m)
+    merged = names.merge_entries(r, m)
+    columns = ["state", "book_id", "canonical", "aliases", "mentions"]
+    return names.undo_merges(merged, m).withColumn("state", F.lit("undone")).select(columns).unionByName(merged.withColumn("state", F.lit("merged")).select(columns))
 
 
 def _cast(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,17 +218,18 @@ def _cast(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """SELECT CAST(s_nationkey AS VARCHAR) AS book_id, 'c' || s_suppkey AS id, s_name AS name, ['a' || s_suppkey % 5, 'the "old" one'] AS aliases, CAST(s_suppkey AS BIGINT) AS line_count, CAST(s_suppkey % 12 AS INTEGER) AS first_chapter,
-    s_suppkey % 4 = 0 AS user_locked, CASE WHEN s_suppkey % 3 = 0 THEN 'v' || s_suppkey END AS voice, true AS approved FROM supplier"""
+    s_suppkey % 4 = 0 AS user_locked, CASE WHEN s_suppkey % 3 = 0 THEN 'v' || s_suppkey END AS voice, s_nationkey % 3 <> 0 AS approved FROM supplier"""
 )
 def cast_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Casts and their approval written and read back, beside a file that isn't a cast."""
+    """Casts and their approval written and read back, beside a file that isn't a cast; the casts of every third book change after their approval."""
     path = scratch(spark, "casts")
     cast = _cast(spark, sf_dir)
     books.write_casts(cast, path)
     spark.createDataFrame([("not a cast",), ('{"book_id": 3',)], "value string").write.mode("append").text(path)
     back = books.read_casts(spark, path)
     casting.approve(back).write.json(path + "-approval")
-    holds = casting.approval_holds(back, spark.read.schema("book_id string, cast_hash string").json(path + "-approval"))
+    renamed = F.when((F.col("book_id").cast("int") % 3 == 0) & (F.col("line_count") == F.min("line_count").over(W.partitionBy("book_id"))), "Renamed").otherwise(F.col("display_name"))
+    holds = casting.approval_holds(back.withColumn("display_name", renamed), spark.read.schema("book_id string, cast_hash string").json(path + "-approval"))
     return back.join(holds, "book_id").select("book_id", "id", "name", "aliases", "line_count", "first_chapter", "user_locked", F.col("voice_assignments")["fake"].alias("voice"), F.col("valid").alias("approved"))
 
 
@@ -257,12 +266,18 @@ def merge_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return books.read_merges(spark, path).select("book_id", "winner_id", "loser_id", "loser_line_count")
 
 
-@query("""SELECT CAST(s_nationkey AS VARCHAR) AS book_id, 'c' || s_suppkey AS id, s_name AS name, CAST(s_suppkey AS BIGINT) AS line_count, ['x' || s_suppkey] AS aliases, s_suppkey % 4 = 0 AS user_locked FROM supplier""")
+@query(
+    f"""WITH {_PAIRS}, w AS (SELECT CASE WHEN flipped THEN source ELSE target END AS winner, CASE WHEN flipped THEN target ELSE source END AS loser FROM p WHERE NOT refused)
+    SELECT 'undone' AS state, CAST(s_nationkey AS VARCHAR) AS book_id, 'c' || s_suppkey AS id, s_name AS name, CAST(s_suppkey AS BIGINT) AS line_count, ['x' || s_suppkey] AS aliases, s_suppkey % 4 = 0 AS user_locked FROM supplier
+    UNION ALL SELECT 'merged', CAST(s.s_nationkey AS VARCHAR), 'c' || s.s_suppkey, s.s_name, CAST(s.s_suppkey + coalesce(l.s_suppkey, 0) AS BIGINT), CASE WHEN l.s_suppkey IS NULL THEN ['x' || s.s_suppkey] ELSE list_sort(['x' || s.s_suppkey, 'x' || l.s_suppkey, l.s_name]) END, s.s_suppkey % 4 = 0
+      FROM supplier s LEFT JOIN w ON s.s_suppkey = w.winner LEFT JOIN supplier l ON l.s_suppkey = w.loser WHERE s.s_suppkey NOT IN (SELECT loser FROM w)"""
+)
 def merge_undo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K9: merges undone from their record. Each character has an alias of its own: one that both had would go from the winner."""
+    """K9: merges, and the same undone from their record. Each character has an alias of its own: one that both had would go from the winner."""
     cast = _cast(spark, sf_dir).withColumn("aliases", F.array(F.concat(F.lit("x"), F.col("line_count").cast("string"))))
     after, record = casting.merge_characters(cast, _character_merges(cast))
-    return casting.undo_merge(after, record).select("book_id", "id", "name", "line_count", "aliases", "user_locked")
+    columns = ["state", "book_id", "id", "name", "line_count", "aliases", "user_locked"]
+    return casting.undo_merge(after, record).withColumn("state", F.lit("undone")).select(columns).unionByName(after.withColumn("state", F.lit("merged")).select(columns))
 
 
 @query(
@@ -326,16 +341,16 @@ def latest_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH p AS (SELECT doc_id // 7 AS book_id, doc_id AS page_no, CASE WHEN doc_id // 7 % 5 = 0 THEN left(trim(text), 9) ELSE text END AS text FROM documents),
+    """WITH p AS (SELECT doc_id // 7 AS book_id, doc_id AS page_no, text FROM documents UNION ALL SELECT CASE WHEN doc_id % 2 = 0 THEN -1 - doc_id // 7 ELSE doc_id // 7 END, doc_id + 0.5, 'page ' || doc_id FROM documents),
     h AS (SELECT *, length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) >= 50 AS has FROM p)
     SELECT book_id, count(*) AS n_pages, count(*) FILTER (WHERE has) AS n_text_pages, coalesce(string_agg(text, chr(10) || chr(10) ORDER BY page_no) FILTER (WHERE has), '') AS text, CASE WHEN count(*) FILTER (WHERE has) = 0 THEN 'scanned' END AS error FROM h GROUP BY book_id"""
 )
 def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Page texts joined, books of scans marked."""
-    d = table(spark, sf_dir, "documents")
-    book = F.floor(F.col("doc_id") / 7)
-    short = F.left(F.trim("text"), F.lit(9))
-    return structure.pdf_text(d.select(book.alias("book_id"), F.col("doc_id").alias("page_no"), F.when(book % 5 == 0, short).otherwise(F.col("text")).alias("text")))
+    """Page texts joined, with pages of a few words among them and in books of their own, which are marked as scans."""
+    d, book = table(spark, sf_dir, "documents"), F.floor(F.col("doc_id") / 7)
+    whole = d.select(book.alias("book_id"), F.col("doc_id").cast("double").alias("page_no"), "text")
+    short = d.select(F.when(F.col("doc_id") % 2 == 0, -1 - book).otherwise(book).alias("book_id"), (F.col("doc_id") + F.lit(0.5)).alias("page_no"), F.concat(F.lit("page "), F.col("doc_id").cast("string")).alias("text"))
+    return structure.pdf_text(whole.unionByName(short))
 
 
 @query(
@@ -389,3 +404,16 @@ def sentence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences packed greedily; longer ones stay whole here, `chunk_packing` cuts them."""
     d = table(spark, sf_dir, "documents")
     return d.select("doc_id", F.posexplode(segment.pack(segment.sentences(F.col("text")), 250)).alias("i", "chunk")).withColumn("i", F.col("i").cast("long"))
+
+
+@query(
+    """SELECT CAST(c_nationkey AS VARCHAR) AS book_id, CAST(c_custkey AS VARCHAR) AS id, CAST(c_custkey % 50 AS INTEGER) AS chapter, c_name AS text, 'narrator' AS speaker_id, CASE WHEN c_custkey % 2 = 0 THEN 'done' ELSE 'pending' END AS status, CAST(CASE WHEN c_custkey % 2 = 0 THEN 2 ELSE 0 END AS INTEGER) AS retry_count,
+    'rule' AS source, false AS continues_previous, CAST(1 AS DOUBLE) AS confidence, CAST(NULL AS VARCHAR) AS audio_path, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS note FROM customer"""
+)
+def migrated_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two older tables of segments, one with fewer columns, one with other types and a column of its own, in the present schema."""
+    c, key = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    own = [F.col("c_nationkey").cast("string").alias("book_id"), key.cast("string").alias("id"), (key % 50).alias("chapter"), F.col("c_name").alias("text")]
+    old = ensure_columns(c.where(key % 2 != 0).select(*own), SCHEMA)
+    new = ensure_columns(c.where(key % 2 == 0).select(*own, F.lit("done").alias("status"), F.lit(2).cast("long").alias("retry_count"), F.col("c_mktsegment").alias("note")), SCHEMA)
+    return old.unionByName(new, allowMissingColumns=True).select("book_id", "id", "chapter", "text", "speaker_id", "status", "retry_count", "source", "continues_previous", "confidence", "audio_path", "note")

@@ -5,8 +5,10 @@ from __future__ import annotations
 import json
 import re
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -852,15 +854,16 @@ def speaker_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- audio
 
 _TIMELINE = f"""{SEGMENTS}, w AS (SELECT book_id, chapter, seg_idx, event_id, seg_idx // 4 AS para, CAST(floor(greatest(0.2, (1 + event_id % 9) * 0.1) * 22050) AS BIGINT) AS samples FROM segments WHERE event_id % 6 <> 1),
-    l AS (SELECT *, lag(para) OVER o AS before FROM w WINDOW o AS (PARTITION BY book_id, chapter ORDER BY seg_idx)),
-    p AS (SELECT *, CASE WHEN before IS NULL THEN 0 WHEN before <> para THEN 700 ELSE 300 END AS pause_ms FROM l),
+    l AS (SELECT *, lag(para) OVER o AS before, lag(seg_idx) OVER o AS last FROM w WINDOW o AS (PARTITION BY book_id, chapter ORDER BY seg_idx)),
+    p AS (SELECT *, CASE WHEN before IS NULL THEN 0 WHEN before <> para THEN 700 WHEN last % 4 = 1 AND seg_idx % 4 = 2 THEN 150 ELSE 300 END AS pause_ms FROM l),
     t AS (SELECT *, sum(samples + CAST(floor(pause_ms * 22050 / 1000) AS BIGINT)) OVER (PARTITION BY book_id, chapter ORDER BY seg_idx ROWS UNBOUNDED PRECEDING) AS end_sample FROM p)"""
 
 
 def _timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = segments(spark, sf_dir).withColumn("para_idx", F.floor(F.col("seg_idx") / 4).cast("int"))
     words = F.array_join(F.array_repeat(F.lit("w"), (F.col("event_id") % 9 + 1).cast("int")), " ")
-    s = s.withColumn("id", F.format_string("s%06d", "event_id")).withColumn("paragraph_id", F.col("para_idx").cast("string")).withColumn("samples", F.when(F.col("event_id") % 6 != 1, audio.fake_samples(words)))
+    letter = F.element_at(F.array(*map(F.lit, ("0", "a", "b", "3"))), (F.col("seg_idx") % 4 + 1).cast("int"))
+    s = s.withColumn("id", F.concat(F.lit("p"), F.col("para_idx").cast("string"), F.lit("-s"), letter)).withColumn("paragraph_id", F.col("para_idx").cast("string")).withColumn("samples", F.when(F.col("event_id") % 6 != 1, audio.fake_samples(words)))
     return audio.timeline(s)
 
 
@@ -870,6 +873,51 @@ def pause_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _timeline(spark, sf_dir).select("book_id", "chapter", "event_id", "pause_ms", "start_sample", "end_sample")
 
 
+@query(
+    f"""WITH {SEGMENTS}, w AS (SELECT *, seg_idx // 4 AS para, 'p' || seg_idx // 4 || '-s' || (['0', 'a', 'b', '3'])[seg_idx % 4 + 1] AS id, CASE event_id % 3 WHEN 0 THEN 'So it is.' WHEN 1 THEN '"Is it?" ' ELSE 'and then,' END AS text, 10 + event_id % 5 AS samples FROM segments WHERE event_id % 6 <> 1),
+    l AS (SELECT *, lag(chapter) OVER o AS c, lag(para) OVER o AS p, lag(id) OVER o AS i, lag(speaker_id) OVER o AS s, lag(kind) OVER o AS k, lag(text) OVER o AS t FROM w WINDOW o AS (PARTITION BY book_id ORDER BY chapter, seg_idx)),
+    b AS (SELECT *, c <> chapter AS b1, c <> chapter OR p <> para AS b2, s <> speaker_id AND k = 'dialogue' AND kind = 'dialogue' AS b3, regexp_matches(id, '[a-z]$') AND regexp_replace(i, '[a-z]+$', '') = regexp_replace(id, '[a-z]+$', '') AS b6, regexp_matches(t, '[.!?]["'')\\]]*\\s*$') AS e, k <> kind AS b5 FROM l),
+    q AS (SELECT *, CASE WHEN b1 THEN 'chapter' WHEN b2 THEN 'paragraph' WHEN b3 THEN 'turn' WHEN e AND NOT b6 THEN 'sentence' WHEN b5 THEN 'tag' WHEN b6 THEN 'split' END AS boundary FROM b),
+    r AS (SELECT *, CASE boundary WHEN 'chapter' THEN 1500 WHEN 'paragraph' THEN 700 WHEN 'turn' THEN 450 WHEN 'sentence' THEN 300 WHEN 'tag' THEN 150 WHEN 'split' THEN 150 ELSE 0 END AS pause_ms FROM q)
+    SELECT book_id, event_id, pause_ms, boundary, CAST(sum(samples + pause_ms // 10) OVER (PARTITION BY book_id ORDER BY chapter, seg_idx ROWS UNBOUNDED PRECEDING) AS BIGINT) AS end_sample FROM r"""
+)
+def longest_pauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of all boundaries between two segments the one with the longest pause."""
+    s, key = segments(spark, sf_dir), F.col("event_id")
+    letter = F.element_at(F.array(*map(F.lit, ("0", "a", "b", "3"))), (F.col("seg_idx") % 4 + 1).cast("int"))
+    para = F.floor(F.col("seg_idx") / 4).cast("string")
+    said = F.when(key % 3 == 0, "So it is.").when(key % 3 == 1, '"Is it?" ').otherwise("and then,")
+    s = s.withColumns({"para_idx": F.floor(F.col("seg_idx") / 4).cast("int"), "paragraph_id": para, "id": F.concat(F.lit("p"), para, F.lit("-s"), letter), "text": said, "samples": F.when(key % 6 != 1, 10 + key % 5)})
+    return audio.longest_pauses(s, rate=100).select("book_id", "event_id", "pause_ms", "boundary", "end_sample")
+
+
+@query(
+    """SELECT c_nationkey AS voice, CAST(sum((2000 + c_custkey % 7 * 500 - 1024) // 512 + 1) AS BIGINT) AS n_frames, round(8000.0::DOUBLE / (20 + c_nationkey), 9) AS f0_hz FROM customer GROUP BY c_nationkey"""
+)
+def voice_pitches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A recording for each customer, a tone and its octave at a pitch of their nation; the median pitch of all frames."""
+    c, key = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    n = (2000 + key % 7 * 500).cast("int")
+    recordings = c.select(F.col("c_nationkey").alias("voice"), F.lit(8000).alias("rate"), (20 + F.col("c_nationkey")).cast("int").alias("period"), n.alias("n"))
+    cut = audio.frames(_tones(recordings), "voice")
+    found = audio.measured_voices(audio.frame_measures(cut, "voice"), "voice")
+    return found.select("voice", "n_frames", F.round("f0_hz", 9).alias("f0_hz"))
+
+
+def _tones(rows: DataFrame) -> DataFrame:
+    """16-bit samples of a tone with a period in samples and its octave."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for period, n in zip(batch["period"].to_pylist(), batch["n"].to_pylist()):
+                turn = 2 * np.pi * np.arange(n) / period
+                made.append((8000 * np.sin(turn) + 3000 * np.sin(2 * turn)).astype("<i2").tobytes())
+            yield pa.RecordBatch.from_arrays([batch["voice"], batch["rate"], pa.array(made, pa.binary())], names=["voice", "rate", "pcm"])
+
+    return rows.mapInArrow(run, f"voice {rows.schema['voice'].dataType.simpleString()}, rate int, pcm binary")
+
+
 @query(
     f"""WITH {_TIMELINE}, c AS (SELECT book_id, chapter, max(end_sample) / 22050.0 AS seconds FROM t GROUP BY ALL), m AS (SELECT *, CAST(floor(seconds * 1000) AS BIGINT) AS ms FROM c),
     e AS (SELECT *, sum(ms) OVER (PARTITION BY book_id ORDER BY chapter ROWS UNBOUNDED PRECEDING) AS stop FROM m)

@@ -20,8 +20,15 @@ TOLERANCE = 1e-6
 THRESHOLD = 0.5
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: The target of a link, if it names a host.
-_LINK = r"""(?is)<a\s[^>]*?href\s*=\s*["']?\s*((?:[a-z][a-z0-9+.\-]*:)?//[^\s"'>]+)"""
+#: What holds no links: comments, scripts and styles, up to the end of the page if they aren't closed.
+_SILENT = r"(?is)<!--.*?(?:-->|\z)|<(script|style)(?=[\s/>]).*?(?:</\1(?=[\s/>])|\z)"
+#: What is before an attribute, and the target of a link, if it names a host: the attributes before `href` are read one by one, with what is quoted in
+#: them. An element with more than 1,000 attributes before it is no link, for each takes some of a thread's stack.
+_BEFORE = r"""(?:[\s/]++|(?<=["']))"""
+_LINK = (
+    rf"""(?is)<a(?:{_BEFORE}(?!href\s*=)[^\s"'>/=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>]*+))?+){{0,1000}}+"""
+    rf"""{_BEFORE}href\s*+=\s*+["']?+\s*+((?:[a-z][a-z0-9+.\-]*+:)?+//[^\s"'>]++)"""
+)
 
 
 class Rule(NamedTuple):
@@ -75,30 +82,35 @@ def rank(tables: Tables, edges: DataFrame, seeds: DataFrame, damping: float = DA
     total = seeds.agg(F.sum("mass")).first()[0] or 0.0
     if not total:
         return seeds.select("host", F.lit(0.0).alias("score")).limit(0)
-    start = tables.write(seeds.where("mass > 0").select("host", (F.col("mass") / total).alias("start")), "seeds")
-    outgoing = edges.groupBy("src").agg(F.sum("w").alias("all"))
-    shares = tables.write(edges.join(sized(tables.write(outgoing, "outgoing")), "src").select("src", "dst", (F.col("w") / F.col("all")).alias("share")), "shares")
-    if not rows_of(shares):
-        return start.select("host", F.col("start").alias("score"))
-    scores = tables.write(start.select("host", F.col("start").alias("score")), "scores")
-    while True:
-        flow = shares.join(sized(scores), shares.src == scores.host).groupBy("dst").agg(F.sum(F.col("score") * F.col("share")).alias("flow"))
-        flow = tables.write(flow, "flow")
-        back = 1.0 - damping * (flow.agg(F.sum("flow")).first()[0] or 0.0)
-        after = start.join(flow, start.host == flow.dst, "full").select(
-            F.coalesce("host", "dst").alias("host"),
-            (F.coalesce("start", F.lit(0.0)) * back + F.coalesce("flow", F.lit(0.0)) * damping).alias("score"),
-        )
-        after = tables.write(after, "scores")
-        change = after.join(scores.withColumnRenamed("score", "before"), "host", "full").agg(F.sum(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("before", F.lit(0.0))))).first()[0]
-        grown, scores = rows_of(after) > rows_of(scores), after
-        if change < tolerance and not grown:
-            return scores
+    with Tables(tables.spark) as own:  # at most four of its tables exist at a time
+        start = own.write(seeds.where("mass > 0").select("host", (F.col("mass") / total).alias("start")), "seeds")
+        outgoing = own.write(edges.groupBy("src").agg(F.sum("w").alias("all")), "outgoing")
+        shares = own.write(edges.join(sized(outgoing), "src").select("src", "dst", (F.col("w") / F.col("all")).alias("share")), "shares")
+        own.drop(outgoing)
+        scores = own.write(start.select("host", F.col("start").alias("score")), "scores")
+        while rows_of(shares):
+            flow = shares.join(sized(scores), shares.src == scores.host).groupBy("dst").agg(F.sum(F.col("score") * F.col("share")).alias("flow"))
+            flow = own.write(flow, "flow")
+            back = 1.0 - damping * (flow.agg(F.sum("flow")).first()[0] or 0.0)
+            after = start.join(flow, start.host == flow.dst, "full").select(
+                F.coalesce("host", "dst").alias("host"),
+                (F.coalesce("start", F.lit(0.0)) * back + F.coalesce("flow", F.lit(0.0)) * damping).alias("score"),
+            )
+            before, scores = scores, own.write(after, "scores", rows_of(start) + rows_of(flow))
+            own.drop(flow)
+            joined = scores.join(before.withColumnRenamed("score", "before"), "host", "full")
+            change = joined.agg(F.sum(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("before", F.lit(0.0))))).first()[0]
+            grown = rows_of(scores) > rows_of(before)
+            own.drop(before)
+            if change < tolerance and not grown:
+                break
+        return tables.write(scores, "scores", rows_of(scores))
 
 
 def host_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """Links between different hosts with their number: src, dst, w. Links without a host stay on theirs and don't count."""
-    targets = pages.select(host_of(F.col(url)).alias("src"), F.explode(F.regexp_extract_all(F.col(html), F.lit(_LINK), F.lit(1))).alias("to"))
+    shown = F.regexp_replace(F.col(html), _SILENT, " ")
+    targets = pages.select(host_of(F.col(url)).alias("src"), F.explode(F.regexp_extract_all(shown, F.lit(_LINK), F.lit(1))).alias("to"))
     to = F.when(F.col("to").startswith("//"), F.concat(F.lit("http:"), F.col("to"))).otherwise(F.col("to"))
     return targets.select("src", host_of(to).alias("dst")).where("src <> '' AND dst <> '' AND src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("w"))
 
@@ -115,15 +127,16 @@ def judge(pages: DataFrame, rules: list[Rule], key: str = "page_id", url: str =
     rows = pages.select(F.col(key), host.alias("host"), path.alias("path"))
     name, verdict = best_rule(rules, F.col("host"), F.col("path"))
     rows = rows.select(key, "host", "path", name.alias("rule"), verdict.alias("ruled"))
-    hosts = tables.write(
-        rows.where("host <> ''").groupBy("host").agg(F.count(F.when(F.col("ruled") == "allow", 1)).cast("double").alias("good"), F.count(F.when(F.col("ruled") == "block", 1)).cast("double").alias("bad")),
-        "hosts",
-    )
-    edges = tables.write(host_edges(pages, url, html), "links")
-    trust = rank(tables, edges, hosts.select("host", F.col("good").alias("mass")))
-    distrust = rank(tables, edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"), hosts.select("host", F.col("bad").alias("mass")))
-    scored = hosts.select("host").join(trust.withColumnRenamed("score", "trust"), "host", "left").join(distrust.withColumnRenamed("score", "distrust"), "host", "left").fillna(0.0)
-    scored = tables.write(scored, "scored")
+    with Tables(pages.sparkSession) as own:
+        hosts = own.write(
+            rows.where("host <> ''").groupBy("host").agg(F.count(F.when(F.col("ruled") == "allow", 1)).cast("double").alias("good"), F.count(F.when(F.col("ruled") == "block", 1)).cast("double").alias("bad")),
+            "hosts",
+        )
+        edges = own.write(host_edges(pages, url, html), "links")
+        trust = rank(own, edges, hosts.select("host", F.col("good").alias("mass")))
+        distrust = rank(own, edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"), hosts.select("host", F.col("bad").alias("mass")))
+        scored = hosts.select("host").join(trust.withColumnRenamed("score", "trust"), "host", "left").join(distrust.withColumnRenamed("score", "distrust"), "host", "left").fillna(0.0)
+        scored = tables.write(scored, "scored", rows_of(hosts))
     suspect = F.coalesce(F.col("distrust") > threshold * (F.col("trust") + F.col("distrust")), F.lit(False))
     return rows.join(sized(scored), "host", "left").select(
         key, "host", "path", "rule",

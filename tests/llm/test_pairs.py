@@ -441,6 +441,48 @@ def test_distrust_reaches_hosts_that_link_to_blocked_ones(shared):
     assert got[2].distrust > 0 and got[4].trust > 0 and got[5].trust > 0 and got[6].trust == got[6].distrust == 0
 
 
+def test_links_are_read_as_browsers_do(shared):
+    cases = {
+        '<a data-href="http://bad.com/x" href="/own">': [], '<a title="a>b" href="http://one.com/p">': ["one.com"], "<!-- <a href='http://bad.com/'> --><a\nclass=x href='//Two.org'>": ["two.org"],
+        "<script>'<a href=http://bad.com/>'</script><a href=http://three.com/x?y>": ["three.com"], '<a title="href=http://bad.com/" href = "https://four.com">': ["four.com"],
+        '<A ID="x"HREF="http://five.com/"><abbr href="http://bad.com/">': ["five.com"], "<style><a href=http://bad.com></style><a/href=http://six.com>": ["six.com"], "<a href='mailto:x@bad.com'><a href=''><a href>": [],
+        "<a " + "x=1 " * 900 + "href=http://seven.com>": ["seven.com"], "<!-- open <a href=http://bad.com>": [], "<a title='\"' href=\"http://eight.com/'\">": ["eight.com"], None: [],
+    }
+    df = shared.createDataFrame([(f"http://h{i}.net/", x) for i, x in enumerate(cases)], "url string, html string")
+    got = {r.src: r.dst for r in url_filters.host_edges(df).collect()}
+    assert got == {f"h{i}.net": to[0] for i, to in enumerate(cases.values()) if to}
+    plan = url_filters.host_edges(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_verdicts_equal_a_plain_version_and_tables_go(shared, monkeypatch):
+    rng = random.Random(6)
+    hosts = [f"h{i}.{'com' if i % 3 else 'net'}" for i in range(14)] + ["lonely.org"]
+    rows = [(i, f"http://{rng.choice(hosts)}/{rng.choice(['en/', 'de/', 'x'])}{i}", "".join(f'<a href="//{rng.choice(hosts[:14])}/">' for _ in range(rng.randrange(4)))) for i in range(60)]
+    rules = [url_filters.Rule("block", "com", "/en/"), url_filters.Rule("allow", "net", "/de/")]
+    most, write = [], Tables.write
+    monkeypatch.setattr(Tables, "write", lambda self, df, name, n=None: (most.append(len(self.paths) + 1), write(self, df, name, n))[1] if name in ("seeds", "outgoing", "shares", "flow") else write(self, df, name, n))
+    got = {r.page_id: r for r in url_filters.judge(shared.createDataFrame(rows, PAGES), rules).collect()}
+    assert max(most) <= 4
+    host = lambda url: url.split("/")[2]
+    ruled = {i: "block" if host(u).endswith(".com") and "/en/" in u else "allow" if host(u).endswith(".net") and "/de/" in u else None for i, u, _ in rows}
+    links = {}
+    for _, u, page in rows:
+        for to in re.findall("//([^/]+)/", page):
+            if to != host(u):
+                links[host(u), to] = links.get((host(u), to), 0.0) + 1
+    seeds = {v: {} for v in ("allow", "block")}
+    for i, u, _ in rows:
+        if ruled[i]:
+            seeds[ruled[i]][host(u)] = seeds[ruled[i]].get(host(u), 0.0) + 1
+    trust = plain_rank([(a, b, w) for (a, b), w in links.items()], seeds["allow"])
+    distrust = plain_rank([(b, a, w) for (a, b), w in links.items()], seeds["block"])
+    for i, u, _ in rows:
+        t, d = trust.get(host(u), 0.0), distrust.get(host(u), 0.0)
+        assert abs(got[i].trust - t) < 1e-5 and abs(got[i].distrust - d) < 1e-5
+        assert got[i].verdict == (ruled[i] or ("block" if d > t else "allow")), (u, t, d)
+
+
 TURNS = "conv_id long, turn long, role string, text string"
 
 

@@ -39,6 +39,16 @@ def tokenizer(path: str) -> Tokenizer:
     return Tokenizer.from_file(path)
 
 
+class Pretokens:
+    """The pre-tokens of texts in any script: by a pattern where all characters are ones on whose class every Unicode version agrees, else by the library."""
+
+    def __init__(self, path: str):
+        self.plain, self.other = plain_pattern().findall, tokenizer(path).pre_tokenizer.pre_tokenize_str
+
+    def __call__(self, x: str) -> list[str]:
+        return self.plain(x) if is_plain(x) else [x[a:b] for _, (a, b) in self.other(x)]
+
+
 def trimmed(counts: Counter, entries: int) -> Counter:
     """The heaviest entries, less the weight of the heaviest one left out, as mergeable summaries need."""
     if len(counts) <= entries:
@@ -56,15 +66,15 @@ def _unpack(blob: bytes) -> dict:
     return dict(pickle.loads(zlib.decompress(blob)))
 
 
-def frequent_pretokens(df: DataFrame, text: str = "text", entries: int = TABLE_ENTRIES) -> list[str]:
+def frequent_pretokens(df: DataFrame, path: str, text: str = "text", entries: int = TABLE_ENTRIES) -> list[str]:
     """At most `entries` pre-tokens of the whole column, those over 1/entries of all certainly among them."""
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, counts = plain_pattern().findall, Counter()
+        split, counts = Pretokens(path), Counter()
         for whole in batches:
             for batch in _slices(whole, text):
                 for x in batch[text].to_pylist():
-                    if x and is_plain(x):
+                    if x:
                         counts.update(split(x))
                 if len(counts) > 8 * entries:
                     counts = trimmed(counts, entries)
@@ -130,30 +140,38 @@ def _lengths(path: str, blob: bytes) -> _Lengths:
     return _own[key]
 
 
+class Counts:
+    """Token counts of texts, as the library gives them. Only texts with special strings are encoded whole, `whole` of them so far."""
+
+    def __init__(self, path: str, lengths: dict[str, int]):
+        with open(path, encoding="utf-8") as f:
+            self.special = [x["content"] for x in json.load(f)["added_tokens"]]
+        self.lengths, self.split, self.encode, self.whole = lengths, Pretokens(path), tokenizer(path).encode, 0
+
+    def __call__(self, x: str) -> int:
+        if any(s in x for s in self.special):
+            self.whole += 1
+            return len(self.encode(x, add_special_tokens=False).ids)
+        return sum(map(self.lengths.__getitem__, self.split(x)))
+
+
 def count_tokens(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", limit: int = 1024, entries: int = TABLE_ENTRIES) -> DataFrame:
     """Rows (key, n_bytes, n_tokens, over_limit) for every whole text, as the tokenizer file counts them.
 
     Null and empty texts have no bytes and no tokens. Special strings in a text are
-    cut out first and count as the library counts them. A text with characters
-    whose class differs between Unicode versions is encoded whole by the library.
+    cut out first and count as the library counts them. Null keys and repeated rows have a row each; an empty table
+    gives none; other columns are not read. Executors need the tokenizer file at the same path.
     """
     spark = df.sparkSession
-    table = spark.sparkContext.broadcast(pack_table(path, frequent_pretokens(df, text, entries)))
-    with open(path, encoding="utf-8") as f:
-        special = [x["content"] for x in json.load(f)["added_tokens"]]
+    table = spark.sparkContext.broadcast(pack_table(path, frequent_pretokens(df, path, text, entries)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, split, whole_text = _lengths(path, table.value), plain_pattern().findall, tokenizer(path).encode
+        count = Counts(path, _lengths(path, table.value))
         for whole in batches:
             for batch in _slices(whole, text):
-                sizes, counts = [], []
-                for x in batch[text].to_pylist():
-                    x = x or ""
-                    sizes.append(len(x) if x.isascii() else len(x.encode()))
-                    if not is_plain(x) or any(s in x for s in special):
-                        counts.append(len(whole_text(x, add_special_tokens=False).ids))
-                    else:
-                        counts.append(sum(map(known.__getitem__, split(x))))
+                texts = [x or "" for x in batch[text].to_pylist()]
+                sizes = [len(x) if x.isascii() else len(x.encode()) for x in texts]
+                counts = list(map(count, texts))
                 yield pa.RecordBatch.from_arrays([batch[key], pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_())], names=[key, "n_bytes", "n_tokens", "over_limit"])
 
     kind = df.schema[key].dataType.simpleString()

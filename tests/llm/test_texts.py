@@ -50,9 +50,24 @@ def test_token_counts_of_an_empty_table(documents):
     assert token_counts.count_tokens(documents(), JSON).count() == 0
 
 
+def test_all_scripts_go_through_both_tiers():
+    library = Tokenizer.from_file(JSON)
+    texts_ = ["a — dash, “curly” quotes…", "漢字かな交じり文です。", "Привет, мир! 123", "😀 emoji 👩‍👩‍👧 end", "नमस्ते दुनिया", "x\u2003y\u3000z  \n", *texts(PIECES + ODD, 200, 9)]
+    table = token_counts.pack_table(JSON, sorted({p for x in texts_ for p in token_counts.Pretokens(JSON)(x)})[::2])
+    count = token_counts.Counts(JSON, token_counts._lengths(JSON, table))
+    assert [count(x) for x in texts_] == [len(library.encode(x, add_special_tokens=False).ids) for x in texts_] and count.whole == 0
+    assert count("a <|endoftext|> b") == len(library.encode("a <|endoftext|> b", add_special_tokens=False).ids) and count.whole == 1
+    assert all("".join(token_counts.Pretokens(JSON)(x)) == x for x in texts_)
+
+
+def test_token_counts_of_null_keys_repeated_rows_and_clashing_columns(documents):
+    df = documents((None, "a b"), (3, "a b"), (3, "a b"), (4, None)).withColumn("n_tokens", F.lit("x"))
+    assert sorted(((r.doc_id, r.n_tokens) for r in token_counts.count_tokens(df, JSON).collect()), key=str) == [(3, 2), (3, 2), (4, 0), (None, 2)]
+
+
 def test_frequent_pretokens_are_found_over_many_parts(documents):
     df = documents(*[f"common words {i} x{i}" for i in range(200)]).repartition(7)
-    assert {"common", " words"} <= set(token_counts.frequent_pretokens(df, entries=20))
+    assert {"common", " words"} <= set(token_counts.frequent_pretokens(df, JSON, entries=20))
 
 
 def test_encoding_equals_tiktoken(documents):

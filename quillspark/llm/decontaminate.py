@@ -72,18 +72,22 @@ class Segment:
         return np.zeros(0, np.int64) if found is None else found
 
     def near(self, begin: np.ndarray, end: np.ndarray, slack: int) -> np.ndarray:
-        """Positions of the rarest term around which all terms lie within the window's width and `slack` more, in any order."""
-        reach = min(len(begin) - 1 + slack, GAP - 1)
-        order = np.argsort(end - begin, kind="stable")
-        found = self.postings[begin[order[0]] : end[order[0]]].astype(np.int64)
-        for i in order[1:]:
-            own = self.postings[begin[i] : end[i]].astype(np.int64)
-            if not len(found) or not len(own):
-                return np.zeros(0, np.int64)
-            right = np.minimum(np.searchsorted(own, found), len(own) - 1)
-            left = np.maximum(right - 1, 0)
-            found = found[np.minimum(np.abs(own[right] - found), np.abs(own[left] - found)) <= reach]
-        return found
+        """Where spans of the window's width and `slack` more begin that hold all its terms, in any order and as often as the window; each begins with one of them.
+
+        From the rarest term on, of the places that are left those stay from which a term comes often enough before the span ends.
+        """
+        width = len(begin) + slack
+        own, times = np.unique(np.stack((begin, end), axis=1), axis=0, return_counts=True)  # a term's postings are its name
+        order = np.argsort(own[:, 1] - own[:, 0], kind="stable")
+        rarest = self.postings[own[order[0], 0] : own[order[0], 1]].astype(np.int64)
+        places = np.unique(np.concatenate([self.postings[a:b].astype(np.int64) for a, b in own]))
+        at = np.searchsorted(rarest, places)
+        places = places[(at < len(rarest)) & (rarest[np.minimum(at, len(rarest) - 1)] < places + width)] if len(rarest) else places[:0]
+        for k in order:
+            these = self.postings[own[k, 0] : own[k, 1]].astype(np.int64)
+            last = np.searchsorted(these, places) + times[k] - 1
+            places = places[(last < len(these)) & (these[np.minimum(last, len(these) - 1)] < places + width)] if len(these) else places[:0]
+        return places
 
     def document(self, positions: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.first, positions, side="right") - 1
@@ -205,9 +209,8 @@ def matches(segment: Segment, block: tuple[list[str], np.ndarray, np.ndarray], w
 def search(index: DataFrame, blocks: list[str], key: str = "doc_id", key_type: str = "long", width: int = WINDOW, slack: int | None = None) -> DataFrame:
     """Rows (key, n_words, n_hit, items) for every indexed document: words inside any occurrence, and the items that occur, ascending as text.
 
-    With `slack` also `near`, the proximity matches: items and the ascending places, from 0
-    in the document, of the term of one of their windows that is rarest in the segment, with all
-    other terms of the window within its width and `slack` more around it (see `Segment.near`).
+    With `slack` also `near`, the proximity matches: items and the ascending places, from 0 in the document, where spans of
+    the width of one of their windows and `slack` more begin that hold all its terms (see `Segment.near`).
     """
     if slack is not None and not 0 <= slack < GAP - width + 1:
         raise ValueError(f"slack must be from 0 to {GAP - width}, or places reach into other documents")

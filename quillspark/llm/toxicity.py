@@ -162,7 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """Fit on a bounded sample of labelled rows that aren't held out.
 
     Rows with a null key or label count nowhere; a key with several labels has the
-    largest. Evidence are features that go with the label by a signed chi-square of
+    largest, and of rows with equal keys the one whose text comes first is learnt from. Evidence are features that go with the label by a signed chi-square of
     the 2 x 2 table over the sample; only they and the sentences they are in come to
     the driver, so the bound on the sample bounds everything here. Without labels of
     both kinds there is no evidence.
@@ -170,7 +170,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     tables = tables or Tables(docs.sparkSession)
     known = labels.where(F.col(key).isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col(key))).groupBy(key).agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = tables.write(known.orderBy(F.xxhash64(key), key).limit(rows), "chosen")
-    sample = tables.write(docs.select(key, text).join(F.broadcast(chosen), key).select("toxic", text), "sample")
+    sample = tables.write(docs.select(key, text).join(F.broadcast(chosen), key).groupBy(key, "toxic").agg(F.min(text).alias(text)).select("toxic", text), "sample", rows)
     total, positive = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     frequent = _counted(sample.where("toxic = 1"), text).where(F.col("a") >= LEAST_TEXTS).select("feature").collect()
     candidates = np.sort(np.array([r[0] for r in frequent], dtype=np.int64).view(np.uint64))

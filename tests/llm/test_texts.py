@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -15,6 +16,7 @@ from tokenizers import Tokenizer
 
 from quillspark.llm import byte_bpe, decontaminate, media, token_counts, toxicity
 from quillspark.llm.pretokens import full_pattern, is_plain, plain_pattern
+from quillspark.llm.words import word_hashes
 
 JSON, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 PIECES = ["a", "'s", "'", "é", " ", "\n", "\t", "  ", "1", "\x1c", "\x85", "ß", "'LL", "'ll", " '", ".", "²", "\xa0", "\x1f", "The", "Ł"]
@@ -251,8 +253,8 @@ def test_search_returns_proximity_matches_beside_exact_ones(shared, documents):
     blocks, vocabulary = decontaminate.write_windows(items)
     index = decontaminate.write_index(docs.coalesce(1), vocabulary=vocabulary)
     got = {r.doc_id: (r.n_hit, r["items"], {(n["item"], n["at"]) for n in r.near}) for r in decontaminate.search(index, blocks, slack=1).collect()}
-    # fox and red are equally rare in the segment, so the places of the item's first term count
-    assert got == {0: (2, ["2"], {("1", 3), ("2", 4)}), 1: (2, ["1"], {("1", 1), ("1", 5)}), 2: (0, [], set()), 3: (0, [], set()), 4: (0, [], set())}
+    # the places where spans of three words begin that hold both
+    assert got == {0: (2, ["2"], {("1", 1), ("2", 4)}), 1: (2, ["1"], {("1", 1), ("1", 4)}), 2: (0, [], set()), 3: (0, [], set()), 4: (0, [], set())}
     exact = decontaminate.search(index, blocks)
     assert exact.columns == ["doc_id", "n_words", "n_hit", "items"] and {r.doc_id: (r.n_hit, r["items"]) for r in exact.collect()} == {k: v[:2] for k, v in got.items()}
     with pytest.raises(ValueError):
@@ -265,3 +267,76 @@ def test_proximity_and_full_index():
     query = lambda x, **k: [(w, index.document(p).tolist()) for _, w, p in decontaminate.matches(index, (["q"], *(lambda t: (t[1], t[0]))(decontaminate.terms_of(pa.array([x])))), **k)]
     assert query("red fox") == [] and query("red old fox") == [(3, [0])]
     assert query("fox red", slack=1) == [(2, [0, 1])] and query("ran fox the", slack=0) == []
+
+
+def test_proximity_equals_a_plain_search():
+    rng = random.Random(12)
+    for _ in range(60):
+        texts_ = [" ".join(rng.choice("abcdef") for _ in range(rng.randrange(30))) for _ in range(4)]
+        window, slack = [rng.choice("abcdefg" if rng.random() < 0.1 else "abcdef") for _ in range(rng.randrange(1, 6))], rng.randrange(4)
+        hashes, counts = decontaminate.terms_of(pa.array(texts_))
+        index = decontaminate.Segment.build(hashes, counts)
+        begin, end = index.find(decontaminate.terms_of(pa.array([" ".join(window)]))[0])
+        want = []
+        for d, x in enumerate(texts_):
+            ws = x.split()
+            for i, w in enumerate(ws):
+                span = ws[i : i + len(window) + slack]
+                if w in window and all(span.count(t) >= window.count(t) for t in window):
+                    want.append(int(index.first[d]) + i)
+        assert index.near(begin, end, slack).tolist() == want, (texts_, window, slack)
+
+
+def plain_features(text):
+    """For each sentence with words: its features, and where each of them begins."""
+    out = []
+    for part in re.split(b"[\n!.?]", text.encode()):
+        words_ = [w.lower() for w in re.findall(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", part)]
+        out.append([f for w in words_ for f in [(0, w)] + [(i, w[:k]) for i, k in enumerate(toxicity.PREFIXES, 1) if len(w) > k]])
+    return [s for s in out if s]
+
+
+def feature_hash(feature):
+    kind, raw = feature
+    buffer = np.frombuffer(raw, np.uint8)
+    return int(word_hashes(buffer, np.array([0]), np.array([len(raw)]))[0]) ^ kind
+
+
+def test_toxicity_equals_a_plain_noisy_or(shared, documents):
+    rows = labelled(300, 8) + [(1000 + i, x, y) for i, (_, x, y) in enumerate(labelled(40, 9))]
+    df = documents(*[(i, x) for i, x, _ in rows], *[(7, "zzz repeated row")] * 5)
+    labels = shared.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int")
+    model = toxicity.train(df, labels)
+    learnt = [(x, y) for i, x, y in rows if zlib.crc32(str(i).encode()) % 5]
+    n, positive = len(learnt), sum(y for _, y in learnt)
+    seen, toxic = Counter(), Counter()
+    for x, y in learnt:
+        own = {f for s in plain_features(x) for f in s}
+        seen.update(own)
+        toxic.update(own if y else ())
+    evidence = set()
+    for f, a in toxic.items():
+        b, c = seen[f] - a, positive - a
+        d = n - positive - b
+        lead = a * d - b * c
+        if a >= toxicity.LEAST_TEXTS and lead > 0 and (c + d == 0 or n * lead * lead / (seen[f] * (c + d) * (a + c) * (b + d)) >= toxicity.LEAST_CHI2):
+            evidence.add(feature_hash(f))
+    assert set(model.words.tolist()) == evidence and len(evidence) > 5
+    weight = dict(zip(model.words.tolist(), model.weights.tolist()))
+    got = {r.doc_id: r.score for r in toxicity.score(df.where("doc_id <> 7"), model).collect()}
+    for i, x, _ in rows:
+        clean = 1.0
+        for sentence in plain_features(x):
+            own = [weight[h] for h in map(feature_hash, sentence) if h in weight]
+            clean *= 1 - 1 / (1 + np.exp(-(sum(own) + model.bias))) if own else 1
+        assert i == 7 or abs(got[i] - (1 - clean)) < 1e-9
+
+
+def test_repeated_keys_leave_the_sample_bounded(shared, documents, monkeypatch):
+    df = documents(*[(i % 3, f"text {i} you fool") for i in range(400)])
+    labels = shared.createDataFrame([(i, 1, i % 2) for i in range(3)], "doc_id long, quality int, toxic int")
+    sizes, write = [], toxicity.Tables.write
+    monkeypatch.setattr(toxicity.Tables, "write", lambda self, df, name, most=None: (out := write(self, df, name, most), sizes.append((name, out._rows_written)))[0])
+    toxicity.train(df, labels, rows=2)
+    assert dict(sizes)["sample"] <= 2
+    assert toxicity.judge(documents(), labels).collect() == []

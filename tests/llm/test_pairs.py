@@ -8,6 +8,7 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quillspark.llm import prefix_join, quotations, url_filters, warc, wrappers
@@ -515,6 +516,85 @@ def test_quotations_without_quotes_or_rows(shared):
     assert quotations.link(shared.createDataFrame([], TURNS)).count() == 0
 
 
+def plain_link(rows):
+    """Rows (turn, own_text, n_passages, n_linked, max_level, parent_turn, position) of one conversation, in order of turns."""
+    marks, intro = re.compile(r"^[ \t]*((?:>[ \t]?)*)"), re.compile(r"\n?[^\n]*(wrote|schrieb|a écrit|escribió)[ \t]*:[ \t]*$", re.I)
+    split = lambda t: list(dict.fromkeys(x for p in re.split(r"(?<=[.!?])\s+|\n\s*\n", t.lower()) if (x := re.sub(r"[^\w]+|_+", " ", p).strip())))
+    said, out = [], []
+    for seq, (turn, text) in enumerate(rows):
+        found = []
+        for line in (text or "").split("\n"):
+            level = marks.match(line)[1].count(">")
+            line = line[marks.match(line).end() :] if level else line
+            if found and found[-1][0] == level:
+                found[-1][1] += "\n" + line
+            else:
+                found.append([level, line])
+        own = "\n".join(intro.sub("", t) if len(found) > 1 else t for lv, t in found if not lv or len(found) == 1).strip()
+        own = own if len(found) > 1 or not found[0][0] else ""
+        if len(found) == 1:
+            own = found[0][1].strip()  # a message that only quotes keeps its text
+        quoted = [p for p in found if p[0]]
+        links = [(lv, k, o, len(x)) for k, (lv, t) in enumerate(quoted) for x in split(t) if (o := max((j for j in range(seq) if x in said[j]), default=None)) is not None]
+        parent = seq - 1 if seq else None
+        if links:
+            outer = min(lv for lv, *_ in links)
+            votes = {}
+            for lv, _, o, n in links:
+                if lv == outer:
+                    votes[o] = votes.get(o, 0) + n
+            parent = max(votes, key=lambda o: (votes[o], o))
+        said.append(split(own))
+        out.append([turn, own, len(quoted), len({k for _, k, *_ in links}), max([lv for lv, _ in quoted], default=0), parent])
+    replies = {}
+    for seq, r in enumerate(out):
+        replies.setdefault(r[5], []).append(seq)
+    order = []
+
+    def walk(seq):
+        run = [seq]
+        while run[-1] + 1 in replies.get(run[-1], []):
+            run.append(run[-1] + 1)
+        order.extend(run)
+        for s in reversed(run):
+            for other in replies.get(s, []):
+                if other != s + 1:
+                    walk(other)
+
+    walk(0)
+    place = {s: i for i, s in enumerate(order)}
+    return [(*r[:5], None if r[5] is None else rows[r[5]][0], place[s]) for s, r in enumerate(out)]
+
+
+def test_quotations_of_random_threads_equal_a_plain_version(shared):
+    rng, threads = random.Random(21), {}
+    for conv in range(25):
+        rows = []
+        for turn in range(rng.randrange(1, 12)):
+            lines = [f"Word {rng.randrange(6)} is here. And {conv % 3} {rng.randrange(9)} more!" for _ in range(rng.randrange(1, 3))]
+            for _ in range(rng.randrange(3) if rows else 0):
+                source = rng.choice(rows)[1].split("\n")
+                at = rng.randrange(len(source))
+                quote = [(">" if x.startswith(">") else "> ") + x for x in source[at : at + 3]]
+                lines[rng.randrange(len(lines) + 1) : 0] = (["On Monday Ann wrote:"] if rng.random() < 0.4 else []) + quote
+            rows.append((turn * 2, "\n".join(lines)))
+        threads[conv] = rows
+    df = shared.createDataFrame([(c, t, "user", x) for c, rows in threads.items() for t, x in rows], TURNS).withColumn("position", F.lit("clash")).repartition(5)
+    got = {}
+    for r in quotations.link(df).orderBy("conv_id", "turn").collect():
+        got.setdefault(r.conv_id, []).append((r.turn, r.own_text, r.n_passages, r.n_linked, r.max_level, r.parent_turn, r.position))
+    for conv, rows in threads.items():
+        assert got[conv] == plain_link(rows), rows
+    assert sum(r[3] for rows in got.values() for r in rows) > 20
+
+
+def test_long_messages_are_cut_in_linear_time(shared):
+    text = "\n".join(("> " * (i % 4)) + f"line {i}." for i in range(20_000))
+    began = time.perf_counter()
+    rows = quotations.link(shared.createDataFrame([(1, 0, "user", "line 1."), (1, 1, "user", text)], TURNS)).orderBy("turn").collect()
+    assert rows[1].n_passages == 15_000 and rows[1].n_linked == 1 and rows[1].own_text.count("\n") == 4_999 and time.perf_counter() - began < 60
+
+
 def test_quotation_operator_is_native(shared):
     plan = quotations.link(shared.createDataFrame([(1, 0, "u", "> a\nb")], TURNS))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))

@@ -293,6 +293,21 @@ def html_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markup.simple_paragraphs(table(spark, sf_dir, "pages"), "page_id").withColumn("para_idx", F.col("para_idx").cast("long"))
 
 
+@query(
+    """WITH l AS (SELECT doc_id, i - 1 AS i, regexp_replace(lines[i], '^\\s+|\\s+$', '', 'g') AS x FROM (SELECT doc_id, string_split(text, chr(10)) AS lines, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents))
+    SELECT doc_id, CAST(i AS INTEGER) AS para_idx, 'Part ' || doc_id || ' & more' AS title, CASE WHEN x = '' THEN '' ELSE x || ' ' END || 'inline' AS text, 'Part' || doc_id || '& more' AS exact_title, CASE WHEN x = '' THEN '' ELSE x || ' ' END || 'in line' AS exact_text FROM l"""
+)
+def html_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as pages with markup inside titles and paragraphs, unclosed elements, entities, and scripts; read in both ways."""
+    d, key = table(spark, sf_dir, "documents"), F.col("doc_id")
+    escaped = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&#62;"))
+    parts = F.transform(F.split(escaped, "\n"), lambda x: F.concat(F.lit("<P class='a>b'>"), x, F.lit(" <i>in</i>line"), F.when(F.length(x) % 2 == 0, "</p>").otherwise("")))
+    head = F.concat(F.lit("<head><title>no</title></head><body><script>'<p>no</p>'</script><div><h2>Part <b>"), key.cast("string"), F.lit("</b>&amp; more</h2>"))
+    pages = d.select("doc_id", F.concat(F.lit("<!doctype html><html>"), head, F.array_join(parts, ""), F.lit("</div><h3>later</h3></body>")).alias("html"))
+    one, two = markup.html_paragraphs(pages, "doc_id"), markup.html_paragraphs(pages, "doc_id", exact=True)
+    return one.join(two.select("doc_id", "para_idx", F.col("title").alias("exact_title"), F.col("text").alias("exact_text")), ["doc_id", "para_idx"])
+
+
 @query()
 def html_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A4b with a parser."""

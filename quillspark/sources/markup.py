@@ -87,16 +87,16 @@ def read_html(text: str, exact: bool = False) -> tuple[str, list[str]]:
     return reader.finish(exact)
 
 
-def html_paragraphs(pages: DataFrame, *keys: str, html: str = "html") -> DataFrame:
-    """Rows (keys, title, para_idx, text) of every page, whatever its markup."""
+def html_paragraphs(pages: DataFrame, *keys: str, html: str = "html", exact: bool = False) -> DataFrame:
+    """Rows (keys, title, para_idx, text) of every page, whatever its markup; `exact` as older output has them (see `_Reader.finish`)."""
     kinds = ", ".join(f"`{k}` {pages.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             out = []
             for *key, page in rows[[*keys, html]].itertuples(index=False):
-                title, found = read_html(page or "")
-                out += [(*key, title, i, p) for i, p in enumerate(found)]
+                title, found = read_html(page or "", exact)
+                out += [(*key, title, i, p) for i, p in enumerate(found) if p]
             yield pd.DataFrame(out, columns=[*keys, "title", "para_idx", "text"])
 
     return pages.select(*keys, html).mapInPandas(run, f"{kinds}, title string, para_idx int, text string")

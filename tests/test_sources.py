@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark import schema
+from quillspark.config import Settings, read_settings
 from quillspark.sources import book_format, books, markup
 from quillspark.sources.book_files import write_book_files
 from quillspark.sources.book_format import BookReader, read_raw, text_rows
@@ -199,3 +200,21 @@ def test_scans_read_one_bucket_and_old_files(spark, tmp_path):
     spark.createDataFrame([("old", "s0", 1)], "book_id string, id string, chapter int").write.mode("append").parquet(f"{path}/{next(iter(folder.values()))}")
     assert [(r.id, r.status, r.retry_count) for r in resume.scan(spark, path, ids=["s0"]).collect()] == [("s0", "pending", 0)]
     assert resume.scan(spark, str(tmp_path / "none"), "7").count() == 0
+
+
+def test_settings_have_defaults_and_layers(spark, tmp_path):
+    assert read_settings() == read_settings(str(tmp_path / "none.toml")) == Settings()
+    path = tmp_path / "settings.toml"
+    path.write_text('review_threshold = 0.9\nmodel_retries = "many"\n[narrator]\nother = "v7"\n[pauses]\nsentence = 250\n')
+    got = read_settings(str(path))
+    assert got == Settings(review_threshold=0.9, narrator={"fake": "narrator", "other": "v7"}, pauses={"sentence": 250})
+    spark.conf.set("quillspark.review_threshold", "0.5")
+    spark.conf.set("quillspark.narrator.fake", "v1")
+    try:
+        got = read_settings(str(path), spark)
+        assert got.review_threshold == 0.5 and got.narrator == {"fake": "v1", "other": "v7"}
+    finally:
+        spark.conf.unset("quillspark.review_threshold")
+        spark.conf.unset("quillspark.narrator.fake")
+    path.write_text("not = [toml")
+    assert read_settings(str(path)) == Settings()

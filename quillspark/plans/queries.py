@@ -295,7 +295,7 @@ def html_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH l AS (SELECT doc_id, i - 1 AS i, regexp_replace(lines[i], '^\\s+|\\s+$', '', 'g') AS x FROM (SELECT doc_id, string_split(text, chr(10)) AS lines, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents))
-    SELECT doc_id, CAST(i AS INTEGER) AS para_idx, 'Part ' || doc_id || ' & more' AS title, CASE WHEN x = '' THEN '' ELSE x || ' ' END || 'inline' AS text, 'Part' || doc_id || '& more' AS exact_title, CASE WHEN x = '' THEN '' ELSE x || ' ' END || 'in line' AS exact_text FROM l"""
+    SELECT doc_id, CAST(i AS INTEGER) AS para_idx, 'Part ' || doc_id || '& more' AS title, CASE WHEN x = '' THEN '' ELSE x || ' ' END || 'inline' AS text, 'Part' || doc_id || '& more' AS exact_title, CASE WHEN x = '' THEN '' ELSE x || ' ' END || 'in line' AS exact_text FROM l"""
 )
 def html_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as pages with markup inside titles and paragraphs, unclosed elements, entities, and scripts; read in both ways."""

@@ -303,7 +303,7 @@ def html_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     escaped = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&#62;"))
     parts = F.transform(F.split(escaped, "\n"), lambda x: F.concat(F.lit("<P class='a>b'>"), x, F.lit(" <i>in</i>line"), F.when(F.length(x) % 2 == 0, "</p>").otherwise("")))
     head = F.concat(F.lit("<head><title>no</title></head><body><script>'<p>no</p>'</script><div><h2>Part <b>"), key.cast("string"), F.lit("</b>&amp; more</h2>"))
-    pages = d.select("doc_id", F.concat(F.lit("<!doctype html><html>"), head, F.array_join(parts, ""), F.lit("</div><h3>later</h3></body>")).alias("html"))
+    pages = d.select("doc_id", F.concat(F.lit("<!doctype html><html>"), head, F.array_join(parts, ""), F.lit("</p></div><h3>later</h3></body>")).alias("html"))
     one, two = markup.html_paragraphs(pages, "doc_id"), markup.html_paragraphs(pages, "doc_id", exact=True)
     return one.join(two.select("doc_id", "para_idx", F.col("title").alias("exact_title"), F.col("text").alias("exact_text")), ["doc_id", "para_idx"])
 

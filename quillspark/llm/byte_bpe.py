@@ -22,7 +22,7 @@ from tokenizers import Tokenizer, models
 from .pretokens import full_pattern, is_plain, plain_pattern
 
 #: Pre-tokens that a worker keeps with their ids.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 200_000
 
 
 def byte_characters() -> list[str]:
@@ -159,6 +159,7 @@ def encode(df: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, t
                 if offsets:
                     columns.append(_lists([own.offsets(x) for x in found], pa.int64()))
                 yield pa.RecordBatch.from_arrays(columns, names=[*kept, *extra])
+        own.cache.clear()  # workers live on, with other operators beside them
 
     schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept] + [f"`{c}` {t}" for c, t in extra.items()])
     return df.mapInArrow(run, schema)
@@ -203,6 +204,7 @@ def round_trip(df: DataFrame, path: str, pattern: str = public_tokenizers.PATTER
                     raw_hash.append(hashlib.sha256(raw).hexdigest())
                     same.append(raw == (x or "").encode())
                 yield pa.RecordBatch.from_arrays([batch[key], pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(raw_hash, pa.string()), pa.array(same, pa.bool_())], names=[key, "n_tokens", "ids_sha256", "decoded_sha256", "lossless"])
+        own.cache.clear()  # workers live on, with other operators beside them
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, lossless boolean")

@@ -600,6 +600,28 @@ def test_quotation_operator_is_native(shared):
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
 
 
+def test_pipeline_over_empty_tables_and_null_rows(shared, tmp_path):
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    labels, items = "doc_id long, quality int, toxic int", "item_id long, text string"
+    for name, rows, kind in (("labels", [], labels), ("benchmark", [], items), ("documents", [], kinds)):
+        shared.createDataFrame(rows, kind).write.parquet(f"{tmp_path}/none/{name}.parquet")
+    assert corpus_pipeline.run(shared, f"{tmp_path}/none").collect() == []
+    rows = [(None, "no id", None, None, None), (None, "no id", None, None, None), (1, None, "en", "s", 0), (2, "", None, "s", 0), (3, "x y", "en", None, 3), (3, "x y", "en", None, 3)]
+    for name, own, kind in (("labels", [], labels), ("benchmark", [(1, None)], items), ("documents", rows, kinds)):
+        shared.createDataFrame(own, kind).write.parquet(f"{tmp_path}/odd/{name}.parquet")
+    got = sorted((r.doc_id for r in corpus_pipeline.run(shared, f"{tmp_path}/odd").collect()), key=str)
+    assert got == [1, 2, 3, None, None]  # rows with equal ids are one document, those without an id each its own
+
+
+def test_extra_columns_with_clashing_names(shared):
+    rows = [(i, f"http://h.net/{i}", f"<body><p>text {i}</p></body>", "x", 1, "y") for i in range(3)]
+    df = shared.createDataFrame(rows, "page_id long, url string, html string, host string, n_chars int, text string")
+    assert sorted(r.text for r in wrappers.extract(df).collect()) == ["text 0", "text 1", "text 2"]
+    assert sorted(r.host for r in url_filters.judge(df, RULES).collect()) == ["h.net"] * 3
+    archive = warc.archive(shared, df.withColumn("payload_digest", F.lit(0)).withColumn("record_type", F.lit(0)))
+    assert [r.record_type for r in archive.collect()] == ["response"] * 3
+
+
 def test_pipeline_keeps_clean_documents(shared, tmp_path):
     rng = random.Random(9)
     text = lambda n: " ".join(f"w{rng.randrange(3000)}" for _ in range(n))

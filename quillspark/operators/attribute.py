@@ -137,8 +137,12 @@ def attribution_stats(segments: DataFrame) -> DataFrame:
 
 
 def attribution_export(paragraphs: DataFrame, segments: DataFrame) -> DataFrame:
-    """A JSON text per book: its chapters, their paragraphs, and the spans of these in order."""
+    """A JSON text per book: its chapters, their paragraphs, the spans of these in order, and how many spans have no known speaker."""
     spans = segments.groupBy("book_id", F.col("paragraph_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("seg_idx", "text", "speaker", "kind", "confidence", "source", "evidence"))).alias("spans"))
     paras = paragraphs.join(spans, ["book_id", "id"], "left").groupBy("book_id", "chapter_idx", "title").agg(F.array_sort(F.collect_list(F.struct("para_idx", "id", "text", "spans"))).alias("paragraphs"))
     books = paras.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("chapter_idx", "title", "paragraphs"))).alias("chapters"))
-    return books.select("book_id", F.to_json(F.struct("book_id", "chapters")).alias("value"))
+    total, unknown = F.count(F.lit(1)), F.count_if(F.col("speaker") == "unknown")
+    stats = segments.groupBy("book_id").agg(F.struct(total.alias("total_spans"), unknown.alias("unknown_spans"), F.round(unknown * 100 / total, 1).alias("unknown_pct")).alias("stats"))
+    none = F.struct(F.lit(0).cast("long").alias("total_spans"), F.lit(0).cast("long").alias("unknown_spans"), F.lit(0.0).alias("unknown_pct"))
+    counted = books.join(stats, "book_id", "left").withColumn("stats", F.coalesce("stats", none))
+    return counted.select("book_id", F.to_json(F.struct("book_id", "chapters", "stats")).alias("value"))

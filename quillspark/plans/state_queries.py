@@ -313,19 +313,24 @@ def chapter_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {DIALOGUE} SELECT book_id, chapter_idx, format('c{{:02d}}-p{{:03d}}', chapter_idx, para_idx) AS id, text, CASE WHEN para_idx % 3 = 1 THEN 0 ELSE 2 END AS n_spans, CASE WHEN para_idx % 3 <> 1 THEN left(text, 3) || '|' || substr(text, 4) END AS spans FROM dialogue"""
+    f"""WITH {DIALOGUE} SELECT book_id, chapter_idx, format('c{{:02d}}-p{{:03d}}', chapter_idx, para_idx) AS id, text, CASE WHEN para_idx % 3 = 1 THEN 0 ELSE 2 END AS n_spans, CASE WHEN para_idx % 3 <> 1 THEN left(text, 3) || '|' || substr(text, 4) END AS spans,
+      2 * count(*) FILTER (WHERE para_idx % 3 <> 1) OVER w AS total_spans, count(*) FILTER (WHERE para_idx % 3 = 2) OVER w AS unknown_spans, round(coalesce(count(*) FILTER (WHERE para_idx % 3 = 2) OVER w * 100 / nullif(2 * count(*) FILTER (WHERE para_idx % 3 <> 1) OVER w, 0), 0), 1) AS unknown_pct
+    FROM dialogue WINDOW w AS (PARTITION BY book_id)"""
 )
 def attribution_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nested export written and read back; paragraphs without segments have no spans."""
     p = dialogue(spark, sf_dir).withColumns({"id": F.format_string("c%02d-p%03d", "chapter_idx", "para_idx"), "title": F.lit("t")})
     some = p.where("para_idx % 3 <> 1")
     parts = F.array(F.struct(F.lit(1).alias("seg_idx"), F.expr("substr(text, 4)").alias("text")), F.struct(F.lit(0).alias("seg_idx"), F.left("text", F.lit(3)).alias("text")))
-    spans = some.select("book_id", F.col("id").alias("paragraph_id"), F.inline(parts)).withColumns({"speaker": F.lit("Mira"), "kind": F.lit("dialogue"), "confidence": F.lit(0.5), "source": F.lit("rule"), "evidence": F.lit(None).cast("string")})
+    spans = some.select("book_id", F.col("id").alias("paragraph_id"), "para_idx", F.inline(parts))
+    spans = spans.withColumns({"speaker": F.when((F.col("para_idx") % 3 == 2) & (F.col("seg_idx") == 1), "unknown").otherwise("Mira"), "kind": F.lit("dialogue"), "confidence": F.lit(0.5), "source": F.lit("rule"), "evidence": F.lit(None).cast("string")})
     path = scratch(spark, "attribution")
     attribute.attribution_export(p, spans).select("value").write.text(path)
-    shape = "book_id bigint, chapters array<struct<chapter_idx:int,title:string,paragraphs:array<struct<para_idx:int,id:string,text:string,spans:array<struct<seg_idx:int,text:string>>>>>>"
-    back = spark.read.text(path).select(F.from_json("value", shape).alias("b")).select("b.book_id", F.explode("b.chapters").alias("c")).select("book_id", F.col("c.chapter_idx").alias("chapter_idx"), F.inline("c.paragraphs"))
-    return back.select("book_id", "chapter_idx", "id", "text", F.coalesce(F.size("spans"), F.lit(0)).alias("n_spans"), F.array_join(F.transform("spans", lambda s: s["text"]), "|").alias("spans"))
+    shape = "book_id bigint, chapters array<struct<chapter_idx:int,title:string,paragraphs:array<struct<para_idx:int,id:string,text:string,spans:array<struct<seg_idx:int,text:string>>>>>>, stats struct<total_spans:bigint,unknown_spans:bigint,unknown_pct:double>"
+    back = spark.read.text(path).select(F.from_json("value", shape).alias("b")).select("b.book_id", "b.stats.*", F.explode("b.chapters").alias("c"))
+    counts = ["total_spans", "unknown_spans", "unknown_pct"]
+    back = back.select("book_id", *counts, F.col("c.chapter_idx").alias("chapter_idx"), F.inline("c.paragraphs"))
+    return back.select("book_id", "chapter_idx", "id", "text", *counts, F.coalesce(F.size("spans"), F.lit(0)).alias("n_spans"), F.array_join(F.transform("spans", lambda s: s["text"]), "|").alias("spans"))
 
 
 @query(

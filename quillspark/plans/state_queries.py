@@ -380,20 +380,20 @@ _CLEANED = (
 
 @query(
     rf"""WITH l AS (SELECT doc_id, i - 1 AS i, regexp_replace(lines[i], '^\s+|\s+$', '', 'g') AS x FROM (SELECT doc_id, string_split(text, chr(10)) AS lines, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)),
-    c AS (SELECT *, {_CLEANED} AS text, dense_rank() OVER (PARTITION BY doc_id ORDER BY i // 8) - 1 AS chapter, row_number() OVER (PARTITION BY doc_id, i // 8 ORDER BY i) - 1 AS in_chapter, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS in_book FROM l WHERE x <> ''),
-    p AS (SELECT *, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE chapter END AS chapter_idx, CASE WHEN doc_id % 3 = 0 THEN in_book ELSE in_chapter END AS para_idx FROM c)
-    SELECT CASE doc_id % 3 WHEN 0 THEN 'book ' || doc_id ELSE 'Title & ' || doc_id END AS book_title, CAST(chapter_idx AS INTEGER) AS chapter_idx, CASE doc_id % 3 WHEN 0 THEN 'book ' || doc_id ELSE 'Chapter <' || (i // 8) || '>' END AS title,
-      CAST(CASE doc_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 0.9 ELSE 0.95 END AS DOUBLE) AS confidence, CAST(para_idx AS INTEGER) AS para_idx, format('c{{:02d}}-p{{:03d}}', chapter_idx, para_idx) AS id, x AS original_text, text FROM p"""
+    c AS (SELECT *, {_CLEANED} AS text, doc_id // 50 AS b, dense_rank() OVER (PARTITION BY doc_id // 50 ORDER BY doc_id) - 1 AS chapter, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS in_chapter, row_number() OVER (PARTITION BY doc_id // 50 ORDER BY doc_id, i) - 1 AS in_book FROM l WHERE x <> ''),
+    p AS (SELECT *, CASE WHEN b % 3 = 0 THEN 0 ELSE chapter END AS chapter_idx, CASE WHEN b % 3 = 0 THEN in_book ELSE in_chapter END AS para_idx FROM c)
+    SELECT CASE b % 3 WHEN 0 THEN 'book ' || b ELSE 'Title & ' || b END AS book_title, CAST(chapter_idx AS INTEGER) AS chapter_idx, CASE b % 3 WHEN 0 THEN 'book ' || b ELSE 'Chapter <' || doc_id || '>' END AS title,
+      CAST(CASE b % 3 WHEN 0 THEN 0 WHEN 1 THEN 0.9 ELSE 0.95 END AS DOUBLE) AS confidence, CAST(para_idx AS INTEGER) AS para_idx, format('c{{:02d}}-p{{:03d}}', chapter_idx, para_idx) AS id, x AS original_text, text FROM p"""
 )
 def book_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A1, A2, A3, A4, E9, L-Extractor: each document a text, DOCX or EPUB file that a task writes, eight lines a chapter; the folder read back by the source."""
+    """A1, A2, A3, A4, E9, L-Extractor: fifty documents a book and each a chapter, written by tasks as text, DOCX or EPUB files; the folder read back by the source."""
     d, folder = table(spark, sf_dir, "documents"), scratch(spark, "books")
-    key, line = F.col("doc_id"), F.posexplode(F.transform(F.split("text", "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))).alias("para_idx", "text")
-    kind = F.element_at(F.array(*map(F.lit, ("txt", "docx", "epub"))), (key % 3 + 1).cast("int"))
-    rows = d.select(F.concat(F.lit("book "), key.cast("string")).alias("name"), kind.alias("format"), F.concat(F.lit("Title & "), key.cast("string")).alias("book_title"), line).where("text <> ''")
-    chapter = F.floor(F.col("para_idx") / 8).cast("int")
-    titled = rows.select("*", chapter.alias("chapter_idx"), F.concat(F.lit("Chapter <"), chapter.cast("string"), F.lit(">")).alias("title"))
-    write_book_files(titled, folder).write.format("noop").mode("overwrite").save()
+    key, book = F.col("doc_id"), F.floor(F.col("doc_id") / 50)
+    line = F.posexplode(F.transform(F.split("text", "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))).alias("para_idx", "text")
+    kind = F.element_at(F.array(*map(F.lit, ("txt", "docx", "epub"))), (book % 3 + 1).cast("int"))
+    named = [F.concat(F.lit("book "), book.cast("string")).alias("name"), kind.alias("format"), F.concat(F.lit("Title & "), book.cast("string")).alias("book_title")]
+    rows = d.select(*named, (key % 50).cast("int").alias("chapter_idx"), F.concat(F.lit("Chapter <"), key.cast("string"), F.lit(">")).alias("title"), line).where("text <> ''")
+    write_book_files(rows, folder).write.format("noop").mode("overwrite").save()
     titles = read_raw(spark, folder).select("book_id", F.col("title").alias("book_title")).distinct()
     return books.read_books(spark, folder).join(titles, "book_id").select("book_title", "chapter_idx", "title", "confidence", "para_idx", "id", "original_text", "text")
 

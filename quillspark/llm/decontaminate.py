@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .files import Output, open_input
+from ..storage import Output, open_input
 from .util import Tables, new_path
 from .words import ALNUM_WORDS, chunks, member, text_buffer, word_hashes, word_spans
 
@@ -149,9 +149,8 @@ def write_windows(items: DataFrame, key: str = "item_id", text: str = "text") ->
         path = f"{folder}/block-{len(paths):05d}.npz"
         sink = io.BytesIO()
         np.savez(sink, ids=np.array(["null" if k is None else str(k) for k, _ in block]), sizes=np.array([len(t) for _, t in block], np.int64), terms=np.concatenate([np.zeros(0, np.uint64), *(t for _, t in block)]))
-        out = Output(path)
-        out.write(sink.getvalue())
-        out.close()
+        with Output(path) as out:
+            out.write(sink.getvalue())
         paths.append(path)
         known = np.union1d(known, np.concatenate([np.zeros(0, np.uint64), *(t for _, t in block)]))
 
@@ -168,9 +167,8 @@ def write_windows(items: DataFrame, key: str = "item_id", text: str = "text") ->
         flush()
     sink = io.BytesIO()
     np.savez(sink, terms=known)
-    out = Output(f"{folder}/vocabulary.npz")
-    out.write(sink.getvalue())
-    out.close()
+    with Output(f"{folder}/vocabulary.npz") as out:
+        out.write(sink.getvalue())
     return paths, f"{folder}/vocabulary.npz"
 
 

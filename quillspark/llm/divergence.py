@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .files import listing, open_input
+from ..storage import listing, open_input
 from .util import Tables, rows_of, sized
 from .words import LETTER_WORDS, chunks, text_buffer, word_bytes, word_spans
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .files import Output, open_input
+from ..storage import Output, open_input
 from .util import Tables, new_path, sized
 
 #: A component x becomes floor(SCALE * x).
@@ -110,9 +110,8 @@ def write_blocks(anchors: DataFrame, folder: str) -> list[str]:
                 sink, path = io.BytesIO(), f"{folder}/{uuid4().hex}.arrow"
                 with pa.ipc.new_stream(sink, batch.schema) as out:
                     out.write_batch(batch.slice(i, BLOCK))
-                file = Output(path)
-                file.write(sink.getvalue())
-                file.close()
+                with Output(path) as file:
+                    file.write(sink.getvalue())
                 yield pa.RecordBatch.from_arrays([pa.array([path])], names=["path"])
 
     return [row.path for row in anchors.mapInArrow(run, "path string").toLocalIterator()]

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .files import Output, listing, open_input
+from ..storage import Appending, Output, listing, open_input
 from .util import Tables, new_path
 
 SAMPLE_RATE = 8000
@@ -84,7 +84,7 @@ def write_members(df: DataFrame, directory: str, key: str = "doc_id", text: str
                     path = f"{name}-{parts:03d}{SUFFIX}"
                     parts, members = parts + 1, 0
                     out = Output(path)
-                    archive = zipfile.ZipFile(_Sink(out), "w", zipfile.ZIP_DEFLATED, compresslevel=1)
+                    archive = zipfile.ZipFile(Appending(out), "w", zipfile.ZIP_DEFLATED, compresslevel=1)
                 raw = (x or "").encode()
                 archive.writestr(f"{members}_{'null' if k is None else k}_{len(raw)}.wav", to_wav(padded(raw)))
                 members += 1
@@ -97,20 +97,6 @@ def write_members(df: DataFrame, directory: str, key: str = "doc_id", text: str
     return (tables or Tables(df.sparkSession)).write(df.select(key, text).mapInArrow(write, "path string, members long"), "archives")
 
 
-class _Sink:
-    """What zipfile needs of a file that can only be appended to."""
-
-    def __init__(self, out: Output):
-        self.out = out
-
-    def write(self, raw: bytes) -> int:
-        self.out.write(bytes(raw))
-        return len(raw)
-
-    def flush(self) -> None:
-        pass
-
-
 class Range(InputPartition):
     def __init__(self, path: str, start: int, end: int):
         self.path, self.start, self.end = path, start, end

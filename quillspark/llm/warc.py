@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .files import Output, open_input
+from ..storage import Output, open_input
 from .util import Tables, new_path, sized
 
 #: The magic number of the leading frame, among those that decoders skip.

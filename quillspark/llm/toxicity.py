@@ -170,7 +170,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     tables = tables or Tables(docs.sparkSession)
     known = labels.where(F.col(key).isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col(key))).groupBy(key).agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = tables.write(known.orderBy(F.xxhash64(key), key).limit(rows), "chosen")
-    sample = tables.write(docs.select(key, text).join(F.broadcast(chosen), key).groupBy(key, "toxic").agg(F.min(text).alias(text)).select("toxic", text), "sample", rows)
+    sample = tables.write(docs.select(key, text).join(F.broadcast(chosen), key).groupBy(key, "toxic").agg(F.min(text).alias(text)).select("toxic", text), "sample")
     total, positive = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     frequent = _counted(sample.where("toxic = 1"), text).where(F.col("a") >= LEAST_TEXTS).select("feature").collect()
     candidates = np.sort(np.array([r[0] for r in frequent], dtype=np.int64).view(np.uint64))

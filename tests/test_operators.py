@@ -435,3 +435,9 @@ def test_the_stand_in_engine():
     with pytest.raises(ValueError, match="100000 characters"):
         silent.synthesise("a" * 100_001, "narrator")
     assert narrate.wav_header(3, 22050) + b"\0" * 6 == audio.to_wav(np.zeros(3))
+
+
+def test_peak_normalise_multiplies_floats_as_its_sql(spark, tmp_path):
+    # 0.196 as a float lies below 0.196: its thousandfold is 196 among floats, but 195.99999 among doubles
+    spark.createDataFrame([(1, [0.196, -0.196, 0.5])], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert [(r.vec_id, r.samples) for r in queries.QUERIES["peak_normalise"](spark, str(tmp_path)).collect()] == [(1, [1960, -1960, 5000])]

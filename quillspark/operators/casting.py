@@ -22,8 +22,16 @@ AGE_WORDS = {
 }
 
 
-def votes(text: Column, words: str) -> Column:
-    return F.regexp_count(text, F.lit(rf"(?iU)\b({words})\b"))
+def _bounded(words: str, left: str = r"\b", right: str = r"\b", ascii: bool = False) -> Column:
+    """A pattern for whole words. With `ascii` only ASCII letters, digits and the underline are part of a word, so `teen` stands in `teenß`."""
+    if not ascii:
+        return F.lit(rf"(?iU){left}({words}){right}")
+    edge = {r"\b": (r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])")}
+    return F.lit(rf"(?iu){edge.get(left, (left, ''))[0]}({words}){edge.get(right, ('', right))[1]}")
+
+
+def votes(text: Column, words: str, ascii: bool = False) -> Column:
+    return F.regexp_count(text, _bounded(words, ascii=ascii))
 
 
 def speakers(segments: DataFrame) -> DataFrame:
@@ -81,15 +89,15 @@ def _winner(counts: dict[str, Column], halve: bool) -> tuple[Column, Column]:
     return F.when(total == 0, "unknown").otherwise(label), F.when(total == 0, 0.0).otherwise(trust)
 
 
-def infer_profiles(snippets: DataFrame) -> DataFrame:
+def infer_profiles(snippets: DataFrame, ascii: bool = False) -> DataFrame:
     """Rows (book_id, id, gender, gender_confidence, age_bracket, age_confidence) over each character's snippets.
 
     The outcome is that of the snippets joined by blanks in order, but only counts are shuffled: each snippet
-    is counted by itself. What a joint can add is a `young` at its left with its noun at its right.
+    is counted by itself. What a joint can add is a `young` at its left with its noun at its right. `ascii` as for `_bounded`.
     """
     words = GENDER_WORDS | AGE_WORDS
     text = F.col("text")
-    counted = snippets.select("book_id", "id", "place", text.rlike(r"(?iU)\byoung\s*\z").alias("_ends"), text.rlike(r"(?iU)\A\s*(man|woman|lady|fellow)\b").alias("_begins"), *(votes(text, w).alias(f"_{k}") for k, w in words.items()))
+    counted = snippets.select("book_id", "id", "place", F.regexp_like(text, _bounded("young", right=r"\s*\z", ascii=ascii)).alias("_ends"), F.regexp_like(text, _bounded("man|woman|lady|fellow", left=r"\A\s*", ascii=ascii)).alias("_begins"), *(votes(text, w, ascii).alias(f"_{k}") for k, w in words.items()))
     joint = F.lag("_ends", 1, False).over(W.partitionBy("book_id", "id").orderBy("place")) & F.col("_begins")
     counted = counted.withColumn("_young_adult", F.col("_young_adult") + joint.cast("int"))
     sums = counted.groupBy("book_id", "id").agg(*(F.sum(f"_{k}").alias(f"_{k}") for k in words))
@@ -98,9 +106,9 @@ def infer_profiles(snippets: DataFrame) -> DataFrame:
     return sums.select("book_id", "id", gender.alias("gender"), sure.alias("gender_confidence"), age.alias("age_bracket"), age_sure.alias("age_confidence"))
 
 
-def profile_characters(characters: DataFrame, paragraphs: DataFrame) -> DataFrame:
-    """Characters with what can be inferred where nothing is known; locked ones stay."""
-    found = infer_profiles(character_snippets(paragraphs, characters)).alias("f")
+def profile_characters(characters: DataFrame, paragraphs: DataFrame, ascii: bool = False) -> DataFrame:
+    """Characters with what can be inferred where nothing is known; locked ones stay. `ascii` as for `_bounded`."""
+    found = infer_profiles(character_snippets(paragraphs, characters), ascii).alias("f")
     joined = characters.alias("c").join(found, (F.col("c.book_id") == F.col("f.book_id")) & (F.col("c.id") == F.col("f.id")), "left")
     free = F.col("f.id").isNotNull() & ~F.coalesce("c.user_locked", F.lit(False))
     old = F.col("c.profile")

@@ -441,3 +441,11 @@ def test_peak_normalise_multiplies_floats_as_its_sql(spark, tmp_path):
     # 0.196 as a float lies below 0.196: its thousandfold is 196 among floats, but 195.99999 among doubles
     spark.createDataFrame([(1, [0.196, -0.196, 0.5])], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert [(r.vec_id, r.samples) for r in queries.QUERIES["peak_normalise"](spark, str(tmp_path)).collect()] == [(1, [1960, -1960, 5000])]
+
+
+def test_profiles_by_ascii_words(spark):
+    rows = [("b", "m", 0, "a teenß came"), ("b", "m", 1, "so young"), ("b", "m", 2, "manä and ämisS"), ("b", "n", 0, "oldß; not a_man")]
+    df = spark.createDataFrame(rows, "book_id string, id string, place int, text string")
+    got = lambda **how: {r.id: (r.age_bracket, r.age_confidence) for r in casting.infer_profiles(df, **how).collect()}
+    assert got() == {"m": ("unknown", 0.0), "n": ("unknown", 0.0)}
+    assert got(ascii=True) == {"m": ("young_adult", 0.5), "n": ("elderly", 1.0)}

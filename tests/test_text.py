@@ -174,6 +174,11 @@ def test_spoken_forms_are_computed_once(spark):
     assert _plan(df.select(speech.normalise_for_synthesis(F.col("text")).alias("y"))).count("Mister") == 1
 
 
+def test_spoken_segments_are_computed_once(spark):
+    df = spark.createDataFrame([("b", 0, 0, "x")], "book_id string, chapter_idx int, para_idx int, text string")
+    assert _plan(segment.narrator_segments(df, 60, speak=True)).count("Mister") == 1
+
+
 def test_spoken_runs_and_blanks(spark):
     cases = {"  a \n b  c ": "a b c", "AB1CD WXYZ": "AB1CD Wxyz", "QRST": "Qrst", "QRST, NASA_X 12": "Qrst, NASAX twelve", "9": "nine", "xMr.A Mr.A": "xMr.A MisterA", "\t": None}
     assert dict(zip(cases, one(spark, lambda c: speech.normalise_for_synthesis(c, numbers=True), *cases))) == cases

@@ -449,3 +449,11 @@ def test_profiles_by_ascii_words(spark):
     got = lambda **how: {r.id: (r.age_bracket, r.age_confidence) for r in casting.infer_profiles(df, **how).collect()}
     assert got() == {"m": ("unknown", 0.0), "n": ("unknown", 0.0)}
     assert got(ascii=True) == {"m": ("young_adult", 0.5), "n": ("elderly", 1.0)}
+
+
+def test_pronouns_are_counted_once(spark):
+    df = spark.createDataFrame([("ſhe and HER, he",), (None,)], "x string")
+    g, sure = casting.infer_gender(F.col("x"))
+    out = df.select(g.alias("g"), sure.alias("s"))
+    assert [tuple(r) for r in out.collect()] == [("female", 0.6667), (None, None)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") <= 2

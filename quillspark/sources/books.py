@@ -134,16 +134,17 @@ def read_gold(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("path", got.alias("g")).select("path", "g.source_hash", F.inline("g.quotes"))
 
 
-def read_runs(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Run records, one object a file; files that aren't such an object are left out."""
-    raw = spark.read.text(path, wholetext=True)
+def read_runs(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
+    """Run records, one object a file or with `lines` one a line; what isn't such an object is left out."""
+    raw = spark.read.text(path, wholetext=not lines)
     got = raw.select(F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("r"))
     return got.select("r.*").where("run_id IS NOT NULL")
 
 
-def write_runs(runs: DataFrame, path: str) -> None:
-    """Add run records, a file each."""
-    runs.write.mode("append").option("maxRecordsPerFile", 1).json(path)
+def write_runs(runs: DataFrame, path: str, lines: bool = False) -> None:
+    """Add run records, a file each, or with `lines` a line each in as many files as there are tasks, for many runs."""
+    out = runs.write.mode("append")
+    (out if lines else out.option("maxRecordsPerFile", 1)).json(path)
 
 
 #: A line of a cast file: the book and its characters.

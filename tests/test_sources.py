@@ -218,3 +218,11 @@ def test_settings_have_defaults_and_layers(spark, tmp_path):
         spark.conf.unset("quillspark.narrator.fake")
     path.write_text("not = [toml")
     assert read_settings(str(path)) == Settings()
+
+
+def test_many_runs_are_lines_of_few_files(spark, tmp_path):
+    runs = spark.range(50, numPartitions=2).select(F.concat(F.lit("r"), F.col("id").cast("string")).alias("run_id"))
+    for _ in range(2):
+        books.write_runs(runs, str(tmp_path / "runs"), lines=True)
+    assert len(list((tmp_path / "runs").glob("*.json"))) == 4
+    assert books.read_runs(spark, str(tmp_path / "runs"), schema.RUNS, lines=True).count() == 100

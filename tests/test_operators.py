@@ -457,3 +457,11 @@ def test_pronouns_are_counted_once(spark):
     out = df.select(g.alias("g"), sure.alias("s"))
     assert [tuple(r) for r in out.collect()] == [("female", 0.6667), (None, None)]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") <= 2
+
+
+def test_frames_are_measured_in_lots(spark):
+    n = 2 * audio.AT_ONCE + 3
+    pcm = (8000 * np.sin(2 * np.pi * np.arange(audio.FRAME) / 25)).astype("<i2").tobytes()
+    cut = spark.range(n, numPartitions=1).select("id", F.lit(8000).alias("rate"), F.lit(0).alias("frame"), F.lit(pcm).alias("pcm"))
+    got = audio.frame_measures(cut, "id").collect()
+    assert sorted(r.id for r in got) == list(range(n)) and {r.f0_hz for r in got} == {320.0}

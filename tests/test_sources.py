@@ -226,3 +226,10 @@ def test_many_runs_are_lines_of_few_files(spark, tmp_path):
         books.write_runs(runs, str(tmp_path / "runs"), lines=True)
     assert len(list((tmp_path / "runs").glob("*.json"))) == 4
     assert books.read_runs(spark, str(tmp_path / "runs"), schema.RUNS, lines=True).count() == 100
+
+
+def test_pages_are_passed_on_in_slices(spark):
+    n = 3 * markup.SLICE + 1
+    rows = spark.range(n, numPartitions=1).select("id", F.concat(F.lit("<h1>T</h1><p>a"), F.col("id").cast("string"), F.lit("</p><p> </p><p>b</p>")).alias("html"))
+    got = markup.html_paragraphs(rows, "id").orderBy("id", "para_idx").collect()
+    assert [(r.id, r.title, r.text) for r in got] == [(i, "T", x) for i in range(n) for x in (f"a{i}", "b")]

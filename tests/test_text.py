@@ -182,3 +182,17 @@ def test_spoken_segments_are_computed_once(spark):
 def test_spoken_runs_and_blanks(spark):
     cases = {"  a \n b  c ": "a b c", "AB1CD WXYZ": "AB1CD Wxyz", "QRST": "Qrst", "QRST, NASA_X 12": "Qrst, NASAX twelve", "9": "nine", "xMr.A Mr.A": "xMr.A MisterA", "\t": None}
     assert dict(zip(cases, one(spark, lambda c: speech.normalise_for_synthesis(c, numbers=True), *cases))) == cases
+
+
+def test_normal_form_holds_few_texts_at_once():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    x = pa.array(["é" * 20_000, None] * 700)
+    tracemalloc.start()
+    got = text.nfc.func(x)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.type == x.type and got.to_pylist()[:2] == ["é" * 20_000, None] and len(got) == 1400
+    assert most < 10e6  # all texts at once would be 28 MB and their results as much again

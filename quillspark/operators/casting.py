@@ -41,15 +41,23 @@ def speakers(segments: DataFrame) -> DataFrame:
     return named.groupBy("book_id", "speaker_id").agg(F.count(F.lit(1)).alias("line_count"), F.min_by("chapter", place).alias("first_chapter"))
 
 
-def adjacency(segments: DataFrame, window: int = WINDOW) -> DataFrame:
+def adjacency(segments: DataFrame, window: int = WINDOW, among: DataFrame | None = None) -> DataFrame:
     """Rows (book_id, a, b, n): how often two speakers come within `window` rows of each other; all rows count as places.
 
-    A look-ahead frame over each book instead of a self-join; at most `window` rows each.
+    A look-ahead frame over each book instead of a self-join; at most `window` rows each. `among` (book_id, name, main)
+    leaves only pairs of the speakers it names of which one is `main`, before any pair is made.
     """
     order = [c for c in ("chapter", "para_idx", "seg_idx") if c in segments.columns] or ["ord"]
     ahead = W.partitionBy("book_id").orderBy(*order).rowsBetween(1, window)
     real = F.when((F.col("speaker_id") != "") & ~F.col("speaker_id").isin("narrator", "unknown"), F.col("speaker_id"))
-    rows = segments.select("book_id", *order, real.alias("s")).withColumn("others", F.collect_list("s").over(ahead)).where("s IS NOT NULL")
+    rows = segments.select("book_id", *order, real.alias("s"))
+    if among is not None:
+        known = rows.join(among.select("book_id", F.col("name").alias("s"), "main"), ["book_id", "s"], "left")
+        who = known.select("book_id", *order, F.when(F.col("main").isNotNull(), F.struct("s", "main")).alias("s"))
+        ahead_of = who.withColumn("others", F.collect_list("s").over(ahead)).where("s IS NOT NULL").select("book_id", "s", F.explode("others").alias("o"))
+        pairs = ahead_of.where("(s.main OR o.main) AND s.s <> o.s").select("book_id", F.col("s.s").alias("s"), F.col("o.s").alias("o"))
+        return pairs.groupBy("book_id", F.least("s", "o").alias("a"), F.greatest("s", "o").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    rows = rows.withColumn("others", F.collect_list("s").over(ahead)).where("s IS NOT NULL")
     pairs = rows.select("book_id", "s", F.explode("others").alias("o")).where("s <> o")
     return pairs.groupBy("book_id", F.least("s", "o").alias("a"), F.greatest("s", "o").alias("b")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -214,6 +222,14 @@ def assign_in_order(characters: DataFrame, voices: DataFrame) -> DataFrame:
     return out.select("book_id", "id", voice.alias("voice_id"))
 
 
+def weighed(characters: DataFrame, voices: DataFrame) -> DataFrame:
+    """Rows (book_id, name, main): whose pairs `assign_measured` weighs. Main characters with a voice of their own, at most as many in a book as voices, and locked ones."""
+    wanted, main, _ = _parts(characters, voices)
+    scored = wanted.where("role = 'main'").join(main.groupBy("book_id").agg(F.count(F.lit(1)).alias("n")), "book_id").where("k <= n").select("book_id", "name", F.lit(True).alias("main"))
+    locked = wanted.where("role = 'locked'").select("book_id", "name", F.lit(False).alias("main"))
+    return scored.unionByName(locked).groupBy("book_id", "name").agg(F.max("main").alias("main"))
+
+
 _MEASURED = "array<struct<pos:int,id:string,f0:double,centroid:double,gender:string,gender_verified:boolean,age_bracket:string,age_verified:boolean>>"
 
 

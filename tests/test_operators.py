@@ -459,6 +459,15 @@ def test_pronouns_are_counted_once(spark):
     assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") <= 2
 
 
+def test_adjacency_among_some_speakers(spark):
+    draw = random.Random(9)
+    s = spark.createDataFrame([(draw.randrange(2), i, f"c{draw.randrange(9)}") for i in range(200)], "book_id int, ord int, speaker_id string")
+    among = spark.createDataFrame([(b, f"c{i}", i < 2) for b in (0, 1) for i in range(5)], "book_id int, name string, main boolean")
+    keep = {f"c{i}" for i in range(5)}
+    want = [tuple(r) for r in casting.adjacency(s, 4).collect() if {r.a, r.b} <= keep and {r.a, r.b} & {"c0", "c1"}]
+    assert sorted(map(tuple, casting.adjacency(s, 4, among).collect())) == sorted(want)
+
+
 def test_frames_are_measured_in_lots(spark):
     n = 2 * audio.AT_ONCE + 3
     pcm = (8000 * np.sin(2 * np.pi * np.arange(audio.FRAME) / 25)).astype("<i2").tobytes()

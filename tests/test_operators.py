@@ -429,6 +429,19 @@ def test_narration_is_laid_out_in_parts(spark, tmp_path):
     assert not (tmp_path / "chapters7" / "c").exists()
 
 
+def test_narration_broadcasts_nothing_by_the_size_of_its_files(spark, tmp_path):
+    df = spark.createDataFrame([("b", 0, 0, "One. Two is longer."), ("b", 1, 0, "Second chapter.")], "book_id string, chapter_idx int, para_idx int, text string")
+    folder = str(tmp_path / "n")
+    narrate.narrate(df, folder, ticks(None), speakable=False)
+    placed = narrate.placed(spark, folder, 100)
+    for rows in (placed, narrate.spoken(spark, folder)):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    # what asks for no samples reads the layout alone
+    assert "Join" not in placed.select("book_id", "chapter", "total").distinct()._jdf.queryExecution().executedPlan().toString()
+    assert not (tmp_path / "n" / "segments" / "_batch").exists()
+
+
 def test_the_stand_in_engine():
     silent, tone = narrate.FakeEngine(), narrate.FakeEngine(tone=True)
     assert len(silent.synthesise("one", "narrator")) == 4410 and not silent.synthesise("a b c", "narrator").any() and tone.synthesise("x", "narrator")[25] == int(32767 * math.sin(2 * math.pi * 440 / 22050 * 25))

@@ -19,9 +19,9 @@ prefix element stay short unless the sets really are alike.
 Comparisons run in prefix trees. With a leader, a walk over the ordered prefixes shares
 the overlap of common beginnings, and leaves out subtrees that can't reach the threshold
 by what is left on both sides: the prefixes tell the overlap up to the smaller of their
-last elements, the lengths bound the rest. In a list, the tree holds what precedes the
-list's element, and a walk leaves a subtree at the first common element: such pairs
-meet in the list of that element. So no pair is compared in more than one list. What
+last elements, the lengths bound the rest. In a list, a probe is compared with all members
+at once, by places, sizes and counts of a few patterns, and a pair with a common element
+before the list's is left out: it meets in the list of that element. So no pair is compared in more than one list. What
 passes is compared by shortened whole sets, which never count too little, then by whole
 sets. Copies and chains of copies are thus found without all pairs of a group, and no
 link between components is missed.
@@ -56,6 +56,9 @@ SEEN = 1 << 20
 #: Candidates that a set in a list may have in the first round, and how many times as many in the second; the third has no limit.
 FEW = 4
 MORE = 16
+#: Patterns by which a probe is compared with a whole list, and members at a time.
+COARSE = 128
+COARSE_ROWS = 2048
 
 
 def similar(common: int, a: int, b: int) -> bool:
@@ -140,33 +143,10 @@ class PrefixTree:
                     yield key, own
             stack.extend((child, common, depth, place) for child in node.children.values())
 
-    def search_first(self, before: np.ndarray, n: int, group: object) -> Iterator[tuple[object, object]]:
-        """(key, group) of the sets of other groups without an element in common with `before`, what precedes the list's element in a set of `n`.
-
-        The tree holds the same of the members, so the list's element is the first that the two share.
-        """
-        stack = [(self.root, 0, 0)]
-        while stack:
-            node, depth, place = stack.pop()
-            if not node.mixed and node.group == group:
-                continue
-            if len(node.run):
-                if member(node.run, before).any():
-                    continue
-                depth += len(node.run)
-                place = int(np.searchsorted(before, node.run[-1], side="right"))
-            length = min(max(depth + n - place, node.least), node.most)
-            if not similar(min(length - depth, n - place), length, n):
-                continue
-            for key, size, own in node.entries:
-                if own != group and similar(min(size - depth, n - len(before)), size, n):
-                    yield key, own
-            stack.extend((child, depth, place) for child in node.children.values())
-
 
 def shortened(items: np.ndarray) -> np.ndarray:
-    """How many elements of a set begin with each pattern of bits, in half a byte each; there are about as many patterns as elements."""
-    bits = max(4, int(len(items) - 1).bit_length())
+    """How many elements of a set begin with each pattern of bits, in half a byte each; there are about as many patterns as elements, and COARSE at least."""
+    bits = max(COARSE.bit_length() - 1, int(len(items) - 1).bit_length())
     while True:
         counts = np.bincount((items >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
         if counts.max(initial=0) < 16:
@@ -190,6 +170,42 @@ def most_common(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.minimum(a, b).sum())
 
 
+def coarse(counts: np.ndarray) -> np.ndarray:
+    """The numbers of a shortened set for COARSE patterns, in two bytes each if they fit."""
+    sums = counts.reshape(COARSE, -1).sum(axis=1, dtype=np.int64)
+    return sums.astype(np.uint16) if sums.max() < 1 << 16 else sums
+
+
+class ListMembers:
+    """Members of a list, which a probe is compared with all at once: by places and sizes, then by coarse counts, and only what passes one by one."""
+
+    def __init__(self) -> None:
+        self.before, self.shorts, self.rows, self.arrays = [], [], [], None
+
+    def add(self, before: np.ndarray, n: int, key: int, group: int, short: np.ndarray) -> None:
+        """A set of `n` elements, with what precedes the list's element in it and the numbers of the shortened set."""
+        self.before.append(before)
+        self.shorts.append(short)
+        self.rows.append((n, len(before), key, group))
+
+    def search(self, before: np.ndarray, n: int, group: int, short: np.ndarray) -> Iterator[int]:
+        """Keys of the sets of other groups that may be similar and have no element in common with `before`."""
+        if not self.rows:
+            return
+        if self.arrays is None:
+            self.arrays = np.array(self.rows, np.int64), np.stack([coarse(x) for x in self.shorts])
+        rows, counts = self.arrays
+        sizes, places, keys, groups = rows.T
+        need = 3 * (sizes + n)
+        at = np.flatnonzero((groups != group) & (7 * np.minimum(sizes - places, n - len(before)) >= need))
+        for lo in range(0, len(at), COARSE_ROWS):
+            some = at[lo : lo + COARSE_ROWS]
+            common = np.minimum(counts[some], coarse(short)).sum(axis=1, dtype=np.int64)
+            for i in some[7 * common >= need[some]].tolist():
+                if similar(most_common(short, self.shorts[i]), n, int(sizes[i])) and not member(self.before[i], before).any():
+                    yield int(keys[i])
+
+
 def _trim(hashes: np.ndarray, counts: np.ndarray, entries: int) -> tuple[np.ndarray, np.ndarray]:
     if len(hashes) <= entries:
         return hashes, counts
@@ -403,36 +419,33 @@ def leader_candidates(groups: DataFrame) -> DataFrame:
 
 
 def list_candidates(groups: DataFrame, limit: int | None) -> DataFrame:
-    """Rows (tree, a, b) of sets that may be similar and whose first common element is that of the list: probes (kind 1) against the tree of the members (kind 0).
+    """Rows (tree, a, b) of sets that may be similar and whose first common element is that of the list: probes (kind 1) against the members (kind 0).
 
     Sets of one component (`comp`) aren't compared. The search for a probe ends at more
     than `limit` candidates; a row (tree, a, null) then says that there are others.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, tree, sets = None, None, {}
+        now, held = None, ListMembers()
         for batch in batches:
             lists: list[int] = []
             a: list[int] = []
             b: list[int | None] = []
             for i, (t, part, block, kind, sid, n, comp) in enumerate(zip(*(batch[c].to_pylist() for c in ("tree", "part", "block", "kind", "sid", "n", "comp")))):
                 if (t, part, block) != now:
-                    now, tree, sets = (t, part, block), PrefixTree(), {}
+                    now, held = (t, part, block), ListMembers()
                 ahead = np.frombuffer(batch["before"][i].as_buffer(), np.uint64)
                 short = counted(np.frombuffer(batch["short"][i].as_buffer(), np.uint8))
                 if kind == 0:
-                    tree.insert(ahead.copy(), n, sid, comp)
-                    sets[sid] = (n, short)
+                    held.add(ahead.copy(), n, sid, comp, short)
                     continue
                 found = 0
-                for other, _ in tree.search_first(ahead, n, comp):
-                    size, theirs = sets[other]
-                    if similar(most_common(short, theirs), n, size):
-                        if found == limit:
-                            b.append(None)
-                            break
-                        b.append(other)
-                        found += 1
+                for other in held.search(ahead, n, comp, short):
+                    if found == limit:
+                        b.append(None)
+                        break
+                    b.append(other)
+                    found += 1
                 a += [sid] * (len(b) - len(a))
                 lists += [t] * (len(b) - len(lists))
             yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["tree", "a", "b"])

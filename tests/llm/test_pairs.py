@@ -116,6 +116,29 @@ def test_tree_search_with_prefixes_misses_nothing():
         assert want <= {j for j, _ in tree.search(short[i], len(s))}
 
 
+def test_members_of_a_list_are_compared_at_once(monkeypatch):
+    rng, calls, exact = np.random.default_rng(5), [], prefix_join.most_common
+    monkeypatch.setattr(prefix_join, "most_common", lambda a, b: calls.append(1) or exact(a, b))
+    base = np.unique(rng.integers(0, 1 << 63, 400, dtype=np.uint64))
+    sets = [np.unique(rng.integers(0, 1 << 63, int(rng.integers(3, 400)), dtype=np.uint64)) for _ in range(1500)]
+    sets += [np.unique(np.concatenate((base[k:], sets[k][:k]))) for k in range(0, 100, 5)]
+    held, groups, before = prefix_join.ListMembers(), [k % 7 for k in range(len(sets))], [x[: len(x) // 20] if k % 3 else x[:0] for k, x in enumerate(sets)]
+    shorts = [prefix_join.counted(prefix_join.shortened(x)) for x in sets]
+    for k, x in enumerate(sets):
+        held.add(before[k], len(x), k, groups[k], shorts[k])
+    found = 0
+    for k in (*range(0, 60), *range(1500, len(sets))):
+        x, ahead = sets[k], before[k]
+        got = set(held.search(ahead, len(x), groups[k], shorts[k]))
+        # all that are similar and share nothing before the list's element, and nothing that shares there or is of the same group
+        apart = {j for j, y in enumerate(sets) if groups[j] != groups[k] and not np.isin(before[j], ahead).any()}
+        fits = {j for j in apart if prefix_join.similar(min(len(sets[j]) - len(before[j]), len(x) - len(ahead)), len(x), len(sets[j]))}
+        assert {j for j in fits if prefix_join.similar(len(np.intersect1d(x, sets[j])), len(x), len(sets[j]))} <= got <= fits
+        found += len(got)
+    assert found > 50 and len(calls) < 80 * len(sets) // 20
+    assert prefix_join.coarse(np.full(1 << 21, 15, np.uint8)).tolist() == [15 << 14] * 128
+
+
 def test_shortened_sets_never_count_too_little():
     rng = np.random.default_rng(7)
     for _ in range(200):

@@ -442,6 +442,43 @@ def test_narration_broadcasts_nothing_by_the_size_of_its_files(spark, tmp_path):
     assert not (tmp_path / "n" / "segments" / "_batch").exists()
 
 
+def test_narration_takes_books_a_lot_at_a_time(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(narrate.resume, "STEP_BYTES", 1)
+    df = spark.createDataFrame([(f"b{b}", c, 0, "One. Two is longer. Fail now!") for b in range(12) for c in range(2)], "book_id string, chapter_idx int, para_idx int, text string")
+    folder, table = str(tmp_path / "n"), str(tmp_path / "n" / "segments")
+    lots = []
+    dealt = narrate.resume._dealt
+    monkeypatch.setattr(narrate.resume, "_dealt", lambda rows, *a: lots.append({r[0] for r in rows.select(narrate.resume.lot_of(F.col("book_id"), 64)).distinct().collect()}) or dealt(rows, *a))
+    for fail in ("Fail", "?"):
+        got = narrate.narrate(df, folder, ticks(fail), speakable=False)
+        # what is shuffled to write a version is of one lot, and a run leaves no version but its last
+        assert len(lots) > 8 and all(len(own) <= 1 for own in lots)
+        assert len(narrate.resume.versions(table)) == 1 and len({n.parts[-3] for n in (tmp_path / "n" / "segments").rglob("*.parquet")}) == 1
+    assert {tuple(r) for r in got.groupBy("status", "retry_count").count().collect()} == {("done", 0, 48), ("done", 1, 24)}
+    assert len(narrate.resume.steps(table)) == len(set().union(*lots)) > 1
+    parts = {(r.book_id, r.chapter, r.part): r for r in narrate.narrated_chapters(spark, folder, str(tmp_path / "c"), 100, 7).collect()}
+    assert not (tmp_path / "n" / "layout").exists()
+    whole = {(r.book_id, r.chapter, r.part): r for r in narrate.write_chapters(narrate.placed(spark, folder, 100), str(tmp_path / "w"), 100, 7).collect()}
+    assert parts.keys() == whole.keys() and len(parts) == 24 * 14
+    for (book, chapter, part), r in parts.items():
+        # small parts share a file, and each is found in it
+        raw = (tmp_path / "w" / book / f"{chapter:05d}" / "part-000001").read_bytes()
+        assert r.path == str(tmp_path / "c" / book / f"{chapter:05d}" / "part-000001") and (tmp_path / "c" / book / f"{chapter:05d}" / "part-000001").read_bytes() == raw
+        assert (r.offset, r.samples) == ((0, 0) if part < 0 else (44 + 14 * part, min(7, (len(raw) - 44) // 2 - 7 * part)))
+
+
+def test_large_parts_have_files_of_their_own(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(narrate, "FILE_SAMPLES", 21)
+    df = spark.createDataFrame([("b", 0, 0, "One. Two is longer.")], "book_id string, chapter_idx int, para_idx int, text string")
+    narrate.narrate(df, str(tmp_path / "n"), ticks(None), speakable=False)
+    for size, files in ((7, 3), (10, 3), (22, 3), (30, 2), (60, 1)):
+        out = tmp_path / f"c{size}"
+        rows = narrate.write_chapters(narrate.placed(spark, str(tmp_path / "n"), 100), str(out), 100, size).collect()
+        raw = b"".join(p.read_bytes() for p in sorted((out / "b" / "00000").iterdir()))
+        assert len({r.path for r in rows}) == files and audio.from_wav(raw)[1].tolist() == [10, 20, 30, 40] + [0] * 30 + [k * 10 for k in range(1, 15)]
+        assert all(len(open(r.path, "rb").read()[r.offset :]) >= 2 * r.samples for r in rows) and sum(r.samples for r in rows) == 48
+
+
 def test_the_stand_in_engine():
     silent, tone = narrate.FakeEngine(), narrate.FakeEngine(tone=True)
     assert len(silent.synthesise("one", "narrator")) == 4410 and not silent.synthesise("a b c", "narrator").any() and tone.synthesise("x", "narrator")[25] == int(32767 * math.sin(2 * math.pi * 440 / 22050 * 25))
